@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, virtual_slots
+from . import arrow_ids, hmm_lm, mixing, ogg, piece_counts, toxicity_mil, virtual_slots
 from .common import read_table
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_arrow_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return arrow_ids.encode_and_read_back(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_features(ogg.store_media(read_table(spark, sf_dir, "documents")))
+
+
+def op8_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_temperature_mixing, op9_virtual_slot_sharding]
+    found = [
+        op1_toxicity_mil, op2_hmm_language_model, op5_arrow_token_ids, op6_temperature_mixing, op7_ogg_media, op8_piece_counts,
+        op9_virtual_slot_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
