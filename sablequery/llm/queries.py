@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_ids, hmm_lm, mixing, ogg, piece_counts, toxicity_mil, virtual_slots
+from . import arrow_ids, hmm_lm, mixing, ogg, piece_counts, simhash, toxicity_mil, virtual_slots, winnowing
 from .common import read_table
 
 
@@ -19,6 +19,14 @@ def op2_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_arrow_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return arrow_ids.encode_and_read_back(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -42,7 +50,7 @@ def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_toxicity_mil, op2_hmm_language_model, op5_arrow_token_ids, op6_temperature_mixing, op7_ogg_media, op8_piece_counts,
+        op1_toxicity_mil, op2_hmm_language_model, op3_simhash, op4_winnowing, op5_arrow_token_ids, op6_temperature_mixing, op7_ogg_media, op8_piece_counts,
         op9_virtual_slot_sharding,
     ]
     return {f.__name__: f for f in found}
