@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_ids, hmm_lm, mixing, ogg, piece_counts, simhash, toxicity_mil, virtual_slots, winnowing
+from . import arrow_ids, hmm_lm, line_dedup, mixing, ogg, piece_counts, simhash, toxicity_mil, virtual_slots, winnowing
 from .common import read_table
 
 
@@ -48,10 +48,14 @@ def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity_mil, op2_hmm_language_model, op3_simhash, op4_winnowing, op5_arrow_token_ids, op6_temperature_mixing, op7_ogg_media, op8_piece_counts,
-        op9_virtual_slot_sharding,
+        op9_virtual_slot_sharding, op10_line_dedup,
     ]
     return {f.__name__: f for f in found}
 
