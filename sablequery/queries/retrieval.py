@@ -31,7 +31,7 @@ def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relations in DuckDB.
-WORDS = "list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+WORDS = "list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 POSTED = f"""f AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'source_path' AS col, source AS v FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'title', lang FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'text', text FROM documents),
 p AS (SELECT chunk_id, col, unnest({WORDS.format('v')}) AS term FROM f)"""
 TERMS = f"q AS (SELECT DISTINCT item_id AS query_id, w AS word FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) WHERE length(w) >= 8)"
