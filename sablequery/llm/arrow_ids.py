@@ -1,13 +1,14 @@
 """Token ids in the Arrow file format.
 
 Each task writes one Arrow IPC file for a contiguous range of doc_id. The file's record batches hold two fixed-size-list
-columns, ``ids`` (uint32) and ``mask`` (bool, false for the padding of the file's last sequence), all sequences of the
-same length: sequence k of a memory-mapped file is a slice of one buffer, found without reading what lies before it.
+columns, ``ids`` (uint16 if the vocabulary allows, else uint32) and ``mask`` (bool, false for the padding of the file's
+last sequence), all sequences of the same length: sequence k of a memory-mapped file is a slice of one buffer, found without reading what lies before it.
 A second Arrow file beside it names the documents (doc_id, first id in the file, number of ids).
 
-Tokenising is cached by piece. The byte-level pre-tokenizer always starts a new piece where a run of spaces or line
-feeds follows another character, so a text is cut there, each distinct piece is encoded by the library once per worker,
-and ids are joined. Texts with any other white space or with a special token's text are encoded as they are.
+Tokenising is cached by piece. The byte-level pre-tokenizer always starts a new piece at a single space before another
+character, so texts are cut at spaces, each distinct piece of a batch is encoded by the library unless the worker has it,
+and Arrow joins the ids. Texts with two spaces in a row, with white space other than spaces and line feeds, or with a
+special token's text are encoded as they are.
 
 Files are written under a temporary name and then moved, so a task that is lost and run again leaves one whole file.
 Defined cases: null text is empty (just the end id); rows of equal doc_id stay neighbours; no rows make no files.
@@ -15,14 +16,17 @@ Defined cases: null text is empty (just the end id); rows of equal doc_id stay n
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,32 +37,68 @@ from .common import fresh_path
 SEQUENCE_LENGTH = 2048
 SEQUENCES_A_BATCH = 64
 END_ID = 2
-PIECES_KEPT = 400_000
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
+PIECES_KEPT = 1_200_000
+ROWS_AT_ONCE = 2000
+#: White space other than space and line feed, the four information separators, two spaces, and the start of a special token.
+ODD = [*"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "  ", "<|"]
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes a list of texts to little-endian uint32 ids; the piece cache is bounded and lives as long as the worker."""
+def id_type(tokenizer_path: str) -> str:
+    """The smaller unsigned type that holds every id."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    cache: dict[str, bytes] = {}
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+class Encoder:
+    """Encodes Arrow text columns to ids; the cache of pieces is bounded and lives as long as the worker."""
+
+    def __init__(self, tokenizer_path: str, kind: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; its threads would contend with them
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path), np.dtype(kind)
+        self.end = np.array([end_id], self.kind).tobytes()
+        self.cache: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        code = self.kind.char
+        return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the column's texts, each with the end id, and the number of ids of each text."""
+        texts = [t or "" for t in column.to_pylist()]
+        odd = [any(c in t for c in ODD) for t in texts]
+        parts = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy()
+        pieces = parts.flatten()
+        coded = pieces.dictionary_encode()
+        # the part before the first space has none in front; texts with unusual white space take its place as a whole
+        first = self.whole([t if o else p for t, o, p in zip(texts, odd, pieces.take(pa.array(offsets[:-1])).to_pylist(), strict=True)])
+        later = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        index = coded.indices.to_numpy().astype("int64")
+        index[offsets[:-1]] = len(later) + np.arange(len(first))
+        index = np.insert(index, offsets[1:], len(later) + len(first))
+        entries = [*later, *first, self.end]
+        sizes = np.fromiter(map(len, entries), "int64", len(entries)) // self.kind.itemsize
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        values = pa.array(np.frombuffer(b"".join(entries), self.kind))
+        ids = pa.LargeListArray.from_arrays(pa.array(bounds), values).take(pa.array(index)).flatten().to_numpy()
+        ends = np.cumsum(sizes[index])[offsets[1:] + np.arange(len(first))]
+        return ids, np.diff(ends, prepend=0)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space in front."""
+        if len(self.cache) > PIECES_KEPT:  # what this batch needs stays
+            self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
+        new = [p for p in pieces if p not in self.cache]
+        self.cache.update(zip(new, self.whole([f" {p}" for p in new]), strict=True))
+        return [self.cache[p] for p in pieces]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        pieces = [None if ODD.search(t) else PIECE.findall(t) for t in texts]
-        if len(cache) > PIECES_KEPT:
-            cache.clear()
-        new = list({p for ps in pieces if ps for p in ps}.difference(cache))
-        cache.update(zip(new, whole(new), strict=True))
-        odd = iter(whole([t for t, ps in zip(texts, pieces, strict=True) if ps is None]))
-        return [next(odd) if ps is None else b"".join(map(cache.__getitem__, ps)) for ps in pieces]
 
-    return encode
+@lru_cache(maxsize=2)
+def encoder(tokenizer_path: str, kind: str, end_id: int) -> Encoder:
+    return Encoder(tokenizer_path, kind, end_id)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -75,31 +115,28 @@ def _uri(spark: SparkSession, path: str) -> str:
 class SequenceFile:
     """Writes ids as batches of equal-length sequences; memory holds one batch."""
 
-    def __init__(self, sink: pa.NativeFile, length: int):
-        self.length, self.kept, self.size = length, [], 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    def __init__(self, sink: pa.NativeFile, length: int, kind: str):
+        self.length, self.kind = length, np.dtype(kind)
+        self.kept = np.zeros(0, self.kind)
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_file(sink, self.schema)
 
-    def add(self, ids: bytes) -> None:
-        self.kept.append(ids)
-        self.size += len(ids) // 4
+    def add(self, ids: np.ndarray) -> None:
         full = self.length * SEQUENCES_A_BATCH
-        if self.size >= full:
-            data = np.frombuffer(b"".join(self.kept), dtype="<u4")
-            for at in range(0, self.size - full + 1, full):
-                self._write(data[at : at + full])
-            rest = data[self.size // full * full :]
-            self.kept, self.size = [rest.tobytes()], len(rest)
+        data = np.concatenate([self.kept, ids])
+        for at in range(0, len(data) - full + 1, full):
+            self._write(data[at : at + full])
+        self.kept = data[len(data) // full * full :]
 
     def _write(self, data: np.ndarray) -> None:
-        padded = np.zeros(-(-len(data) // self.length) * self.length, dtype="<u4")
+        padded = np.zeros(-(-len(data) // self.length) * self.length, dtype=self.kind)
         padded[: len(data)] = data
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, np.arange(len(padded)) < len(data))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
-        if self.size:
-            self._write(np.frombuffer(b"".join(self.kept), dtype="<u4"))
+        if len(self.kept):
+            self._write(self.kept)
         self.out.close()
 
 
@@ -109,24 +146,25 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, *, length: int
     Ranges of doc_id are dealt to tasks and sorted there, so part numbers and the order inside a file both ascend.
     """
 
+    kind = id_type(tokenizer_path)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        coder = encoder(tokenizer_path, kind, end_id)
         state = None
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(start, ROWS_AT_ONCE)
                 if state is None:
                     store, base = _open(folder)
                     name = f"part-{rows.column(0)[0].as_py():08d}"
                     temporary = f"{base}/_{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
-                    state = SequenceFile(sink, length)
+                    state = SequenceFile(sink, length, kind)
                     ids, counts = [], []
                 ids += rows.column(1).to_pylist()
-                for coded in encode([x or "" for x in rows.column(2).to_pylist()]):
-                    state.add(coded + end)
-                    counts.append(len(coded) // 4 + 1)
+                coded, sizes = coder.encode(rows.column(2))
+                state.add(coded)
+                counts += sizes.tolist()
         if state is None:
             return
         state.close()
@@ -173,10 +211,10 @@ class _Ids:
             part = self.batch(first // size)[first % size : first % size + count]
             out.append(part)
             first, count = first + len(part), count - len(part)
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, "<u4")
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, "uint32")
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
+def read_documents(manifest: DataFrame, files: int) -> DataFrame:
     """What the files hold, one row per document: doc_id, start, n_tokens, ids_crc32, path. A task reads whole files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +226,16 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 first, n = docs["first"].to_numpy(), docs["n_tokens"].to_numpy()
                 with store.open_input_file(f"{base}.ids.arrow") as source:
                     file = _Ids(pa.ipc.open_file(source))
-                    crc = [zlib.crc32(file.take(int(a), int(c)).astype("<u4", copy=False).tobytes()) for a, c in zip(first, n, strict=True)]
+                    crc = [zlib.crc32(file.take(int(a), int(c)).astype("<u4").tobytes()) for a, c in zip(first, n, strict=True)]
                 yield pa.record_batch({"doc_id": docs["doc_id"].combine_chunks(), "start": pa.array(first + base_start), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64()), "path": pa.array([path] * len(n))})
 
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", before.alias("start"))
-    return placed.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    return placed.repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def encode_and_read_back(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, length: int = SEQUENCE_LENGTH) -> DataFrame:
     folder = _uri(spark, fresh_path(spark, "token-ids"))
     manifest = write_ids(docs, folder, tokenizer_path, length=length)
     rows = manifest.collect()  # one small row per file
-    return read_documents(spark.createDataFrame(rows, manifest.schema))
+    return read_documents(spark.createDataFrame(rows, manifest.schema), max(len(rows), 1))
