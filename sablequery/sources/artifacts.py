@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+
+@pandas_udf(StringType())
+def lenient_text(content: pd.Series) -> pd.Series:
+    """UTF-8 with malformed bytes replaced; Spark's own decode raises on them."""
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
@@ -12,8 +21,7 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     root = path.rstrip("/").split("/")[-1]
     relative = F.when(F.lit(path.endswith(".html")), name).otherwise(F.substring_index("path", f"/{root}/", -1))
-    html = F.decode(F.to_binary(F.regexp_replace(F.hex("content"), "^EFBBBF", ""), F.lit("hex")), "UTF-8")
-    return files.select(relative.alias("source_path"), F.sha2("content", 256).alias("source_hash"), html.alias("html"))
+    return files.select(relative.alias("source_path"), F.sha2("content", 256).alias("source_hash"), lenient_text("content").alias("html"))
 
 
 def write_relations(relations: dict[str, DataFrame], folder: str) -> None:

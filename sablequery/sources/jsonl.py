@@ -17,7 +17,7 @@ CORPUS = "chunk_id string, generated_queries array<string>"
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1), line. Files are read whole so that numbers hold; log files are one run or day each."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = F.posexplode(F.split("value", "\n")).alias("at", "line")
     return whole.select(F.input_file_name().alias("file"), lines).select("file", (F.col("at") + 1).alias("line_no"), F.trim(F.regexp_replace("line", "\r$", "")).alias("line")).where("line <> ''")
 
