@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import arrow_ids, hmm_lm, line_dedup, mixing, ogg, piece_counts, simhash, toxicity_mil, virtual_slots, winnowing
 from .common import read_table
@@ -33,7 +34,8 @@ def op5_arrow_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    found = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 9) for c in ("weight", "epochs")})
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,8 @@ def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,5 +63,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, w[i:i + n - 1] AS win, n FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS q FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+MIXING = r"""
+WITH RECURSIVE k AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5(CAST(doc_id AS VARCHAR) || ':17') AS m FROM documents),
+s AS (SELECT source, sum(n_tokens)::DOUBLE AS t FROM k GROUP BY 1), sh AS (SELECT source, t, t / (SELECT sum(t) FROM s) AS p FROM s),
+bis AS (SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+ SELECT step + 1, CASE WHEN e > 2.0 THEN (low + high) / 2 ELSE low END, CASE WHEN e > 2.0 THEN high ELSE (low + high) / 2 END
+ FROM (SELECT step, low, high, (SELECT max(pow(p, (low + high) / 2) / p) / min(pow(p, (low + high) / 2) / p) FROM sh) AS e FROM bis WHERE step < 30)),
+a AS (SELECT (low + high) / 2 AS a FROM bis WHERE step = 30), r AS (SELECT source, t, pow(p, a) AS r FROM sh, a), z AS (SELECT sum(r) AS z, max(t / r) AS most FROM r),
+w AS (SELECT source, t, r / z AS weight, round(r / z * (z * most), 6) AS quota FROM r, z),
+e AS (SELECT *, quota / t AS epochs, CAST(floor(quota / t + 1e-9) AS INTEGER) AS whole, greatest(1, CAST(ceil(t / 262144) AS BIGINT)) AS blocks FROM w),
+n AS (SELECT k.doc_id, k.source, k.n_tokens, e.*  EXCLUDE (source), ('0x' || m[1:13])::BIGINT % blocks AS block, m[14:] AS draw FROM k JOIN e USING (source)),
+bl AS (SELECT source, block, sum(n_tokens) AS bt, any_value(quota - whole * t) AS l FROM n GROUP BY ALL),
+bb AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY source ORDER BY md5(CAST(block AS VARCHAR) || ':18'), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
+q AS (SELECT n.*, before, bt, l, sum(n_tokens) OVER (PARTITION BY n.source, n.block ORDER BY draw, doc_id) AS upto FROM n JOIN bb USING (source, block))
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, round(epochs, 9) AS epochs, block,
+ whole + CASE WHEN l <= before THEN 0 WHEN before + bt <= l THEN 1 WHEN before + upto <= l THEN 1 ELSE 0 END AS copies FROM q"""
+
+LINES = r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+s AS (SELECT doc_id, k, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM l),
+t AS (SELECT doc_id, k, len(w) AS n, unnest(w) AS x FROM s WHERE len(w) > 0), f AS (SELECT x, count(*) AS c FROM t GROUP BY 1),
+p AS (SELECT doc_id, k, n, x FROM (SELECT t.*, row_number() OVER (PARTITION BY doc_id, k ORDER BY c, t.x) AS place FROM t JOIN f USING (x)) WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.doc_id, a.k, b.doc_id AS e, b.k AS ek FROM p a JOIN p b ON a.x = b.x AND (b.doc_id, b.k) < (a.doc_id, a.k) AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.8 - 1e-9),
+g AS (SELECT DISTINCT c.doc_id, c.k FROM c JOIN s x ON x.doc_id = c.doc_id AND x.k = c.k JOIN s y ON y.doc_id = e AND y.k = ek
+ WHERE len(list_intersect(x.w, y.w)) >= (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) * 0.8 - 1e-9)
+SELECT doc_id, count(*) AS n_lines, count(g.k) AS n_removed, coalesce(string_agg(CAST(g.k AS VARCHAR), ',' ORDER BY l.k), '') AS removed_lines,
+ sha256(coalesce(string_agg(CASE WHEN g.k IS NULL THEN line END, chr(10) ORDER BY l.k), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id, k) GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries learn models, use XXH64 or read files back: no SQL form; tests compare them with brute force."""
+    return {"op4_winnowing": CONTAMINATION, "op6_temperature_mixing": MIXING, "op10_line_dedup": LINES}
