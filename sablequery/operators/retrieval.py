@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from ..functions.text import is_exact, is_identifier, overlap_tokens, query_token
+from ..functions.text import SHORT_TERMS, overlap_tokens, query_token
 
 #: BM25 weights of the indexed columns.
 WEIGHTS = {"chunk_id": 0.0, "source_path": 8.0, "title": 10.0, "category": 0.5, "heading_path": 5.0, "text": 1.0, "generated_queries": 0.5}
@@ -59,24 +59,36 @@ def query_tokens(question: str) -> list[str]:
     return list(dict.fromkeys(t for raw in re.findall(r"\w+", question) if (t := query_token(raw))))
 
 
-def token_volumes(tokens: list[str], posted: DataFrame, vocab: DataFrame) -> dict[str, int]:
-    """Rows each token can reach: chunks that hold an exact term, or the sum over the terms with its prefix."""
-    if not tokens:
-        return {}
-    spark = vocab.sparkSession
-    prefixes = spark.createDataFrame([(t,) for t in tokens if not is_exact(t)], "token string")
-    found = vocab.join(F.broadcast(prefixes), F.col("term").startswith(F.col("token"))).groupBy("token").agg(F.sum("chunks").alias("n"))
-    volumes = dict.fromkeys(tokens, 0) | {r["token"]: r["n"] for r in found.collect()}
-    for token in filter(is_exact, tokens):  # a query has few tokens
-        volumes[token] = phrase_hits(posted, fold(token).split()).select("chunk_id").distinct().count()
-    return volumes
-
-
-def select_tokens(tokens: list[str], volumes: dict[str, int], limit: int = MOST_TOKENS) -> list[str]:
-    """At most ``limit`` tokens that match anything, in query order: identifiers first, then the rarest."""
-    alive = [(k, t) for k, t in enumerate(tokens) if volumes.get(t, 0) > 0]
-    best = sorted(alive, key=lambda x: (0, 0, x[0]) if is_identifier(x[1]) else (1, volumes[x[1]], x[0]))[:limit]
-    return [t for _, t in sorted(best)]
+@pandas_udf(ArrayType(StringType()))
+def question_tokens(question: pd.Series) -> pd.Series:
+    return question.map(lambda q: query_tokens(q) if q else [])
+
+
+def asked_tokens(questions: DataFrame) -> DataFrame:
+    """query_id, place, token, exact, identifier of every token of questions (query_id, question)."""
+    tokens = questions.select("query_id", F.posexplode(question_tokens("question")).alias("place", "token"))
+    named = F.col("token").contains("_") | (F.col("token").rlike(r"(?U)\d") & F.col("token").rlike(r"\p{L}"))
+    exact = named | F.col("token").rlike(r"^(?U)\d+$") | F.col("token").isin(*sorted(SHORT_TERMS))
+    return tokens.withColumns({"identifier": named, "exact": exact})
+
+
+def token_volumes(tokens: DataFrame, posted: DataFrame, vocab: DataFrame) -> DataFrame:
+    """token, volume: chunks that hold an exact token's words in a row, or the sum over the terms with a prefix."""
+    distinct = tokens.select("token", "exact").distinct()
+    prefixes = F.broadcast(distinct.where("not exact").select("token"))
+    by_prefix = vocab.join(prefixes, F.col("term").startswith(F.col("token"))).groupBy("token").agg(F.sum("chunks").alias("volume"))
+    words = distinct.where("exact").select("token", index_tokens("token").alias("words"))
+    parts = F.broadcast(words.select("token", F.size("words").alias("size"), F.posexplode("words").alias("shift", "term")))
+    runs = posted.join(parts, "term").groupBy("token", "size", "chunk_id", "col", (F.col("position") - F.col("shift")).alias("start")).agg(F.count_distinct("shift").alias("n"))
+    by_phrase = runs.where(F.col("n") == F.col("size")).groupBy("token").agg(F.count_distinct("chunk_id").alias("volume"))
+    return by_prefix.unionByName(by_phrase)
+
+
+def select_tokens(tokens: DataFrame, volumes: DataFrame, limit: int = MOST_TOKENS) -> DataFrame:
+    """At most ``limit`` tokens of each query that match anything: identifiers first, then the rarest. place keeps their order."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("identifier"), F.when(F.col("identifier"), 0).otherwise(F.col("volume")), "place")
+    alive = tokens.join(volumes.where("volume > 0"), "token")
+    return alive.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
 
 def phrase_hits(posted: DataFrame, words: list[str]) -> DataFrame:

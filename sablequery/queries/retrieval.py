@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from ..plans.catalogue import STAR
 from .registry import query, table
 
 COLUMNS = ["source_path", "title", "text"]
@@ -86,15 +85,10 @@ def fts_hint_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fts_token_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that three benchmark-like questions keep; selection is a driver rule over counts from one job."""
+    """The tokens that each benchmark item keeps as a question."""
     posted = index(spark, sf_dir)
-    vocab = R.vocabulary(posted)
-    questions = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).collect()]
-    rows = []
-    for number, question in enumerate(questions):
-        tokens = R.query_tokens(question)
-        rows += [(number, k, t) for k, t in enumerate(R.select_tokens(tokens, R.token_volumes(tokens, posted, vocab)))]
-    return spark.createDataFrame(rows, "query_id int, place int, token string")
+    asked = R.asked_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
+    return R.select_tokens(asked, R.token_volumes(asked, posted, R.vocabulary(posted))).select("query_id", "place", "token", "volume")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,16 +154,6 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hydrate(R.fuse(lexical, near, k=k), chunks(spark, sf_dir), strict=False).select("query_id", "rank", "chunk_id", "source_path", F.substring("text", 1, T.PREVIEW).alias("preview"))
 
 
-#: Foreign keys of the star schema: source table, column, target table.
-KEYS = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"), ("lineitem", "l_suppkey", "supplier"), ("events", "user_id", "nowhere")]
-
-
-def key_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    docs = spark.createDataFrame([(t, f"tables/{t.upper()}.html") for t in STAR], "doc_id string, source_path string")
-    edges = spark.createDataFrame([(f"r{k}", s, s, c, t, c, k + 1) for k, (s, c, t) in enumerate(KEYS)], "relationship_id string, source_doc_id string, source_table string, source_column string, target_table string, target_column string, ordinal int")
-    return docs, edges
-
-
 def value_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents: nations and regions. Edges: a nation's customers and suppliers make it an edge to its region."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

@@ -41,9 +41,13 @@ def test_phrases_and_volumes(spark):
     posted = R.postings(frames(spark))
     assert {r["chunk_id"] for r in R.phrase_hits(posted, ["pat", "enc"]).collect()} == {"c1", "c2"}
     assert R.phrase_hits(posted, ["links", "id"]).count() == 0
-    volumes = R.token_volumes(["pat_enc", "visit", "nothere", "status"], posted, R.vocabulary(posted))
-    assert volumes == {"pat_enc": 2, "visit": 3, "nothere": 0, "status": 2}
-    assert R.select_tokens(["visit", "nothere", "status", "pat_enc"], volumes, 2) == ["status", "pat_enc"]
+    questions = spark.createDataFrame([(1, "visits nothere STATUS pat_enc"), (2, "or OR 1234")], "query_id int, question string")
+    asked = R.asked_tokens(questions)
+    assert [(r["token"], r["exact"]) for r in asked.where("query_id = 1").orderBy("place").collect()] == [("visit", False), ("nothere", False), ("status", False), ("pat_enc", True)]
+    volumes = R.token_volumes(asked, posted, R.vocabulary(posted))
+    assert {r["token"]: r["volume"] for r in volumes.collect()} == {"pat_enc": 2, "visit": 3, "status": 2}  # a chunk counts once a term
+    kept = R.select_tokens(asked, volumes, 2).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["token"]) for r in kept] == [(1, "status"), (1, "pat_enc")]
 
 
 @pytest.mark.parametrize(("raw", "token"), [("Visits", "visit"), ("status", "status"), ("class", "class"), ("this", "this"), ("or", None), ("OR", "or"), ("ed", "ed"), ("ab", None), ("a1", "a1"), ("TABLES", None), ("x_y", "x_y"), ("is", None)])
