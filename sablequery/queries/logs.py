@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import logs
+from ..operators import logs, traces as T
 from .registry import query, table
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,3 +152,30 @@ def log_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def redact_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", logs.redacted("props", r"(?i)(page|ref|token)").alias("props"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, CASE event_type WHEN 'view' THEN 'sql' WHEN 'purchase' THEN 'lifecycle' WHEN 'error' THEN 'sql' ELSE 'unknown' END AS domain,
+ CASE event_type WHEN 'view' THEN 'ok' WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' ELSE 'unknown' END AS status, count(*) AS n FROM events GROUP BY ALL""")
+def log_event_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains and statuses of the events once views, purchases and errors have registered names."""
+    names = F.create_map(*[F.lit(x) for pair in (("view", "query_plan.started"), ("purchase", "answer.ready"), ("error", "query_plan.error")) for x in pair])
+    renamed = traces(spark, sf_dir).withColumn("event", F.coalesce(names[F.col("event")], F.col("event")))
+    return T.classified(renamed).groupBy("run_id", "domain", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) FILTER (event_type = 'click') AS model_calls, count(*) FILTER (event_type = 'view') AS tool_calls FROM events GROUP BY 1)
+SELECT run_id, model_calls, tool_calls, model_calls > 8 AS models_over, tool_calls > 20 AS tools_over FROM r""")
+def log_budget_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as model calls and views as tool calls against a run's limits."""
+    names = F.create_map(*[F.lit(x) for pair in (("click", "model.usage"), ("view", "exploration.tool_completed")) for x in pair])
+    renamed = traces(spark, sf_dir).withColumn("event", F.coalesce(names[F.col("event")], F.col("event")))
+    used = T.budget_use(renamed)
+    return used.select("run_id", "model_calls", "tool_calls", F.array_contains("exceeded", "model_calls").alias("models_over"), F.array_contains("exceeded", "tool_calls").alias("tools_over"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS chunk_id, min(event_id) AS place, max_by(value, event_id) AS value FROM events GROUP BY 1, 2)
+SELECT run_id, chunk_id, value, row_number() OVER (PARTITION BY run_id ORDER BY place, chunk_id) AS rank FROM e QUALIFY rank <= 3""")
+def log_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as evidence: first place, last value, three a run."""
+    found = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("place"), F.col("event_type").alias("chunk_id"), "value")
+    return T.accumulate_evidence(found, 3).select("run_id", "chunk_id", "value", F.col("rank").cast("long").alias("rank"))

@@ -96,3 +96,19 @@ def test_expansion_corpus(spark, tmp_path):
     with pytest.raises(ValueError):
         jsonl.read_expansions(spark, str(tmp_path / "bad.jsonl"))
     assert {r["chunk_id"]: r["queries"] for r in jsonl.read_expansions_leniently(spark, str(tmp_path / "bad.jsonl")).collect()} == {"a": "y"}
+
+
+def test_registry_and_redaction(spark):
+    from sablequery.operators import traces as T
+
+    names = [r["event"] for r in T.event_dimension(spark).collect()]
+    assert len(names) == len(set(names)) == 74
+    staged = {e for _, *lists in logs.STAGES for events in lists for e in events}
+    assert staged <= set(names)
+    payload = json.dumps({"question": "q", "meta": {"answer": [1, 2], "n": 3}, "list": [{"sql": "x"}], "Patient-Name": "p", "ok": {"my_token": 1}})
+    row = spark.createDataFrame([(payload,), ("no json",), (None,)], "p string").select(T.log_payload("p", b"k").alias("a"), T.view_payload("p").alias("b")).collect()
+    logged, viewed = json.loads(row[0]["a"]), json.loads(row[0]["b"])
+    assert logged["question"]["redacted"] and logged["question"]["bytes"] == 3 and logged["meta"]["answer"]["item_count"] == 2 and logged["meta"]["n"] == 3
+    assert logged["list"][0]["sql"]["digest"].startswith("hmac-sha256:")
+    assert viewed["Patient-Name"] == "[REDACTED]" and viewed["ok"] == {"my_token": "[REDACTED]"} and viewed["question"] == "q"
+    assert row[1]["a"] is None and row[2]["b"] is None
