@@ -6,6 +6,7 @@ DataFrame operations keyed by document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -274,3 +275,40 @@ def metadata_records(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     described = joined.withColumns({"description": words, "status": F.when(F.col("fault").isNull(), status)})
     table = identifier_slug(F.regexp_extract("source_path", r"([^/]+?)(\.html)?$", 1))
     return described.select("doc_id", "source_path", "fault", "status", "description", table.alias("table_name"), F.when(F.col("status") == "present", F.concat(table, F.lit(": "), F.col("description"))).alias("embedding_text"))
+
+
+def repeated_ids(chunks: DataFrame) -> DataFrame:
+    """Chunk ids that more than one chunk has: an index with any is refused."""
+    return chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def record_faults(chunks: DataFrame) -> DataFrame:
+    """Chunks that break the record rules: untrimmed or empty text, blank heading, malformed hash, too long."""
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    rule = F.when(blank, "empty_text").when(F.col("text") != F.trim("text"), "untrimmed_text").when(F.coalesce(F.trim("heading_path"), F.lit("")) == "", "blank_heading")
+    rule = rule.when(~F.col("text_hash").rlike("^[0-9a-f]{64}$"), "malformed_hash").when(F.length("text") > HARD_LIMIT, "over_limit")
+    return chunks.withColumn("fault", rule).where("fault is not null").select("chunk_id", "fault")
+
+
+def extraction_report(records: DataFrame) -> DataFrame:
+    """Per status or fault: documents, and up to twenty of their paths in order."""
+    outcome = F.coalesce("fault", "status").alias("outcome")
+    order = Window.partitionBy("outcome").orderBy("source_path")
+    sample = records.select(outcome, "source_path").withColumn("n", F.row_number().over(order)).where("n <= 20")
+    paths = sample.groupBy("outcome").agg(F.array_sort(F.collect_list("source_path")).alias("paths"))
+    return records.groupBy(outcome).agg(F.count(F.lit(1)).alias("documents")).join(paths, "outcome")
+
+
+def index_version(chunks: DataFrame, expansions: DataFrame | None = None) -> str:
+    """A hash of all chunk ids and texts, and of the expansions, that does not depend on their order."""
+    rows = chunks.select(F.xxhash64("chunk_id", "text_hash").alias("h"))
+    if expansions is not None:
+        rows = rows.unionByName(expansions.select(F.xxhash64("chunk_id", "queries").alias("h")))
+    mark = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum((F.col("h") % 1000003).cast("long")).alias("s")).first()
+    return hashlib.sha256(f"{mark['n']}:{mark['x']}:{mark['s']}".encode()).hexdigest()
+
+
+def citation_label(title: Column, heading: Column, path: Column) -> Column:
+    """Title and heading, or the file's name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(F.coalesce(F.trim(title), F.lit("")) == "", name).otherwise(F.concat_ws(" — ", title, F.when(F.trim(heading) != "", heading)))

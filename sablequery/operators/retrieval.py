@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from ..functions.text import SHORT_TERMS, overlap_tokens, query_token
+from ..functions.text import SHORT_TERMS, document_hint, overlap_tokens, query_token
 
 #: BM25 weights of the indexed columns.
 WEIGHTS = {"chunk_id": 0.0, "source_path": 8.0, "title": 10.0, "category": 0.5, "heading_path": 5.0, "text": 1.0, "generated_queries": 0.5}
@@ -248,3 +248,56 @@ def retrieval_quality(results: DataFrame, relevant: DataFrame, k: int = 10) -> D
     wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("wanted"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return wanted.join(found, "query_id", "left").na.fill(0).select("query_id", "hit", (F.col("got") / F.col("wanted")).alias("recall"), "reciprocal_rank", (F.col("dcg") / ideal).alias("ndcg"))
+
+
+def find_documents(docs: DataFrame, name: str) -> DataFrame:
+    """Documents of a name: the file itself, a file at the end of a path, or a title that starts with it. _ matches any sign."""
+    key = name.upper().removesuffix(".HTML").replace(" ", "_")
+    path = F.upper("source_path")
+    return docs.where((path == f"{key}.HTML") | path.like(f"%/{key}.HTML") | F.upper("title").like(f"{key} - %"))
+
+
+def named_section(chunks: DataFrame, docs: DataFrame, name: str, section: str, limit: int = 10) -> DataFrame:
+    """Chunks of a document's section, in page order."""
+    own = chunks.join(find_documents(docs, name).select("doc_id"), "doc_id", "left_semi")
+    return own.where(F.lower("heading_path").contains(section.lower())).orderBy("chunk_index", "chunk_id").limit(limit)
+
+
+def of_category(hits: DataFrame, chunks: DataFrame, category: str, k: int) -> DataFrame:
+    """Ranked hits of one category only, ranked anew; ask for three times as many hits as needed."""
+    own = hits.join(chunks.where(F.col("category") == category).select("chunk_id"), "chunk_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return own.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def search(questions: DataFrame, chunks: DataFrame, posted: DataFrame, k: int, *, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, relationships: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts for questions (query_id, question): ranked chunks, and neighbours of their documents if keys are given.
+
+    Lexical: selected tokens, weighted scores, named documents first, a pool four times k made diverse. With vectors,
+    both arms give twice k and are fused. k is held between 1 and 25.
+    """
+    k = max(1, min(k, MOST_RESULTS))
+    depth = k * HYBRID_DEPTH if vectors is not None else k
+    asked = asked_tokens(questions)
+    kept = select_tokens(asked, token_volumes(asked, posted, vocabulary(posted)))
+    words = kept.select("query_id", "token", F.element_at(index_tokens("token"), 1).alias("word"), "exact")
+    hints = questions.select("query_id", document_hint(F.col("question")).alias("hint"))
+    scored = with_hint(bm25(term_hits(posted, words), chunk_sizes(posted)), chunks, hints)
+    pool = ranked(scored, depth * POOL, F.col("document_rank").asc(), F.col("score").asc())
+    lexical = diverse(pool, depth, exempt=F.upper("source_path") == F.col("hint"))
+    best = lexical if vectors is None else fuse(lexical, dense_top(vectors, vector_queries, depth), k=k)
+    found = hydrate(best.select("query_id", "chunk_id", "rank"), chunks, strict=False)
+    if relationships is None:
+        return found, None
+    seeds = found.groupBy("query_id", "doc_id").agg(F.min("rank").alias("seed_rank"))
+    return found, expand_one_hop(seeds.join(questions, "query_id"), relationships, F.col("question"))
+
+
+def column_summary(evidence: DataFrame) -> DataFrame:
+    """Per table: its safe and its identifier columns, each with its type in parentheses, in order of name."""
+    named = evidence.withColumn("shown", F.when(F.col("data_type").isNull(), F.col("column")).otherwise(F.concat("column", F.lit(" ("), "data_type", F.lit(")"))))
+
+    def listed(safety: str) -> F.Column:
+        return F.array_join(F.array_sort(F.collect_list(F.when(F.col("safety") == safety, F.col("shown")))), ", ")
+
+    return named.groupBy("table").agg(listed("safe_aggregate").alias("aggregate_safe"), listed("identifier").alias("identifiers"))

@@ -64,3 +64,17 @@ def report_markdown(summary: DataFrame, title: str) -> str:
     rows = [[str(round(v, 2)) if isinstance(v, float) else str(v) for v in r] for r in summary.limit(1000).collect()]
     lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
     return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in rows]) + "\n"
+
+
+def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """position, chunk_id, embedding. Every position and chunk stands once, without gaps; the stored model must be the one asked for."""
+    frame = spark.read.parquet(path)
+    missing = {"position", "chunk_id", "embedding"} - set(frame.columns)
+    if missing:
+        raise ValueError(f"vector index lacks {sorted(missing)}")
+    n = frame.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("p"), F.count_distinct("chunk_id").alias("c"), F.coalesce(F.max("position") + 1, F.lit(0)).alias("m"), F.count_distinct(F.size("embedding")).alias("d")).first()
+    if not n["n"] == n["p"] == n["c"] == n["m"] or n["d"] > 1:
+        raise ValueError("vectors and mapping don't match")
+    if model is not None and frame.where(F.coalesce("model", F.lit("")) != model).limit(1).count():
+        raise ValueError(f"vectors are not of model {model}")
+    return frame

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fields that every trace line may have; the whole line is kept beside them, since payloads are open.
 TRACE = "ts double, seq long, run_id string, event string, domain string"
@@ -85,3 +87,18 @@ def read_expansions_leniently(spark: SparkSession, path: str) -> DataFrame:
     """Like :func:`read_expansions`, but blank lines are skipped and the last of repeated ids counts."""
     rows = numbered_lines(spark, path).select("file", "line_no", F.from_json("line", CORPUS).alias("r")).where("r.chunk_id is not null")
     return rows.groupBy("r.chunk_id").agg(F.max_by(F.array_join("r.generated_queries", "\n"), F.struct("file", "line_no")).alias("queries"))
+
+
+def append_traces(events: DataFrame, path: str, redacted: Column) -> None:
+    """Append ts, run_id, event and the redacted payload as JSON. seq continues each run's numbers from what is there."""
+    spark = events.sparkSession
+    try:
+        before = spark.read.json(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("__before"))
+    except AnalysisException:  # nothing there yet
+        before = spark.createDataFrame([], "run_id string, __before long")
+    order = Window.partitionBy("run_id").orderBy("ts", "event")
+    numbered = events.join(before, "run_id", "left").withColumn("seq", F.coalesce("__before", F.lit(0)) + F.row_number().over(order) - 1)
+    bad = numbered.where("ts is null or ts < 0 or coalesce(run_id, '') = '' or coalesce(event, '') = ''")
+    if bad.limit(1).count():
+        raise ValueError("events break the trace contract")
+    numbered.select("ts", "seq", "run_id", "event", redacted.alias("payload"), F.col("run_id").alias("run")).write.mode("append").partitionBy("run").json(path)

@@ -72,6 +72,11 @@ def test_index_relations(spark, tmp_path):
     assert len(keys) == 2 and all(k["evidence_chunk_id"] for k in keys)
     records = {r["source_path"]: r["fault"] for r in D.metadata_records(back["docs"], back["chunks"]).collect()}
     assert records == {"VISITS.html": None, "sub/PEOPLE.html": "no_metadata"}
+    report = {r["outcome"]: (r["documents"], r["paths"]) for r in D.extraction_report(D.metadata_records(back["docs"], back["chunks"])).collect()}
+    assert report["no_metadata"] == (1, ["sub/PEOPLE.html"]) and sum(n for n, _ in report.values()) == 2
+    assert D.repeated_ids(back["chunks"]).count() == 0 and D.record_faults(back["chunks"]).count() == 0
+    version = D.index_version(back["chunks"])
+    assert version == D.index_version(back["chunks"].repartition(3)) and version != D.index_version(back["chunks"].limit(1))
     chunk = back["chunks"].first()["chunk_id"]
     more = D.with_expansions(back["chunks"], spark.createDataFrame([(chunk, "q1\nq2")], "chunk_id string, queries string"))
     assert more.where("generated_queries is not null").count() == 1

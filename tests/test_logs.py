@@ -112,3 +112,20 @@ def test_registry_and_redaction(spark):
     assert logged["list"][0]["sql"]["digest"].startswith("hmac-sha256:")
     assert viewed["Patient-Name"] == "[REDACTED]" and viewed["ok"] == {"my_token": "[REDACTED]"} and viewed["question"] == "q"
     assert row[1]["a"] is None and row[2]["b"] is None
+
+
+def test_appended_traces_are_numbered_and_redacted(spark, tmp_path):
+    import pytest
+
+    from sablequery.operators import traces as T
+
+    path = str(tmp_path / "traces")
+    rows = [("r", 1.0, "a", '{"sql": "x"}'), ("r", 2.0, "b", "{}"), ("s", 1.0, "a", "{}")]
+    frame = spark.createDataFrame(rows, "run_id string, ts double, event string, payload string")
+    jsonl.append_traces(frame, path, T.log_payload("payload", b"k"))
+    jsonl.append_traces(frame.where("run_id = 'r'"), path, T.log_payload("payload", b"k"))
+    back = spark.read.json(path).collect()
+    assert sorted((r["run_id"], r["seq"]) for r in back) == [("r", 0), ("r", 1), ("r", 2), ("r", 3), ("s", 0)]
+    assert all('"x"' not in r["payload"] for r in back)
+    with pytest.raises(ValueError):
+        jsonl.append_traces(frame.selectExpr("run_id", "-1d as ts", "event", "payload"), path, T.log_payload("payload", b"k"))

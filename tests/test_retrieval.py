@@ -104,6 +104,47 @@ def test_expansion_takes_the_best_edge(spark):
     assert asked == [("B", "r2"), ("C", "r3")]
 
 
+def test_search_end_to_end(spark):
+    chunks = frames(spark).selectExpr("*", "upper(substring_index(source_path, '/', -1)) as doc_id", "0 as chunk_index")
+    posted = R.postings(frames(spark))
+    questions = spark.createDataFrame([(1, "what does the status column of the ORDERS table mean"), (2, "cafes")], "query_id int, question string")
+    found, none = R.search(questions, chunks, posted, 2)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert none is None and set(got[1]) <= {"c2", "c3"} and got[1][0] == "c3" and "c4" in got[2]
+    edges = spark.createDataFrame([("r1", "ORDERS.HTML", "PAT_ENC.HTML", "ORDERS", "PAT_ENC", "ENC_ID", "ID", 1)], "relationship_id string, source_doc_id string, target_doc_id string, source_table string, target_table string, source_column string, target_column string, ordinal int")
+    vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "query_id int, query array<float>")
+    both, near = R.search(questions, chunks, posted, 2, vectors=vectors, vector_queries=asked, relationships=edges)
+    assert both.where("query_id = 1 and chunk_id = 'c2'").count() == 1
+    assert {(r["query_id"], r["neighbour"]) for r in near.collect()} == {(2, "ORDERS.HTML")}  # query 1 has both documents already
+
+
+def test_lookups(spark):
+    docs = spark.createDataFrame([("d1", "enc/PAT_ENC.html", "PAT_ENC - Encounters"), ("d2", "ORDERS.html", "Orders"), ("d3", "x.html", "ORDERS - old")], "doc_id string, source_path string, title string")
+    assert {r["doc_id"] for r in R.find_documents(docs, "orders").collect()} == {"d2", "d3"}
+    assert {r["doc_id"] for r in R.find_documents(docs, "pat enc").collect()} == {"d1"}
+    chunks = spark.createDataFrame([("d1", "c1", 1, "PAT_ENC > Primary Key", "k"), ("d1", "c0", 0, "PAT_ENC > Primary Key", "k"), ("d1", "c2", 2, "PAT_ENC > Other", "column_info")], "doc_id string, chunk_id string, chunk_index int, heading_path string, category string")
+    assert [r["chunk_id"] for r in R.named_section(chunks, docs, "PAT_ENC", "primary key").collect()] == ["c0", "c1"]
+    hits = spark.createDataFrame([(1, "c0", 1), (1, "c2", 2)], "query_id int, chunk_id string, rank int")
+    assert [(r["chunk_id"], r["rank"]) for r in R.of_category(hits, chunks, "column_info", 5).collect()] == [("c2", 1)]
+    evidence = spark.createDataFrame([("T", "B", "DATE", "safe_aggregate"), ("T", "A", None, "safe_aggregate"), ("T", "K", "INT64", "identifier"), ("T", "S", None, "sensitive")], "table string, column string, data_type string, safety string")
+    assert tuple(R.column_summary(evidence).first()) == ("T", "A, B (DATE)", "K (INT64)")
+
+
+def test_vector_index_is_checked(spark, tmp_path):
+    from sablequery.sources import artifacts
+
+    good = spark.createDataFrame([(0, "a", [1.0], "m"), (1, "b", [0.5], "m")], "position int, chunk_id string, embedding array<float>, model string")
+    good.write.parquet(str(tmp_path / "good"))
+    assert artifacts.read_vectors(spark, str(tmp_path / "good"), "m").count() == 2
+    good.where("position = 1").write.parquet(str(tmp_path / "gap"))
+    for path, model in (("good", "other"), ("gap", None)):
+        with pytest.raises(ValueError):
+            artifacts.read_vectors(spark, str(tmp_path / path), model)
+
+
 def test_quality_and_unit_vectors(spark):
     results = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "query_id int, chunk_id string, rank int")
     relevant = spark.createDataFrame([(1, "b"), (1, "z"), (2, "q"), (3, "q")], "query_id int, chunk_id string")
