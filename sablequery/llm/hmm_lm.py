@@ -263,11 +263,11 @@ def baum_welch_round(train: DataFrame, model: Model, unigram: np.ndarray) -> tup
                 total[size + 1 : -1] += moves
                 total[-1, 0] += logs
         used = np.flatnonzero(total.any(axis=1))
-        yield pa.record_batch({"k": pa.array(used, pa.int64())} | {f"s{i}": pa.array(total[used, i]) for i in range(states)})
+        yield pa.record_batch({"k": pa.array(used, pa.int32())} | {f"s{i}": pa.array(total[used, i].astype("float32")) for i in range(states)})
 
     names = [f"s{i}" for i in range(states)]
-    kinds = ", ".join(f"{n} double" for n in names)
-    summed = train.select("symbols").mapInArrow(expect, f"k long, {kinds}").groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    kinds = ", ".join(f"{n} float" for n in names)  # sums are doubles
+    summed = train.select("symbols").mapInArrow(expect, f"k int, {kinds}").groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     total = np.zeros((size + 2 + states, states))
     total[summed["k"].to_numpy()] = np.stack([summed[n].to_numpy() for n in names], axis=1)
     return next_model(total[size], total[size + 1 : -1], total[:size], unigram), float(total[-1, 0])
