@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path
+from .common import fresh_path, stored
 
 SEQUENCE_LENGTH = 2048
 SEQUENCES_A_BATCH = 64
@@ -236,6 +236,5 @@ def read_documents(manifest: DataFrame, files: int) -> DataFrame:
 
 def encode_and_read_back(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, length: int = SEQUENCE_LENGTH) -> DataFrame:
     folder = _uri(spark, fresh_path(spark, "token-ids"))
-    manifest = write_ids(docs, folder, tokenizer_path, length=length)
-    rows = manifest.collect()  # one small row per file
-    return read_documents(spark.createDataFrame(rows, manifest.schema), max(len(rows), 1))
+    manifest = stored(write_ids(docs, folder, tokenizer_path, length=length), "token-manifest")
+    return read_documents(manifest, max(manifest.count(), 1))
