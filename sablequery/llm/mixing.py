@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from .common import stored
 
 BLOCK_TOKENS = 262_144
+#: Block decisions are broadcast up to this number of blocks (some 50 bytes each), else joined by shuffle.
+BROADCAST_BLOCKS = 500_000
 HALVINGS_A_JOB = 6
 JOBS = 5
 
@@ -122,12 +124,13 @@ def draw_plan(slim: DataFrame, weights: DataFrame, *, seed: int = 17, block_toke
     inside = Window.partitionBy("__source", "block").orderBy("__key")  # equal keys count together
     fitting = numbered.join(edge, ["__source", "block"]).withColumn("__sum", F.col("__before") + F.sum("n_tokens").over(inside))
     upto = fitting.where(F.col("__sum") <= F.col("__left")).groupBy("__source", "block").agg(F.max("__key").alias("__upto"))
-    return plan, blocks.join(upto, ["__source", "block"], "left").select("__source", "block", "__state", "__upto")
+    return plan, stored(blocks.join(upto, ["__source", "block"], "left").select("__source", "block", "__state", "__upto"), "mix-decisions")
 
 
 def realise(docs: DataFrame, plan: DataFrame, blocks: DataFrame, *, seed: int = 17) -> DataFrame:
     """``docs`` plus weight, epochs, block and copies: how often the mix holds the row."""
-    placed = _numbered(docs, plan, seed).join(blocks, ["__source", "block"])
+    few = blocks.count() <= BROADCAST_BLOCKS
+    placed = _numbered(docs, plan, seed).join(F.broadcast(blocks) if few else blocks, ["__source", "block"])
     extra = (F.col("__state") == "in") | ((F.col("__state") == "edge") & F.coalesce(F.col("__key") <= F.col("__upto"), F.lit(False)))
     return placed.withColumn("copies", F.col("__whole") + extra.cast("int")).drop("__source", "__whole", "__blocks", "__left", "__key", "__state", "__upto")
 
