@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One is made only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        found = _own[application]
     return found.rstrip("/")
 
 
@@ -43,8 +48,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def drop_stored(df: DataFrame) -> None:
     """Delete the folder behind a table from :func:`stored`, once nothing reads it any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", "hdfs:")) or "://" in folder:
-            delete_path(df.sparkSession, folder)
+        delete_path(df.sparkSession, folder)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
