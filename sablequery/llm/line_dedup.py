@@ -3,58 +3,89 @@
 A line is the set of its words. A line goes if an earlier line (by doc_id, then line number) has a Jaccard similarity of
 THRESHOLD or more. The join follows prefix filtering: words are ordered by rarity, and two sets that similar share a
 word among the first n - ceil(t n) + 1 of each. Sizes and the places of the shared word bound the overlap that is still
-possible (length and positional filters); what passes is verified on the whole sets.
+possible (length and positional filters), a parity signature bounds the symmetric difference, and what passes is
+verified on the words themselves.
 
 Rarity is the level of the word's count in a table of RARITY_CELLS cells addressed by hash: an estimate of fixed size
-that needs no join of all words with their counts, while any fixed order keeps the join exact.
+that needs no join of all words with their counts, while any fixed order keeps the join exact. Shared words are found by
+a 32-bit part of their hashes; a collision only adds a candidate.
 
 Bounded work for groups of copies: equal sets are grouped first and only their first line goes on. Then each set is
-verified against the first set that shares each of its prefix words, one row per word instead of all pairs; sets that
-find an earlier match this way are done. Only the others are joined with all earlier sets. Words are 64-bit hashes
-throughout, and all steps are DataFrame and SQL functions.
+verified against the first and the preceding set that share one of its prefix words, instead of all pairs; sets that
+find an earlier match this way are done. Only the others are joined with all earlier sets, and of those pairs only such
+with enough common prefix words are verified; that join reads a table bucketed by word, so prefix words are shuffled
+once. All steps are DataFrame and SQL functions.
 
 Defined cases: null text is one empty line; lines without words never match and stay; rows of the same doc_id and text
-are one document and share its result, rows of the same doc_id and other text are ordered by a hash of the text.
+are one document and share its result, rows of the same doc_id and other text are ordered by a hash of the text. Sets
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
 THRESHOLD = 0.8
-RARITY_CELLS = 1 << 16
-BROADCAST_LINES = 1_000_000
-WHITE = r"[\x20\x09-\x0D]+"
+#: Cells of four bits, sixteen to a number.
+RARITY_CELLS = 1 << 18
+#: Documents named by candidates or removals are broadcast up to this number, else joined by shuffle.
+BROADCAST_DOCUMENTS = 1_000_000
+WHITE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def _text() -> F.Column:
     return F.coalesce("text", F.lit(""))
 
 
+def _document() -> list[F.Column]:
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key"), F.xxhash64(_text()).alias("th")]
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), line_no, line."""
-    split = F.posexplode(F.split(_text(), "\n")).alias("line_no", "line")
-    return docs.select("doc_id", F.xxhash64(_text()).alias("th"), split)
+    split = docs.select("doc_id", F.xxhash64(_text()).alias("th"), F.split(_text(), "\n").alias("lines"))
+    return split.select("doc_id", "th", F.posexplode("lines").alias("line_no", "line"))
 
 
-def word_set(line: str = "line") -> F.Column:
-    """Distinct hashes of the lower-cased words of a line."""
-    words = F.filter(F.split(F.lower(line), WHITE), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def line_words(line: F.Column) -> F.Column:
+    """The lower-cased words of a line. Splitting at single spaces is cheaper than at runs of any white space."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\v") | line.contains("\f")
+    return F.array_remove(F.when(odd, F.split(F.lower(line), WHITE)).otherwise(F.split(F.lower(line), " ")), "")
 
 
 def _cell(word: F.Column) -> F.Column:
-    return F.pmod(word, F.lit(RARITY_CELLS)).cast("int")
+    return word.bitwiseAND(RARITY_CELLS - 1).cast("int")
+
+
+def _shift(number: F.Column, bits: F.Column, to: str = "left") -> F.Column:
+    return F.call_function(f"shift{to}", number, bits)
 
 
-def rarity(lines: DataFrame) -> F.Column:
-    """The level (four steps to a doubling) of the word count of every cell, as one constant array of fixed size."""
-    counted = lines.select(F.explode("words").alias("w")).groupBy(_cell(F.col("w")).alias("cell")).count()
-    levels = dict(counted.select("cell", F.floor(F.log2(F.col("count") + 1) * 4).cast("int").alias("level")).collect())
-    return F.split(F.lit(",".join(str(levels.get(k, 0)) for k in range(RARITY_CELLS))), ",").cast("array<int>")
+def rarity(docs: DataFrame) -> F.Column:
+    """The level of each cell's word count as a constant array of fixed size, sixteen cells to a number.
+
+    A level is a doubling, 0 to 15 above the least. Words are counted as they stand between spaces: cheap and near enough.
+    """
+    words = docs.select(F.explode(F.split(_text(), " ")).alias("w"))
+    counted = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count().select("cell", F.floor(F.log2(F.col("count") + 1)).alias("level"))
+    counted = stored(counted, "line-rarity")
+    least = counted.agg(F.coalesce(F.min("level"), F.lit(0))).first()[0]
+    level = F.least(F.col("level") - F.lit(least), F.lit(15)).cast("bigint")
+    packed = counted.groupBy((F.col("cell") / 16).cast("int").alias("at")).agg(F.bit_xor(_shift(level, ((F.col("cell") % 16) * 4).cast("int"))).alias("levels"))
+    found = dict(packed.collect())  # a row for each sixteen cells
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(RARITY_CELLS // 16))), ",").cast("array<bigint>")
+
+
+def _level(cells: F.Column, word: F.Column) -> F.Column:
+    """Of the word's cell, 0 to 15."""
+    cell = _cell(word)
+    return _shift(F.get(cells, F.shiftright(cell, 4)), F.shiftleft(cell.bitwiseAND(15), 2), "right").bitwiseAND(15)
 
 
 def prefix_size(n: F.Column, threshold: float) -> F.Column:
@@ -62,77 +93,128 @@ def prefix_size(n: F.Column, threshold: float) -> F.Column:
 
 
 def distinct_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Stored: every line with words (doc_id, th, line_no, sid), and every distinct set (sid, first, n, prefix).
+    """Stored: every line with words (doc_id, th, line_no, sid), and every distinct set (id, sid, first, n, sig, prefix).
 
-    sid is a hash of the sorted set; prefix holds the set's rarest words, in order.
+    sid is a hash of the set, id a number in the order of the sets' first lines, prefix the set's rarest words in order.
     """
-    worded = document_lines(docs).withColumn("words", word_set()).where(F.size("words") > 0)
-    cells = rarity(worded)
-    ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(cells, _cell(w) + 1).alias("r"), w.alias("w")))), lambda x: x["w"])
+    cells = rarity(docs)
+    hashes = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    # four bits of rarity above 59 of the hash: sorting by it is sorting by rarity
+    ranked = F.transform(hashes, lambda h: F.shiftleft(_level(cells, h), 59).bitwiseOR(h.bitwiseAND((1 << 59) - 1)))
+    # a filter on the words themselves would be pushed down and make them twice
+    worded = document_lines(docs).where(F.col("line").rlike(WORD)).select("doc_id", "th", "line_no", F.sort_array(ranked).alias("words"))
+    one = F.lit(1).cast("bigint")
+    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(_shift(one, F.shiftright(h, 32).cast("int"))))  # shifts count modulo 64
     n = F.size("words")
-    lines = worded.select("doc_id", "th", "line_no", F.xxhash64(F.array_sort("words")).alias("sid"), n.alias("n"), F.slice(ordered, 1, prefix_size(n, threshold)).alias("prefix"))
-    lines = stored(lines, "lines")
+    prefix = F.transform(F.slice("words", 1, prefix_size(n, threshold)), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    lines = stored(worded.select("doc_id", "th", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), parity.alias("sig"), prefix.alias("prefix")), "lines")
     first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
-    sets = lines.groupBy("sid").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return lines.drop("n", "prefix"), stored(sets, "line-sets")
+    sets = lines.groupBy("sid").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    ordered = sets.repartitionByRange("first").sortWithinPartitions("first")
+    return lines.select("doc_id", "th", "line_no", "sid"), stored(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
+
 
+def _need(n: F.Column, m: F.Column, threshold: float) -> F.Column:
+    """Common words that sets of n and m words must have."""
+    return F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
-def _possible(a_n: str, a_at: str, b_n: str, b_at: str, threshold: float) -> F.Column:
-    """Length filter, and positional filter with places counted from 0."""
-    small, big = F.least(a_n, b_n), F.greatest(a_n, b_n)
-    need = F.ceil((F.col(a_n) + F.col(b_n)) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    return (small >= big * F.lit(threshold) - 1e-9) & (F.least(F.col(a_n) - F.col(a_at), F.col(b_n) - F.col(b_at)) >= need)
 
+def _alike(other: str, threshold: float) -> F.Column:
+    """Length and signature filters between a row's set and its ``other``."""
+    n, m = F.col("n"), F.col(f"{other}.n")
+    differing = F.bit_count(F.col("sig").bitwiseXOR(F.col(f"{other}.sig")))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9) & (differing <= (n + m) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, x_first, y, y_first) whose sets have the similarity; the sets are read again from their lines."""
-    pairs = stored(pairs.distinct(), "line-pairs")
-    ends = pairs.select(F.col("x").alias("sid"), F.col("x_first").alias("first")).unionByName(pairs.select(F.col("y").alias("sid"), F.col("y_first").alias("first"))).distinct()
-    places = stored(ends.select("sid", "first.*"), "line-places")
-    if places.count() <= BROADCAST_LINES:
-        places = F.broadcast(places)
-    lines = document_lines(docs)
-    same = lines["doc_id"].eqNullSafe(places["doc_id"]) & (lines["th"] == places["th"]) & (lines["line_no"] == places["line_no"])
-    sets = stored(lines.join(places, same).select("sid", word_set().alias("words")).dropDuplicates(["sid"]), "line-words")
-    both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("words").alias("x_words")), "x").join(sets.select(F.col("sid").alias("y"), F.col("words").alias("y_words")), "y")
-    common = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(common >= (F.size("x_words") + F.size("y_words") - common) * F.lit(threshold) - 1e-9).select("x", "y")
+
+def _possible(other: str, threshold: float) -> F.Column:
+    """These and the positional filter; places count from 0."""
+    n, m = F.col("n"), F.col(f"{other}.n")
+    return _alike(other, threshold) & (F.least(n - F.col("at"), m - F.col(f"{other}.at")) >= _need(n, m, threshold))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y: ids) that have the similarity. Only the lines of these pairs are read again."""
+    x, y = (sets.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first")) for k in "xy")
+    kept = stored(pairs.distinct().join(x, "x").join(y, "y").select("x", "y", "x_first", "y_first"), "line-pairs")
+    ends = kept.select(F.col("x").alias("id"), F.col("x_first").alias("first")).unionByName(kept.select(F.col("y").alias("id"), F.col("y_first").alias("first"))).distinct()
+    key = F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("doc_key")
+    wanted = stored(ends.groupBy(key, F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "id")).alias("wanted")), "line-places")
+    texts = docs.select(*_document(), _text().alias("text")).join(_small(wanted), ["doc_key", "th"])
+    one = texts.select(F.explode("wanted").alias("p"), F.split("text", "\n").alias("lines")).select("p.id", F.get("lines", F.col("p.line_no")).alias("line"))
+    words = stored(one.groupBy("id").agg(F.first("line").alias("line")), "line-words")
+    both = kept.select("x", "y").join(words.select(F.col("id").alias("x"), F.col("line").alias("x_line")), "x").join(words.select(F.col("id").alias("y"), F.col("line").alias("y_line")), "y")
+    sets_of = F.struct(F.array_distinct(line_words(F.col("x_line"))).alias("a"), F.array_distinct(line_words(F.col("y_line"))).alias("b"))
+    # one element, so that the word sets are made once though the condition names them twice
+    similar = F.transform(F.array(sets_of), lambda p: F.size(F.array_intersect(p["a"], p["b"])) >= _need(F.size(p["a"]), F.size(p["b"]), threshold))
+    return both.where(F.element_at(similar, 1)).select("x", "y")
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    return F.broadcast(frame) if frame.count() <= BROADCAST_DOCUMENTS else frame
+
+
+def _shared_words(sets: DataFrame, threshold: float) -> str:
+    """A table bucketed by prefix word: every set with a word that another set has, and its first candidates.
+
+    lead and before: ids of the first and the preceding set with the word, if the filters leave them possible.
+    """
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = sets.select("id", F.col("n").cast("int").alias("n"), "sig", F.posexplode("prefix").alias("at", "w")).repartition(parts, "w")
+    own = F.struct("id", "n", "at", "sig")
+    order = Window.partitionBy("w").orderBy("id")
+    met = words.withColumns({"lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(own).over(order), "followed": F.lead("id").over(order).isNotNull()})
+    near = F.col("before").isNotNull()
+    kept = met.where(near | F.col("followed")).select("w", "id", "n", "at", "sig", *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
+    name = f"line_shared_{uuid.uuid4().hex}"
+    kept.write.format("parquet").option("compression", "zstd").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
+    return name
 
 
 def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """sid of every set that an earlier set (by first line) matches."""
-    words = sets.select("sid", "first", "n", F.posexplode("prefix").alias("at", "w"))
-    met = words.groupBy("w").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("first", "sid", "n", "at")).alias("lead")).where("size > 1")
-    shared = stored(words.join(met, "w"), "line-shared")
-    lead = shared.select(F.col("sid").alias("x"), F.col("first").alias("x_first"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("lead.sid").alias("y"), F.col("lead.first").alias("y_first"), F.col("lead.n").alias("yn"), F.col("lead.at").alias("yat"))
-    near = lead.where((F.col("x") != F.col("y")) & _possible("xn", "xat", "yn", "yat", threshold)).select("x", "x_first", "y", "y_first")
-    done = stored(verified(near, docs, threshold).select("x").distinct(), "line-done")
-    slim = shared.select("w", "sid", "first", "n", "at")
-    rest = slim.join(done, slim["sid"] == done["x"], "left_anti")
-    x = rest.select("w", F.col("sid").alias("x"), F.col("first").alias("x_first"), F.col("n").alias("xn"), F.col("at").alias("xat"))
-    y = slim.select("w", F.col("sid").alias("y"), F.col("first").alias("y_first"), F.col("n").alias("yn"), F.col("at").alias("yat"))
-    later = x.join(y, "w").where((F.col("y_first") < F.col("x_first")) & _possible("xn", "xat", "yn", "yat", threshold)).select("x", "x_first", "y", "y_first")
-    return done.unionByName(verified(later, docs, threshold).select("x").distinct()).distinct().withColumnRenamed("x", "sid")
+    """id of every set that an earlier set matches; stored."""
+    spark = sets.sparkSession
+    name = _shared_words(sets, threshold)
+    shared = spark.table(name)
+    tried = stored(shared.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("lead", "before"))).alias("y")).distinct(), "line-tried")
+    done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
+    slim = shared.select("w", "id", "n", "at", "sig")
+    rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", "at", "sig")
+    earlier = slim.select("w", F.struct("id", "n", "at", "sig").alias("y"))
+    met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _alike("y", threshold))
+    counted = met.groupBy("x", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("y.n").alias("m"))
+    # of the set whose prefix ends earlier, words after the prefix are all that may be common besides those counted
+    n, m = F.col("n"), F.col("m")
+    most = F.col("c") + F.greatest(n - prefix_size(n, threshold), m - prefix_size(m, threshold))
+    later = counted.where(most >= _need(n, m, threshold)).select("x", "y")
+    found = verified(later.join(tried, ["x", "y"], "left_anti"), sets, docs, threshold).select("x")
+    every = stored(done.unionByName(found).distinct().withColumnRenamed("x", "id"), "line-matched")
+    spark.sql(f"DROP TABLE {name}")
+    return every
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th, line_no of every line that goes."""
     lines, sets = distinct_sets(docs, threshold)
     gone = matched_sets(sets, docs, threshold).withColumn("gone", F.lit(True))
-    known = sets.select("sid", "first").join(gone, "sid", "left")
+    known = sets.select("id", "sid", "first").join(gone, "id", "left").drop("id")
     marked = lines.join(known, "sid")
     itself = F.struct("doc_id", "th", "line_no")
-    return marked.where(F.col("gone") | (itself != F.col("first"))).select("doc_id", "th", "line_no")
+    return marked.where(F.col("gone") | ~itself.eqNullSafe(F.col("first"))).select("doc_id", "th", "line_no")
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` plus removed_lines (numbers from 0); text is what is left, null where it was null."""
-    taken = removed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")).withColumnRenamed("doc_id", "__doc")
-    own = docs.drop("removed_lines").withColumn("__th", F.xxhash64(_text()))
-    joined = own.join(taken, own["doc_id"].eqNullSafe(taken["__doc"]) & (own["__th"] == taken["th"]), "left")
+    key, _ = _document()
+    taken = removed.groupBy(key.alias("__key"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    taken = stored(taken, "line-removed")
+    names = [c for c in docs.columns if c != "removed_lines"]
+    own = docs.select(*names, *[c.alias(n) for c, n in zip(_document(), ("__key", "__th"), strict=True)])
+    joined = own.join(_small(taken), ["__key", "__th"], "left")
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    parts = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(gone, at))
-    return joined.withColumns({"text": F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(parts, "\n")), "removed_lines": gone}).drop("__doc", "__th", "th")
+    parts = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(F.col("removed_lines"), at))
+    left = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(parts, "\n"))
+    return joined.select(*[left.alias(n) if n == "text" else F.col(n) for n in names], gone.alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
