@@ -40,7 +40,7 @@ BUCKETS = 256
 ROUNDS = 5
 STAY = 0.9
 PRIOR, PRIOR_SHARE = 50.0, 0.01
-TOKENS_A_CHUNK = 1 << 20
+TOKENS_A_CHUNK = 3 << 18
 WORDS_HELD = 300_000
 #: The end token in the table of counts; words hold no white space.
 END = b"\n"
@@ -178,30 +178,17 @@ class Lattice:
         return Lattice(order, edges, symbols[starts[order][rank] + position], edges[position[later] - 1] + rank[later])
 
 
-def forward(model: Model, lattice: Lattice, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion: state probabilities and scale of each token, and the tokens' emission rows."""
-    rows = model.emit.astype(kind)[lattice.symbols]
-    alpha, scale = np.empty_like(rows), np.empty(len(rows), kind)
-    move, edges = model.move.astype(kind), lattice.edges
-    now = np.broadcast_to(model.start.astype(kind), (edges[1], len(model.start)))
-    for t in range(len(edges) - 1):
-        low, high = edges[t], edges[t + 1]
-        now = now[: high - low] * rows[low:high]
-        total = now.sum(axis=1)
-        now /= total[:, None]
-        alpha[low:high], scale[low:high] = now, total
-        now = now @ move
-    return alpha, scale, rows
-
-
 def log10_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of each document, exactly: the sum of the logarithms of its scales."""
+    """Of each document, exactly: the scaled forward recursion; the logarithms of the scales add up."""
     lattice = Lattice.of(symbols, lengths)
-    _, scale, _ = forward(model, lattice)
-    edges, logs = lattice.edges, np.log10(scale)
-    sums = np.zeros(len(lengths))
+    edges, sums = lattice.edges, np.zeros(len(lengths))
+    now = np.broadcast_to(model.start, (edges[1], len(model.start)))
     for t in range(len(edges) - 1):
-        sums[: edges[t + 1] - edges[t]] += logs[edges[t] : edges[t + 1]]
+        own = lattice.symbols[edges[t] : edges[t + 1]]
+        now = now[: len(own)] * model.emit[own]
+        total = now.sum(axis=1)
+        sums[: len(own)] += np.log10(total)
+        now = (now / total[:, None]) @ model.move
     out = np.empty_like(sums)
     out[lattice.order] = sums
     return out
@@ -210,19 +197,27 @@ def log10_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray) ->
 def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch: expected starts, transitions and emissions, and the natural log-likelihood."""
     lattice = Lattice.of(symbols, lengths)
-    alpha, scale, rows = forward(model, lattice, np.float32)
-    move, edges = model.move.astype(np.float32), lattice.edges
-    beta = np.ones_like(alpha)
-    weighed = np.empty_like(alpha)  # emission * beta / scale, of each token
+    edges, move = lattice.edges, model.move.astype(np.float32)
+    rows = model.emit.astype(np.float32)[lattice.symbols]
+    alpha, scale = np.empty_like(rows), np.empty(len(rows), np.float32)
+    now = np.broadcast_to(model.start.astype(np.float32), (edges[1], len(model.start)))
+    for t in range(len(edges) - 1):
+        low, high = edges[t], edges[t + 1]
+        now = now[: high - low] * rows[low:high]
+        total = now.sum(axis=1)
+        now /= total[:, None]
+        alpha[low:high], scale[low:high] = now, total
+        now = now @ move
+    beta, weighed = np.ones_like(alpha), rows  # emissions become emission * beta / scale of each token
     for t in range(len(edges) - 2, -1, -1):
         low, high = edges[t], edges[t + 1]
         if t < len(edges) - 2:
             later = weighed[high : edges[t + 2]]
             beta[low : low + len(later)] = later @ move.T
-        weighed[low:high] = rows[low:high] * beta[low:high] / scale[low:high, None]
-    gamma = alpha * beta
+        weighed[low:high] *= beta[low:high] / scale[low:high, None]
     first = edges[1]
     moves = model.move * (alpha[lattice.before].T @ weighed[first:]).astype(float)
+    gamma = np.multiply(alpha, beta, out=beta)
     emissions = np.stack([np.bincount(lattice.symbols, g, len(model.emit)) for g in gamma.T], axis=1)
     return gamma[:first].sum(axis=0, dtype=float), moves, emissions, float(np.log(scale.astype(float)).sum())
 
