@@ -3,7 +3,7 @@
 A line is the set of its words. A line goes if an earlier line (by doc_id, then line number) has a Jaccard similarity of
 THRESHOLD or more. The join follows prefix filtering: words are ordered by rarity, and two sets that similar share a
 word among the first n - ceil(t n) + 1 of each. Sizes and the places of the shared word bound the overlap that is still
-possible (length and positional filters), a parity signature bounds the symmetric difference, and what passes is
+possible (length and positional filters), parity signatures bound the symmetric difference, and what passes is
 verified on the words themselves.
 
 Rarity is the level of the word's count in a table of RARITY_CELLS cells addressed by hash: an estimate of fixed size
@@ -36,6 +36,8 @@ THRESHOLD = 0.8
 RARITY_CELLS = 1 << 18
 #: Documents named by candidates or removals are broadcast up to this number, else joined by shuffle.
 BROADCAST_DOCUMENTS = 1_000_000
+#: Words above which a line has a wide signature: there a narrow one is saturated.
+LONG_LINE = 48
 WHITE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
@@ -93,7 +95,7 @@ def prefix_size(n: F.Column, threshold: float) -> F.Column:
 
 
 def distinct_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Stored: every line with words (doc_id, th, line_no, sid), and every distinct set (id, sid, first, n, sig, prefix).
+    """Stored: every line with words (doc_id, th, line_no, sid), and every distinct set (id, sid, first, n, sig to sig3, prefix).
 
     sid is a hash of the set, id a number in the order of the sets' first lines, prefix the set's rarest words in order.
     """
@@ -106,10 +108,19 @@ def distinct_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     one = F.lit(1).cast("bigint")
     parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(_shift(one, F.shiftright(h, 32).cast("int"))))  # shifts count modulo 64
     n = F.size("words")
+
+    def wide(half: int) -> F.Column:
+        """For long lines, 64 of 128 more parity bits; a word counts in the half that its bit 44 names."""
+        def flip(s: F.Column, h: F.Column) -> F.Column:
+            own = F.shiftright(h, 44).bitwiseAND(1).bitwiseXOR(1 - half)
+            return s.bitwiseXOR(_shift(own, F.shiftright(h, 38).cast("int")))
+
+        return F.when(n > LONG_LINE, F.aggregate("words", F.lit(0).cast("bigint"), flip)).otherwise(0)
+
     prefix = F.transform(F.slice("words", 1, prefix_size(n, threshold)), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = stored(worded.select("doc_id", "th", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), parity.alias("sig"), prefix.alias("prefix")), "lines")
+    lines = stored(worded.select("doc_id", "th", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), parity.alias("sig"), wide(0).alias("sig2"), wide(1).alias("sig3"), prefix.alias("prefix")), "lines")
     first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
-    sets = lines.groupBy("sid").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    sets = lines.groupBy("sid").agg(first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", "sig2", "sig3")], F.first("prefix").alias("prefix"))
     ordered = sets.repartitionByRange("first").sortWithinPartitions("first")
     return lines.select("doc_id", "th", "line_no", "sid"), stored(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
 
@@ -133,9 +144,12 @@ def _possible(other: str, threshold: float) -> F.Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y: ids) that have the similarity. Only the lines of these pairs are read again."""
-    x, y = (sets.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first")) for k in "xy")
-    kept = stored(pairs.distinct().join(x, "x").join(y, "y").select("x", "y", "x_first", "y_first"), "line-pairs")
+    """The pairs (x, y: ids) that have the similarity. Only the lines of pairs that pass the wide signature are read again."""
+    x, y = (sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("first", "n", "sig2", "sig3")]) for k in "xy")
+    differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("sig2", "sig3")), F.lit(0))
+    shorter = F.least("x_n", "y_n") <= LONG_LINE  # one of them has no wide signature
+    passing = shorter | (differing <= (F.col("x_n") + F.col("y_n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+    kept = stored(pairs.distinct().join(x, "x").join(y, "y").where(passing).select("x", "y", "x_first", "y_first"), "line-pairs")
     ends = kept.select(F.col("x").alias("id"), F.col("x_first").alias("first")).unionByName(kept.select(F.col("y").alias("id"), F.col("y_first").alias("first"))).distinct()
     key = F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("doc_key")
     wanted = stored(ends.groupBy(key, F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "id")).alias("wanted")), "line-places")
