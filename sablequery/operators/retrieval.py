@@ -26,10 +26,22 @@ K1, B = 1.2, 0.75
 MOST_TOKENS, POOL, HYBRID_DEPTH, PER_DOCUMENT, RRF_CONSTANT, MOST_RESULTS = 8, 4, 2, 3, 60, 25
 
 
+class _Folding(dict):
+    """What each character of decomposed text becomes, looked up once per character."""
+
+    def __missing__(self, code: int) -> str | None:
+        sign = chr(code)
+        kind = unicodedata.category(sign)
+        found = self[code] = sign if kind[0] in "LN" or kind == "Co" else None if kind == "Mn" else " "
+        return found
+
+
+_FOLDING = _Folding()
+
+
 def fold(text: str) -> str:
     """Case and accents folded; what is no letter, digit or private-use sign becomes a space."""
-    marks = unicodedata.normalize("NFD", text)
-    return "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else "" if unicodedata.category(c) == "Mn" else " " for c in marks).lower()
+    return unicodedata.normalize("NFD", text).translate(_FOLDING).lower()
 
 
 @pandas_udf(ArrayType(StringType()))
