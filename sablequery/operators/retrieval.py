@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +49,23 @@ def index_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fold(t).split() if t else [])
 
 
+def indexed_fields(chunks: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """chunk_id, fields: the tokens of each indexed column, one row a chunk."""
+    names = list(columns or [c for c in WEIGHTS if c in chunks.columns])
+    return chunks.select("chunk_id", F.array(*[F.struct(F.lit(c).alias("col"), index_tokens(F.col(c).cast("string")).alias("tokens")) for c in names]).alias("fields"))
+
+
+def field_postings(fields: DataFrame) -> DataFrame:
+    """The postings of an index kept as :func:`indexed_fields`."""
+    return fields.select("chunk_id", F.explode("fields").alias("f")).select("chunk_id", "f.col", F.posexplode("f.tokens").alias("position", "term"))
+
+
+def field_vocabulary(fields: DataFrame) -> DataFrame:
+    """:func:`vocabulary` of such an index: a chunk's terms are made distinct in place, so only counts are shuffled."""
+    terms = F.array_distinct(F.flatten(F.transform("fields", lambda f: f["tokens"])))
+    return fields.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def postings(chunks: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """chunk_id, col, position, term for every token of the indexed columns."""
     names = list(columns or [c for c in WEIGHTS if c in chunks.columns])
@@ -84,16 +101,33 @@ def asked_tokens(questions: DataFrame) -> DataFrame:
     return tokens.withColumns({"identifier": named, "exact": exact})
 
 
+def under_prefix(vocab: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """prefixes (prefix, ...; a small set: broadcast) with every term of the vocabulary that starts with them. Heads of terms are compared for equality."""
+    longest = prefixes.agg(F.max(F.length("prefix")).alias("longest"))
+    ends = F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.col("longest"))))
+    heads = vocab.crossJoin(F.broadcast(longest)).withColumn("end", ends).withColumn("prefix", F.substring("term", F.lit(1), F.col("end"))).drop("end", "longest")
+    return heads.join(F.broadcast(prefixes), "prefix")
+
+
+def phrase_starts(posted: DataFrame, parts: DataFrame, *keys: str) -> DataFrame:
+    """keys, chunk_id, col, start: one row per place where a phrase's words stand in a row. parts: keys, size, shift, term of each word."""
+    runs = posted.join(F.broadcast(parts), "term").groupBy(*keys, "size", "chunk_id", "col", (F.col("position") - F.col("shift")).alias("start")).agg(F.count_distinct("shift").alias("n"))
+    return runs.where(F.col("n") == F.col("size")).select(*keys, "chunk_id", "col", "start")
+
+
+def token_words(tokens: DataFrame, *keys: str) -> DataFrame:
+    """keys, size, shift, term of each word that the index makes of a token."""
+    words = tokens.select(*keys, index_tokens("token").alias("words"))
+    return words.select(*keys, F.size("words").alias("size"), F.posexplode("words").alias("shift", "term"))
+
+
 def token_volumes(tokens: DataFrame, posted: DataFrame, vocab: DataFrame) -> DataFrame:
     """token, volume: chunks that hold an exact token's words in a row, or the sum over the terms with a prefix."""
     distinct = tokens.select("token", "exact").distinct()
-    prefixes = F.broadcast(distinct.where("not exact").select("token"))
-    by_prefix = vocab.join(prefixes, F.col("term").startswith(F.col("token"))).groupBy("token").agg(F.sum("chunks").alias("volume"))
-    words = distinct.where("exact").select("token", index_tokens("token").alias("words"))
-    parts = F.broadcast(words.select("token", F.size("words").alias("size"), F.posexplode("words").alias("shift", "term")))
-    runs = posted.join(parts, "term").groupBy("token", "size", "chunk_id", "col", (F.col("position") - F.col("shift")).alias("start")).agg(F.count_distinct("shift").alias("n"))
-    by_phrase = runs.where(F.col("n") == F.col("size")).groupBy("token").agg(F.count_distinct("chunk_id").alias("volume"))
-    return by_prefix.unionByName(by_phrase)
+    prefixes = distinct.where("not exact").select(F.col("token").alias("prefix"))
+    by_prefix = under_prefix(vocab, prefixes).groupBy(F.col("prefix").alias("token")).agg(F.sum("chunks").alias("volume"))
+    starts = phrase_starts(posted, token_words(distinct.where("exact"), "token"), "token")
+    return by_prefix.unionByName(starts.groupBy("token").agg(F.count_distinct("chunk_id").alias("volume")))
 
 
 def select_tokens(tokens: DataFrame, volumes: DataFrame, limit: int = MOST_TOKENS) -> DataFrame:
@@ -119,6 +153,22 @@ def term_hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
     return posted.join(expanded, "term").groupBy("query_id", "token", "chunk_id", "col").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def token_hits(posted: DataFrame, tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """query_id, token, chunk_id, col, tf for selected tokens (query_id, token, exact; at most MOST_TOKENS a query).
+
+    A token of several words counts where they stand in a row, any other by its word or, if not exact, by each term
+    that starts with it.
+    """
+    keys = ["query_id", "token"]
+    words = token_words(tokens, *keys, "exact")
+    several, one = words.where("size > 1"), words.where("size = 1")
+    prefixes = one.where("not exact").select(*keys, F.col("term").alias("prefix"))
+    terms = one.where("exact").select(*keys, "term").unionByName(under_prefix(vocab, prefixes).select(*keys, "term"))
+    plain = posted.join(F.broadcast(terms), "term").select(*keys, "chunk_id", "col")
+    phrases = phrase_starts(posted, several.drop("exact"), *keys).select(*keys, "chunk_id", "col")
+    return plain.unionByName(phrases).groupBy(*keys, "chunk_id", "col").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(hits: DataFrame, sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """query_id, chunk_id, score (negative, lower is better) of every chunk that any token reaches."""
     weight = F.create_map(*[F.lit(x) for pair in (weights or WEIGHTS).items() for x in pair])[F.col("col")]
@@ -282,19 +332,20 @@ def of_category(hits: DataFrame, chunks: DataFrame, category: str, k: int) -> Da
     return own.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, chunks: DataFrame, posted: DataFrame, k: int, *, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, relationships: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def search(questions: DataFrame, chunks: DataFrame, posted: DataFrame, k: int, *, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, relationships: DataFrame | None = None, vocab: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame | None]:
     """Contexts for questions (query_id, question): ranked chunks, and neighbours of their documents if keys are given.
 
     Lexical: selected tokens, weighted scores, named documents first, a pool four times k made diverse. With vectors,
-    both arms give twice k and are fused. k is held between 1 and 25.
+    both arms give twice k and are fused. k is held between 1 and 25. ``vocab`` is the index's vocabulary if it is at
+    hand; ``keep`` may store the selected tokens, which several joins read.
     """
     k = max(1, min(k, MOST_RESULTS))
     depth = k * HYBRID_DEPTH if vectors is not None else k
     asked = asked_tokens(questions)
-    kept = select_tokens(asked, token_volumes(asked, posted, vocabulary(posted)))
-    words = kept.select("query_id", "token", F.element_at(index_tokens("token"), 1).alias("word"), "exact")
+    vocab = vocabulary(posted) if vocab is None else vocab
+    kept = keep(select_tokens(asked, token_volumes(asked, posted, vocab)).select("query_id", "token", "exact"))
     hints = questions.select("query_id", document_hint(F.col("question")).alias("hint"))
-    scored = with_hint(bm25(term_hits(posted, words), chunk_sizes(posted)), chunks, hints)
+    scored = with_hint(bm25(token_hits(posted, kept, vocab), chunk_sizes(posted)), chunks, hints)
     pool = ranked(scored, depth * POOL, F.col("document_rank").asc(), F.col("score").asc())
     lexical = diverse(pool, depth, exempt=F.upper("source_path") == F.col("hint"))
     best = lexical if vectors is None else fuse(lexical, dense_top(vectors, vector_queries, depth), k=k)

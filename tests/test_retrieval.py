@@ -121,6 +121,31 @@ def test_search_end_to_end(spark):
     assert {(r["query_id"], r["neighbour"]) for r in near.collect()} == {(2, "ORDERS.HTML")}  # query 1 has both documents already
 
 
+def test_search_finds_a_token_of_two_words_as_a_phrase(spark):
+    more = [("c5", "OTHER.html", "OTHER", "document", "OTHER", "pat pat pat enc pat enc", ""), ("c6", "PAT.html", "PAT - Patients", "document", "PAT", "one pat and one enc, enc pat", "pat")]
+    rows = ROWS + more
+    db = sqlite3.connect(":memory:")
+    db.execute(f"create virtual table f using fts5({', '.join(NAMES)})")
+    db.executemany(f"insert into f values ({','.join('?' * 7)})", [[x or "" for x in r] for r in rows])
+    match = 'select chunk_id, bm25(f, {}) from f where f match ?'.format(",".join(str(w) for w in R.WEIGHTS.values()))
+    wanted = {1: dict(db.execute(match, ('"pat_enc"',)).fetchall()), 2: dict(db.execute(match, ('"pat_enc" OR visit*',)).fetchall()), 3: dict(db.execute(match, ('"pat_pat"',)).fetchall())}
+    assert set(wanted[1]) == {"c1", "c2", "c5"}
+    chunks = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in NAMES))
+    posted = R.postings(chunks)
+    questions = spark.createDataFrame([(1, "what is pat_enc"), (2, "pat_enc visits"), (3, "pat_pat")], "query_id int, question string")
+    found, _ = R.search(questions, chunks, posted, 10)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == {q: sorted(s, key=lambda c: (s[c], c)) for q, s in wanted.items()}
+    vocab = R.vocabulary(posted)
+    scores = R.bm25(R.token_hits(posted, R.asked_tokens(questions), vocab), R.chunk_sizes(posted)).collect()
+    for q, own in wanted.items():
+        assert {r["chunk_id"]: r["score"] for r in scores if r["query_id"] == q} == pytest.approx(own, abs=1e-9)
+    kept = R.indexed_fields(chunks)
+    assert sorted(R.field_postings(kept).collect()) == sorted(posted.collect()) and sorted(R.field_vocabulary(kept).collect()) == sorted(vocab.collect())
+
+
 def test_lookups(spark):
     docs = spark.createDataFrame([("d1", "enc/PAT_ENC.html", "PAT_ENC - Encounters"), ("d2", "ORDERS.html", "Orders"), ("d3", "x.html", "ORDERS - old")], "doc_id string, source_path string, title string")
     assert {r["doc_id"] for r in R.find_documents(docs, "orders").collect()} == {"d2", "d3"}
