@@ -49,10 +49,20 @@ def index_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fold(t).split() if t else [])
 
 
+@pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: " ".join(fold(t).split()) if t else "")
+
+
+def field_tokens(text: F.Column) -> F.Column:
+    """:func:`index_tokens` for long texts: a worker holds one string a text, which is cut outside it."""
+    return F.filter(F.split(folded(text), " "), lambda t: t != "")
+
+
 def indexed_fields(chunks: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """chunk_id, fields: the tokens of each indexed column, one row a chunk."""
     names = list(columns or [c for c in WEIGHTS if c in chunks.columns])
-    return chunks.select("chunk_id", F.array(*[F.struct(F.lit(c).alias("col"), index_tokens(F.col(c).cast("string")).alias("tokens")) for c in names]).alias("fields"))
+    return chunks.select("chunk_id", F.array(*[F.struct(F.lit(c).alias("col"), field_tokens(F.col(c).cast("string")).alias("tokens")) for c in names]).alias("fields"))
 
 
 def field_postings(fields: DataFrame) -> DataFrame:
@@ -337,7 +347,7 @@ def search(questions: DataFrame, chunks: DataFrame, posted: DataFrame, k: int, *
 
     Lexical: selected tokens, weighted scores, named documents first, a pool four times k made diverse. With vectors,
     both arms give twice k and are fused. k is held between 1 and 25. ``vocab`` is the index's vocabulary if it is at
-    hand; ``keep`` may store the selected tokens, which several joins read.
+    hand; ``keep`` may store the selected tokens and the hits.
     """
     k = max(1, min(k, MOST_RESULTS))
     depth = k * HYBRID_DEPTH if vectors is not None else k
@@ -349,7 +359,8 @@ def search(questions: DataFrame, chunks: DataFrame, posted: DataFrame, k: int, *
     pool = ranked(scored, depth * POOL, F.col("document_rank").asc(), F.col("score").asc())
     lexical = diverse(pool, depth, exempt=F.upper("source_path") == F.col("hint"))
     best = lexical if vectors is None else fuse(lexical, dense_top(vectors, vector_queries, depth), k=k)
-    found = hydrate(best.select("query_id", "chunk_id", "rank"), chunks, strict=False)
+    # a stored table has a known size, so that Catalyst needn't shuffle the texts for a few hits
+    found = hydrate(keep(best.select("query_id", "chunk_id", "rank")), chunks, strict=False)
     if relationships is None:
         return found, None
     seeds = found.groupBy("query_id", "doc_id").agg(F.min("rank").alias("seed_rank"))

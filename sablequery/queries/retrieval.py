@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from .registry import query, table
+from .registry import kept, query, table
 
 COLUMNS = ["source_path", "title", "text"]
 
@@ -144,14 +144,26 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(fused, 10, F.col("score").desc()).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def whole_search(spark: SparkSession, sf_dir: str, k: int, **dense: DataFrame) -> DataFrame:
+    """Every benchmark text as a question, by all steps of the search."""
+    docs, fields = chunks(spark, sf_dir), kept(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found, _ = R.search(questions, docs, R.field_postings(fields), k, vocab=kept(R.field_vocabulary(fields)), keep=kept, **dense)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "source_path", F.substring("text", 1, T.PREVIEW).alias("preview"))
+
+
+@query()
+def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical arm alone: selected tokens, hints, the pool and diversity."""
+    return whole_search(spark, sf_dir, 5)
+
+
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms at depth 2k, fused and given their texts. Vector n stands for document n; item n asks with vector 20n."""
-    k = 5
-    lexical = R.ranked(scored(spark, sf_dir), k * R.HYBRID_DEPTH).select("query_id", "chunk_id", "rank")
+    own = vectors(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
     asked = vector_queries(spark, sf_dir).withColumn("query_id", (F.col("query_id") / 20).cast("long"))
-    near = R.dense_top(vectors(spark, sf_dir), asked, k * R.HYBRID_DEPTH).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "rank")
-    return R.hydrate(R.fuse(lexical, near, k=k), chunks(spark, sf_dir), strict=False).select("query_id", "rank", "chunk_id", "source_path", F.substring("text", 1, T.PREVIEW).alias("preview"))
+    return whole_search(spark, sf_dir, 5, vectors=own, vector_queries=asked)
 
 
 def value_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

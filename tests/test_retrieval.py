@@ -1,7 +1,9 @@
 """Retrieval against SQLite's full-text index and loops."""
 
+import math
 import random
 import sqlite3
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -146,6 +148,70 @@ def test_search_finds_a_token_of_two_words_as_a_phrase(spark):
     assert sorted(R.field_postings(kept).collect()) == sorted(posted.collect()) and sorted(R.field_vocabulary(kept).collect()) == sorted(vocab.collect())
 
 
+def loop_search(docs, items, vectors, k):
+    """chunk ids of every query in order: lexical arm, and both arms fused, document by document."""
+    fields = {str(d): {"source_path": R.fold(source).split(), "title": R.fold(lang).split(), "text": R.fold(text).split()} for d, source, lang, text in docs}
+    source = {str(d): s for d, s, _, _ in docs}
+    size = {c: sum(map(len, f.values())) for c, f in fields.items()}
+    terms = {c: {w for f in own.values() for w in f} for c, own in fields.items()}
+    chunks = Counter(w for own in terms.values() for w in own)
+    mean = sum(size.values()) / len(size)
+
+    def frequency(token, words):
+        own = R.fold(token).split()
+        if T.is_exact(token):
+            return sum(words[i : i + len(own)] == own for i in range(len(words)))
+        return sum(w.startswith(token) for w in words)
+
+    def lexical(question, depth):
+        tf = defaultdict(dict)
+        found = R.query_tokens(question)
+        for token in found:
+            for c, own in fields.items():
+                f = sum(R.WEIGHTS[col] * frequency(token, words) for col, words in own.items())
+                if f:
+                    tf[token][c] = f
+        volume = {t: len(tf[t]) if T.is_exact(t) else sum(n for w, n in chunks.items() if w.startswith(t)) for t in found}
+        alive = [t for t in found if volume[t]]
+        chosen = sorted(alive, key=lambda t: (not T.is_identifier(t), 0 if T.is_identifier(t) else volume[t], found.index(t)))[:8]
+        score = Counter()
+        for token in chosen:
+            idf = max(1e-6, math.log((len(size) - len(tf[token]) + 0.5) / (len(tf[token]) + 0.5)))
+            for c, f in tf[token].items():
+                score[c] -= idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size[c] / mean))
+        pool = sorted(score, key=lambda c: (round(score[c], 9), c))[: 4 * depth]
+        return loop_diversity([(c, source[c]) for c in pool], depth, 3, None)
+
+    def both(query, question):
+        arms = [lexical(question, 2 * k)] if question else []
+        if (asked := vectors.get(20 * query)) is not None:
+            arms.append(sorted(map(str, vectors), key=lambda c: (-sum(x * y for x, y in zip(vectors[int(c)], asked, strict=True)), c))[: 2 * k])
+        score = Counter()
+        for arm in arms:
+            for rank, c in enumerate(arm, 1):
+                score[c] += 1 / (60 + rank)
+        return [c for c in sorted(score, key=lambda c: (-round(score[c], 12), c))[:k] if c in fields]
+
+    return {q: lexical(t, k) for q, t in items}, {q: both(q, dict(items).get(q)) for q in {*dict(items), *(v // 20 for v in vectors if v % 20 == 0)}}
+
+
+def test_whole_questions_are_searched(spark, tmp_path):
+    from sablequery import queries as library
+
+    rng = random.Random(7)
+    vocabulary = ["red", "reds", "redder", "blue", "ink", "inks", "café", "cafes", "pat", "enc", "is", "a1", "ab", "gravel", "gravelly", "of", "oak", "oaken", "elm", "ash", "fir", "yew", "longestword"]
+    docs = [(d, f"SRC{d % 3}", rng.choice(["en", "de"]), " ".join(rng.choices(vocabulary, k=rng.randrange(1, 25)))) for d in range(70)]
+    items = [(q, " ".join(rng.choices([*vocabulary, "pat_enc", "nosuch"], k=rng.randrange(1, 15)))) for q in range(6)] + [(6, "red ink"), (7, "pat_enc")]
+    vectors = {v: [float(rng.randrange(-4, 5)) for _ in range(4)] for v in range(90)}
+    for name, rows, schema in (("documents", docs, "doc_id long, source string, lang string, text string"), ("benchmark", items, "item_id long, text string"), ("embeddings", list(vectors.items()), "vec_id long, embedding array<float>")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, wanted in zip(("fts_search", "hybrid_search"), loop_search(docs, items, vectors, 5), strict=True):
+        got = defaultdict(list)
+        for r in library.QUERIES[name](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["chunk_id"])
+        assert got == {q: own for q, own in wanted.items() if own}
+
+
 def test_lookups(spark):
     docs = spark.createDataFrame([("d1", "enc/PAT_ENC.html", "PAT_ENC - Encounters"), ("d2", "ORDERS.html", "Orders"), ("d3", "x.html", "ORDERS - old")], "doc_id string, source_path string, title string")
     assert {r["doc_id"] for r in R.find_documents(docs, "orders").collect()} == {"d2", "d3"}
