@@ -6,25 +6,37 @@ word among the first n - ceil(t n) + 1 of each. Sizes and the places of the shar
 possible (length and positional filters), parity signatures bound the symmetric difference, and what passes is
 verified on the words themselves.
 
-Rarity is the level of the word's count in a table of RARITY_CELLS cells addressed by hash: an estimate of fixed size
-that needs no join of all words with their counts, while any fixed order keeps the join exact. Shared words are found by
-a 32-bit part of their hashes; a collision only adds a candidate.
+Rarity is the doubling level of the word's count in a table of cells addressed by hash: it needs no join of all words
+with their counts, while any fixed order keeps the join exact. The number of cells grows with the text, so words rarely
+share one, up to MOST_CELLS (a byte each); beyond that, words of the same cell share a level and only the order gets
+coarser. Shared words are found by a 31-bit part of their hashes; a collision only adds a candidate.
+
+Signatures hold the parity of the words in 64 cells, in 128 and 256 for longer lines, where fewer would be saturated:
+cells whose parities differ are a lower bound of the words that differ.
 
 Bounded work for groups of copies: equal sets are grouped first and only their first line goes on. Then each set is
 verified against the first and the preceding set that share one of its prefix words, instead of all pairs; sets that
 find an earlier match this way are done. Only the others are joined with all earlier sets, and of those pairs only such
 with enough common prefix words are verified; that join reads a table bucketed by word, so prefix words are shuffled
-once. All steps are DataFrame and SQL functions.
+once. Lines of a set that a large share of all lines belongs to meet it by a broadcast of bounded size. All steps are
+DataFrame and SQL functions.
 
 Defined cases: null text is one empty line; lines without words never match and stay; rows of the same doc_id and text
-are one document and share its result, rows of the same doc_id and other text are ordered by a hash of the text. Sets
-are told apart by 64-bit hashes.
+are one document and share its result, rows of the same doc_id and other text are ordered by a hash of the text; a null
+doc_id comes before all others; no rows give no rows; lines of any length and number are taken whole; a column named
+removed_lines is replaced, others of clashing names stay. Lines are one set if two 64-bit hashes over the 57-bit hashes
+of their words agree: among 10^12 lines, under one in 10^14 that any two are taken for equal by the former, and lines
+that differ in one word for equal by the latter only at odds of one in 10^17 each.
 """
 
 from __future__ import annotations
 
+import operator
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +44,15 @@ from pyspark.sql.window import Window
 from .common import stored
 
 THRESHOLD = 0.8
-#: Cells of four bits, sixteen to a number.
-RARITY_CELLS = 1 << 18
-#: Documents named by candidates or removals are broadcast up to this number, else joined by shuffle.
-BROADCAST_DOCUMENTS = 1_000_000
-#: Words above which a line has a wide signature: there a narrow one is saturated.
-LONG_LINE = 48
+#: Words are counted in a power of two of cells: one for this many bytes of text or less, up to a bound of memory.
+BYTES_A_CELL, MOST_CELLS = 128, 1 << 24
+LEVEL_BIT = 57
+#: Tables of places in documents are broadcast up to this size, else joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Words above which a line's signature has 128 or 256 cells.
+LONG_LINE, LONGER_LINE = 80, 170
+#: A set with more than this share of all lines is hot; fewer than 10,000 sets can be.
+HOT_SHARE = 1e-4
 WHITE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
@@ -61,66 +76,71 @@ def line_words(line: F.Column) -> F.Column:
     return F.array_remove(F.when(odd, F.split(F.lower(line), WHITE)).otherwise(F.split(F.lower(line), " ")), "")
 
 
-def _cell(word: F.Column) -> F.Column:
-    return word.bitwiseAND(RARITY_CELLS - 1).cast("int")
-
-
 def _shift(number: F.Column, bits: F.Column, to: str = "left") -> F.Column:
     return F.call_function(f"shift{to}", number, bits)
 
 
-def rarity(docs: DataFrame) -> F.Column:
-    """The level of each cell's word count as a constant array of fixed size, sixteen cells to a number.
+def rarity(docs: DataFrame) -> tuple[F.Column, int]:
+    """Levels of all cells as a constant of a byte each, and their number. Level k: counted 2^k to 2^(k+1) - 1 times.
 
-    A level is a doubling, 0 to 15 above the least. Words are counted as they stand between spaces: cheap and near enough.
+    Words are counted as they stand between spaces: cheap and near enough.
     """
+    total = docs.agg(F.sum(F.octet_length(_text()))).first()[0] or 0
+    size = min(MOST_CELLS, max(1 << 12, 1 << (total // BYTES_A_CELL).bit_length()))
     words = docs.select(F.explode(F.split(_text(), " ")).alias("w"))
-    counted = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count().select("cell", F.floor(F.log2(F.col("count") + 1)).alias("level"))
-    counted = stored(counted, "line-rarity")
-    least = counted.agg(F.coalesce(F.min("level"), F.lit(0))).first()[0]
-    level = F.least(F.col("level") - F.lit(least), F.lit(15)).cast("bigint")
-    packed = counted.groupBy((F.col("cell") / 16).cast("int").alias("at")).agg(F.bit_xor(_shift(level, ((F.col("cell") % 16) * 4).cast("int"))).alias("levels"))
-    found = dict(packed.collect())  # a row for each sixteen cells
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(RARITY_CELLS // 16))), ",").cast("array<bigint>")
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(size - 1).cast("int").alias("cell")).count()
+    level = F.floor(F.log2("count")).cast("bigint")
+    byte = F.shiftleft(F.col("cell").bitwiseAND(7), 3)
+    packed = counted.groupBy(F.shiftright("cell", 3).alias("at")).agg(F.bit_xor(_shift(level, byte)).alias("levels")).toArrow()  # eight cells a row
+    table = np.zeros(size >> 3, "<i8")
+    table[packed["at"].to_numpy()] = packed["levels"].to_numpy()
+    return F.lit(table.tobytes()), size
 
 
-def _level(cells: F.Column, word: F.Column) -> F.Column:
-    """Of the word's cell, 0 to 15."""
-    cell = _cell(word)
-    return _shift(F.get(cells, F.shiftright(cell, 4)), F.shiftleft(cell.bitwiseAND(15), 2), "right").bitwiseAND(15)
+def _ranked(word: F.Column, levels: F.Column, size: int) -> F.Column:
+    """The word's level above LEVEL_BIT bits of its hash: sorting by it is sorting by rarity."""
+    level = F.ascii(F.substring(levels, word.bitwiseAND(size - 1).cast("int") + 1, 1).cast("string"))
+    return F.shiftleft(level.cast("bigint"), LEVEL_BIT).bitwiseOR(word.bitwiseAND((1 << LEVEL_BIT) - 1))
 
 
 def prefix_size(n: F.Column, threshold: float) -> F.Column:
     return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
+SIGNATURES = ("sig", "sig2", "sig3", "sig4")
+
+
+def signatures(words: F.Column) -> list[F.Column]:
+    """Parities in 64 cells of all words; for longer lines also of the words with bit 44, bit 45 and both, else 0."""
+    n, bit = F.size(words), {k: (lambda h, k=k: F.shiftright(h, k)) for k in (44, 45)}
+    marks = {
+        "sig": (0, lambda h: F.lit(1).cast("bigint")), "sig2": (LONG_LINE, lambda h: bit[44](h).bitwiseAND(1)),
+        "sig3": (LONGER_LINE, lambda h: bit[45](h).bitwiseAND(1)), "sig4": (LONGER_LINE, lambda h: bit[44](h).bitwiseAND(bit[45](h)).bitwiseAND(1)),
+    }
+
+    def parity(mark: Callable[[F.Column], F.Column]) -> F.Column:
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(_shift(mark(h), F.shiftright(h, 32).cast("int"))))  # shifts count modulo 64
+
+    return [(parity(mark) if not least else F.when(n > least, parity(mark)).otherwise(0)).alias(name) for name, (least, mark) in marks.items()]
+
+
 def distinct_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Stored: every line with words (doc_id, th, line_no, sid), and every distinct set (id, sid, first, n, sig to sig3, prefix).
+    """Stored: every line with words (doc_id, th, line_no, sid), and every distinct set (id, sid, first, copies, n, signatures, prefix).
 
-    sid is a hash of the set, id a number in the order of the sets' first lines, prefix the set's rarest words in order.
+    sid is a pair of hashes of the set, id a number in the order of the sets' first lines, prefix the set's rarest words
+    in order.
     """
-    cells = rarity(docs)
+    levels, size = rarity(docs)
     hashes = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
-    # four bits of rarity above 59 of the hash: sorting by it is sorting by rarity
-    ranked = F.transform(hashes, lambda h: F.shiftleft(_level(cells, h), 59).bitwiseOR(h.bitwiseAND((1 << 59) - 1)))
     # a filter on the words themselves would be pushed down and make them twice
-    worded = document_lines(docs).where(F.col("line").rlike(WORD)).select("doc_id", "th", "line_no", F.sort_array(ranked).alias("words"))
-    one = F.lit(1).cast("bigint")
-    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(_shift(one, F.shiftright(h, 32).cast("int"))))  # shifts count modulo 64
-    n = F.size("words")
-
-    def wide(half: int) -> F.Column:
-        """For long lines, 64 of 128 more parity bits; a word counts in the half that its bit 44 names."""
-        def flip(s: F.Column, h: F.Column) -> F.Column:
-            own = F.shiftright(h, 44).bitwiseAND(1).bitwiseXOR(1 - half)
-            return s.bitwiseXOR(_shift(own, F.shiftright(h, 38).cast("int")))
-
-        return F.when(n > LONG_LINE, F.aggregate("words", F.lit(0).cast("bigint"), flip)).otherwise(0)
-
-    prefix = F.transform(F.slice("words", 1, prefix_size(n, threshold)), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = stored(worded.select("doc_id", "th", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), parity.alias("sig"), wide(0).alias("sig2"), wide(1).alias("sig3"), prefix.alias("prefix")), "lines")
+    worded = document_lines(docs).where(F.col("line").rlike(WORD)).select("doc_id", "th", "line_no", F.sort_array(F.transform(hashes, lambda h: _ranked(h, levels, size))).alias("words"))
+    words = F.col("words")
+    n = F.size(words)
+    prefix = F.transform(F.slice(words, 1, prefix_size(n, threshold)), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    sid = F.struct(F.xxhash64(words).alias("one"), F.xxhash64(F.lit(1), words).alias("two")).alias("sid")
+    lines = stored(worded.select("doc_id", "th", "line_no", sid, n.alias("n"), *signatures(words), prefix.alias("prefix")), "lines")
     first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
-    sets = lines.groupBy("sid").agg(first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", "sig2", "sig3")], F.first("prefix").alias("prefix"))
+    sets = lines.groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *SIGNATURES, "prefix")])
     ordered = sets.repartitionByRange("first").sortWithinPartitions("first")
     return lines.select("doc_id", "th", "line_no", "sid"), stored(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
 
@@ -130,30 +150,38 @@ def _need(n: F.Column, m: F.Column, threshold: float) -> F.Column:
     return F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def _alike(other: str, threshold: float) -> F.Column:
-    """Length and signature filters between a row's set and its ``other``."""
+def _alike(other: str, threshold: float, wide: bool = True) -> F.Column:
+    """Length and signature filters between a row's set and its ``other``; only 64 cells if not ``wide``."""
     n, m = F.col("n"), F.col(f"{other}.n")
-    differing = F.bit_count(F.col("sig").bitwiseXOR(F.col(f"{other}.sig")))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9) & (differing <= (n + m) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+
+    def differing(*parts: F.Column) -> F.Column:
+        return reduce(operator.add, map(F.bit_count, parts))
+
+    one, *more = (F.col(c).bitwiseXOR(F.col(f"{other}.{c}")) for c in (SIGNATURES if wide else SIGNATURES[:1]))
+    shorter, least = F.least(n, m), differing(one)
+    if wide:
+        two, three, four = more
+        quarters = (four, two.bitwiseXOR(four), three.bitwiseXOR(four), one.bitwiseXOR(two).bitwiseXOR(three).bitwiseXOR(four))
+        least = F.when(shorter > LONGER_LINE, differing(*quarters)).when(shorter > LONG_LINE, differing(two, one.bitwiseXOR(two))).otherwise(least)
+    return (shorter >= F.greatest(n, m) * F.lit(threshold) - 1e-9) & (least <= (n + m) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
 def _possible(other: str, threshold: float) -> F.Column:
-    """These and the positional filter; places count from 0."""
+    """The filters of 64 cells and the positional one; places count from 0."""
     n, m = F.col("n"), F.col(f"{other}.n")
-    return _alike(other, threshold) & (F.least(n - F.col("at"), m - F.col(f"{other}.at")) >= _need(n, m, threshold))
+    return _alike(other, threshold, wide=False) & (F.least(n - F.col("at"), m - F.col(f"{other}.at")) >= _need(n, m, threshold))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y: ids) that have the similarity. Only the lines of pairs that pass the wide signature are read again."""
-    x, y = (sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("first", "n", "sig2", "sig3")]) for k in "xy")
-    differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("sig2", "sig3")), F.lit(0))
-    shorter = F.least("x_n", "y_n") <= LONG_LINE  # one of them has no wide signature
-    passing = shorter | (differing <= (F.col("x_n") + F.col("y_n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
-    kept = stored(pairs.distinct().join(x, "x").join(y, "y").where(passing).select("x", "y", "x_first", "y_first"), "line-pairs")
+    """The pairs (x, y: ids) that have the similarity. Only the lines of these pairs are read again."""
+    x = sets.select(F.col("id").alias("x"), F.col("first").alias("x_first"), "n", *SIGNATURES)
+    y = sets.select(F.col("id").alias("y"), F.col("first").alias("y_first"), F.struct("n", *SIGNATURES).alias("other"))
+    kept = pairs.distinct().join(x, "x").join(y, "y").where(_alike("other", threshold))
+    kept = stored(kept.select("x", "y", "x_first", "y_first"), "line-pairs")
     ends = kept.select(F.col("x").alias("id"), F.col("x_first").alias("first")).unionByName(kept.select(F.col("y").alias("id"), F.col("y_first").alias("first"))).distinct()
     key = F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("doc_key")
     wanted = stored(ends.groupBy(key, F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "id")).alias("wanted")), "line-places")
-    texts = docs.select(*_document(), _text().alias("text")).join(_small(wanted), ["doc_key", "th"])
+    texts = docs.select(*_document(), _text().alias("text")).join(_small(wanted, "wanted", 16), ["doc_key", "th"])
     one = texts.select(F.explode("wanted").alias("p"), F.split("text", "\n").alias("lines")).select("p.id", F.get("lines", F.col("p.line_no")).alias("line"))
     words = stored(one.groupBy("id").agg(F.first("line").alias("line")), "line-words")
     both = kept.select("x", "y").join(words.select(F.col("id").alias("x"), F.col("line").alias("x_line")), "x").join(words.select(F.col("id").alias("y"), F.col("line").alias("y_line")), "y")
@@ -163,8 +191,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: floa
     return both.where(F.element_at(similar, 1)).select("x", "y")
 
 
-def _small(frame: DataFrame) -> DataFrame:
-    return F.broadcast(frame) if frame.count() <= BROADCAST_DOCUMENTS else frame
+def _small(frame: DataFrame, lists: str | None = None, width: int = 0) -> DataFrame:
+    """Marked for broadcast if its rows, with the entries of the array column ``lists``, are of bounded size."""
+    entries = F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)
+    rows, inside = frame.agg(F.count(F.lit(1)), entries).first()
+    return F.broadcast(frame) if rows * 80 + inside * width <= BROADCAST_BYTES else frame
 
 
 def _shared_words(sets: DataFrame, threshold: float) -> str:
@@ -174,12 +205,12 @@ def _shared_words(sets: DataFrame, threshold: float) -> str:
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = sets.select("id", F.col("n").cast("int").alias("n"), "sig", F.posexplode("prefix").alias("at", "w")).repartition(parts, "w")
+    words = sets.select("id", "n", *SIGNATURES, F.posexplode("prefix").alias("at", "w")).repartition(parts, "w")
     own = F.struct("id", "n", "at", "sig")
     order = Window.partitionBy("w").orderBy("id")
     met = words.withColumns({"lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(own).over(order), "followed": F.lead("id").over(order).isNotNull()})
     near = F.col("before").isNotNull()
-    kept = met.where(near | F.col("followed")).select("w", "id", "n", "at", "sig", *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
+    kept = met.where(near | F.col("followed")).select("w", "id", "n", "at", *SIGNATURES, *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
     name = f"line_shared_{uuid.uuid4().hex}"
     kept.write.format("parquet").option("compression", "zstd").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
     return name
@@ -189,30 +220,33 @@ def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     """id of every set that an earlier set matches; stored."""
     spark = sets.sparkSession
     name = _shared_words(sets, threshold)
-    shared = spark.table(name)
-    tried = stored(shared.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("lead", "before"))).alias("y")).distinct(), "line-tried")
-    done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
-    slim = shared.select("w", "id", "n", "at", "sig")
-    rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", "at", "sig")
-    earlier = slim.select("w", F.struct("id", "n", "at", "sig").alias("y"))
-    met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _alike("y", threshold))
-    counted = met.groupBy("x", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("y.n").alias("m"))
-    # of the set whose prefix ends earlier, words after the prefix are all that may be common besides those counted
-    n, m = F.col("n"), F.col("m")
-    most = F.col("c") + F.greatest(n - prefix_size(n, threshold), m - prefix_size(m, threshold))
-    later = counted.where(most >= _need(n, m, threshold)).select("x", "y")
-    found = verified(later.join(tried, ["x", "y"], "left_anti"), sets, docs, threshold).select("x")
-    every = stored(done.unionByName(found).distinct().withColumnRenamed("x", "id"), "line-matched")
-    spark.sql(f"DROP TABLE {name}")
-    return every
+    try:
+        shared = spark.table(name)
+        tried = stored(shared.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("lead", "before"))).alias("y")).distinct(), "line-tried")
+        done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
+        slim = shared.select("w", "id", "n", *SIGNATURES)
+        rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", *SIGNATURES)
+        earlier = slim.select("w", F.struct("id", "n", *SIGNATURES).alias("y"))
+        met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _alike("y", threshold))
+        counted = met.groupBy("x", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("y.n").alias("m"))
+        # of the set whose prefix ends earlier, words after the prefix are all that may be common besides those counted
+        n, m = F.col("n"), F.col("m")
+        most = F.col("c") + F.greatest(n - prefix_size(n, threshold), m - prefix_size(m, threshold))
+        later = counted.where(most >= _need(n, m, threshold)).select("x", "y")
+        found = verified(later.join(tried, ["x", "y"], "left_anti"), sets, docs, threshold).select("x")
+        return stored(done.unionByName(found).distinct().withColumnRenamed("x", "id"), "line-matched")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th, line_no of every line that goes."""
     lines, sets = distinct_sets(docs, threshold)
     gone = matched_sets(sets, docs, threshold).withColumn("gone", F.lit(True))
-    known = sets.select("id", "sid", "first").join(gone, "id", "left").drop("id")
-    marked = lines.join(known, "sid")
+    known = sets.select("id", "sid", "first", "copies").join(gone, "id", "left").drop("id")
+    hot = F.col("copies") > F.lit(HOT_SHARE * lines.count())
+    few = F.broadcast(known.where(hot))
+    marked = lines.join(few, "sid").unionByName(lines.join(few.select("sid"), "sid", "left_anti").join(known.where(~hot), "sid"))
     itself = F.struct("doc_id", "th", "line_no")
     return marked.where(F.col("gone") | ~itself.eqNullSafe(F.col("first"))).select("doc_id", "th", "line_no")
 
@@ -224,7 +258,7 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     taken = stored(taken, "line-removed")
     names = [c for c in docs.columns if c != "removed_lines"]
     own = docs.select(*names, *[c.alias(n) for c, n in zip(_document(), ("__key", "__th"), strict=True)])
-    joined = own.join(_small(taken), ["__key", "__th"], "left")
+    joined = own.join(_small(taken, "removed_lines", 4), ["__key", "__th"], "left")
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
     parts = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(F.col("removed_lines"), at))
     left = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(parts, "\n"))

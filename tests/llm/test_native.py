@@ -177,7 +177,7 @@ def test_lines_match_brute_force(spark):
 def test_lines_without_broadcasts_and_empty(spark, monkeypatch):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     whole = sorted((str(r["doc_id"]), r["kept_sha256"]) for r in line_dedup.dedup_lines(documents(spark)).collect())
-    monkeypatch.setattr(line_dedup, "BROADCAST_DOCUMENTS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in line_dedup.dedup_lines(documents(spark)).collect()) == whole
 
 
