@@ -15,8 +15,8 @@ Signatures hold the parity of the words in 64 cells, in 128 and 256 for longer l
 cells whose parities differ are a lower bound of the words that differ.
 
 Bounded work for groups of copies: equal sets are grouped first and only their first line goes on. Then each set is
-verified against the first and the preceding set that share one of its prefix words, instead of all pairs; sets that
-find an earlier match this way are done. Only the others are joined with all earlier sets, and of those pairs only such
+verified against two sets, instead of all pairs: of the first and the preceding ones that share a prefix word, those
+that share most; sets that find an earlier match this way are done. Only the others are joined with all earlier sets, and of those pairs only such
 with enough common prefix words are verified; that join reads a table bucketed by word, so prefix words are shuffled
 once. Lines of a set that a large share of all lines belongs to meet it by a broadcast of bounded size. All steps are
 DataFrame and SQL functions.
@@ -222,7 +222,9 @@ def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     name = _shared_words(sets, threshold)
     try:
         shared = spark.table(name)
-        tried = stored(shared.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("lead", "before"))).alias("y")).distinct(), "line-tried")
+        near = shared.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("lead", "before"))).alias("y")).groupBy("x", "y").count()
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "y"))), 1, 2)  # a line has few candidates
+        tried = stored(near.groupBy("x").agg(best.alias("best")).select("x", F.explode("best.y").alias("y")), "line-tried")
         done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
         slim = shared.select("w", "id", "n", *SIGNATURES)
         rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", *SIGNATURES)
