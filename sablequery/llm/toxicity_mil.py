@@ -1,22 +1,27 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence is toxic with probability q = sigmoid(b + sum of the weights of its
-distinct words), where a word's weight adds up the weights of the word and of its first bytes; a document is toxic if any sentence is: P = 1 - prod(1 - q), the noisy-or. Only documents carry labels; the
-gradient of the document likelihood decides which sentences are to blame, and after training the sentence
-probabilities say where the offence is.
+distinct words), where a word's weight adds up the weights of the word and of its first characters; a sentence without
+any weighed word gives no evidence and has q = 0. A document is toxic if any sentence is: P = 1 - prod(1 - q), the
+noisy-or. Only documents carry labels; the gradient of the document likelihood decides which sentences are to blame,
+and after training the sentence probabilities say where the offence is.
 
 Words and beginnings are screened first: over all labelled training documents their document frequencies are counted
-per class, and up to FEATURES of those that separate the classes (two-proportion z of LEAST_Z or more) get weights. Training is full-batch
-Adam; each step is one job in which every task sums the gradient over its documents, and FEATURES + 1 numbers come
-back. All labelled training rows are used; nothing is sampled.
+per class, and those that separate the classes (two-proportion z of LEAST_Z or more, in LEAST_DOCUMENTS or more) get
+weights, however many they are. Training is full-batch Adam; each step is one job in which every task sums the gradient
+over its documents, and one number a feature comes back; it ends early once the gradient is small. At most
+LABELLED_DOCUMENTS labelled documents train, those of the smallest hashes of doc_id; this bounds model and steps.
 
 Defined cases: a null or blank text has no sentences and scores 0; a document with several label rows counts as toxic
-if any says so, null labels are ignored; without labels of both classes no word has a weight and the score is the
-prior of the bias; repeated rows are scored each.
+if any says so, null labels and labels of a null doc_id are ignored; without labels of both classes, or without a word
+that separates them, every document scores 0 and none is dropped, however long; repeated rows train and are scored
+each, rows of a null doc_id are scored and, by the crc32 of the empty text, held out; no rows give no rows; texts are
+taken whole at any length; columns of any other name are ignored, and kept by the stage.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import id_hash, map_batches, stored, utf8_bytes
 
-FEATURES = 2048
+LABELLED_DOCUMENTS = 500_000
 LEAST_DOCUMENTS = 3
 LEAST_Z = 4.0
 BEGINNINGS = (4, 6)
@@ -36,6 +41,7 @@ STEPS = 60
 RATE = 0.3
 DECAY = 2e-5
 START_BIAS = -6.0
+SMALL_GRADIENT = 1e-7
 #: Labels are broadcast up to this number of rows (two small numbers each); beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
 WORDS_HELD = 300_000
@@ -51,8 +57,11 @@ def sentences(text: bytes) -> list[list[bytes]]:
 
 
 def word_features(word: bytes) -> list[bytes]:
-    """The word, and its first bytes marked with a star, which no word holds."""
-    return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
+    """The word, and its first characters marked with a star, which no word holds."""
+    if word.isascii():
+        return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
+    text = word.decode("utf-8", "surrogateescape")
+    return [word, *[text[:n].encode("utf-8", "surrogateescape") + b"*" for n in BEGINNINGS if len(text) > n]]
 
 
 @dataclass(frozen=True)
@@ -61,6 +70,7 @@ class SentenceModel:
     weights: np.ndarray  # one per feature, then the bias
 
     def word_weight(self, word: bytes) -> float:
+        """0 if the word has no feature."""
         return float(sum(self.weights[self.words[f]] for f in word_features(word) if f in self.words))
 
 
@@ -78,15 +88,15 @@ class WordWeights(dict):
         return found
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the labelled documents; one label per doc_id, toxic if any row says so."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS) -> DataFrame:
+    """text and toxic of ``most`` labelled documents; one label per doc_id, toxic if any row says so."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = stored(known, "labels")
+    known = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labels")
     few = known.count() <= BROADCAST_LABELS
     return docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id").select("text", "toxic")
 
 
-def screen(train: DataFrame, features: int = FEATURES) -> list[bytes]:
+def screen(train: DataFrame) -> list[bytes]:
     """The words whose document frequencies differ most between the classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +119,7 @@ def screen(train: DataFrame, features: int = FEATURES) -> list[bytes]:
     rate = (F.col("neg") + F.col("pos") + 0.5) / (neg + pos + 1.0)
     z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(rate * (1.0 - rate) * (1.0 / pos + 1.0 / neg))
     usable = counts.where((F.col("word") != F.lit(b"")) & (F.col("neg") + F.col("pos") >= LEAST_DOCUMENTS))
-    best = usable.select("word", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(features)
-    return [bytes(r["word"]) for r in best.collect()]
+    return usable.where(F.abs(z) >= LEAST_Z).select("word").orderBy("word").toArrow()["word"].to_pylist()
 
 
 def _counts(neg: Counter, pos: Counter) -> pa.RecordBatch:
@@ -119,24 +128,22 @@ def _counts(neg: Counter, pos: Counter) -> pa.RecordBatch:
 
 
 def instances(train: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """Per document: toxic, rest (sentences without a feature), feature and sentence numbers of what its sentences hold."""
+    """Per document: toxic, and the feature and sentence numbers of what its sentences hold."""
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rest, features, owners = [], [], []
+        features, owners = [], []
         for text in utf8_bytes(batch.column(0)):
-            got, own, empty = [], [], 0
+            got, own = [], []
             for s in sentences(text):
                 found = [words[f] for w in set(s) for f in word_features(w) if f in words]
                 if found:
                     own += [len(own) and own[-1] + 1] * len(found)
                     got += found
-                else:
-                    empty += 1
-            rest.append(empty), features.append(got), owners.append(own)
+            features.append(got), owners.append(own)
         lists = pa.list_(pa.int32())
-        return pa.record_batch({"toxic": batch.column(1).cast(pa.int32()), "rest": pa.array(rest, pa.int32()), "features": pa.array(features, lists), "owners": pa.array(owners, lists)})
+        return pa.record_batch({"toxic": batch.column(1).cast(pa.int32()), "features": pa.array(features, lists), "owners": pa.array(owners, lists)})
 
-    return stored(map_batches(train, encode, "toxic int, rest int, features array<int>, owners array<int>"), "tox-bags")
+    return stored(map_batches(train, encode, "toxic int, features array<int>, owners array<int>"), "tox-bags")
 
 
 def log_sigmoid_gap(z: np.ndarray) -> np.ndarray:
@@ -144,16 +151,16 @@ def log_sigmoid_gap(z: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0.0, z)
 
 
-def bag_gradient(weights: np.ndarray, toxic: np.ndarray, rest: np.ndarray, bag: np.ndarray, features: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def bag_gradient(weights: np.ndarray, toxic: np.ndarray, bag: np.ndarray, features: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Gradient of the log-likelihood. owner: sentence of each feature; bag: document of each sentence."""
     bias = weights[-1]
     z = bias + np.bincount(owner, weights[features], len(bag))
-    q, q0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-    clean = np.bincount(bag, log_sigmoid_gap(z), len(toxic)) + rest * log_sigmoid_gap(np.array(bias))
+    q = 1 / (1 + np.exp(-z))
+    clean = np.bincount(bag, log_sigmoid_gap(z), len(toxic))
     share = np.where(toxic > 0, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-12), -1.0)
     by_sentence = q * share[bag]
     out = np.bincount(features, by_sentence[owner], len(weights)).astype(float)
-    out[-1] = by_sentence.sum() + (rest * q0 * share).sum()
+    out[-1] = by_sentence.sum()
     return out
 
 
@@ -173,13 +180,13 @@ def fit(bags: DataFrame, words: list[bytes], steps: int = STEPS) -> SentenceMode
         def part(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(now)
             for batch in batches:
-                features, n = _flat(batch.column(2))
-                owner, _ = _flat(batch.column(3))
+                features, n = _flat(batch.column(1))
+                owner, _ = _flat(batch.column(2))
                 ends = np.cumsum(n)
                 sentence_counts = np.array([0 if not c else owner[e - 1] + 1 for c, e in zip(n, ends, strict=True)], dtype="int64")
                 starts = np.cumsum(sentence_counts) - sentence_counts
                 bag = np.repeat(np.arange(batch.num_rows), sentence_counts)
-                total += bag_gradient(now, batch.column(0).to_numpy(), batch.column(1).to_numpy(), bag, features, owner + np.repeat(starts, n))
+                total += bag_gradient(now, batch.column(0).to_numpy(), bag, features, owner + np.repeat(starts, n))
             used = np.flatnonzero(total)
             yield pa.record_batch({"k": pa.array(used, pa.int64()), "g": pa.array(total[used])})
 
@@ -187,26 +194,28 @@ def fit(bags: DataFrame, words: list[bytes], steps: int = STEPS) -> SentenceMode
         for row in bags.mapInArrow(part, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect():
             gradient[row["k"]] = row["g"]
         gradient = gradient / max(documents, 1) - DECAY * np.append(weights[:-1], 0.0)
+        if np.abs(gradient).max() < SMALL_GRADIENT:
+            break
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         weights = weights + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return SentenceModel({w: k for k, w in enumerate(words)}, weights)
 
 
-def train_model(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, steps: int = STEPS) -> SentenceModel:
-    train = labelled(docs, labels)
-    words = screen(train, features)
+def train_model(docs: DataFrame, labels: DataFrame, *, most: int = LABELLED_DOCUMENTS, steps: int = STEPS) -> SentenceModel:
+    train = labelled(docs, labels, most)
+    words = screen(train)
     return fit(instances(train, {w: k for k, w in enumerate(words)}), words, steps)
 
 
 def score_bytes(weights: WordWeights, text: bytes) -> tuple[float, int, list[int], list[float]]:
     """Noisy-or score, number of sentences, and the numbers and probabilities of sentences of 0.5 or more."""
-    weigh, bias = weights.__getitem__, weights.bias
-    totals = [bias + sum(map(weigh, set(words))) for words in sentences(text)]
-    if not totals:
-        return 0.0, 0, [], []
-    z = np.array(totals)
+    weigh, own = weights.__getitem__, sentences(text)
+    evidence = [(k, found) for k, words in enumerate(own) if (found := [x for x in map(weigh, set(words)) if x])]
+    if not evidence:
+        return 0.0, len(own), [], []
+    z = weights.bias + np.array([math.fsum(found) for _, found in evidence])
     hot = np.flatnonzero(z >= 0)
-    return float(-np.expm1(log_sigmoid_gap(z).sum())), len(z), hot.tolist(), (1 / (1 + np.exp(-z[hot]))).tolist()
+    return float(-np.expm1(log_sigmoid_gap(z).sum())), len(own), [evidence[k][0] for k in hot], (1 / (1 + np.exp(-z[hot]))).tolist()
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, keep: list[str]) -> DataFrame:

@@ -55,19 +55,47 @@ def test_toxicity_cases(spark):
     assert toxicity_mil.toxicity_stage(spark, documents(spark), marks.where("false")).count() == len(ROWS)
 
 
+def test_long_clean_texts_stay_with_any_labels(spark):
+    rows, labels = toxic_rows()
+    long = [(1000 + k, " river stone garden.\n" * n, "en", "s") for k, n in enumerate((100, 1000, 5000))]
+    docs = documents(spark, rows + long)
+    for kept in (labels, [], [x for x in labels if x[2]], [x for x in labels if not x[2]], [(i, q, None) for i, q, _ in labels]):
+        marks = spark.createDataFrame(kept, "doc_id long, quality int, toxic int")
+        scored = {r["doc_id"]: r["score"] for r in toxicity_mil.toxicity(docs, marks).select("doc_id", "score").collect()}
+        assert all(scored[i] < 0.5 for i, *_ in long)
+        if kept is not labels:
+            assert set(scored.values()) == {0.0} and toxicity_mil.toxicity_stage(spark, docs, marks).count() == len(rows) + 3
+
+
+def test_score_is_the_noisy_or_of_its_sentences(spark):
+    rows, labels = toxic_rows(120)
+    rows += [(900, "Gronk! you snarfly? " + rows[1][1], "en", "s"), (901, None, "en", "s"), (None, "you blarg", "en", "s")]
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity_mil.train_model(docs, marks)
+    weight = dict(zip(sorted(model.words, key=model.words.get), model.weights[:-1], strict=True))
+    for r in toxicity_mil.score_documents(docs, model, ["doc_id"]).collect():
+        text, clean = next(t for i, t, *_ in rows if i == r["doc_id"]), 1.0
+        for sentence in re.split("[.!?\r\n]", lower(text)):
+            own = {w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", sentence)}
+            parts = [weight[f] for w in own for f in {w, w[:4] + b"*" if len(w) > 4 else w, w[:6] + b"*" if len(w) > 6 else w} if f in weight]
+            if parts:
+                clean *= 1 - 1 / (1 + np.exp(-(model.weights[-1] + sum(parts))))
+        assert abs(r["score"] - (1 - clean)) < 1e-9
+
+
 def test_gradient_is_the_likelihood_slope():
     rng = np.random.default_rng(0)
-    toxic, rest = np.array([1, 0, 1]), np.array([2, 0, 1])
+    toxic = np.array([1, 0, 1])
     bag, owner = np.array([0, 0, 1, 2]), np.array([0, 0, 1, 2, 3, 3])
     features, weights = np.array([0, 1, 2, 0, 2, 1]), rng.normal(size=4)
 
     def loss(w):
         z = w[-1] + np.bincount(owner, w[features], 4)
-        clean = np.bincount(bag, -np.logaddexp(0, z), 3) - rest * np.logaddexp(0, w[-1])
+        clean = np.bincount(bag, -np.logaddexp(0, z), 3)
         return np.where(toxic > 0, np.log(-np.expm1(clean)), clean).sum()
 
     slope = [(loss(weights + 1e-6 * e) - loss(weights - 1e-6 * e)) / 2e-6 for e in np.eye(4)]
-    assert np.allclose(toxicity_mil.bag_gradient(weights, toxic, rest, bag, features, owner), slope, atol=1e-5)
+    assert np.allclose(toxicity_mil.bag_gradient(weights, toxic, bag, features, owner), slope, atol=1e-5)
 
 
 def brute_fingerprint(text):
