@@ -75,3 +75,22 @@ def utf8_bytes(column: pa.Array) -> list[bytes]:
     """Every text of an Arrow string column as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: str, copies: str, total: int, share: float = 1e-4) -> DataFrame:
+    """Inner join with ``keys``, one row a key with its number of ``copies`` among ``total`` rows.
+
+    Keys with more than ``share`` of all rows, of which there are fewer than 1 / share, are broadcast, so that a hot key's
+    rows stay where they are; the others meet by a shuffle.
+    """
+    hot = F.col(copies) > F.lit(share * total)
+    few = F.broadcast(keys.where(hot))
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(keys.where(~hot), on))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import join_hot, stored
 
 THRESHOLD = 0.8
 #: Words are counted in a power of two of cells: one for this many bytes of text or less, up to a bound of memory.
@@ -51,8 +51,6 @@ LEVEL_BIT = 57
 BROADCAST_BYTES = 64 << 20
 #: Words above which a line's signature has 128 or 256 cells.
 LONG_LINE, LONGER_LINE = 80, 170
-#: A set with more than this share of all lines is hot; fewer than 10,000 sets can be.
-HOT_SHARE = 1e-4
 WHITE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
@@ -246,9 +244,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines, sets = distinct_sets(docs, threshold)
     gone = matched_sets(sets, docs, threshold).withColumn("gone", F.lit(True))
     known = sets.select("id", "sid", "first", "copies").join(gone, "id", "left").drop("id")
-    hot = F.col("copies") > F.lit(HOT_SHARE * lines.count())
-    few = F.broadcast(known.where(hot))
-    marked = lines.join(few, "sid").unionByName(lines.join(few.select("sid"), "sid", "left_anti").join(known.where(~hot), "sid"))
+    marked = join_hot(lines, known, "sid", "copies", lines.count())
     itself = F.struct("doc_id", "th", "line_no")
     return marked.where(F.col("gone") | ~itself.eqNullSafe(F.col("first"))).select("doc_id", "th", "line_no")
 

@@ -7,13 +7,19 @@ Search is over distinct fingerprints, so exact copies cost nothing. The 64 bits
 fingerprints that differ in at most DISTANCE bits agree on at least BLOCKS - DISTANCE of them, so each choice of that
 many blocks gives a key and every linked pair shares a key. Fingerprints meet by key and the distance is verified.
 
-Groups are never expanded into all their pairs: a key's fingerprints are dealt into parts of about PART, each pair of
-parts is one array row of bounded size, and of the verified links inside an array only a spanning forest is written,
-which keeps every connection. Nothing is dropped. The number of blocks follows the number of distinct fingerprints, so
-that a key holds few of them by chance; the result is the same for any number.
+Groups are never expanded into all their pairs: a key of more than REKEYED fingerprints is split by a second choice of
+blocks, made of other bits, which any linked pair shares as well; what a key holds then is dealt into parts of about
+PART, each pair of parts is one array row of bounded size, and of the verified links inside an array only a spanning
+forest is written, which keeps every connection. Nothing is dropped. The number of blocks follows the number of distinct
+fingerprints, so that a key holds few of them by chance; the result is the same for any number.
+
+A class of equal fingerprints is known by its first row (smallest doc_id), and components are labelled by the first row
+of all, so the smallest doc_id comes out of the contraction itself and no component is ever gathered.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; rows of equal doc_id are documents of
-their own; a null doc_id keeps its row, and component_id is the smallest id that is not null (null if there is none).
+their own; a null doc_id keeps its row, and component_id is the smallest id that is not null (null if there is none);
+texts are taken whole at any length; no rows give no rows; other columns, of whatever names, are ignored and kept by
+the stage.
 """
 
 from __future__ import annotations
@@ -26,13 +32,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_LOWER, map_batches, stored, utf8_bytes
+from .common import ASCII_LOWER, free_name, join_hot, map_batches, stored, utf8_bytes
 from .components import connected_components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 PART = 2048
+REKEYED = 16 * PART
+#: Rows that stay are broadcast (some 40 bytes each) up to this number, else joined by shuffle.
+BROADCAST_KEPT = 1_000_000
 #: Distinct fingerprints up to which a number of blocks is used: keys of 21, 27 and 32 bits.
 BLOCKS_UP_TO = {6: 1 << 25, 7: 1 << 31, 8: 1 << 63}
 
@@ -61,19 +69,22 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (long) of every row."""
+    """doc_id, th (hash of the text) and fp (fingerprint, long) of every row."""
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [fingerprint(shingle_hashes(x)) for x in utf8_bytes(batch.column(1))]
-        return pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(found, pa.int64())})
+        found = [fingerprint(shingle_hashes(x)) for x in utf8_bytes(batch.column(2))]
+        return pa.record_batch({"doc_id": batch.column(0), "th": batch.column(1), "fp": pa.array(found, pa.int64())})
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), encode, "doc_id long, th long, fp long")
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), encode, "doc_id long, fp long")
 
+def block_keys(fp: str = "fp", blocks: int = 6, distance: int = DISTANCE, scattered: bool = False) -> F.Column:
+    """An array with a key (number of the choice, masked fingerprint) for each choice of blocks that may agree.
 
-def block_keys(fp: str = "fp", blocks: int = 6, distance: int = DISTANCE) -> F.Column:
-    """An array with a key (number of the choice, masked fingerprint) for each choice of blocks that may agree."""
+    A block is a run of bits or, if ``scattered``, every bit whose number leaves the same remainder.
+    """
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
+    masks = [sum(1 << b for b in (range(k, 64, blocks) if scattered else range(edges[k], edges[k + 1]))) for k in range(blocks)]
     keys = []
     for n, chosen in enumerate(combinations(range(blocks), blocks - distance)):
         mask = sum(masks[k] for k in chosen)
@@ -98,18 +109,25 @@ def _spanning(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame, *, blocks: int | None = None, distance: int = DISTANCE, part: int = PART) -> DataFrame:
+def links(distinct: DataFrame, *, blocks: int | None = None, distance: int = DISTANCE, part: int = PART, rekeyed: int = REKEYED) -> DataFrame:
     """a, b: enough verified links between distinct fingerprints (column fp) to connect all that are linked."""
     if blocks is None:
         count = distinct.count()
         blocks = next(n for n, most in BLOCKS_UP_TO.items() if count <= most)
-    keyed = distinct.select("fp", F.explode(block_keys("fp", blocks, distance)).alias("key")).select("fp", "key.n", "key.bits")
-    shared = stored(keyed.groupBy("n", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-keys")
-    met = keyed.join(shared, ["n", "bits"]).withColumn("parts", F.ceil(F.col("size") / F.lit(part)).cast("int"))
+    names = ["n", "bits", "n2", "bits2"]
+
+    def sized(keyed: DataFrame, name: str) -> DataFrame:
+        shared = stored(keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), name)
+        return keyed.join(shared, names)
+
+    keyed = distinct.select("fp", F.explode(block_keys("fp", blocks, distance)).alias("key")).select("fp", "key.n", "key.bits", F.lit(0).cast("byte").alias("n2"), F.lit(0).cast("long").alias("bits2"))
+    first = sized(keyed, "simhash-keys")
+    split = first.where(F.col("size") > rekeyed).select("fp", "n", "bits", F.explode(block_keys("fp", blocks, distance, scattered=True)).alias("key")).select("fp", "n", "bits", F.col("key.n").alias("n2"), F.col("key.bits").alias("bits2"))
+    met = first.where(F.col("size") <= rekeyed).unionByName(sized(split, "simhash-keys")).withColumn("parts", F.ceil(F.col("size") / F.lit(part)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = met.select("fp", "n", "bits", own.alias("own"), other).select("fp", "n", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    arrays = dealt.groupBy("n", "bits", "low", "high").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    dealt = met.select("fp", *names, own.alias("own"), other).select("fp", *names, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    arrays = dealt.groupBy(*names, "low", "high").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,33 +148,43 @@ def links(distinct: DataFrame, *, blocks: int | None = None, distance: int = DIS
 
 
 def components(marked: DataFrame, *, blocks: int | None = None, distance: int = DISTANCE) -> DataFrame:
-    """fp and component_id (smallest doc_id) for every distinct fingerprint of ``marked`` (doc_id, fp)."""
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    found = connected_components(links(classes, blocks=blocks, distance=distance), "a", "b")
-    linked = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    return linked.join(smallest, "component").select("fp", "component_id")
+    """Stored: fp, copies, own and component of every distinct fingerprint of ``marked`` (doc_id, th, fp).
+
+    own and component are the first rows (no_id, doc_id, th, fp) of the fingerprint and of its whole component.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "fp")
+    classes = stored(marked.groupBy("fp").agg(F.min(row).alias("own"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
+    edges = stored(links(classes, blocks=blocks, distance=distance), "simhash-links")
+    for end in "ab":
+        edges = edges.join(classes.select(F.col("fp").alias(end), F.col("own").alias(f"{end}_own")), end)
+    found = connected_components(edges, "a_own", "b_own").select("node.fp", "component")
+    return stored(classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "own")), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     marked = stored(fingerprints(docs), "simhash-fps")
-    return marked.join(components(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(marked).select("fp", "copies", F.col("component.doc_id").alias("component_id"))
+    joined = join_hot(marked.select("doc_id", "fp"), found, "fp", "copies", marked.count())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id, null last; of its repeated rows one stays."""
-    marked = stored(fingerprints(docs), "simhash-fps")
-    classes = components(marked).withColumnRenamed("component_id", "__component")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
-    kept = marked.join(classes, "fp").groupBy("__component").agg(F.min(order).alias("k")).select(F.concat_ws(":", "k.fp", "k.doc_id").alias("__key"))
-    where, fields = docs.columns.index("text"), docs.schema
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(shingle_hashes(x)) for x in utf8_bytes(batch.column(where))]
-            yield batch.append_column("__fp", pa.array(found, pa.int64()))
+    """``docs`` with one document of each component: the smallest doc_id, null last; of its repeated rows one stays.
 
-    own = docs.mapInArrow(mark, StructType([*fields.fields, StructField("__fp", LongType())]))
-    keyed = own.withColumn("__key", F.concat_ws(":", "__fp", "doc_id"))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    A row is known by doc_id and a hash of its text, so fingerprints are made once; texts are only shuffled if more rows
+    stay than may be broadcast, and where a row that stays is repeated.
+    """
+    marked = stored(fingerprints(docs), "simhash-fps")
+    first = components(marked).where("own = component").select("own.doc_id", "own.th")
+    key, th = free_name(docs, "key"), free_name(docs, "th")
+    own_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)
+    rows = marked.groupBy(own_key, F.col("th").alias(th)).count()
+    kept = stored(first.select(own_key, F.col("th").alias(th)).join(rows, [key, th]), "simhash-kept")
+    few = F.broadcast if kept.count() <= BROADCAST_KEPT else lambda df: df
+    keyed = docs.select("*", own_key, F.xxhash64("text").alias(th))
+    out = keyed.join(few(kept.where("count = 1").drop("count")), [key, th], "left_semi")
+    repeated = kept.where("count > 1").drop("count")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(few(repeated), [key, th], "left_semi").dropDuplicates([key, th]))
+    return out.select(*docs.columns)

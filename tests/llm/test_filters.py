@@ -152,8 +152,8 @@ def test_links_connect_dense_and_sparse_groups(spark):
     arr = np.array(values, dtype="int64").view("uint64")
     pairs = [(values[i], values[j]) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(arr[i + 1 :] ^ arr[i]) <= 4) + i + 1]
     wanted = brute_components(pairs, values)
-    for blocks, part in ((6, 64), (7, 2048), (8, 100)):
-        got = simhash.links(frame, blocks=blocks, part=part).collect()
+    for blocks, part, rekeyed in ((6, 64, 1 << 20), (7, 2048, 50), (8, 100, 10)):
+        got = simhash.links(frame, blocks=blocks, part=part, rekeyed=rekeyed).collect()
         assert all(bin((r["a"] ^ r["b"]) & (2**64 - 1)).count("1") <= 4 for r in got)
         assert brute_components([(r["a"], r["b"]) for r in got], values) == wanted
 
@@ -169,6 +169,16 @@ def test_dedup_stage_keeps_one_of_each_group(spark):
     assert simhash.dedup_stage(empty(spark)).count() == 0
 
 
+def test_dedup_stage_with_repeated_ids_and_clashing_names(spark, monkeypatch):
+    rows = [(1, "alpha beta gamma delta epsilon", "en", "a"), (1, "alpha beta gamma delta epsilon", "en", "b"), (1, "another text of the same id", "en", "a"), (2, "alpha beta gamma delta epsilon", "en", "a"), (None, "no id here at all", "en", "a"), (None, "no id here at all", "en", "a"), (3, None, "en", "a"), (4, " ", "en", "a")]
+    docs = documents(spark, rows).selectExpr("*", "'t' as th", "0L as count", "1 as copies2")
+    for most in (10, -1):
+        monkeypatch.setattr(simhash, "BROADCAST_KEPT", most)
+        kept = simhash.dedup_stage(docs)
+        assert kept.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [("1", "alpha beta gamma delta epsilon"), ("1", "another text of the same id"), ("3", ""), ("None", "no id here at all")]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
     found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
