@@ -1,14 +1,20 @@
 """Sharding through fixed virtual slots.
 
 Every record is hashed into one of a fixed number of slots (thousands, whatever the number of shards or records).
-Bytes and rows are aggregated per slot, and a small versioned table maps slots to shards. Rebalancing or adding a
-shard edits that table only: records never change their slot, so only the records of edited slots move.
-
-All of it is DataFrame and SQL functions. What is gathered at one place is always one row per slot, and the number
-of slots is a constant; hot sources or groups of equal texts spread over the slots since the slot hashes ``doc_id``.
-
-Defined cases: a null ``text`` counts 0 bytes; a null ``doc_id`` hashes as the empty text; repeated rows land in one
-slot and are placed one after the other; no rows give no rows; a single record larger than a shard's share stays whole.
+Bytes and rows are aggregated per slot, and a small versioned table, kept as one folder a version, maps slots to shards.
+Rebalancing or adding a shard writes a further version of that table: records never change their slot, so only the
+records of edited slots move.
+
+The slot is a hash of ``doc_id``, so hot sources or groups of equal texts spread over the slots. Only a doc_id that
+holds more than HOT_SHARE of all rows and more than one (nulls, a broken key) is spread by its texts and by the place of
+its rows in the input as well. Places are counted within parts of a slot, whose sizes are known, so no task orders more
+than a part. All of it is DataFrame and SQL functions. What is gathered at one place is one row per slot or part, a
+constant number.
+
+Defined cases: a null ``text`` counts 0 bytes; a null ``doc_id`` hashes as the empty text; repeated rows count and are
+placed each, those of a rare doc_id in one slot one after the other; rows that agree in doc_id and text may change places
+with each other; no rows give no rows; a single record larger than a shard's share stays whole; long texts are only
+measured and hashed; of incoming columns, the stage replaces size, vslot, shard and slot and keeps all others.
 """
 
 from __future__ import annotations
@@ -19,36 +25,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import free_name, fresh_path, stored
 
 SLOTS = 4096
+PARTS = 64
 ROW_OVERHEAD = 8
+HOT_SHARE = 1e-4
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """``table``: version int, vslot int, shard int, slot_bytes long, slot_rows long; one row per version and slot."""
+    """A folder with a folder per version; rows: vslot int, shard int, slot_bytes long, slot_rows long, shards int."""
 
-    table: DataFrame
+    path: str
     version: int
+    table: DataFrame
     shards: int
 
+    @staticmethod
+    def save(table: DataFrame, path: str, version: int, shards: int) -> SlotMap:
+        table.withColumn("shards", F.lit(shards)).write.parquet(f"{path}/version={version}")
+        return SlotMap.load(table.sparkSession, path, version)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """That version, or the latest."""
+        if version is None:
+            version = spark.read.parquet(path).agg(F.max("version")).first()[0]
+        table = spark.read.parquet(f"{path}/version={version}")
+        return SlotMap(path, version, table.drop("shards"), table.agg(F.max("shards")).first()[0])
+
     def current(self) -> DataFrame:
-        return self.table.where(F.col("version") == self.version).drop("version")
+        return self.table
 
 
-def virtual_slot(doc_id: str = "doc_id", slots: int = SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def virtual_slot(hashed: F.Column, slots: int = SLOTS) -> F.Column:
+    return F.pmod(hashed, F.lit(slots)).cast("int")
+
+
+def _id(doc_id: str = "doc_id") -> F.Column:
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
 
 def record_size(text: str = "text") -> F.Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + F.lit(ROW_OVERHEAD)
 
 
-def slot_statistics(records: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Bytes and rows of every slot, empty slots included. ``records`` has vslot and size."""
-    every = records.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
-    seen = records.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
+def every_slot(seen: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """vslot, slot_bytes, slot_rows of all slots, those without records included."""
+    every = seen.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(seen, "vslot", "left").na.fill(0)
 
 
@@ -74,9 +99,10 @@ def plan_slots(stats: DataFrame, shards: int) -> DataFrame:
     return done.select(F.explode("state.placed").alias("p")).select("p.vslot", "p.shard", "p.slot_bytes", "p.slot_rows")
 
 
-def first_map(stats: DataFrame, shards: int) -> SlotMap:
-    table = plan_slots(stats, shards).select(F.lit(1).alias("version"), "vslot", "shard", "slot_bytes", "slot_rows")
-    return SlotMap(stored(table, "slot-map"), 1, shards)
+def first_map(stats: DataFrame, shards: int, path: str | None = None) -> SlotMap:
+    """Version 1 of a map, in a folder of its own or under ``path``."""
+    table = plan_slots(stats, shards)
+    return SlotMap.save(table, path or fresh_path(stats.sparkSession, "slot-map"), 1, shards)
 
 
 def grown_map(old: SlotMap, more: int = 1) -> SlotMap:
@@ -95,27 +121,40 @@ def grown_map(old: SlotMap, more: int = 1) -> SlotMap:
     marked = marked.withColumn("__moves", moves & (F.col("slot_rows") > 0))
     turn = F.row_number().over(Window.partitionBy("__moves").orderBy(F.desc("slot_bytes"), "vslot")) - 1
     target = F.when(F.col("__moves"), F.lit(old.shards) + turn % F.lit(more)).otherwise(F.col("shard"))
-    edited = marked.select(F.lit(old.version + 1).alias("version"), "vslot", target.cast("int").alias("shard"), "slot_bytes", "slot_rows")
-    return SlotMap(stored(old.table.unionByName(edited), "slot-map"), old.version + 1, old.shards + more)
+    edited = marked.select("vslot", target.cast("int").alias("shard"), "slot_bytes", "slot_rows")
+    return SlotMap.save(edited, old.path, old.version + 1, old.shards + more)
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with vslot and size; earlier columns of those names are replaced."""
-    return docs.withColumns({"vslot": virtual_slot(slots=slots), "size": record_size()})
+    """``docs`` with vslot, part and size; earlier columns of those names are replaced. Needs doc_id and text."""
+    total = docs.count()
+    most = F.lit(max(HOT_SHARE * total, 1.0))
+    key, hot = free_name(docs, "key"), free_name(docs, "hot")
+    few = docs.groupBy(_id().alias(key)).agg(F.count(F.lit(1)).alias(hot)).where(F.col(hot) > most)  # fewer than 1 / HOT_SHARE
+    keyed = docs.withColumn(key, _id()).join(F.broadcast(few), key, "left")
+    spread = F.xxhash64(key, F.xxhash64("text"), F.monotonically_increasing_id())
+    hashed = F.when(F.col(hot).isNull(), F.xxhash64(key)).otherwise(spread)
+    names = {"vslot": virtual_slot(hashed, slots), "part": F.shiftright(hashed, 40).bitwiseAND(PARTS - 1).cast("int"), "size": record_size()}
+    return keyed.withColumns(names).drop(key, hot)
+
 
+def part_statistics(records: DataFrame) -> DataFrame:
+    """Bytes and rows of every part of a slot that has any."""
+    return records.groupBy("vslot", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
 
-def place(records: DataFrame, slot_map: SlotMap) -> DataFrame:
+
+def place(records: DataFrame, parts: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Adds shard, and slot: the record's place in its shard, gapless from 0.
 
-    Places are counted within a virtual slot and moved up by the rows of the shard's earlier slots, so no task ever
-    orders a whole shard. The map has one row per slot, a fixed number, and is broadcast.
+    ``records`` has vslot, part, size and th (a hash of the text), which are followed by places. Places are counted
+    within a part and moved up by the rows of the shard's earlier parts. Parts have one row each, SLOTS x PARTS at most,
+    and are broadcast.
     """
-    before = F.sum("slot_rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
-    entry = slot_map.current().select("vslot", "shard", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size"))
-    ranked = records.drop("shard", "slot", "__before", "__within").withColumn("__within", within)
-    joined = ranked.join(F.broadcast(entry), "vslot")
-    return joined.withColumn("slot", (F.col("__before") + F.col("__within") - 1).cast("long")).drop("__before", "__within")
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1))
+    entry = parts.join(F.broadcast(slot_map.current().select("vslot", "shard")), "vslot").select("vslot", "part", "shard", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "size", "th"))
+    joined = records.withColumn("within", within).join(F.broadcast(entry), ["vslot", "part"])
+    return joined.withColumn("slot", (F.col("before") + F.col("within") - 1).cast("long")).drop("before", "within", "part")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
@@ -123,14 +162,21 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> Da
 
     The map weighs slots by measured bytes, so the law kept is ``bytes``: shard sizes are near equal.
     """
-    slim = docs.select("doc_id", record_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), virtual_slot(slots=slots).alias("vslot"))
-    placed = place(slim, first_map(slot_statistics(slim, slots), shards))
+    sized = with_slots(docs.select("doc_id", "text"), slots)
+    slim = sized.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("th"), "vslot", "part")
+    placed = _placed(slim, shards, slots)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def _placed(records: DataFrame, shards: int, slots: int) -> DataFrame:
+    parts = stored(part_statistics(records.select("vslot", "part", "size")), "slot-parts")
+    by_slot = parts.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.sum("rows").alias("slot_rows"))
+    return place(records, parts, first_map(every_slot(by_slot, slots), shards))
+
+
 def shard_stage(spark: SparkSession, docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """Every record with size, vslot, shard and slot added; the records of a slot are brought together."""
-    names = [c for c in docs.columns if c not in ("size", "vslot", "shard", "slot")]
-    sized = with_slots(docs, slots)
-    placed = place(sized, first_map(slot_statistics(sized.select("vslot", "size"), slots), shards))
-    return placed.select(*names, "size", "vslot", "shard", "slot")
+    """Every record with size, vslot, shard and slot added; the records of a part of a slot are brought together."""
+    names = [c for c in docs.columns if c.lower() not in ("size", "vslot", "shard", "slot")]
+    row = docs.select("doc_id", "text", F.struct(*names).alias("row"))
+    records = with_slots(row, slots).select("doc_id", F.xxhash64("text").alias("th"), "row", "size", "vslot", "part")
+    return _placed(records, shards, slots).select("row.*", "size", "vslot", "shard", "slot")

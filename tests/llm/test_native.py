@@ -106,6 +106,38 @@ def test_sharding_cases(spark):
     assert len(staged.collect()) == len(ROWS) and {"shard", "slot", "vslot", "size", "text"} <= set(staged.columns)
 
 
+def test_law_holds_with_repeated_and_null_ids(spark):
+    same = [(7, "the same text", "en", "s")] * 1500 + [(7, f"text {k}", "en", "s") for k in range(1500)]
+    rows = same + [(None, None, "en", "s")] * 900 + [(None, f"no id {k}", "en", "s") for k in range(900)] + [(100 + k, "x" * (k % 90), "en", "s") for k in range(2000)]
+    got = virtual_slots.shard_documents(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    loads = check_shards(got, 24)
+    assert max(loads) - min(loads) < 200
+    staged = virtual_slots.shard_stage(spark, documents(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in staged) == sorted((str(i), t or "") for i, t, *_ in rows)
+    loads = check_shards(staged, 24)
+    assert max(loads) - min(loads) < 200
+
+
+def test_slots_and_shards_match_brute_force(spark):
+    rows = [(i, "y" * (i * 53 % 700), "en", "s") for i in range(3000)]
+    got = virtual_slots.shard_documents(documents(spark, rows)).collect()
+    hashes = dict(spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", F.xxhash64(F.col("doc_id").cast("string"))).collect())
+    sizes, counts = Counter(), Counter()
+    for i, text, *_ in rows:
+        sizes[hashes[i] % 4096] += len(text) + 8
+    loads, shard_of = [0] * 24, {}
+    for k in sorted(range(4096), key=lambda k: (-sizes[k], k)):
+        low = min(range(24), key=lambda s: (loads[s], s))
+        shard_of[k] = low
+        loads[low] += sizes[k]
+    assert all(r["vslot"] == hashes[r["doc_id"]] % 4096 and r["shard"] == shard_of[r["vslot"]] for r in got)
+    order = sorted(got, key=lambda r: (r["shard"], r["vslot"], hashes[r["doc_id"]] >> 40 & 63, r["doc_id"]))
+    for r in order:
+        assert r["slot"] == counts[r["shard"]]
+        counts[r["shard"]] += 1
+
+
 def test_greedy_plan_is_longest_first(spark):
     rng = np.random.default_rng(8)
     sizes = rng.integers(0, 1000, 300).tolist()
@@ -124,7 +156,10 @@ def test_growing_edits_the_map_toward_new_shards_only(spark):
     stats = spark.createDataFrame([(k, int(s), 1) for k, s in enumerate(rng.integers(1, 1000, 2000))], "vslot int, slot_bytes long, slot_rows long")
     old = virtual_slots.first_map(stats, 6)
     new = virtual_slots.grown_map(old)
-    assert new.version == 2 and new.table.where("version = 1").count() == 2000
+    assert new.version == 2 and virtual_slots.SlotMap.load(spark, old.path, 1).current().count() == 2000
+    again = virtual_slots.SlotMap.load(spark, old.path)  # the latest
+    assert (again.version, again.shards) == (2, 7) and sorted(again.current().collect()) == sorted(new.current().collect())
+    assert virtual_slots.grown_map(again).version == 3
     before = {r["vslot"]: r["shard"] for r in old.current().collect()}
     loads = Counter()
     for r in new.current().collect():
