@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_hot, stored
+from .common import free_name, join_hot, stored
 
 THRESHOLD = 0.8
 #: Words are counted in a power of two of cells: one for this many bytes of text or less, up to a bound of memory.
@@ -251,12 +251,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` plus removed_lines (numbers from 0); text is what is left, null where it was null."""
-    key, _ = _document()
-    taken = removed.groupBy(key.alias("__key"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    key, th = free_name(docs, "key"), free_name(docs, "text_hash")
+    taken = removed.groupBy(_document()[0].alias(key), F.col("th").alias(th)).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     taken = stored(taken, "line-removed")
-    names = [c for c in docs.columns if c != "removed_lines"]
-    own = docs.select(*names, *[c.alias(n) for c, n in zip(_document(), ("__key", "__th"), strict=True)])
-    joined = own.join(_small(taken, "removed_lines", 4), ["__key", "__th"], "left")
+    names = [c for c in docs.columns if c.lower() != "removed_lines"]
+    own = docs.select(*names, *[c.alias(n) for c, n in zip(_document(), (key, th), strict=True)])
+    joined = own.join(_small(taken, "removed_lines", 4), [key, th], "left")
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
     parts = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(F.col("removed_lines"), at))
     left = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(parts, "\n"))

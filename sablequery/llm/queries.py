@@ -35,7 +35,7 @@ def op5_arrow_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(read_table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.round(c, 9) for c in ("weight", "epochs")})
+    return found.withColumns({c: F.round(c, 9) for c in ("weight", "epochs")}).withColumn("places", F.array_join("places", ","))
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,20 +77,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 MIXING = r"""
-WITH RECURSIVE k AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5(CAST(doc_id AS VARCHAR) || ':17') AS m FROM documents),
+WITH RECURSIVE k AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':17') AS m FROM documents),
 s AS (SELECT source, sum(n_tokens)::DOUBLE AS t FROM k GROUP BY 1), sh AS (SELECT source, t, t / (SELECT sum(t) FROM s) AS p FROM s),
 bis AS (SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
  SELECT step + 1, CASE WHEN e > 2.0 THEN (low + high) / 2 ELSE low END, CASE WHEN e > 2.0 THEN high ELSE (low + high) / 2 END
  FROM (SELECT step, low, high, (SELECT max(pow(p, (low + high) / 2) / p) / min(pow(p, (low + high) / 2) / p) FROM sh) AS e FROM bis WHERE step < 30)),
 a AS (SELECT (low + high) / 2 AS a FROM bis WHERE step = 30), r AS (SELECT source, t, pow(p, a) AS r FROM sh, a), z AS (SELECT sum(r) AS z, max(t / r) AS most FROM r),
 w AS (SELECT source, t, r / z AS weight, round(r / z * (z * most), 6) AS quota FROM r, z),
-e AS (SELECT *, quota / t AS epochs, CAST(floor(quota / t + 1e-9) AS INTEGER) AS whole, greatest(1, CAST(ceil(t / 262144) AS BIGINT)) AS blocks FROM w),
+e AS (SELECT *, quota / t AS epochs, CAST(floor(quota / t + 1e-9) AS INTEGER) AS whole, greatest(1, least(65536, CAST(ceil(t / 262144) AS BIGINT))) AS blocks FROM w),
 n AS (SELECT k.doc_id, k.source, k.n_tokens, e.*  EXCLUDE (source), ('0x' || m[1:13])::BIGINT % blocks AS block, m[14:] AS draw FROM k JOIN e USING (source)),
-bl AS (SELECT source, block, sum(n_tokens) AS bt, any_value(quota - whole * t) AS l FROM n GROUP BY ALL),
-bb AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY source ORDER BY md5(CAST(block AS VARCHAR) || ':18'), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
-q AS (SELECT n.*, before, bt, l, sum(n_tokens) OVER (PARTITION BY n.source, n.block ORDER BY draw, doc_id) AS upto FROM n JOIN bb USING (source, block))
-SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, round(epochs, 9) AS epochs, block,
- whole + CASE WHEN l <= before THEN 0 WHEN before + bt <= l THEN 1 WHEN before + upto <= l THEN 1 ELSE 0 END AS copies FROM q"""
+bl AS (SELECT source, block, any_value(whole) AS wh, sum(n_tokens) AS bt, any_value(quota - whole * t) AS l FROM n GROUP BY ALL),
+bb AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', block, wh, 18)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
+q AS (SELECT n.*, before, bt, l, sum(n_tokens) OVER (PARTITION BY n.source, n.block ORDER BY draw, doc_id) AS upto FROM n JOIN bb USING (source, block)),
+c AS (SELECT *, whole + CASE WHEN l <= before THEN 0 WHEN before + bt <= l THEN 1 WHEN before + upto <= l THEN 1 ELSE 0 END AS copies FROM q)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, round(epochs, 9) AS epochs, block, copies,
+ array_to_string(list_transform(range(0, copies), lambda e: CAST(floor((e + ('0x' || md5(concat_ws(':', block, e, 18))[1:13])::BIGINT / pow(2.0, 52)) / greatest(epochs, copies::DOUBLE) * 1000000) AS BIGINT)), ',') AS places FROM c"""
 
 LINES = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),

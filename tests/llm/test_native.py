@@ -54,7 +54,7 @@ def test_mix_keeps_budgets(spark):
 
 def test_small_blocks_give_the_same_budgets(spark):
     rows = sources()
-    slim = common.stored(documents(spark, rows, clash=False).select("doc_id", "source", mixing.token_count().alias("n_tokens")), "t")
+    slim = common.stored(mixing._tokens(documents(spark, rows, clash=False)), "t")
     shares = mixing.source_shares(slim)
     weights = mixing.mixing_weights(shares, 0.5, budget_tokens=9000)
     got = mixing.realise(slim, *mixing.draw_plan(slim, weights, block_tokens=100)).collect()
@@ -64,6 +64,34 @@ def test_small_blocks_give_the_same_budgets(spark):
     assert all(-40 <= mixed[s] - q <= 1e-3 for s, q in quota.items())
 
 
+def test_places_order_every_epoch(spark):
+    rows = sources()
+    docs = documents(spark, rows)
+    got = mixing.mix(docs, max_repetition=2.0).collect()
+    blocks = defaultdict(set)
+    for r in got:
+        assert len(r["places"]) == r["copies"] and r["places"] == sorted(r["places"]) and all(0 <= p < mixing.PLACES for p in r["places"])
+        for e, p in enumerate(r["places"]):
+            assert math.floor(p / mixing.PLACES * max(r["epochs"], r["copies"]) + 1e-5) == e
+            blocks[r["source"], r["block"], e, max(r["epochs"], r["copies"])].add(p)
+    assert all(len(own) == 1 for own in blocks.values())  # a block stays together in its epoch
+    ordered = mixing.mixed_corpus(docs).collect()
+    assert [r["place"] for r in ordered] == sorted(p for r in got for p in r["places"])
+    assert ordered[0].asDict().keys() - {"place"} == set(docs.columns)
+
+
+def test_many_null_ids_keep_the_budgets(spark):
+    rows = [(None, " ".join(["w"] * (1 + k % 30)) + f" {k}", "en", "big") for k in range(400)] + [(k, "some words here", "en", "small") for k in range(60)]
+    slim = common.stored(mixing._tokens(documents(spark, rows, clash=False)), "t")
+    weights = mixing.mixing_weights(mixing.source_shares(slim), 0.7, budget_tokens=5000)
+    got = mixing.realise(slim, *mixing.draw_plan(slim, weights, block_tokens=200)).collect()
+    mixed, quota = Counter(), {r["source"]: r["quota_tokens"] for r in weights.collect()}
+    for r in got:
+        mixed[r["source"]] += r["n_tokens"] * r["copies"]
+    assert len(got) == 460 and len({r["block"] for r in got if r["doc_id"] is None}) > 10
+    assert all(-40 <= mixed[s] - q <= 1e-3 for s, q in quota.items())
+
+
 def test_mix_cases_and_stage(spark):
     docs = documents(spark)
     got = mixing.mix(docs).collect()
