@@ -2,23 +2,26 @@
 
 Of every RUN consecutive hashes of GRAM words the smallest is kept (the rightmost of equals). Two texts that share a
 span of at least WINDOW = RUN + GRAM - 1 words have at least one whole run in common, so they keep the same hash at the
-same place in it: joining kept hashes of documents and items finds every such pair. Each hit is then extended word by
-word to the whole common span, and spans of WINDOW words or more count.
+same place in it: joining kept hashes of documents and items finds every such pair. A pair's hits are then extended to
+all that the two share: rolling hashes of WINDOW words of the document are looked up among the item's, and what is found
+is compared word by word. Time is in proportion to both lengths, however often a text repeats itself.
 
 Items with fewer than WINDOW words are one window each; for the few lengths that occur, documents keep all hashes of
-that many words instead. Hashes only propose pairs: extension compares the words.
+that many words instead. Hashes only propose: the words decide.
 
-While the items' distinct hashes are few (BROADCAST_HASHES), tasks drop other document hashes before the join; beyond
-that all go through the shuffle join. A document is only compared with the items that its hashes name.
+While the items' distinct hashes are few (BROADCAST_HASHES), tasks drop other document hashes before the join, and the
+items' side of the join is broadcast, so that a passage shared by many documents is no hot key; beyond that all go
+through the shuffle join. A document is only compared with the items that its hashes name, items of equal text once.
 
-Defined cases: null or wordless texts have no words and no windows; rows of equal doc_id are checked each by itself;
-repeated items, or items of equal text, all count; null item_id is ignored.
+Defined cases: null or wordless texts have no words and no windows; rows of equal doc_id, null included, are checked each
+by its own text; repeated items, or items of equal text, all count; a null item_id is ignored; no documents give no rows,
+no items leave all documents clean; texts are taken whole at any length; columns of any other name are ignored, and kept
+by the stage.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,64 +122,61 @@ def document_hashes(docs: DataFrame, short: list[int], known: np.ndarray | None)
                 hashes.append(found.view("int64"))
             yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "n_words": pa.array(counts, pa.int64()), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), "text")
     return stored(slim.mapInArrow(encode, "doc_id long, key string, n_words long, hashes array<long>"), "winnowed")
 
 
 def _key() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-
-
-def kept_positions(document: list[bytes], table: WordHashes) -> dict[int, list[int]]:
-    """The document's kept hashes with their places."""
-    grams = gram_hashes(np.array([table[w] for w in document], dtype="uint64"), GRAM)
-    kept: dict[int, list[int]] = defaultdict(list)
-    for p in winnow(grams).tolist():
-        kept[int(grams[p])].append(p)
-    return kept
-
-
-def spans(document: list[bytes], item: list[bytes], item_table: WordHashes, kept: dict[int, list[int]]) -> list[tuple[int, int]]:
-    """Common spans of WINDOW or more words, extended from the hashes kept on both sides."""
-    if len(item) < WINDOW:
-        n, first = len(item), item[0]
-        return [(p, p + n) for p, w in enumerate(document[: len(document) - n + 1]) if w == first and document[p : p + n] == item]
-    grams = gram_hashes(np.array([item_table[w] for w in item], dtype="uint64"), GRAM)
-    found: list[tuple[int, int]] = []
-    reached: dict[int, int] = defaultdict(int)  # by diagonal: the end of the last span
-    for q in winnow(grams).tolist():
-        for p in kept.get(int(grams[q]), ()):
-            if p < reached[p - q]:
-                continue
-            low, high = 0, 0
-            while low < min(p, q) and document[p - low - 1] == item[q - low - 1]:
-                low += 1
-            while p + high < len(document) and q + high < len(item) and document[p + high] == item[q + high]:
-                high += 1
-            if low + high >= WINDOW:
-                found.append((p - low, p + high))
-                reached[p - q] = p + high
-    return found
+    """Rows of one key have the same doc_id and text."""
+    return F.concat_ws(":", "doc_id", F.xxhash64("text"))
+
+
+class Document:
+    """A document's words, and the hashes of its windows of each size that was asked for."""
+
+    def __init__(self, text: bytes, table: WordHashes):
+        self.words, self.grams = words_of(text), {}
+        self.hashes = np.fromiter(map(table.__getitem__, self.words), "uint64", len(self.words))
+
+    def windows(self, size: int) -> np.ndarray:
+        if size not in self.grams:
+            self.grams[size] = gram_hashes(self.hashes, size)
+        return self.grams[size]
+
+
+def shared_windows(document: Document, item: list[bytes], table: WordHashes) -> tuple[np.ndarray, int]:
+    """Where the document has a window of the item, and the window's size."""
+    size = min(WINDOW, len(item))
+    theirs, at = np.unique(gram_hashes(np.array([table[w] for w in item], dtype="uint64"), size), return_index=True)
+    own = document.windows(size)
+    found = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+    places = np.flatnonzero(theirs[found] == own)
+    words = document.words
+    same = [words[p : p + size] == item[q : q + size] for p, q in zip(places.tolist(), at[found[places]].tolist(), strict=True)]
+    if all(same):
+        return places, size
+    known = {tuple(item[q : q + size]) for q in range(len(item) - size + 1)}  # hashes collided
+    return np.array([p for p in places.tolist() if tuple(words[p : p + size]) in known], dtype="int64"), size
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items of each row of ``pairs`` (doc_id, text, items: item_id and text)."""
+    """doc_id, n_words, n_hit, items of each row of ``pairs`` (doc_id, text, items: item_ids and their text)."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             rows = []
             for text, items in zip(utf8_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                own = words_of(text)
-                kept = kept_positions(own, table)
-                edges, names = np.zeros(len(own) + 1, "int64"), set()
+                own = Document(text, table)
+                edges, names = np.zeros(len(own.words) + 1, "int64"), set()
                 for item in items:
-                    for a, b in spans(own, words_of((item["text"] or "").encode()), table, kept):
-                        edges[a] += 1
-                        edges[b] -= 1
-                        names.add(item["item_id"])
+                    places, size = shared_windows(own, words_of((item["text"] or "").encode()), table)
+                    if len(places):
+                        edges[places] += 1
+                        edges[places + size] -= 1
+                        names.update(item["item_ids"])
                 joined = ",".join(sorted(names))
-                rows.append((len(own), int((np.cumsum(edges) > 0).sum()), len(names), hashlib.sha256(joined.encode()).hexdigest()))
+                rows.append((len(own.words), int((np.cumsum(edges) > 0).sum()), len(names), hashlib.sha256(joined.encode()).hexdigest()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(columns[0], pa.int64()), "n_hit": pa.array(columns[1], pa.int64()), "n_items": pa.array(columns[2], pa.int64()), "items_sha256": pa.array(columns[3], pa.string())})
 
@@ -187,13 +187,13 @@ def candidates(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
     """Every document's word count, and for each key that meets an item the items with their texts."""
     bench = item_hashes(items)
     short = sorted(r["n_words"] for r in bench.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())  # at most 9
-    meeting = bench.select(F.explode("hashes").alias("hash"), "item_id").distinct()
-    distinct = meeting.select("hash").distinct()
-    known = np.sort(distinct.toArrow()["hash"].to_numpy().view("uint64")) if distinct.count() <= BROADCAST_HASHES else None
+    texts = stored(bench.groupBy("text").agg(F.collect_set("item_id").alias("item_ids"), F.first("hashes").alias("hashes")).select(F.monotonically_increasing_id().alias("item"), "*"), "bench-texts")
+    meeting = texts.select(F.explode("hashes").alias("hash"), "item")
+    few = meeting.count() <= BROADCAST_HASHES
+    known = np.sort(meeting.select("hash").distinct().toArrow()["hash"].to_numpy().view("uint64")) if few else None
     marked = document_hashes(docs, short, known)
-    named = marked.select("key", F.explode("hashes").alias("hash")).join(meeting, "hash").select("key", "item_id").distinct()
-    texts = bench.select("item_id", "text").distinct()
-    met = named.join(texts, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    named = marked.select("key", F.explode("hashes").alias("hash")).join(F.broadcast(meeting) if few else meeting, "hash").select("key", "item").distinct()
+    met = named.join(texts.select("item", "text", "item_ids"), "item").groupBy("key").agg(F.collect_list(F.struct("item_ids", "text")).alias("items"))
     return marked.select("doc_id", "key", "n_words"), stored(met, "bench-met")
 
 
@@ -206,7 +206,7 @@ def _only(docs: DataFrame, met: DataFrame, how: str) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     counted, met = candidates(docs, items)
-    suspects = _only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key()), met, "left_semi").join(met, "key")
+    suspects = _only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key")), met, "left_semi").join(met, "key")
     nothing = hashlib.sha256(b"").hexdigest()
     clear = _only(counted, met, "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit(nothing).alias("items_sha256"))
     return clear.unionByName(compare(suspects)).withColumn("contaminated", F.col("n_hit") > 0)
@@ -215,23 +215,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontamination_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of a benchmark item."""
     _, met = candidates(docs, items)
-    names = docs.columns
-    keyed = docs.withColumn("__doc", F.struct(*names)).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "__doc")
-    clear = _only(keyed, met, "left_anti").select("__doc.*")
+    keyed = docs.select(_key().alias("key"), F.struct(*docs.columns).alias("doc"))
+    clear = _only(keyed, met, "left_anti").select("doc.*")
     suspects = _only(keyed, met, "left_semi").join(met, "key")
     schema = docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("__doc"))
+            rows = batch.column(batch.schema.get_field_index("doc"))
             texts = utf8_bytes(rows.field("text"))
             keep = []
             for text, items in zip(texts, batch.column(batch.schema.get_field_index("items")).to_pylist(), strict=True):
-                own = words_of(text)
-                kept = kept_positions(own, table)
-                keep.append(not any(spans(own, words_of((x["text"] or "").encode()), table, kept) for x in items))
+                own = Document(text, table)
+                keep.append(not any(len(shared_windows(own, words_of((x["text"] or "").encode()), table)[0]) for x in items))
             flat = pa.RecordBatch.from_struct_array(rows)
             yield flat.filter(pa.array(keep, pa.bool_()))
 
-    return clear.unionByName(suspects.select("__doc", "items").mapInArrow(clean, schema))
+    return clear.unionByName(suspects.select("doc", "items").mapInArrow(clean, schema))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,8 +235,34 @@ def test_decontamination_without_the_hash_filter(spark, monkeypatch):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=60), st.lists(st.integers(0, 5), min_size=10, max_size=30))
-def test_spans_find_every_window(document, item):
-    own, other, table = [b"%d" % x for x in document], [b"%d" % x for x in item], winnowing.WordHashes()
-    covered = {k for a, b in winnowing.spans(own, other, table, winnowing.kept_positions(own, table)) for k in range(a, b)}
+def test_every_shared_window_is_found(document, item):
+    own, other, table = b" ".join(b"%d" % x for x in document), [b"%d" % x for x in item], winnowing.WordHashes()
+    places, size = winnowing.shared_windows(winnowing.Document(own, table), other, table)
     windows = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
-    assert covered == {j for k in range(len(document) - 9) if tuple(document[k : k + 10]) in windows for j in range(k, k + 10)}
+    assert size == 10 and places.tolist() == [j for j in range(len(document) - 9) if tuple(document[j : j + 10]) in windows]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=10, max_size=60), st.lists(st.integers(0, 3), min_size=10, max_size=30))
+def test_winnowing_proposes_every_pair_that_shares_a_window(document, item):
+    table = winnowing.WordHashes()
+    own, other = (np.array([table[b"%d" % x] for x in xs], dtype="uint64") for xs in (document, item))
+    shares = {tuple(document[k : k + 10]) for k in range(len(document) - 9)} & {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
+    assert not shares or set(winnowing.kept_hashes(own, []).tolist()) & set(winnowing.kept_hashes(other, []).tolist())
+
+
+def test_repetitive_texts_take_linear_time():
+    table, began = winnowing.WordHashes(), time.time()
+    places, _ = winnowing.shared_windows(winnowing.Document(b"same " * 20_000, table), [b"same"] * 3_000, table)
+    assert len(places) == 19_991 and time.time() - began < 0.5
+
+
+def test_rows_of_one_id_are_checked_each_by_its_text(spark):
+    span = " ".join(f"w{k}" for k in range(12))
+    rows = [(None, span, None, None), (None, "clean words", None, None), (4, span, None, None), (4, "clean too", None, None), (4, None, None, None)]
+    docs = documents(spark, rows).selectExpr("*", "'i' as items", "'d' as doc", "1 as n_words")
+    bench = spark.createDataFrame([(1, span), (2, span), (2, span)], "item_id long, text string")
+    got = winnowing.contamination(docs, bench).collect()
+    assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == brute_contamination([r[:2] for r in rows], [(1, span), (2, span)])
+    kept = winnowing.decontamination_stage(docs, bench)
+    assert kept.columns == docs.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean too", "clean words"]
