@@ -2,8 +2,9 @@
 
 Each task writes one Arrow IPC file for a contiguous range of doc_id. The file's record batches hold two fixed-size-list
 columns, ``ids`` (uint16 if the vocabulary allows, else uint32) and ``mask`` (bool, false for the padding of the file's
-last sequence), all sequences of the same length: sequence k of a memory-mapped file is a slice of one buffer, found without reading what lies before it.
-A second Arrow file beside it names the documents (doc_id, first id in the file, number of ids).
+last sequence), all sequences of the same length. :class:`SequenceReader` maps the file where it is local: sequence k is
+a slice of the mapped buffer, found without reading or copying what lies before it. A second Arrow file beside it names
+the documents (doc_id, first id in the file, number of ids), in batches.
 
 Tokenising is cached by piece. The byte-level pre-tokenizer always starts a new piece at a single space before another
 character, so texts are cut at spaces, each distinct piece of a batch is encoded by the library unless the worker has it,
@@ -11,7 +12,11 @@ and Arrow joins the ids. Texts with two spaces in a row, with white space other
 special token's text are encoded as they are.
 
 Files are written under a temporary name and then moved, so a task that is lost and run again leaves one whole file.
-Defined cases: null text is empty (just the end id); rows of equal doc_id stay neighbours; no rows make no files.
+A task holds a batch of rows, a batch of sequences and the bounded cache of pieces, whatever the size of its file.
+
+Defined cases: null text is empty (just the end id); null doc_ids come first; rows of equal doc_id stay neighbours in the
+order of a hash of their texts, and may be cut over several files; no rows make no files and give no rows; texts of any
+length are encoded whole; columns of any other name are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from .common import fresh_path, stored
 SEQUENCE_LENGTH = 2048
 SEQUENCES_A_BATCH = 64
 END_ID = 2
-PIECES_KEPT = 1_200_000
+PIECES_KEPT = 800_000
 ROWS_AT_ONCE = 2000
 #: White space other than space and line feed, the four information separators, two spaces, and the start of a special token.
 ODD = [*"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "  ", "<|"]
@@ -101,6 +106,10 @@ def encoder(tokenizer_path: str, kind: str, end_id: int) -> Encoder:
     return Encoder(tokenizer_path, kind, end_id)
 
 
+#: The table of documents beside a file of sequences.
+INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
@@ -160,58 +169,65 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, *, length: int
                     temporary = f"{base}/_{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
                     state = SequenceFile(sink, length, kind)
-                    ids, counts = [], []
-                ids += rows.column(1).to_pylist()
+                    side = store.open_output_stream(f"{temporary}.docs")
+                    index, documents, total = pa.ipc.new_file(side, INDEX), 0, 0
                 coded, sizes = coder.encode(rows.column(2))
                 state.add(coded)
-                counts += sizes.tolist()
+                n = sizes.astype("int64")
+                index.write_batch(pa.record_batch([rows.column(1), pa.array(total + np.cumsum(n) - n), pa.array(n)], schema=INDEX))
+                documents, total = documents + len(n), total + int(n.sum())
         if state is None:
             return
-        state.close()
-        sink.close()
-        n = np.array(counts, dtype="int64")
-        index = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n)})
-        with store.open_output_stream(f"{temporary}.docs") as side, pa.ipc.new_file(side, index.schema) as out:
-            out.write_batch(index)
+        state.close(), sink.close()
+        index.close(), side.close()
         store.move(f"{temporary}.docs", f"{base}/{name}.docs.arrow")
         store.move(temporary, f"{base}/{name}.ids.arrow")
-        yield pa.record_batch({"part": pa.array([int(name[5:])], pa.int32()), "path": [f"{folder}/{name}"], "documents": pa.array([len(n)], pa.int64()), "ids": pa.array([int(n.sum())], pa.int64())})
+        yield pa.record_batch({"part": pa.array([int(name[5:])], pa.int32()), "path": [f"{folder}/{name}"], "documents": pa.array([documents], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    order = ["doc_id", "th", "row"]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     return numbered.mapInArrow(write, "part int, path string, documents long, ids long")
 
 
-def read_sequences(path: str, first: int, count: int) -> np.ndarray:
-    """``count`` ids from position ``first`` of one file, by random access to its batches."""
-    store, base = _open(path)
-    with store.open_input_file(f"{base}.ids.arrow") as source, pa.ipc.open_file(source) as file:
-        return _Ids(file).take(first, count)
+class SequenceReader:
+    """Random access to one file of sequences; use as a context. Local files are mapped, so nothing is copied."""
 
+    def __init__(self, path: str):
+        store, base = _open(path)
+        name = f"{base}.ids.arrow"
+        self.source = pa.memory_map(name) if isinstance(store, pafs.LocalFileSystem) else store.open_input_file(name)
+        self.file = pa.ipc.open_file(self.source)
+        self.length, self.at = self.file.schema.field("ids").type.list_size, -1
 
-class _Ids:
-    """Ids of an open file; keeps the batch last used. Masks decide which positions hold ids."""
+    def __enter__(self) -> SequenceReader:
+        return self
 
-    def __init__(self, file: pa.ipc.RecordBatchFileReader):
-        self.file, self.length, self.at = file, file.schema.field("ids").type.list_size, -1
+    def __exit__(self, *_: object) -> None:
+        self.source.close()
 
-    def batch(self, k: int) -> np.ndarray:
+    def batch(self, k: int) -> pa.RecordBatch:
         if k != self.at:
-            got = self.file.get_batch(k)
-            ids = got.column("ids").flatten().to_numpy()
-            mask = got.column("mask").flatten()
-            self.at, self.now = k, ids if mask.true_count == len(mask) else ids[mask.to_numpy(zero_copy_only=False)]
+            self.at, self.now = k, self.file.get_batch(k)
         return self.now
 
-    def take(self, first: int, count: int) -> np.ndarray:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Sequence k of the file: its ids and mask, both slices of the file's buffers."""
+        got, row = self.batch(k // SEQUENCES_A_BATCH), k % SEQUENCES_A_BATCH * self.length
+        ids, mask = (got.column(c).values.slice(got.column(c).offset * self.length + row, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
+
+    def ids(self, first: int, count: int) -> np.ndarray:
+        """``count`` ids from position ``first``; padding stands only behind a file's last id."""
         size, out = self.length * SEQUENCES_A_BATCH, []
         while count > 0:
-            part = self.batch(first // size)[first % size : first % size + count]
+            flat = self.batch(first // size).column("ids").flatten().to_numpy(zero_copy_only=True)
+            part = flat[first % size : first % size + count]
             out.append(part)
             first, count = first + len(part), count - len(part)
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, "uint32")
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, "uint16")
 
 
 def read_documents(manifest: DataFrame, files: int) -> DataFrame:
@@ -221,13 +237,12 @@ def read_documents(manifest: DataFrame, files: int) -> DataFrame:
         for batch in batches:
             for path, base_start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, base = _open(path)
-                with store.open_input_file(f"{base}.docs.arrow") as side:
-                    docs = pa.ipc.open_file(side).read_all()
-                first, n = docs["first"].to_numpy(), docs["n_tokens"].to_numpy()
-                with store.open_input_file(f"{base}.ids.arrow") as source:
-                    file = _Ids(pa.ipc.open_file(source))
-                    crc = [zlib.crc32(file.take(int(a), int(c)).astype("<u4").tobytes()) for a, c in zip(first, n, strict=True)]
-                yield pa.record_batch({"doc_id": docs["doc_id"].combine_chunks(), "start": pa.array(first + base_start), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64()), "path": pa.array([path] * len(n))})
+                with store.open_input_file(f"{base}.docs.arrow") as side, SequenceReader(path) as reader:
+                    index = pa.ipc.open_file(side)
+                    for docs in map(index.get_batch, range(index.num_record_batches)):
+                        first, n = docs.column("first").to_numpy(), docs.column("n_tokens").to_numpy()
+                        crc = [zlib.crc32(reader.ids(int(a), int(c)).astype("<u4").tobytes()) for a, c in zip(first, n, strict=True)]
+                        yield pa.record_batch({"doc_id": docs.column("doc_id"), "start": pa.array(first + base_start), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64()), "path": pa.array([path] * len(n))})
 
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", before.alias("start"))

@@ -88,17 +88,20 @@ def test_ids_match_the_library_and_files_give_random_access(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    rows = [r for r in ROWS if r[0] is not None]
-    got = arrow_ids.encode_and_read_back(spark, documents(spark, rows), path, length=64).collect()
+    got = arrow_ids.encode_and_read_back(spark, documents(spark), path, length=64).collect()
     at, wanted = 0, []
-    for i, text, _, _ in sorted(rows, key=lambda r: r[0]):
+    for i, text, _, _ in sorted(ROWS, key=lambda r: -1 if r[0] is None else r[0]):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
-        wanted.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        wanted.append((str(i), at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(wanted)
-    one = sorted({r["path"] for r in got})[0]
-    first = arrow_ids.read_sequences(one, 0, 50)
-    assert arrow_ids.read_sequences(one, 10, 5).tolist() == first[10:15].tolist()
+    assert sorted((str(r["doc_id"]), r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(wanted)
+    one = max(got, key=lambda r: r["n_tokens"])["path"]
+    with arrow_ids.SequenceReader(one) as reader:
+        first, held = reader.ids(0, 500), pa.total_allocated_bytes()
+        views = [reader.sequence(k) for k in (0, 3, 6)]
+        assert pa.total_allocated_bytes() == held and not any(ids.flags.owndata or ids.flags.writeable for ids, _ in views)  # slices of the mapped file
+        assert all(ids.tolist() == first[64 * k : 64 * k + 64].tolist() and mask.true_count == 64 for k, (ids, mask) in zip((0, 3, 6), views, strict=True))
+        assert reader.ids(10, 5).tolist() == first[10:15].tolist()
     store, base = arrow_ids._open(one)
     with store.open_input_file(f"{base}.ids.arrow") as source:
         schema = pa.ipc.open_file(source).schema
@@ -106,6 +109,19 @@ def test_ids_match_the_library_and_files_give_random_access(spark):
     assert arrow_ids.encode_and_read_back(spark, empty(spark), path).count() == 0
 
 
+def test_many_rows_of_one_id_are_dealt_to_several_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, f"no id {k}", "en", "s") for k in range(300)] + [(7, "same", "en", "s")] * 300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one partition
+    try:
+        got = sorted(arrow_ids.encode_and_read_back(spark, documents(spark, rows), path, length=16).collect(), key=lambda r: r["start"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 600 and len({r["path"] for r in got if r["doc_id"] == 7}) > 1
+    assert [r["doc_id"] for r in got] == [None] * 300 + [7] * 300
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_encoder_cuts_like_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = arrow_ids.Encoder(path, "<u2", 2)
