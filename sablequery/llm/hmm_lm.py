@@ -1,8 +1,7 @@
 """A hidden Markov language model.
 
 Counting: each training token's count c, their sum N and number V come from one pass over the training documents. The
-ALPHABET most frequent words (short ones seen LEAST_COUNT times, so its size is bounded) are symbols of their own; every
-other word falls into one of BUCKETS symbols by its last bytes, and its share of the bucket, (c + 0.5) / (bucket's sum + 0.5), is a
+ALPHABET most frequent words seen LEAST_COUNT times are symbols of their own; every other word falls into one of BUCKETS symbols by its last bytes, and its share of the bucket, (c + 0.5) / (bucket's sum + 0.5), is a
 factor that the latent states have in common. A word never seen has c = 0 in its bucket. So the model is a proper
 distribution over texts, with K * (ALPHABET + BUCKETS + 1) emission parameters however large the vocabulary grows.
 
@@ -11,15 +10,20 @@ recursion over its documents and sums expected counts of starts, transitions and
 and the next model is made from them, smoothed toward the unigram distribution.
 
 Scoring: the scaled forward recursion in double precision gives the exact likelihood of the symbols; frequent tokens'
-counts are in the broadcast alphabet, rare tokens meet theirs in a shuffle join on the word (they are rare, so no
-word is hot there), and per-document sums of both parts are added.
+counts are in the broadcast alphabet, the others meet theirs in a shuffle join on the word, once a document however often
+it holds the word, and per-document sums of both parts are added.
 
-Defined cases: null or blank text is just the end token; rows of equal doc_id are kept apart by a row number fixed in a
-stored table; without training documents c = 0 everywhere and the base score is 0.5 / 0.5 for each token.
+A word of more than LONGEST_WORD bytes is counted, coded and joined by a digest of 128 bits, so no word takes more memory.
+
+Defined cases: null or blank text is just the end token; rows of equal doc_id, null included, are kept apart by a row
+number fixed in a stored table; without training documents c = 0 everywhere and the base score is 0.5 / 0.5 for each
+token; no rows give no rows; texts of any length are read whole, in chunks of bounded tokens but for a single longer text;
+other columns of whatever names are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +38,7 @@ from .common import ASCII_LOWER, id_hash, stored, utf8_bytes
 
 STATES = 8
 ALPHABET = 1 << 17
-WORD_BYTES = 64
+LONGEST_WORD = 64
 LEAST_COUNT = 3
 BUCKETS = 256
 ROUNDS = 5
@@ -50,6 +54,11 @@ def held_out() -> F.Column:
     return id_hash() % 5 == 1
 
 
+def tokens_of(text: bytes) -> list[bytes]:
+    """The words of a text; long ones as an end token's sign, which no word holds, and a digest."""
+    return [w if len(w) <= LONGEST_WORD else END + hashlib.md5(w).digest() for w in text.translate(ASCII_LOWER).split()]
+
+
 def count_tokens(train: DataFrame) -> DataFrame:
     """word, c: counts of all training tokens, the end token included. Summed per task before the shuffle."""
 
@@ -57,7 +66,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
         seen: Counter = Counter()
         for batch in batches:
             for text in utf8_bytes(batch.column(0)):
-                seen.update(text.translate(ASCII_LOWER).split())
+                seen.update(tokens_of(text))
                 if len(seen) > WORDS_HELD:
                     yield _counted(seen)
                     seen.clear()
@@ -102,7 +111,7 @@ class Alphabet:
 def make_alphabet(counts: DataFrame, size: int = ALPHABET) -> Alphabet:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends")).first()
     words = counts.where(F.col("word") != F.lit(END))
-    top = words.where((F.octet_length("word") <= WORD_BYTES) & (F.col("c") >= LEAST_COUNT)).orderBy(F.desc("c"), "word").limit(size).toArrow()
+    top = words.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "word").limit(size).toArrow()
     number = F.crc32(F.substring("word", -3, 3)) % BUCKETS
     number = F.when(F.octet_length("word") < 3, F.crc32("word") % BUCKETS).otherwise(number)
     sums = np.full(BUCKETS, 0.5)
@@ -115,7 +124,7 @@ def make_alphabet(counts: DataFrame, size: int = ALPHABET) -> Alphabet:
 
 
 def encode_texts(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """row, doc_id, held_out, symbols (with the end), rare (words outside the alphabet), stored."""
+    """row, doc_id, held_out, symbols (with the end), rare and times (words outside the alphabet, and how often), stored."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: k for k, w in enumerate(alphabet.words)}
@@ -123,22 +132,23 @@ def encode_texts(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)
-                symbols, rare = [], []
+                symbols, rare, times = [], [], []
                 for text in utf8_bytes(rows.column(3)):
                     unknown: list[bytes] = []
                     own = []
-                    for w in text.translate(ASCII_LOWER).split():
+                    for w in tokens_of(text):
                         k = index.get(w)
                         if k is None:
                             unknown.append(w)
                             k = first + bucket(w)
                         own.append(k)
                     own.append(end)
-                    symbols.append(np.array(own, dtype="int32")), rare.append(unknown)
-                yield pa.record_batch({"row": rows.column(0), "doc_id": rows.column(1), "held_out": rows.column(2), "symbols": pa.array(symbols, pa.list_(pa.int32())), "rare": pa.array(rare, pa.list_(pa.binary()))})
+                    seen = Counter(unknown)
+                    symbols.append(np.array(own, dtype="int32")), rare.append(list(seen)), times.append(list(seen.values()))
+                yield pa.record_batch({"row": rows.column(0), "doc_id": rows.column(1), "held_out": rows.column(2), "symbols": pa.array(symbols, pa.list_(pa.int32())), "rare": pa.array(rare, pa.list_(pa.binary())), "times": pa.array(times, pa.list_(pa.int64()))})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return stored(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, symbols array<int>, rare array<binary>"), "lm-symbols")
+    return stored(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, symbols array<int>, rare array<binary>, times array<long>"), "lm-symbols")
 
 
 @dataclass(frozen=True)
@@ -297,21 +307,25 @@ def score_symbols(encoded: DataFrame, model: Model, alphabet: Alphabet) -> DataF
 
 def rare_sums(encoded: DataFrame, counts: DataFrame, alphabet: Alphabet) -> DataFrame:
     """Per row with words outside the alphabet: what their counts add to both scores."""
-    words = encoded.select("row", F.explode("rare").alias("word"))
+    words = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
     number = F.when(F.octet_length("word") < 3, F.crc32("word")).otherwise(F.crc32(F.substring("word", -3, 3))) % BUCKETS
     sums = F.array(*[F.lit(float(x)) for x in alphabet.bucket_sums])
-    met = words.join(counts, "word", "left").select("row", F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("l"), (F.col("c") > 0).cast("long").alias("k"), F.log10(F.get(sums, number.cast("int"))).alias("b"))
+    met = words.join(counts, "word", "left").select("row", (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("l"), F.when(F.col("c") > 0, F.col("n")).alias("k"), (F.col("n") * F.log10(F.get(sums, number.cast("int")))).alias("b"))
     return met.groupBy("row").agg(F.sum("l").alias("rare_log"), F.coalesce(F.sum("k"), F.lit(0)).alias("rare_seen"), F.sum("b").alias("rare_bucket"))
 
 
-def score_documents(docs: DataFrame, training: F.Column | None = None, *, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    counts = count_tokens(docs.where(~held_out() if training is None else training))
-    alphabet = make_alphabet(counts)
-    encoded = encode_texts(docs, alphabet)
-    model = train(encoded, alphabet, states=states, rounds=rounds)
+def scores(encoded: DataFrame, model: Model, alphabet: Alphabet, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every encoded row."""
     scored = score_symbols(encoded, model, alphabet).join(rare_sums(encoded, counts, alphabet), "row", "left").na.fill(0, ["rare_log", "rare_seen", "rare_bucket"])
     return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.col("rare_seen")).alias("n_known"), F.lit(alphabet.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare_log")).alias("base_score"), (F.col("forward") + F.col("rare_log") - F.col("rare_bucket")).alias("score"),
     )
+
+
+def score_documents(docs: DataFrame, training: F.Column | None = None, *, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+    """The scores of every document, by a model of those that ``training`` names."""
+    counts = count_tokens(docs.where(~held_out() if training is None else training))
+    alphabet = make_alphabet(counts)
+    encoded = encode_texts(docs, alphabet)
+    return scores(encoded, train(encoded, alphabet, states=states, rounds=rounds), alphabet, counts)

@@ -43,6 +43,51 @@ def test_rare_words_join_gives_the_same_sums(spark, monkeypatch):
     assert {str(r["doc_id"]): round(r["base_score"], 6) for r in hmm_lm.score_documents(documents(spark), rounds=1).collect()} == whole
 
 
+def test_scores_are_probabilities_of_texts_with_rare_words(spark):
+    long = "z" * 100
+    rows = [(k, t, "en", "s") for k, t in enumerate(["a b a c", "b a", "c a b rare1", f"a b c {long}", "rare2 rare2 a", "b b", "a c", "b never a", f"{long} never never", None, "a", "b c a"])]
+    docs = documents(spark, rows)
+    counts = hmm_lm.count_tokens(docs.where(~hmm_lm.held_out()))
+    alphabet = hmm_lm.make_alphabet(counts, size=2)
+    encoded = hmm_lm.encode_texts(docs, alphabet)
+    model = hmm_lm.train(encoded, alphabet, states=2, rounds=2)
+    known = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in hmm_lm.scores(encoded, model, alphabet, counts).collect()}
+    assert len(alphabet.words) == 2
+
+    def emitted(word, state):
+        if word in alphabet.words:
+            return model.emit[alphabet.words.index(word), state]
+        at = hmm_lm.bucket(word)
+        return model.emit[2 + at, state] * (known.get(word, 0) + 0.5) / alphabet.bucket_sums[at]
+
+    for i, text, *_ in rows:
+        own, total = hmm_lm.tokens_of((text or "").encode()), 0.0
+        for path in itertools.product(range(2), repeat=len(own) + 1):
+            p = model.start[path[0]]
+            for t, state in enumerate(path):
+                p *= (model.move[path[t - 1], state] if t else 1) * (emitted(own[t], state) if t < len(own) else model.emit[-1, state])
+            total += p
+        assert np.isclose(got[i], np.log10(total), atol=1e-9)
+
+
+def test_likelihood_rises_and_partitioning_does_not_matter(spark):
+    rng = np.random.default_rng(4)
+    kinds = ["alpha beta gamma delta epsilon".split(), "uno dos tres cuatro cinco".split()]
+    docs = documents(spark, [(i, " ".join(rng.choice(kinds[i % 2], 40)), "en", "s") for i in range(200)])
+    counts = hmm_lm.count_tokens(docs)
+    alphabet = hmm_lm.make_alphabet(counts)
+    model, logs = hmm_lm.first_model(alphabet, 4), []
+    encoded = hmm_lm.encode_texts(docs, alphabet)
+    for _ in range(5):
+        model, log = hmm_lm.baum_welch_round(encoded, model, alphabet.unigram())
+        logs.append(log)
+    assert logs == sorted(logs) and logs[-1] > logs[0] + 100
+    one = {r["doc_id"]: r["score"] for r in hmm_lm.score_documents(docs.repartition(1), states=4).collect()}
+    many = {r["doc_id"]: r["score"] for r in hmm_lm.score_documents(docs.repartition(7), states=4).collect()}
+    assert all(np.isclose(one[i], many[i], rtol=1e-3) for i in one)
+
+
 def test_forward_is_the_sum_over_all_paths():
     rng = np.random.default_rng(2)
     model = hmm_lm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
