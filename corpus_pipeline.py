@@ -7,6 +7,12 @@
 5. sharding: every record gets its virtual slot, shard and place.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``.
+
+Defined cases: rows of a null doc_id pass the first stage by their score, are duplicates only of rows alike, and are mixed
+and sharded like others; null and blank texts score 0, are near duplicates of each other (one stays), hold no benchmark
+window and count 0 tokens; of rows repeated whole one stays; texts are taken whole at any length; without labels of both
+classes no document is toxic, without benchmark items none is contaminated; no documents give no rows; further columns
+are kept, but sharding replaces size, vslot, shard and slot.
 """
 
 from __future__ import annotations

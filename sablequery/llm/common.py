@@ -18,9 +18,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the session names none (tests)."""
+    """The folder that driver and executors share. One is made only on a local master that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -12,7 +12,9 @@ granule position counts samples, and a comment stream with the unpadded length.
 the payload, so equal texts give equal media. Media are a binary column of a table in the shared folder; each row is
 encoded and decoded alone, and no task holds more than a batch.
 
-Defined cases: null text is empty; an empty payload is padded to 192 spaces; damaged pages raise OggError.
+Defined cases: null text is empty; an empty payload is padded to 192 spaces; a null doc_id keeps its row; repeated rows
+are stored each; no rows give no rows; a text of any length is stored whole, in as many pages as it takes; other columns of
+whatever names are ignored; damaged pages raise OggError.
 """
 
 from __future__ import annotations

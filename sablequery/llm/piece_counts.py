@@ -9,7 +9,9 @@ one extra symbol here, so a word is its bytes and then END. A word that the voca
 (unknown) token. Words are the runs without ASCII white space of the text with A-Z lower-cased.
 
 Counts of words already seen are kept per worker in a bounded table. Defined cases: null and blank texts have no words
-and 0 pieces; a word longer than MAX_WORD_BYTES is counted by the same automaton but not kept.
+and 0 pieces; a word longer than MAX_WORD_BYTES is counted by the same automaton but not kept; a null doc_id keeps its
+row; repeated rows are counted each; no rows give no rows; texts of any length are counted whole; other columns of
+whatever names are ignored.
 """
 
 from __future__ import annotations
