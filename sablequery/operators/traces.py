@@ -15,34 +15,85 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-# The events of each domain in workflow order; those marked ! stop a run on purpose, those marked * failed.
-EVENTS = {
-    "policy": "policy_gate.checked policy_gate.allowed followup.contextualized request.blocked! content.screened answer.blocked! result_safety.passed",
-    "intent": (
-        "intent.started intent.classified intent.question_resolved intent.empty_question! intent.model_error* intent.clarification_requested intent.clarification_exhausted!"
-    ),
-    "retrieval": (
-        "retrieval_permission.checked retrieval.started retrieval.completed retrieval.error* retrieval.content_blocked! retrieval.chunk_blocked! context_gate.context_available "
-        "context_gate.schema_snapshot_built context_gate.schema_build_error* context_gate.no_context_clarification context_gate.no_context_exhausted! context_gate.started "
-        "context_gate.completed exploration.started exploration.completed exploration.truncated! exploration.stopped! exploration.error* exploration.tool_completed "
-        "exploration.tool_content_blocked! exploration.fallback_retrieval exploration.fallback_error* exploration.fallback_content_blocked!"
-    ),
-    "sql": (
-        "query_plan.started query_plan.built query_plan.no_schema_snapshot! query_plan.error* query_plan.repair_attempted plan_safety.approved plan_safety.no_plan! plan_safety.rejected! "
-        "generate_sql.completed generate_sql.no_plan! write_sql.compiler_unsupported! validate_sql.completed validate_sql.no_sql! validate_sql.failed_final! validate_sql.error* "
-        "cost_execution_gate.missing_evidence! cost_execution_gate.config_error* cost_execution_gate.rejected! cost_execution_gate.approved execution_not_configured!"
-    ),
-    "operational": (
-        "output_safety.started output_safety.completed output_safety.skipped output_safety.error* output_safety.budget_exceeded* output_safety.invalid_response* "
-        "output_safety.validation_error* model.usage"
-    ),
-    "lifecycle": (
-        "general_answer.started general_answer.completed general_answer.budget_exceeded! general_answer.error* documentation_answer.started documentation_answer.completed "
-        "documentation_answer.budget_exceeded! documentation_answer.error* answer.ready"
-    ),
-}
+# Events in workflow order with their domain and status; blocked ones stop a run on purpose.
+EVENTS = (
+    ("policy_gate.checked", "policy", "ok"),
+    ("policy_gate.allowed", "policy", "ok"),
+    ("followup.contextualized", "policy", "ok"),
+    ("request.blocked", "policy", "blocked"),
+    ("content.screened", "policy", "ok"),
+    ("answer.blocked", "policy", "blocked"),
+    ("result_safety.passed", "policy", "ok"),
+    ("intent.started", "intent", "ok"),
+    ("intent.classified", "intent", "ok"),
+    ("intent.question_resolved", "intent", "ok"),
+    ("intent.empty_question", "intent", "blocked"),
+    ("intent.model_error", "intent", "error"),
+    ("intent.clarification_requested", "intent", "ok"),
+    ("intent.clarification_exhausted", "intent", "blocked"),
+    ("retrieval_permission.checked", "retrieval", "ok"),
+    ("retrieval.started", "retrieval", "ok"),
+    ("retrieval.completed", "retrieval", "ok"),
+    ("retrieval.error", "retrieval", "error"),
+    ("retrieval.content_blocked", "retrieval", "blocked"),
+    ("retrieval.chunk_blocked", "retrieval", "blocked"),
+    ("context_gate.context_available", "retrieval", "ok"),
+    ("context_gate.schema_snapshot_built", "retrieval", "ok"),
+    ("context_gate.schema_build_error", "retrieval", "error"),
+    ("context_gate.no_context_clarification", "retrieval", "ok"),
+    ("context_gate.no_context_exhausted", "retrieval", "blocked"),
+    ("context_gate.started", "retrieval", "ok"),
+    ("context_gate.completed", "retrieval", "ok"),
+    ("exploration.started", "retrieval", "ok"),
+    ("exploration.completed", "retrieval", "ok"),
+    ("exploration.truncated", "retrieval", "blocked"),
+    ("exploration.stopped", "retrieval", "blocked"),
+    ("exploration.error", "retrieval", "error"),
+    ("exploration.tool_completed", "retrieval", "ok"),
+    ("exploration.tool_content_blocked", "retrieval", "blocked"),
+    ("exploration.fallback_retrieval", "retrieval", "ok"),
+    ("exploration.fallback_error", "retrieval", "error"),
+    ("exploration.fallback_content_blocked", "retrieval", "blocked"),
+    ("query_plan.started", "sql", "ok"),
+    ("query_plan.built", "sql", "ok"),
+    ("query_plan.no_schema_snapshot", "sql", "blocked"),
+    ("query_plan.error", "sql", "error"),
+    ("query_plan.repair_attempted", "sql", "ok"),
+    ("plan_safety.approved", "sql", "ok"),
+    ("plan_safety.no_plan", "sql", "blocked"),
+    ("plan_safety.rejected", "sql", "blocked"),
+    ("generate_sql.completed", "sql", "ok"),
+    ("generate_sql.no_plan", "sql", "blocked"),
+    ("write_sql.compiler_unsupported", "sql", "blocked"),
+    ("validate_sql.completed", "sql", "ok"),
+    ("validate_sql.no_sql", "sql", "blocked"),
+    ("validate_sql.failed_final", "sql", "blocked"),
+    ("validate_sql.error", "sql", "error"),
+    ("cost_execution_gate.missing_evidence", "sql", "blocked"),
+    ("cost_execution_gate.config_error", "sql", "error"),
+    ("cost_execution_gate.rejected", "sql", "blocked"),
+    ("cost_execution_gate.approved", "sql", "ok"),
+    ("execution_not_configured", "sql", "blocked"),
+    ("output_safety.started", "operational", "ok"),
+    ("output_safety.completed", "operational", "ok"),
+    ("output_safety.skipped", "operational", "ok"),
+    ("output_safety.error", "operational", "error"),
+    ("output_safety.budget_exceeded", "operational", "error"),
+    ("output_safety.invalid_response", "operational", "error"),
+    ("output_safety.validation_error", "operational", "error"),
+    ("model.usage", "operational", "ok"),
+    ("general_answer.started", "lifecycle", "ok"),
+    ("general_answer.completed", "lifecycle", "ok"),
+    ("general_answer.budget_exceeded", "lifecycle", "blocked"),
+    ("general_answer.error", "lifecycle", "error"),
+    ("documentation_answer.started", "lifecycle", "ok"),
+    ("documentation_answer.completed", "lifecycle", "ok"),
+    ("documentation_answer.budget_exceeded", "lifecycle", "blocked"),
+    ("documentation_answer.error", "lifecycle", "error"),
+    ("answer.ready", "lifecycle", "ok"),
+)
 #: Payload keys whose values never reach a log, and patterns of keys that a viewer hides.
-LOGGED_KEYS = frozenset("question query messages response input result answer sql content".split())
+LOGGED_KEYS = frozenset(("question", "query", "messages", "response", "input", "result", "answer", "sql", "content"))
 HIDDEN_KEYS = r"(?i)patient|ssn|mrn|dob|date.?of.?birth|address|phone|email|api.?key|token|secret|credential|password|authorization"
 #: Default limits of a run.
 BUDGETS = {"model_calls": 8, "tool_calls": 20, "calls_per_tool": 6, "rounds": 5, "seconds": 120.0}
@@ -50,9 +101,7 @@ BUDGETS = {"model_calls": 8, "tool_calls": 20, "calls_per_tool": 6, "rounds": 5,
 
 def event_dimension(spark: SparkSession) -> DataFrame:
     """event, domain, status (ok, blocked, error)."""
-    status = {"!": "blocked", "*": "error"}
-    rows = [(e.rstrip("!*"), domain, status.get(e[-1], "ok")) for domain, events in EVENTS.items() for e in events.split()]
-    return spark.createDataFrame(rows, "event string, domain string, status string")
+    return spark.createDataFrame(list(EVENTS), "event string, domain string, status string")
 
 
 def classified(traces: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Checks on SQL text with Spark's own parser: aggregate-only, read-only, approved tables and columns.
 
-The text is parsed by the session; this module only looks at the nodes of the parsed plan. The first rule that fails
-gives the reason. Named parameters may be written @name or :name.
+The text is parsed by the session, and its analyzer resolves it over empty tables of the catalogue: unknown and ambiguous
+columns and ungrouped projections are its findings. This module only looks at the nodes of the parsed plan. The first
+rule that fails gives the reason. Named parameters may be written @name or :name.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import Catalogue
@@ -141,6 +143,9 @@ def _problems(spark: SparkSession, sql: str, catalogue: Catalogue, declared: lis
             raise
         yield "invalid_sql_syntax"
         return
+    if re.search(r"(?i)\bwith\s+recursive\b", bare):
+        yield "recursive_cte_not_allowed"
+        return
     nodes = list(_nodes(plan))
     for node in list(nodes):
         for expression in _expressions(node):
@@ -170,28 +175,61 @@ def _problems(spark: SparkSession, sql: str, catalogue: Catalogue, declared: lis
     used = {t.casefold() for t in tables if t not in ctes}
     if not used:
         yield "missing_approved_table"
+    if any("*" in t for t in used):
+        yield "wildcard_table_scan"
     if any("." in t for t in used):
         yield "qualified_table_not_allowed"
     if any(catalogue.table(t) is None for t in used):
         yield "unknown_table"
     if used != set(names):
         yield "declared_tables_mismatch"
-    safety = {c.name.casefold(): c.safety for t in used if (found := catalogue.table(t)) for c in found.columns}
-    aliases = {e.name().casefold() for e in expressions if _name(e) == "Alias"}
+    columns = _Columns(catalogue, used, nodes, {e.name().casefold() for e in expressions if _name(e) == "Alias"})
     for n in nodes:
         in_join = _name(n) == "Join"
         for top in _seq(n.expressions()):
-            yield from _column_problems(top, safety, aliases, in_join, False)
+            yield from _column_problems(top, columns, in_join, False)
     for output in _outputs(plan):
         own = [e for top in _seq(output.aggregateExpressions() if _name(output) == "Aggregate" else output.projectList()) for e in _below(top)]
         if not any(_name(e) == "UnresolvedFunction" and _function(e) in AGGREGATES for e in own):
             yield "aggregate_only_sql"
+    empty = {t: spark.createDataFrame([], ", ".join(f"`{c.name}` {SPARK_TYPES.get(c.base_type, 'string')}" for c in catalogue.table(t).columns)) for t in used}
+    try:
+        markers = {m: None for m in re.findall(r"(?<!:):([A-Za-z_]\w*)", bind_markers(sql))}
+        _with_views(spark, _runnable(sql), empty, markers)
+    except AnalysisException as error:
+        condition = error.getCondition() or ""
+        yield next((reason for start, reason in ANALYSIS_REASONS.items() if condition.startswith(start)), "invalid_sql_syntax")
+
+
+#: Spark types of the catalogue's types; others are strings.
+SPARK_TYPES = {"INT64": "bigint", "INTEGER": "bigint", "FLOAT64": "double", "FLOAT": "double", "NUMERIC": "double", "BOOL": "boolean", "BOOLEAN": "boolean", "DATE": "date", "DATETIME": "timestamp", "TIMESTAMP": "timestamp"}
+ANALYSIS_REASONS = {"MISSING_AGGREGATION": "ungrouped_projection", "MISSING_GROUP_BY": "ungrouped_projection", "AMBIGUOUS_REFERENCE": "unknown_or_ambiguous_column", "UNRESOLVED_COLUMN": "unknown_or_ambiguous_column"}
+STRICTEST = ("sensitive", "unknown", "identifier", "safe_aggregate")
+
+
+class _Columns:
+    """Safety of column names: by table or alias where one is written, else the strictest of all tables that have it."""
+
+    def __init__(self, catalogue: Catalogue, used: set[str], nodes: list[object], outputs: set[str]):
+        self.tables = {t: {c.name.casefold(): c.safety for c in found.columns} for t in used if (found := catalogue.table(t))}
+        self.outputs, self.scopes = outputs, {t: {t} for t in self.tables}
+        for n in nodes:
+            if _name(n) == "SubqueryAlias":
+                child = n.child()
+                named = ".".join(_seq(child.multipartIdentifier())).casefold() if _name(child) == "UnresolvedRelation" else None
+                # one alias may be written in several places, and a derived table may show columns of any
+                self.scopes.setdefault(n.identifier().name().casefold(), set()).update({named} if named in self.tables else self.tables)
 
+    def safety(self, parts: list[str]) -> str | None:
+        *scope, column = [p.casefold() for p in parts]
+        labels = {self.tables[t][column] for t in (self.scopes.get(scope[-1], set()) if scope else self.tables) if column in self.tables[t]}
+        return next((label for label in STRICTEST if label in labels), "safe_aggregate" if column in self.outputs else None)
 
-def _column_problems(expression: object, safety: dict[str, str], aliases: set[str], in_join: bool, in_count: bool) -> Iterator[str]:
+
+def _column_problems(expression: object, columns: _Columns, in_join: bool, in_count: bool) -> Iterator[str]:
     if _name(expression) == "UnresolvedAttribute":
-        column = _seq(expression.nameParts())[-1].casefold()
-        found = safety.get(column, "safe_aggregate" if column in aliases else None)
+        parts = _seq(expression.nameParts())
+        column, found = parts[-1].casefold(), columns.safety(parts)
         if found is None:
             yield f"unknown_column:{column}"
         elif found in ("sensitive", "unknown"):
@@ -201,7 +239,25 @@ def _column_problems(expression: object, safety: dict[str, str], aliases: set[st
         return
     counts = in_count or (_name(expression) == "UnresolvedFunction" and _function(expression) == "count")
     for child in _seq(expression.children()):
-        yield from _column_problems(child, safety, aliases, in_join, counts)
+        yield from _column_problems(child, columns, in_join, counts)
+
+
+def _runnable(sql: str) -> str:
+    return re.sub(r"(?i)\bcountif\b", "count_if", bind_markers(sql.strip().rstrip(";")))
+
+
+def _with_views(spark: SparkSession, sql: str, tables: dict[str, DataFrame], parameters: dict[str, object]) -> DataFrame:
+    """The text over ``tables`` as views; the session's own views of these names are there again afterwards."""
+    before = {t: spark.table(t) for t in tables if spark.catalog.tableExists(t) and spark.catalog.getTable(t).isTemporary}
+    try:
+        for name, frame in tables.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(sql, args=parameters)  # resolved here, so views are no longer needed
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, frame in before.items():
+            frame.createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, sql: str, catalogue: Catalogue, tables: dict[str, DataFrame], parameters: dict[str, object] | None = None) -> DataFrame:
@@ -209,6 +265,4 @@ def run_sql(spark: SparkSession, sql: str, catalogue: Catalogue, tables: dict[st
     verdict = validate_sql(spark, sql, catalogue, list(tables))
     if not verdict.allowed:
         raise ValueError(verdict.reason)
-    for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(re.sub(r"(?i)\bcountif\b", "count_if", bind_markers(sql)), args=parameters or {})
+    return _with_views(spark, _runnable(sql), tables, parameters or {})
