@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 #: Elements without content, and elements that are never document text.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = frozenset("script style template nav footer header".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+DROPPED = frozenset(("script", "style", "template", "nav", "footer", "header"))
 
 
 @dataclass(eq=False)

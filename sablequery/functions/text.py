@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,8 +14,11 @@ from pyspark.sql.types import IntegerType, StringType
 
 #: Query words that never narrow a search.
 STOPWORDS = frozenset(
-    "a about an and are at can could do does document documentation documents find for hold holds i info information is look looking mean means me "
-    "of on or please represent represents say says show tell table tables the to use used what which would".split()
+    (
+    "a", "about", "an", "and", "are", "at", "can", "could", "do", "does", "document", "documentation", "documents", "find", "for", "hold", "holds", "i", "info", "information",
+    "is", "look", "looking", "mean", "means", "me", "of", "on", "or", "please", "represent", "represents", "say", "says", "show", "tell", "table", "tables", "the", "to", "use",
+    "used", "what", "which", "would",
+)
 )
 #: Short domain terms that are searched exactly.
 SHORT_TERMS = frozenset({"dx", "ed", "er", "ip", "or", "rx"})
@@ -30,9 +35,25 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: For str.translate: ASCII letters to lower case, digits as they are, all other ASCII to spaces.
+_PLAIN = "".join(c.lower() if c.isalnum() else " " for c in map(chr, range(128)))
+_OTHERS = re.compile("[^a-z0-9]+")
+
+
+def plain_words(text: str) -> str:
+    """NFKC, lower case, other than a-z and 0-9 (zero-width characters too) to single spaces."""
+    text = unicodedata.normalize("NFKC", text)
+    return " ".join(text.translate(_PLAIN).split()) if text.isascii() else _OTHERS.sub(" ", text.lower()).strip()
+
+
+@pandas_udf(StringType())
+def _plain_words(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else plain_words(t))
+
+
 def normal_prompt(text: Column) -> Column:
-    """NFKC, lower case, zero-width characters and other than a-z and 0-9 to single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(nfkc(text), ZERO_WIDTH, " ")), "[^a-z0-9]+", " "))
+    """:func:`plain_words` of a column; batches of texts in Python, where one table lookup replaces thousands of matches."""
+    return _plain_words(text)
 
 
 def compact_prompt(text: Column) -> Column:
@@ -55,6 +76,22 @@ def spaced_pattern(term: str) -> str:
     return " " + " ?".join(c for c in term.lower() if c.isascii() and c.isalnum()) + " "
 
 
+def any_of(terms: Sequence[str], broken: bool = False) -> str:
+    """One pattern for all terms between two spaces, common beginnings once. With ``broken``, as in :func:`spaced_pattern`."""
+    tree: dict = {}
+    for term in terms:
+        at = tree
+        for sign in (c for c in term.lower() if not broken or (c.isascii() and c.isalnum())):
+            at = at.setdefault(sign, {})
+        at[" end"] = {}
+
+    def written(at: dict, first: bool) -> str:
+        parts = [" " if sign == " end" else (" ?" if broken and not first else "") + re.escape(sign) + written(below, False) for sign, below in at.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f" {written(tree, True)}"
+
+
 def matches_term(normal: Column, plain: Column, term: str) -> Column:
     """In normal text, broken up or not, or as whole words in ``plain``, the normal text without digits for letters."""
     return F.concat(F.lit(" "), normal, F.lit(" ")).rlike(spaced_pattern(term)) | holds_phrase(plain, term)
@@ -122,10 +159,15 @@ def overlap_tokens(text: Column) -> Column:
     return F.array_union(words, F.transform(plural, lambda w: F.substring(w, F.lit(1), F.length(w) - 1)))
 
 
+#: What a question names a document by, and words in capitals that name none.
+CAPITAL_NAME, NAME_OF_TABLE = r"\b[A-Z][A-Z0-9_]{2,}\b", r"\b([A-Za-z][A-Za-z0-9_]*)\s+table\b"
+NO_NAMES = ("EHI", "ETL", "INI", "SQL")
+
+
 def document_hint(question: Column) -> Column:
     """The longest name in capitals, those with an underscore first, or the word before "table"."""
-    capitals = F.filter(F.regexp_extract_all(question, F.lit(r"\b[A-Z][A-Z0-9_]{2,}\b"), 0), lambda c: ~c.isin("EHI", "ETL", "INI", "SQL"))
-    named = F.upper(F.regexp_extract(question, r"\b([A-Za-z][A-Za-z0-9_]*)\s+table\b", 1))
+    capitals = F.filter(F.regexp_extract_all(question, F.lit(CAPITAL_NAME), 0), lambda c: ~c.isin(*NO_NAMES))
+    named = F.upper(F.regexp_extract(question, NAME_OF_TABLE, 1))
     every = F.when(named != "", F.array_append(capitals, named)).otherwise(capitals)
     ranked = F.transform(every, lambda c, i: F.struct(c.contains("_").alias("u"), F.length(c).alias("n"), (-i).alias("i"), c.alias("c")))
     return F.array_max(ranked)["c"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from ..functions.text import SHORT_TERMS, document_hint, overlap_tokens, query_t
 #: BM25 weights of the indexed columns.
 WEIGHTS = {"chunk_id": 0.0, "source_path": 8.0, "title": 10.0, "category": 0.5, "heading_path": 5.0, "text": 1.0, "generated_queries": 0.5}
 K1, B = 1.2, 0.75
+QUERIES_A_BLOCK = 20_000
 MOST_TOKENS, POOL, HYBRID_DEPTH, PER_DOCUMENT, RRF_CONSTANT, MOST_RESULTS = 8, 4, 2, 3, 60, 25
 
 
@@ -70,6 +72,12 @@ def field_postings(fields: DataFrame) -> DataFrame:
     return fields.select("chunk_id", F.explode("fields").alias("f")).select("chunk_id", "f.col", F.posexplode("f.tokens").alias("position", "term"))
 
 
+def field_sizes(fields: DataFrame) -> DataFrame:
+    """:func:`chunk_sizes` of such an index."""
+    tokens = F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["tokens"]))
+    return fields.select("chunk_id", tokens.cast("long").alias("size")).where("size > 0")
+
+
 def field_vocabulary(fields: DataFrame) -> DataFrame:
     """:func:`vocabulary` of such an index: a chunk's terms are made distinct in place, so only counts are shuffled."""
     terms = F.array_distinct(F.flatten(F.transform("fields", lambda f: f["tokens"])))
@@ -112,16 +120,16 @@ def asked_tokens(questions: DataFrame) -> DataFrame:
 
 
 def under_prefix(vocab: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """prefixes (prefix, ...; a small set: broadcast) with every term of the vocabulary that starts with them. Heads of terms are compared for equality."""
+    """prefixes (prefix, ...) with every term of the vocabulary that starts with them. Heads of terms are compared for equality."""
     longest = prefixes.agg(F.max(F.length("prefix")).alias("longest"))
     ends = F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.col("longest"))))
     heads = vocab.crossJoin(F.broadcast(longest)).withColumn("end", ends).withColumn("prefix", F.substring("term", F.lit(1), F.col("end"))).drop("end", "longest")
-    return heads.join(F.broadcast(prefixes), "prefix")
+    return heads.join(prefixes, "prefix")
 
 
 def phrase_starts(posted: DataFrame, parts: DataFrame, *keys: str) -> DataFrame:
     """keys, chunk_id, col, start: one row per place where a phrase's words stand in a row. parts: keys, size, shift, term of each word."""
-    runs = posted.join(F.broadcast(parts), "term").groupBy(*keys, "size", "chunk_id", "col", (F.col("position") - F.col("shift")).alias("start")).agg(F.count_distinct("shift").alias("n"))
+    runs = posted.join(parts, "term").groupBy(*keys, "size", "chunk_id", "col", (F.col("position") - F.col("shift")).alias("start")).agg(F.count_distinct("shift").alias("n"))
     return runs.where(F.col("n") == F.col("size")).select(*keys, "chunk_id", "col", "start")
 
 
@@ -147,22 +155,6 @@ def select_tokens(tokens: DataFrame, volumes: DataFrame, limit: int = MOST_TOKEN
     return alive.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
 
-def phrase_hits(posted: DataFrame, words: list[str]) -> DataFrame:
-    """chunk_id, col: one row per occurrence of consecutive words in one column. Shifted positions meet in one count."""
-    spark = posted.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(list(enumerate(words)), "shift int, term string"))
-    met = posted.join(wanted, "term").groupBy("chunk_id", "col", (F.col("position") - F.col("shift")).alias("start")).agg(F.count_distinct("shift").alias("n"))
-    return met.where(F.col("n") == len(words)).select("chunk_id", "col")
-
-
-def term_hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, token, chunk_id, col, tf for queries (query_id, token, word, exact) of one-word tokens."""
-    same = (F.col("term") == F.col("word")) | (~F.col("exact") & F.col("term").startswith(F.col("word")))
-    # prefixes meet the vocabulary, which is small, and only then the postings
-    expanded = posted.select("term").distinct().join(F.broadcast(terms), same).select("query_id", "token", "term")
-    return posted.join(expanded, "term").groupBy("query_id", "token", "chunk_id", "col").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def token_hits(posted: DataFrame, tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """query_id, token, chunk_id, col, tf for selected tokens (query_id, token, exact; at most MOST_TOKENS a query).
 
@@ -174,7 +166,7 @@ def token_hits(posted: DataFrame, tokens: DataFrame, vocab: DataFrame) -> DataFr
     several, one = words.where("size > 1"), words.where("size = 1")
     prefixes = one.where("not exact").select(*keys, F.col("term").alias("prefix"))
     terms = one.where("exact").select(*keys, "term").unionByName(under_prefix(vocab, prefixes).select(*keys, "term"))
-    plain = posted.join(F.broadcast(terms), "term").select(*keys, "chunk_id", "col")
+    plain = posted.join(terms, "term").select(*keys, "chunk_id", "col")
     phrases = phrase_starts(posted, several.drop("exact"), *keys).select(*keys, "chunk_id", "col")
     return plain.unionByName(phrases).groupBy(*keys, "chunk_id", "col").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -185,7 +177,7 @@ def bm25(hits: DataFrame, sizes: DataFrame, weights: dict[str, float] | None = N
     corpus = F.broadcast(sizes.agg(F.count(F.lit(1)).cast("double").alias("n_chunks"), F.avg("size").alias("mean_size"), F.lit(1).alias("one")))
     by_chunk = hits.groupBy("query_id", "token", "chunk_id").agg(F.sum(F.coalesce(weight, F.lit(1.0)) * F.col("tf")).alias("f"))
     reach = by_chunk.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("reach"))
-    rows = by_chunk.join(F.broadcast(reach), ["query_id", "token"]).join(sizes, "chunk_id").withColumn("one", F.lit(1)).join(corpus, "one")
+    rows = by_chunk.join(reach, ["query_id", "token"]).join(sizes, "chunk_id").withColumn("one", F.lit(1)).join(corpus, "one")
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_chunks") - F.col("reach") + 0.5) / (F.col("reach") + 0.5)))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     return rows.groupBy("query_id", "chunk_id").agg((-F.sum(part)).alias("score"))
@@ -199,7 +191,7 @@ def ranked(scores: DataFrame, k: int, *order: F.Column) -> DataFrame:
 
 def with_hint(scores: DataFrame, chunks: DataFrame, hints: DataFrame) -> DataFrame:
     """Adds document_rank: 0 for chunks of the document that the query names, else 1. hints: query_id, hint."""
-    named = scores.join(chunks.select("chunk_id", "source_path", "title"), "chunk_id").join(F.broadcast(hints), "query_id", "left")
+    named = scores.join(chunks.select("chunk_id", "source_path", "title"), "chunk_id").join(hints, "query_id", "left")
     path, hint = F.upper("source_path"), F.col("hint")
     hit = (path == F.concat(hint, F.lit(".HTML"))) | path.endswith(F.concat(F.lit("/"), hint, F.lit(".HTML"))) | F.upper("title").startswith(F.concat(hint, F.lit(" - ")))
     return named.withColumn("document_rank", F.when(F.coalesce(hit, F.lit(False)), 0).otherwise(1))
@@ -228,14 +220,20 @@ def unit(vector: str) -> F.Column:
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact inner-product top k. vectors: chunk_id, embedding; queries: query_id, query (a stated, small set: broadcast).
+    """Exact inner-product top k. vectors: chunk_id, embedding; queries: query_id, query (a stated set, met in blocks).
 
-    Each partition keeps its own best k of every query before the shuffle, so k rows a query and task move.
+    Each block of queries is broadcast by itself and bounded. Each partition keeps its own best k of every query before
+    the shuffle, so k rows a query and task move.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", dot("embedding", "query").alias("score"))
-    order = (F.col("score").desc(), F.col("chunk_id").asc())
-    best = Window.partitionBy("query_id").orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+
+    def met(number: int) -> DataFrame:
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        scored = vectors.crossJoin(F.broadcast(block)).select("query_id", "chunk_id", dot("embedding", "query").alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(met, range(blocks)))
 
 
 def fuse(*lists: DataFrame, k: int | None = None) -> DataFrame:
@@ -294,9 +292,10 @@ def children(nodes: DataFrame, parents: DataFrame, limit: int = 25) -> DataFrame
 def siblings(nodes: DataFrame, of: DataFrame, limit: int = 25) -> DataFrame:
     """Other children of the same parent. of: node_id."""
     own = of.join(nodes, "node_id").select(F.col("node_id").alias("of_id"), "parent_id")
-    beside = nodes.join(own, "parent_id").where("node_id <> of_id")
+    first = F.row_number().over(Window.partitionBy("parent_id").orderBy("position", "node_id"))
+    few = nodes.withColumn("place", first).where(F.col("place") <= limit + 1)  # one of them may be the node itself
     order = F.row_number().over(Window.partitionBy("of_id").orderBy("position", "node_id"))
-    return beside.withColumn("place", order).where(F.col("place") <= limit)
+    return few.join(own, "parent_id").where("node_id <> of_id").withColumn("place", order).where(F.col("place") <= limit)
 
 
 def parents(nodes: DataFrame, of: DataFrame) -> DataFrame:

@@ -19,12 +19,18 @@ from .model import Catalogue
 
 #: Functions that aggregate queries may call besides operators.
 FUNCTIONS = frozenset(
-    "count sum avg min max count_if countif any_value median percentile stddev variance round abs coalesce nullif if greatest least lower upper trim length substring substr "
-    "concat date trunc date_trunc year quarter month day dayofweek extract cast datediff date_add date_sub floor ceil".split()
+    (
+    "count", "sum", "avg", "min", "max", "count_if", "countif", "any_value", "median", "percentile", "stddev", "variance", "round", "abs", "coalesce", "nullif", "if",
+    "greatest", "least", "lower", "upper", "trim", "length", "substring", "substr", "concat", "date", "trunc", "date_trunc", "year", "quarter", "month", "day", "dayofweek",
+    "extract", "cast", "datediff", "date_add", "date_sub", "floor", "ceil",
 )
-AGGREGATES = frozenset("count sum avg min max count_if countif any_value median percentile stddev variance".split())
+)
+AGGREGATES = frozenset(("count", "sum", "avg", "min", "max", "count_if", "countif", "any_value", "median", "percentile", "stddev", "variance"))
 READ_NODES = frozenset(
-    "Project Aggregate Filter Join UnresolvedRelation SubqueryAlias Sort GlobalLimit LocalLimit Distinct Union Intersect Except UnresolvedHaving UnresolvedWith WithCTE CTERelationDef OneRowRelation UnresolvedOrdinal".split()
+    (
+    "Project", "Aggregate", "Filter", "Join", "UnresolvedRelation", "SubqueryAlias", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "Intersect", "Except",
+    "UnresolvedHaving", "UnresolvedWith", "WithCTE", "CTERelationDef", "OneRowRelation", "UnresolvedOrdinal",
+)
 )
 
 

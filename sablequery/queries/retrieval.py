@@ -18,22 +18,25 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_path"), F.col("lang").alias("title"), "text")
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(chunks(spark, sf_dir), COLUMNS)
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, stored: texts are cut into tokens once, whatever reads it."""
+    return kept(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
 
 
-def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of every benchmark item, searched exactly."""
+def item_terms(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    """Of all words of every benchmark item, the rarest that the index holds, searched exactly."""
     items = table(spark, sf_dir, "benchmark")
-    words = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.index_tokens("text"))).alias("word"))
-    return words.where(F.length("word") >= 8).select("query_id", F.col("word").alias("token"), "word", F.lit(True).alias("exact"))
+    words = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.index_tokens("text"))).alias("term"))
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("chunks", "term"))
+    return words.join(vocab, "term").withColumn("n", rarest).where(F.col("n") <= R.MOST_TOKENS).select("query_id", F.col("term").alias("token"), "term")
 
 
 #: The same relations in DuckDB.
 WORDS = "list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 POSTED = f"""f AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'source_path' AS col, source AS v FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'title', lang FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'text', text FROM documents),
 p AS (SELECT chunk_id, col, unnest({WORDS.format('v')}) AS term FROM f)"""
-TERMS = f"q AS (SELECT DISTINCT item_id AS query_id, w AS word FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) WHERE length(w) >= 8)"
+TERMS = f"""w AS (SELECT DISTINCT item_id AS query_id, w AS word FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark)), v AS (SELECT term, count(DISTINCT chunk_id) AS n FROM p GROUP BY 1),
+q AS (SELECT query_id, word FROM w JOIN v ON term = word QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n, word) <= {R.MOST_TOKENS})"""
 SCORED = f"""{POSTED}, {TERMS}, z AS (SELECT chunk_id, count(*) AS size FROM p GROUP BY 1), c AS (SELECT count(*) AS n, avg(size) AS mean FROM z),
 h AS (SELECT query_id, word, chunk_id, sum(CASE col WHEN 'source_path' THEN 8.0 WHEN 'title' THEN 10.0 ELSE 1.0 END) AS f FROM p JOIN q ON term = word GROUP BY ALL),
 r AS (SELECT query_id, word, count(*) AS reach FROM h GROUP BY ALL),
@@ -41,21 +44,21 @@ s AS (SELECT query_id, chunk_id, round(-sum(greatest(1e-6, ln((n - reach + 0.5)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = index(spark, sf_dir)
-    scores = R.bm25(R.term_hits(posted, item_terms(spark, sf_dir)), R.chunk_sizes(posted))
-    return scores.withColumn("score", F.round("score", 6))
+    own = fields(spark, sf_dir)
+    hits = R.field_postings(own).join(kept(item_terms(spark, sf_dir, R.field_vocabulary(own))), "term").groupBy("query_id", "token", "chunk_id", "col").agg(F.count(F.lit(1)).alias("tf"))
+    return kept(R.bm25(hits, R.field_sizes(own))).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {POSTED} SELECT term, count(DISTINCT chunk_id) AS chunks FROM p GROUP BY 1")
 def fts_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.vocabulary(index(spark, sf_dir))
+    return R.field_vocabulary(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
 
 
 @query(f"WITH {POSTED}, v AS (SELECT term, count(DISTINCT chunk_id) AS n FROM p GROUP BY 1) SELECT t.token, CAST(coalesce(sum(n), 0) AS BIGINT) AS volume FROM (VALUES ('the'), ('ach'), ('nosuchterm')) t(token) LEFT JOIN v ON starts_with(term, token) GROUP BY 1")
 def fts_prefix_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = index(spark, sf_dir)
+    vocab = R.field_vocabulary(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
     prefixes = spark.createDataFrame([("the",), ("ach",), ("nosuchterm",)], "token string")
-    met = F.broadcast(prefixes).join(R.vocabulary(posted), F.col("term").startswith(F.col("token")), "left")
+    met = F.broadcast(prefixes).join(vocab, F.col("term").startswith(F.col("token")), "left")
     return met.groupBy("token").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("volume"))
 
 
@@ -86,9 +89,9 @@ def fts_hint_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fts_token_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens that each benchmark item keeps as a question."""
-    posted = index(spark, sf_dir)
+    own = fields(spark, sf_dir)
     asked = R.asked_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
-    return R.select_tokens(asked, R.token_volumes(asked, posted, R.vocabulary(posted))).select("query_id", "place", "token", "volume")
+    return R.select_tokens(asked, R.token_volumes(asked, R.field_postings(own), R.field_vocabulary(own))).select("query_id", "place", "token", "volume")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,15 +111,17 @@ def dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return R.dense_top(vectors(spark, sf_dir), vector_queries(spark, sf_dir), k)
 
 
-@query(f"WITH {DENSE} SELECT query_id, rank, score FROM dk WHERE rank <= 10")
+@query(f"WITH {DENSE} SELECT query_id, chunk_id, rank, score FROM dk WHERE rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir, 10).select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return dense(spark, sf_dir, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 3) AS norm FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT vec_id, round(list_dot_product(e, e) / list_dot_product(e, e), 3) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 4) AS first, round(list_sum(e) / sqrt(list_dot_product(e, e)), 3) AS total FROM e""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = table(spark, sf_dir, "embeddings").withColumn("embedding", stretched_unit("embedding"))
-    return scaled.select("vec_id", F.round(R.dot("embedding", "embedding"), 3).alias("norm"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return scaled.select("vec_id", F.round(R.dot("embedding", "embedding"), 3).alias("norm"), F.round(F.get("embedding", 0).cast("double"), 4).alias("first"), F.round(total, 3).alias("total"))
 
 
 def stretched_unit(name: str) -> F.Column:
@@ -124,31 +129,24 @@ def stretched_unit(name: str) -> F.Column:
     return R.unit(F.transform(name, lambda x: x * 7))
 
 
-_FUSE = """a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM documents, benchmark b),
-b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(doc_id - item_id * 7), doc_id) AS rank FROM documents, benchmark),
-e AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20), g AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM e GROUP BY ALL)"""
+_FUSE = f"""{SCORED}, d AS (SELECT s.*, coalesce(source, '') AS source FROM s JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id),
+a AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM d), b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY source, score, chunk_id) AS rank FROM d),
+e AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20), g AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM e GROUP BY ALL)"""
 
 
-@query(f"WITH {_FUSE}, k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM g) SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, round(score, 9) AS score, rank FROM k WHERE rank <= 10")
+@query(f"WITH {_FUSE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM g) SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM k WHERE rank <= 10")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists per benchmark item: documents nearest in length and nearest in number."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    met = docs.select("doc_id", "n_chars").crossJoin(F.broadcast(items.select("item_id", F.length("text").alias("n"))))
-    by_size, by_id = (F.abs(F.col("n_chars") - F.col("n")), F.abs(F.col("doc_id") - F.col("item_id") * 7))
-
-    def best(order: F.Column) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("item_id").orderBy(order, "doc_id"))
-        return met.withColumn("rank", rank).where("rank <= 20").select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), "rank")
-
-    fused = R.fuse(best(by_size), best(by_id)).withColumn("score", F.round("score", 9)).drop("rank")
+    """Two lists per benchmark item: the best chunks of all, and the best of the first sources by name."""
+    hits = scored(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", F.coalesce("source_path", F.lit("")).alias("source_path")), "chunk_id")
+    fused = R.fuse(R.ranked(hits, 20), R.ranked(hits, 20, F.col("source_path").asc(), F.col("score").asc())).withColumn("score", F.round("score", 9)).drop("rank")
     return R.ranked(fused, 10, F.col("score").desc()).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def whole_search(spark: SparkSession, sf_dir: str, k: int, **dense: DataFrame) -> DataFrame:
     """Every benchmark text as a question, by all steps of the search."""
-    docs, fields = chunks(spark, sf_dir), kept(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
+    docs, own = chunks(spark, sf_dir), fields(spark, sf_dir)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found, _ = R.search(questions, docs, R.field_postings(fields), k, vocab=kept(R.field_vocabulary(fields)), keep=kept, **dense)
+    found, _ = R.search(questions, docs, R.field_postings(own), k, vocab=kept(R.field_vocabulary(own)), keep=kept, **dense)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "source_path", F.substring("text", 1, T.PREVIEW).alias("preview"))
 
 
@@ -167,29 +165,34 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents: nations and regions. Edges: a nation's customers and suppliers make it an edge to its region."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    docs = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("doc_id"), F.concat(F.lit("geo/"), "n_name", F.lit(".html")).alias("source_path"))
-    docs = docs.unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("doc_id"), F.concat(F.lit("geo/"), "r_name", F.lit(".html")).alias("source_path")))
-    edges = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.concat(F.lit("e"), F.lpad("n_nationkey", 3, "0")).alias("relationship_id"), F.concat(F.lit("n"), "n_nationkey").alias("source_doc_id"), F.col("n_name").alias("source_table"),
-        F.lit("n_regionkey").alias("source_column"), F.col("r_name").alias("target_table"), F.lit("r_regionkey").alias("target_column"), F.lit(1).alias("ordinal"))
-    return docs, edges
+    """Documents: customers and orders. Edges: from each order to its customer, and from each part's order line to a part that is no document."""
+    customer, orders, lines = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    docs = customer.select(F.concat(F.lit("c"), "c_custkey").alias("doc_id"), F.concat(F.lit("people/c"), "c_custkey", F.lit(".html")).alias("source_path"))
+    docs = docs.unionByName(orders.select(F.concat(F.lit("o"), "o_orderkey").alias("doc_id"), F.concat(F.lit("orders/o"), "o_orderkey", F.lit(".html")).alias("source_path")))
+
+    def edge(rows: DataFrame, kind: str, number: F.Column, order: str, target: F.Column, column: str) -> DataFrame:
+        return rows.select(
+            F.concat(F.lit(kind), number).alias("relationship_id"), F.concat(F.lit("o"), order).alias("source_doc_id"), F.concat(F.lit("o"), order).alias("source_table"), F.lit(column).alias("source_column"),
+            target.alias("target_table"), F.lit("key").alias("target_column"), F.lit(1).alias("ordinal"))
 
+    edges = edge(orders, "e", F.col("o_orderkey").cast("string"), "o_orderkey", F.concat(F.lit("c"), "o_custkey"), "o_custkey")
+    return docs, edges.unionByName(edge(lines, "l", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", F.concat(F.lit("p"), "l_partkey"), "l_partkey"))
 
-@query("SELECT 'e' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS relationship_id, 'n' || n_nationkey AS source_doc_id, 'r' || r_regionkey AS target_doc_id FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+
+@query("""SELECT 'e' || o_orderkey AS relationship_id, 'o' || o_orderkey AS source_doc_id, 'c' || c_custkey AS target_doc_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'l' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'o' || l_orderkey, NULL FROM lineitem""")
 def fk_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges = value_graph(spark, sf_dir)
     return R.resolve_destinations(edges, docs).select("relationship_id", "source_doc_id", "target_doc_id")
 
 
-@query("""WITH s AS (SELECT 'r' || r_regionkey AS seed, r_regionkey FROM region), c AS (SELECT s.r_regionkey AS query_id, 'n' || n_nationkey AS neighbour, 'e' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS relationship_id FROM s JOIN nation ON n_regionkey = s.r_regionkey),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relationship_id) AS rank FROM c) SELECT CAST(query_id AS INTEGER) AS query_id, neighbour, relationship_id, 'inbound' AS direction, rank FROM k WHERE rank <= 3""")
+@query("""WITH c AS (SELECT c_custkey AS query_id, 'o' || o_orderkey AS neighbour, 'e' || o_orderkey AS relationship_id, 'inbound' AS direction FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relationship_id) AS rank FROM c) SELECT * FROM k WHERE rank <= 5""")
 def graph_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each region is a query; its nations are its neighbours."""
+    """Every twentieth customer is a query and its own seed; orders that name it are its neighbours."""
     docs, edges = value_graph(spark, sf_dir)
-    seeds = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("query_id"), F.concat(F.lit("r"), "r_regionkey").alias("doc_id"), F.lit(1).alias("seed_rank"))
-    found = R.expand_one_hop(seeds, R.resolve_destinations(edges, docs), most=3)
+    seeds = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("doc_id"), F.lit(1).alias("seed_rank"))
+    found = R.expand_one_hop(seeds, R.resolve_destinations(edges, docs))
     return found.select("query_id", "neighbour", "relationship_id", "direction", F.col("rank").cast("long").alias("rank"))
 
 
@@ -208,10 +211,12 @@ def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.children(tree(spark, sf_dir), nations).select("parent_id", "node_id", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT 'n' || a.n_nationkey AS of_id, 'n' || b.n_nationkey AS node_id, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey) AS place FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+@query("""WITH s AS (SELECT 'c' || a.c_custkey AS of_id, 'c' || b.c_custkey AS node_id, row_number() OVER (PARTITION BY a.c_custkey ORDER BY b.c_custkey) AS place FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey
+WHERE a.c_custkey % 20 = 0) SELECT * FROM s WHERE place <= 25""")
 def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"))
-    return R.siblings(tree(spark, sf_dir), nations).select("of_id", "node_id", F.col("place").cast("long").alias("place"))
+    """Every twentieth customer asks for the others of its nation."""
+    asking = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"))
+    return R.siblings(tree(spark, sf_dir), asking).select("of_id", "node_id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT 'c' || c_custkey AS of_id, 'n' || n_nationkey AS parent_id, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
