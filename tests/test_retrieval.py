@@ -30,19 +30,21 @@ def test_bm25_equals_sqlite(spark):
     db.execute(f"create virtual table f using fts5({', '.join(NAMES)})")
     db.executemany(f"insert into f values ({','.join('?' * 7)})", [[x or "" for x in r] for r in ROWS])
     posted = R.postings(frames(spark))
-    sizes = R.chunk_sizes(posted)
+    fields = R.indexed_fields(frames(spark))
+    sizes, vocab = R.field_sizes(fields), R.field_vocabulary(fields)
+    assert sorted(sizes.collect()) == sorted(R.chunk_sizes(posted).collect()) and sorted(vocab.collect()) == sorted(R.vocabulary(posted).collect())
     for terms in ([("status", True)], [("status", True), ("visit", False)], [("cafe", False), ("patient", True), ("order", False)]):
         match = " OR ".join(f'"{t}"' + ("" if exact else "*") for t, exact in terms)
         wanted = dict(db.execute(f"select chunk_id, bm25(f, {','.join(str(w) for w in R.WEIGHTS.values())}) from f where f match ?", (match,)).fetchall())
-        asked = spark.createDataFrame([(1, t, t, exact) for t, exact in terms], "query_id int, token string, word string, exact boolean")
-        got = {r["chunk_id"]: r["score"] for r in R.bm25(R.term_hits(posted, asked), sizes).collect()}
+        asked = spark.createDataFrame([(1, t, exact) for t, exact in terms], "query_id int, token string, exact boolean")
+        got = {r["chunk_id"]: r["score"] for r in R.bm25(R.token_hits(posted, asked, vocab), sizes).collect()}
         assert got == pytest.approx(wanted, abs=1e-9)
 
 
 def test_phrases_and_volumes(spark):
     posted = R.postings(frames(spark))
-    assert {r["chunk_id"] for r in R.phrase_hits(posted, ["pat", "enc"]).collect()} == {"c1", "c2"}
-    assert R.phrase_hits(posted, ["links", "id"]).count() == 0
+    parts = R.token_words(spark.createDataFrame([("pat_enc",), ("links_id",)], "token string"), "token")
+    assert {(r["token"], r["chunk_id"]) for r in R.phrase_starts(posted, parts, "token").collect()} == {("pat_enc", "c1"), ("pat_enc", "c2")}
     questions = spark.createDataFrame([(1, "visits nothere STATUS pat_enc"), (2, "or OR 1234")], "query_id int, question string")
     asked = R.asked_tokens(questions)
     assert [(r["token"], r["exact"]) for r in asked.where("query_id = 1").orderBy("place").collect()] == [("visit", False), ("nothere", False), ("status", False), ("pat_enc", True)]
@@ -259,3 +261,25 @@ def slow_osa(a, b):
 @given(st.text("abc", max_size=8), st.text("abc", max_size=8))
 def test_osa_distance(a, b):
     assert T.osa_distance(a, b) == slow_osa(a, b)
+
+
+def test_siblings_are_the_first_children_of_the_parent(spark):
+    rng = random.Random(5)
+    nodes = [(f"n{k:03d}", f"p{k % 3}", rng.randrange(50), "d", "x") for k in range(200)]
+    frame = spark.createDataFrame(nodes, "node_id string, parent_id string, position int, document_id string, name string")
+    got = {}
+    for r in R.siblings(frame, frame.where("position % 7 = 0").select("node_id"), 10).collect():
+        got.setdefault(r["of_id"], {})[r["place"]] = r["node_id"]
+    for node, parent, position, *_ in nodes:
+        if position % 7 == 0:
+            others = sorted((p, n) for n, q, p, *_ in nodes if q == parent and n != node)[:10]
+            assert got[node] == {k: n for k, (_, n) in enumerate(others, 1)}
+
+
+def test_dense_queries_in_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    vectors = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)], "chunk_id int, embedding array<float>")
+    queries = vectors.where("chunk_id % 3 = 0").selectExpr("chunk_id as query_id", "embedding as query")
+    whole = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in R.dense_top(vectors, queries, 5).collect())
+    monkeypatch.setattr(R, "QUERIES_A_BLOCK", 6)
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in R.dense_top(vectors, queries, 5).collect()) == whole and len(whole) == 100
