@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, join_hot, stored
+from .common import free_name, free_shuffles, join_hot, stored
 
 THRESHOLD = 0.8
 #: Words are counted in a power of two of cells: one for this many bytes of text or less, up to a bound of memory.
@@ -139,6 +139,7 @@ def distinct_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     lines = stored(worded.select("doc_id", "th", "line_no", sid, n.alias("n"), *signatures(words), prefix.alias("prefix")), "lines")
     first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
     sets = lines.groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *SIGNATURES, "prefix")])
+    free_shuffles(docs.sparkSession)
     ordered = sets.repartitionByRange("first").sortWithinPartitions("first")
     return lines.select("doc_id", "th", "line_no", "sid"), stored(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
 
@@ -210,7 +211,9 @@ def _shared_words(sets: DataFrame, threshold: float) -> str:
     near = F.col("before").isNotNull()
     kept = met.where(near | F.col("followed")).select("w", "id", "n", "at", *SIGNATURES, *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
     name = f"line_shared_{uuid.uuid4().hex}"
+    free_shuffles(spark)
     kept.write.format("parquet").option("compression", "zstd").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
+    free_shuffles(spark)
     return name
 
 
@@ -223,6 +226,7 @@ def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
         near = shared.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("lead", "before"))).alias("y")).groupBy("x", "y").count()
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "y"))), 1, 2)  # a line has few candidates
         tried = stored(near.groupBy("x").agg(best.alias("best")).select("x", F.explode("best.y").alias("y")), "line-tried")
+        free_shuffles(spark)
         done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
         slim = shared.select("w", "id", "n", *SIGNATURES)
         rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", *SIGNATURES)
