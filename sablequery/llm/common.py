@@ -42,11 +42,6 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark removes a finished query's shuffle files once the driver's JVM has collected its plan: ask for that now."""
-    spark._jvm.System.gc()
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
