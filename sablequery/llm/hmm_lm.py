@@ -1,17 +1,23 @@
 """A hidden Markov language model.
 
 Counting: each training token's count c, their sum N and number V come from one pass over the training documents. The
-ALPHABET most frequent words seen LEAST_COUNT times are symbols of their own; every other word falls into one of BUCKETS symbols by its last bytes, and its share of the bucket, (c + 0.5) / (bucket's sum + 0.5), is a
-factor that the latent states have in common. A word never seen has c = 0 in its bucket. So the model is a proper
-distribution over texts, with K * (ALPHABET + BUCKETS + 1) emission parameters however large the vocabulary grows.
+ALPHABET most frequent words seen LEAST_COUNT times are symbols of their own, whose emissions every task holds; every
+other word falls into one of BUCKETS symbols by its last bytes while the states are trained.
 
 Training is Baum-Welch over all training documents: in each round every task runs the scaled forward-backward
 recursion over its documents and sums expected counts of starts, transitions and emissions; they are added up by symbol
-and the next model is made from them, smoothed toward the unigram distribution.
+and the next model is made from them, smoothed toward the unigram distribution. The last round also adds up the expected
+counts of every word outside the alphabet, in a table with a row a word that stays distributed, so each training word
+has emissions of its own and what is gathered grows with the input. Within a bucket and state the share of a word is
 
-Scoring: the scaled forward recursion in double precision gives the exact likelihood of the symbols; frequent tokens'
-counts are in the broadcast alphabet, the others meet theirs in a shuffle join on the word, once a document however often
-it holds the word, and per-document sums of both parts are added.
+    (l E + ((1 - l) c + 0.5) q) / Z,  l = c / (c + SHRINK)
+
+with its expected count E in the state and the state's part q of the bucket; Z adds them up, with 0.5 q for words never
+seen. So the model is a proper distribution over texts.
+
+Scoring: the scaled forward recursion in double precision gives the exact likelihood. Words outside the alphabet meet their
+row of the table in a shuffle join, once a document however often it holds the word, and their emissions are made in the
+task that scores the document.
 
 A word of more than LONGEST_WORD bytes is counted, coded and joined by a digest of 128 bits, so no word takes more memory.
 
@@ -37,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, id_hash, stored, utf8_bytes
 
 STATES = 8
-ALPHABET = 1 << 17
+#: Words whose emissions every task holds; further ones are joined.
+ALPHABET = 1 << 16
 LONGEST_WORD = 64
 LEAST_COUNT = 3
 BUCKETS = 256
@@ -46,6 +53,8 @@ STAY = 0.9
 PRIOR, PRIOR_SHARE = 50.0, 0.01
 TOKENS_A_CHUNK = 3 << 18
 WORDS_HELD = 300_000
+#: Training tokens of a word outside the alphabet that weigh as much as its bucket's states.
+SHRINK = 2.0
 #: The end token in the table of counts; words hold no white space.
 END = b"\n"
 
@@ -124,31 +133,30 @@ def make_alphabet(counts: DataFrame, size: int = ALPHABET) -> Alphabet:
 
 
 def encode_texts(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """row, doc_id, held_out, symbols (with the end), rare and times (words outside the alphabet, and how often), stored."""
+    """row, doc_id, held_out, symbols (with the end), rare and groups (distinct words outside the alphabet, their buckets), stored.
+
+    A symbol of ``alphabet.size`` or more is a place in the document's own ``rare``.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: k for k, w in enumerate(alphabet.words)}
-        first, end = len(index), alphabet.size - 1
+        end = alphabet.size - 1
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)
-                symbols, rare, times = [], [], []
+                symbols, rare, groups = [], [], []
                 for text in utf8_bytes(rows.column(3)):
-                    unknown: list[bytes] = []
+                    places: dict[bytes, int] = {}
                     own = []
                     for w in tokens_of(text):
                         k = index.get(w)
-                        if k is None:
-                            unknown.append(w)
-                            k = first + bucket(w)
-                        own.append(k)
+                        own.append(end + 1 + places.setdefault(w, len(places)) if k is None else k)
                     own.append(end)
-                    seen = Counter(unknown)
-                    symbols.append(np.array(own, dtype="int32")), rare.append(list(seen)), times.append(list(seen.values()))
-                yield pa.record_batch({"row": rows.column(0), "doc_id": rows.column(1), "held_out": rows.column(2), "symbols": pa.array(symbols, pa.list_(pa.int32())), "rare": pa.array(rare, pa.list_(pa.binary())), "times": pa.array(times, pa.list_(pa.int64()))})
+                    symbols.append(np.array(own, dtype="int32")), rare.append(list(places)), groups.append([bucket(w) for w in places])
+                yield pa.record_batch({"row": rows.column(0), "doc_id": rows.column(1), "held_out": rows.column(2), "symbols": pa.array(symbols, pa.list_(pa.int32())), "rare": pa.array(rare, pa.list_(pa.binary())), "groups": pa.array(groups, pa.list_(pa.int32()))})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return stored(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, symbols array<int>, rare array<binary>, times array<long>"), "lm-symbols")
+    return stored(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, symbols array<int>, rare array<binary>, groups array<int>"), "lm-symbols")
 
 
 @dataclass(frozen=True)
@@ -242,90 +250,158 @@ def next_model(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, uni
     return Model(start, move, emit)
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a list column in chunks of bounded tokens and like lengths: row numbers, symbols, lengths."""
-    flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    lengths = np.diff(offsets)
+@dataclass(frozen=True)
+class Chunk:
+    """Documents of like lengths. A symbol of ``size`` or more is a place in ``rare``, which points into the batch's rare words."""
+
+    documents: np.ndarray
+    symbols: np.ndarray
+    lengths: np.ndarray
+    rare: np.ndarray
+
+
+def _list(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values and offsets of a list column."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten(), offsets - offsets[0]
+
+
+def _chunks(symbols: pa.Array, groups: pa.Array, size: int) -> Iterator[Chunk]:
+    """All rows in chunks of bounded tokens."""
+    values, offsets = _list(symbols)
+    flat, lengths = values.to_numpy(), np.diff(offsets)
+    begins = _list(groups)[1]
     order = np.argsort(lengths, kind="stable")
     chunk = np.cumsum(lengths[order]) // TOKENS_A_CHUNK
     for own in np.split(order, np.flatnonzero(np.diff(chunk)) + 1) if len(order) else []:
-        yield own, np.concatenate([flat[offsets[k] : offsets[k + 1]] for k in own]), lengths[own]
+        tokens = np.concatenate([flat[offsets[k] : offsets[k + 1]] for k in own]).astype("int64")
+        kinds = begins[own + 1] - begins[own]
+        start = np.cumsum(kinds) - kinds
+        tokens += np.where(tokens >= size, np.repeat(start, lengths[own]), 0)
+        yield Chunk(own, tokens, lengths[own], np.repeat(begins[own] - start, kinds) + np.arange(kinds.sum()))
 
 
-def baum_welch_round(train: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
-    """One round over all training documents; the tasks' counts are added up by symbol. Also the log-likelihood."""
+def baum_welch_round(train: DataFrame, model: Model, alphabet: Alphabet, keep: bool = False) -> tuple[Model, float, DataFrame | None]:
+    """One round over all training documents; the tasks' counts are added up by symbol. Also the log-likelihood.
+
+    With ``keep`` also the sums of words outside the alphabet, stored: word, grp (bucket), n (tokens), s0, s1...
+    """
     size, states = model.emit.shape
+    first = len(alphabet.words)
+
+    def sums(k: np.ndarray, word: pa.Array, grp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        own = {"k": pa.array(k, pa.int32()), "word": word, "grp": pa.array(grp, pa.int32()), "n": pa.array(n, pa.int64())}
+        return pa.record_batch(own | {f"s{i}": pa.array(counts[:, i].astype("float32")) for i in range(states)})
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows: 0..size-1 emissions, then one for starts, one per state for transitions, one for the likelihood
         total = np.zeros((size + 2 + states, states))
         for batch in batches:
-            for _, symbols, lengths in _chunks(batch.column(0)):
-                starts, moves, emissions, logs = expected_counts(model, symbols, lengths)
-                total[:size] += emissions
+            words, groups = _list(batch.column(1))[0], _list(batch.column(2))[0].to_numpy()
+            for c in _chunks(batch.column(0), batch.column(2), size):
+                own = groups[c.rare]
+                wide = Model(model.start, model.move, np.concatenate([model.emit, model.emit[first + own]]))
+                starts, moves, emissions, logs = expected_counts(wide, c.symbols, c.lengths)
+                total[:size] += emissions[:size]
+                np.add.at(total, first + own, emissions[size:])
                 total[size] += starts
                 total[size + 1 : -1] += moves
                 total[-1, 0] += logs
+                if keep:
+                    n = np.bincount(c.symbols, minlength=len(wide.emit))[size:]
+                    yield sums(np.full(len(own), -1), words.take(pa.array(c.rare)), own, n, emissions[size:])
         used = np.flatnonzero(total.any(axis=1))
-        yield pa.record_batch({"k": pa.array(used, pa.int32())} | {f"s{i}": pa.array(total[used, i].astype("float32")) for i in range(states)})
+        none = np.zeros(len(used), "int64")
+        yield sums(used, pa.nulls(len(used), pa.binary()), none, none, total[used])
 
     names = [f"s{i}" for i in range(states)]
     kinds = ", ".join(f"{n} float" for n in names)  # sums are doubles
-    summed = train.select("symbols").mapInArrow(expect, f"k int, {kinds}").groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    found = train.select("symbols", "rare", "groups").mapInArrow(expect, f"k int, word binary, grp int, n long, {kinds}")
+    summed = found.groupBy("k", "word", "grp").agg(*[F.sum(n).alias(n) for n in ("n", *names)])
+    summed = stored(summed, "lm-sums") if keep else summed
+    by_symbol = summed.where("k >= 0").select("k", *names).toArrow()
     total = np.zeros((size + 2 + states, states))
-    total[summed["k"].to_numpy()] = np.stack([summed[n].to_numpy() for n in names], axis=1)
-    return next_model(total[size], total[size + 1 : -1], total[:size], unigram), float(total[-1, 0])
+    total[by_symbol["k"].to_numpy()] = np.stack([by_symbol[n].to_numpy() for n in names], axis=1)
+    new = next_model(total[size], total[size + 1 : -1], total[:size], alphabet.unigram())
+    return new, float(total[-1, 0]), summed.where("k < 0").drop("k") if keep else None
 
 
-def train(encoded: DataFrame, alphabet: Alphabet, *, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    model, unigram = first_model(alphabet, states), alphabet.unigram()
+@dataclass(frozen=True)
+class RareWords:
+    """Training words outside the alphabet, and of each bucket the states' parts and the sums that shares are divided by."""
+
+    table: DataFrame  # word, c, e (expected counts by state)
+    parts: np.ndarray  # BUCKETS x K
+    totals: np.ndarray  # BUCKETS x K
+
+    @staticmethod
+    def of(sums: DataFrame, states: int) -> RareWords:
+        names = [f"s{i}" for i in range(states)]
+        own = F.col("n") / (F.col("n") + SHRINK)
+        rest = F.sum((1 - own) * F.col("n") + 0.5).alias("rest")
+        expected, shrunken, others = np.zeros((BUCKETS, states)), np.zeros((BUCKETS, states)), np.full(BUCKETS, 0.5)
+        for row in sums.groupBy("grp").agg(rest, *[F.sum(n).alias(n) for n in names], *[F.sum(own * F.col(n)).alias(f"own_{n}") for n in names]).collect():
+            expected[row["grp"]] = [row[n] for n in names]
+            shrunken[row["grp"]] = [row[f"own_{n}"] for n in names]
+            others[row["grp"]] += row["rest"]
+        parts = (expected + 1 / states) / (expected.sum(axis=1, keepdims=True) + 1)
+        return RareWords(sums.select("word", F.col("n").alias("c"), F.array(*[F.col(n).cast("float") for n in names]).alias("e")), parts, shrunken + parts * others[:, None])
+
+    def shares(self, groups: np.ndarray, c: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """Shares of words within their buckets, by state; c is 0 for words never seen."""
+        own, c = (c / (c + SHRINK))[:, None], c[:, None]
+        return (own * expected + ((1 - own) * c + 0.5) * self.parts[groups]) / self.totals[groups]
+
+
+def train(encoded: DataFrame, alphabet: Alphabet, *, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, RareWords]:
+    """The model after one round or more, and the words outside the alphabet as the last round counts them."""
+    model = first_model(alphabet, states)
     known = encoded.where("not held_out")
-    for _ in range(rounds):
-        model, _ = baum_welch_round(known, model, unigram)
-    return model
+    for _ in range(rounds - 1):
+        model, _, _ = baum_welch_round(known, model, alphabet)
+    model, _, sums = baum_welch_round(known, model, alphabet, keep=True)
+    return model, RareWords.of(sums, states)
 
 
-def score_symbols(encoded: DataFrame, model: Model, alphabet: Alphabet) -> DataFrame:
-    """Per row: forward score, base score and known tokens of what the alphabet covers, all with the end token."""
-    first = len(alphabet.words)
+def scores(encoded: DataFrame, model: Model, rare: RareWords, alphabet: Alphabet) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every encoded row."""
+    (size, states), first = model.emit.shape, len(alphabet.words)
     log_count = np.concatenate([np.log10(alphabet.counts + 0.5), np.zeros(BUCKETS), [np.log10(alphabet.end_count + 0.5)]])
     known = np.concatenate([np.ones(first), np.zeros(BUCKETS), [float(alphabet.end_count > 0)]])
+    parts, totals = rare.parts, rare.totals
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_rare = RareWords(None, parts, totals)
         for batch in batches:
-            rows, docs, outs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            ids = batch.column(1)
-            for own, symbols, lengths in _chunks(batch.column(3)):
-                owner = np.repeat(np.arange(len(own)), lengths)
-                sums = np.bincount(owner, log_count[symbols], len(own)) - lengths * alphabet.log_base_total
-                seen = np.bincount(owner, known[symbols], len(own)).astype("int64")
-                yield pa.record_batch({"row": pa.array(rows[own]), "doc_id": ids.take(pa.array(own)), "held_out": pa.array(outs[own].astype(bool)), "n_tokens": pa.array(lengths.astype("int64")), "seen": pa.array(seen), "base": pa.array(sums), "forward": pa.array(log10_likelihood(model, symbols, lengths))})
-
-    return encoded.select("row", "doc_id", "held_out", "symbols").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, seen long, base double, forward double")
-
-
-def rare_sums(encoded: DataFrame, counts: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """Per row with words outside the alphabet: what their counts add to both scores."""
-    words = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
-    number = F.when(F.octet_length("word") < 3, F.crc32("word")).otherwise(F.crc32(F.substring("word", -3, 3))) % BUCKETS
-    sums = F.array(*[F.lit(float(x)) for x in alphabet.bucket_sums])
-    met = words.join(counts, "word", "left").select("row", (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("l"), F.when(F.col("c") > 0, F.col("n")).alias("k"), (F.col("n") * F.log10(F.get(sums, number.cast("int")))).alias("b"))
-    return met.groupBy("row").agg(F.sum("l").alias("rare_log"), F.coalesce(F.sum("k"), F.lit(0)).alias("rare_seen"), F.sum("b").alias("rare_bucket"))
-
-
-def scores(encoded: DataFrame, model: Model, alphabet: Alphabet, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every encoded row."""
-    scored = score_symbols(encoded, model, alphabet).join(rare_sums(encoded, counts, alphabet), "row", "left").na.fill(0, ["rare_log", "rare_seen", "rare_bucket"])
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", (F.col("seen") + F.col("rare_seen")).alias("n_known"), F.lit(alphabet.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_log")).alias("base_score"), (F.col("forward") + F.col("rare_log") - F.col("rare_bucket")).alias("score"),
-    )
+            outs = batch.column(1).to_numpy(zero_copy_only=False)
+            values, begins = _list(batch.column(3))
+            groups = values.to_numpy()
+            met, offsets = _list(batch.column(4))
+            at = np.repeat(begins[:-1], np.diff(offsets)) + met.field("at").to_numpy()
+            c, expected = np.zeros(len(groups)), np.zeros((len(groups), states))
+            c[at], expected[at] = met.field("c").to_numpy(), met.field("e").flatten().to_numpy().reshape(-1, states)
+            emit = model.emit[first + groups] * own_rare.shares(groups, c, expected)
+            for k in _chunks(batch.column(2), batch.column(3), size):
+                wide = Model(model.start, model.move, np.concatenate([model.emit, emit[k.rare]]))
+                owner = np.repeat(np.arange(len(k.documents)), k.lengths)
+                logs, seen = np.concatenate([log_count, np.log10(c[k.rare] + 0.5)]), np.concatenate([known, c[k.rare] > 0])
+                base = np.bincount(owner, logs[k.symbols], len(k.documents)) - k.lengths * alphabet.log_base_total
+                n_known = np.bincount(owner, seen[k.symbols], len(k.documents)).astype("int64")
+                yield pa.record_batch({
+                    "doc_id": batch.column(0).take(pa.array(k.documents)), "held_out": pa.array(outs[k.documents].astype(bool)), "n_tokens": pa.array(k.lengths.astype("int64")),
+                    "n_known": pa.array(n_known), "base_score": pa.array(base), "score": pa.array(log10_likelihood(wide, k.symbols, k.lengths)),
+                })
+
+    words = encoded.select("row", F.posexplode("rare").alias("at", "word")).join(rare.table, "word")
+    met = words.groupBy("row").agg(F.collect_list(F.struct("at", "c", "e")).alias("met"))
+    none = F.array().cast("array<struct<at: int, c: bigint, e: array<float>>>")
+    whole = encoded.join(met, "row", "left").select("doc_id", "held_out", "symbols", "groups", F.coalesce("met", none).alias("met"))
+    scored = whole.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(alphabet.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(docs: DataFrame, training: F.Column | None = None, *, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """The scores of every document, by a model of those that ``training`` names."""
-    counts = count_tokens(docs.where(~held_out() if training is None else training))
-    alphabet = make_alphabet(counts)
+    alphabet = make_alphabet(count_tokens(docs.where(~held_out() if training is None else training)))
     encoded = encode_texts(docs, alphabet)
-    return scores(encoded, train(encoded, alphabet, states=states, rounds=rounds), alphabet, counts)
+    return scores(encoded, *train(encoded, alphabet, states=states, rounds=rounds), alphabet)

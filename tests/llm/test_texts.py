@@ -50,16 +50,28 @@ def test_scores_are_probabilities_of_texts_with_rare_words(spark):
     counts = hmm_lm.count_tokens(docs.where(~hmm_lm.held_out()))
     alphabet = hmm_lm.make_alphabet(counts, size=2)
     encoded = hmm_lm.encode_texts(docs, alphabet)
-    model = hmm_lm.train(encoded, alphabet, states=2, rounds=2)
+    model, rare = hmm_lm.train(encoded, alphabet, states=2, rounds=2)
     known = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    got = {r["doc_id"]: r["score"] for r in hmm_lm.scores(encoded, model, alphabet, counts).collect()}
+    expected = {bytes(r["word"]): (r["c"], r["e"]) for r in rare.table.collect()}
+    got = {r["doc_id"]: r["score"] for r in hmm_lm.scores(encoded, model, rare, alphabet).collect()}
     assert len(alphabet.words) == 2
+    # every training word outside the alphabet has its own expected counts, which add up to its tokens
+    assert {w: c for w, (c, _) in expected.items()} == {w: c for w, c in known.items() if w not in (*alphabet.words, hmm_lm.END)}
+    assert all(np.isclose(sum(e), c, rtol=1e-4) for c, e in expected.values())
+
+    def weight(word, state, part):
+        c, e = expected.get(word, (0, [0, 0]))
+        own = c / (c + hmm_lm.SHRINK)
+        return own * e[state] + ((1 - own) * c + 0.5) * part
 
     def emitted(word, state):
         if word in alphabet.words:
             return model.emit[alphabet.words.index(word), state]
         at = hmm_lm.bucket(word)
-        return model.emit[2 + at, state] * (known.get(word, 0) + 0.5) / alphabet.bucket_sums[at]
+        inside = [w for w in expected if hmm_lm.bucket(w) == at]
+        whole = [sum(expected[w][1][s] for w in inside) for s in range(2)]
+        part = (whole[state] + 0.5) / (sum(whole) + 1)
+        return model.emit[2 + at, state] * weight(word, state, part) / (sum(weight(w, state, part) for w in inside) + 0.5 * part)
 
     for i, text, *_ in rows:
         own, total = hmm_lm.tokens_of((text or "").encode()), 0.0
@@ -68,7 +80,31 @@ def test_scores_are_probabilities_of_texts_with_rare_words(spark):
             for t, state in enumerate(path):
                 p *= (model.move[path[t - 1], state] if t else 1) * (emitted(own[t], state) if t < len(own) else model.emit[-1, state])
             total += p
-        assert np.isclose(got[i], np.log10(total), atol=1e-9)
+        assert np.isclose(got[i], np.log10(total), atol=1e-6)
+
+
+def test_expected_counts_of_rare_words_are_those_of_the_recursion(spark):
+    docs = documents(spark, [(k, t, "en", "s") for k, t in enumerate(["a x a y", "y a b x x", "b b a", "x", None, "a b a b z"] * 3)])
+    alphabet = hmm_lm.make_alphabet(hmm_lm.count_tokens(docs), size=2)
+    encoded = hmm_lm.encode_texts(docs, alphabet)
+    model = hmm_lm.first_model(alphabet, 3)
+    got = {bytes(r["word"]): [r["s0"], r["s1"], r["s2"]] for r in hmm_lm.baum_welch_round(encoded, model, alphabet, keep=True)[2].collect()}
+    wanted = {w: np.zeros(3) for w in (b"x", b"y", b"z")}
+    for row in docs.collect():
+        own = [*words(row["text"]), hmm_lm.END]
+        own = [w.encode() if isinstance(w, str) else w for w in own]
+        emit = np.array([model.emit[alphabet.words.index(w) if w in alphabet.words else -1 if w == hmm_lm.END else 2 + hmm_lm.bucket(w)] for w in own])
+        weights = {}
+        for path in itertools.product(range(3), repeat=len(own)):
+            p = model.start[path[0]]
+            for t, state in enumerate(path):
+                p *= (model.move[path[t - 1], state] if t else 1) * emit[t, state]
+            weights[path] = p
+        for path, p in weights.items():
+            for w, state in zip(own, path, strict=True):
+                if w in wanted:
+                    wanted[w][state] += p / sum(weights.values())
+    assert got.keys() == wanted.keys() and all(np.allclose(got[w], wanted[w], rtol=1e-3, atol=1e-4) for w in wanted)
 
 
 def test_likelihood_rises_and_partitioning_does_not_matter(spark):
@@ -80,7 +116,7 @@ def test_likelihood_rises_and_partitioning_does_not_matter(spark):
     model, logs = hmm_lm.first_model(alphabet, 4), []
     encoded = hmm_lm.encode_texts(docs, alphabet)
     for _ in range(5):
-        model, log = hmm_lm.baum_welch_round(encoded, model, alphabet.unigram())
+        model, log, _ = hmm_lm.baum_welch_round(encoded, model, alphabet)
         logs.append(log)
     assert logs == sorted(logs) and logs[-1] > logs[0] + 100
     one = {r["doc_id"]: r["score"] for r in hmm_lm.score_documents(docs.repartition(1), states=4).collect()}
