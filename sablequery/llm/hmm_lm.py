@@ -7,7 +7,7 @@ other word falls into one of BUCKETS symbols by its last bytes while the states
 Training is Baum-Welch over all training documents: in each round every task runs the scaled forward-backward
 recursion over its documents and sums expected counts of starts, transitions and emissions; they are added up by symbol
 and the next model is made from them, smoothed toward the unigram distribution. The last round also adds up the expected
-counts of every word outside the alphabet, in a table with a row a word that stays distributed, so each training word
+counts of every word outside the alphabet (a document's in 16-bit parts of its tokens), in a table with a row a word that stays distributed, so each training word
 has emissions of its own and what is gathered grows with the input. Within a bucket and state the share of a word is
 
     (l E + ((1 - l) c + 0.5) q) / Z,  l = c / (c + SHRINK)
@@ -34,13 +34,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, id_hash, stored, utf8_bytes
+from .common import ASCII_LOWER, drop_stored, id_hash, stored, utf8_bytes
 
 STATES = 8
 #: Words whose emissions every task holds; further ones are joined.
@@ -55,6 +56,10 @@ TOKENS_A_CHUNK = 3 << 18
 WORDS_HELD = 300_000
 #: Training tokens of a word outside the alphabet that weigh as much as its bucket's states.
 SHRINK = 2.0
+#: Their tokens' parts in the states are kept in 16 bits.
+PARTS = (1 << 16) - 1
+#: Rows of expected counts that travel together.
+ROWS_A_BLOCK = 512
 #: The end token in the table of counts; words hold no white space.
 END = b"\n"
 
@@ -121,10 +126,8 @@ def make_alphabet(counts: DataFrame, size: int = ALPHABET) -> Alphabet:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends")).first()
     words = counts.where(F.col("word") != F.lit(END))
     top = words.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "word").limit(size).toArrow()
-    number = F.crc32(F.substring("word", -3, 3)) % BUCKETS
-    number = F.when(F.octet_length("word") < 3, F.crc32("word") % BUCKETS).otherwise(number)
     sums = np.full(BUCKETS, 0.5)
-    for row in words.groupBy(number.cast("int").alias("b")).agg((F.sum("c") + 0.5 * F.count(F.lit(1))).alias("s")).collect():
+    for row in words.groupBy(bucket_number().alias("b")).agg((F.sum("c") + 0.5 * F.count(F.lit(1))).alias("s")).collect():
         sums[row["b"]] += row["s"]
     kept = top["word"].to_pylist()
     own = top["c"].to_numpy().astype("int64")
@@ -281,21 +284,38 @@ def _chunks(symbols: pa.Array, groups: pa.Array, size: int) -> Iterator[Chunk]:
         yield Chunk(own, tokens, lengths[own], np.repeat(begins[own] - start, kinds) + np.arange(kinds.sum()))
 
 
+def packed(counts: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Parts of each row's ``n`` tokens in the states, in 16 bits each, four to a long."""
+    parts = np.zeros((len(n), -(-counts.shape[1] // 4) * 4), "<u2")
+    parts[:, : counts.shape[1]] = np.rint(np.minimum(counts / np.maximum(n, 1)[:, None], 1.0) * PARTS)
+    return [pa.array(x) for x in parts.view("<i8").T]
+
+
+def unpacked(longs: list[np.ndarray], n: np.ndarray, states: int) -> np.ndarray:
+    """Expected counts of n tokens a row."""
+    return np.ascontiguousarray(np.stack(longs, axis=1)).view("<u2")[:, :states] * (n / PARTS)[:, None]
+
+
+def _part(state: int) -> F.Column:
+    return F.shiftrightunsigned(f"p{state // 4}", state % 4 * 16).bitwiseAND(PARTS) / PARTS
+
+
 def baum_welch_round(train: DataFrame, model: Model, alphabet: Alphabet, keep: bool = False) -> tuple[Model, float, DataFrame | None]:
     """One round over all training documents; the tasks' counts are added up by symbol. Also the log-likelihood.
 
-    With ``keep`` also the sums of words outside the alphabet, stored: word, grp (bucket), n (tokens), s0, s1...
+    With ``keep`` also words outside the alphabet, stored: word, c, and p0, p1... as :func:`packed` makes them.
     """
     size, states = model.emit.shape
-    first = len(alphabet.words)
-
-    def sums(k: np.ndarray, word: pa.Array, grp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        own = {"k": pa.array(k, pa.int32()), "word": word, "grp": pa.array(grp, pa.int32()), "n": pa.array(n, pa.int64())}
-        return pa.record_batch(own | {f"s{i}": pa.array(counts[:, i].astype("float32")) for i in range(states)})
+    first, longs = len(alphabet.words), [f"p{i}" for i in range(-(-states // 4))]
+    height = -(-(size + 2 + states) // ROWS_A_BLOCK) * ROWS_A_BLOCK
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows: 0..size-1 emissions, then one for starts, one per state for transitions, one for the likelihood
-        total = np.zeros((size + 2 + states, states))
+        total = np.zeros((height, states))
+
+        def rare(words: pa.Array, n: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"word": words, "block": pa.nulls(len(n), pa.int32()), "n": pa.array(n, pa.int64())} | dict(zip(longs, packed(counts, n), strict=True)) | {"sums": pa.nulls(len(n), pa.binary())})
+
         for batch in batches:
             words, groups = _list(batch.column(1))[0], _list(batch.column(2))[0].to_numpy()
             for c in _chunks(batch.column(0), batch.column(2), size):
@@ -305,47 +325,68 @@ def baum_welch_round(train: DataFrame, model: Model, alphabet: Alphabet, keep: b
                 total[:size] += emissions[:size]
                 np.add.at(total, first + own, emissions[size:])
                 total[size] += starts
-                total[size + 1 : -1] += moves
-                total[-1, 0] += logs
+                total[size + 1 : size + 1 + states] += moves
+                total[size + 1 + states, 0] += logs
                 if keep:
-                    n = np.bincount(c.symbols, minlength=len(wide.emit))[size:]
-                    yield sums(np.full(len(own), -1), words.take(pa.array(c.rare)), own, n, emissions[size:])
-        used = np.flatnonzero(total.any(axis=1))
-        none = np.zeros(len(used), "int64")
-        yield sums(used, pa.nulls(len(used), pa.binary()), none, none, total[used])
-
-    names = [f"s{i}" for i in range(states)]
-    kinds = ", ".join(f"{n} float" for n in names)  # sums are doubles
-    found = train.select("symbols", "rare", "groups").mapInArrow(expect, f"k int, word binary, grp int, n long, {kinds}")
-    summed = found.groupBy("k", "word", "grp").agg(*[F.sum(n).alias(n) for n in ("n", *names)])
-    summed = stored(summed, "lm-sums") if keep else summed
-    by_symbol = summed.where("k >= 0").select("k", *names).toArrow()
-    total = np.zeros((size + 2 + states, states))
-    total[by_symbol["k"].to_numpy()] = np.stack([by_symbol[n].to_numpy() for n in names], axis=1)
-    new = next_model(total[size], total[size + 1 : -1], total[:size], alphabet.unigram())
-    return new, float(total[-1, 0]), summed.where("k < 0").drop("k") if keep else None
+                    yield rare(words.take(pa.array(c.rare)), np.bincount(c.symbols, minlength=len(wide.emit))[size:], emissions[size:])
+        blocks = total.reshape(-1, ROWS_A_BLOCK * states).astype("<f4")
+        used = np.flatnonzero(blocks.any(axis=1))
+        nothing = {c: pa.nulls(len(used), pa.int64()) for c in ("n", *longs)}
+        yield pa.record_batch({"word": pa.nulls(len(used), pa.binary()), "block": pa.array(used, pa.int32())} | nothing | {"sums": pa.array([b.tobytes() for b in blocks[used]], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[block] = total.get(block, 0.0) + np.frombuffer(sums, "<f4").astype(float)
+        yield pa.record_batch({"block": pa.array(total.keys(), pa.int32()), "sums": pa.array([b.tobytes() for b in total.values()], pa.binary())})
+
+    schema = ", ".join(["word binary, block int, n long", *(f"{c} long" for c in longs), "sums binary"])
+    found = train.select("symbols", "rare", "groups").mapInArrow(expect, schema)
+    found = stored(found, "lm-expected") if keep else found
+    summed = found.where("block is not null").select("block", "sums").repartition("block").mapInArrow(add, "block int, sums binary").toArrow()
+    total = np.zeros((height // ROWS_A_BLOCK, ROWS_A_BLOCK * states))
+    for block, sums in zip(summed["block"].to_pylist(), summed["sums"].to_pylist(), strict=True):
+        total[block] = np.frombuffer(sums)
+    total = total.reshape(height, states)
+    new, logs = next_model(total[size], total[size + 1 : size + 1 + states], total[:size], alphabet.unigram()), float(total[size + 1 + states, 0])
+    if not keep:
+        return new, logs, None
+    # rows are shuffled as they are, shorter than sums for every state
+    by_word = found.where("word is not null").drop("block", "sums").repartition("word").groupBy("word")
+    words = by_word.agg(F.sum("n").alias("c"), *[F.sum(_part(i) * F.col("n")).alias(f"s{i}") for i in range(states)])
+    part = [F.shiftleft(F.round(F.least(F.col(f"s{i}") / F.col("c"), F.lit(1.0)) * PARTS).cast("long"), i % 4 * 16) for i in range(states)]
+    four = [reduce(lambda a, b: a.bitwiseOR(b), part[i : i + 4]).alias(f"p{i // 4}") for i in range(0, states, 4)]
+    table = stored(words.select("word", "c", *four), "lm-rare")
+    drop_stored(found)
+    return new, logs, table
+
+
+def bucket_number(word: str = "word") -> F.Column:
+    """:func:`bucket` for a column."""
+    return (F.when(F.octet_length(word) < 3, F.crc32(word)).otherwise(F.crc32(F.substring(word, -3, 3))) % BUCKETS).cast("int")
 
 
 @dataclass(frozen=True)
 class RareWords:
     """Training words outside the alphabet, and of each bucket the states' parts and the sums that shares are divided by."""
 
-    table: DataFrame  # word, c, e (expected counts by state)
+    table: DataFrame  # word, c, p0, p1...
     parts: np.ndarray  # BUCKETS x K
     totals: np.ndarray  # BUCKETS x K
 
     @staticmethod
-    def of(sums: DataFrame, states: int) -> RareWords:
-        names = [f"s{i}" for i in range(states)]
-        own = F.col("n") / (F.col("n") + SHRINK)
-        rest = F.sum((1 - own) * F.col("n") + 0.5).alias("rest")
+    def of(table: DataFrame, states: int) -> RareWords:
+        own = F.col("c") / (F.col("c") + SHRINK)
         expected, shrunken, others = np.zeros((BUCKETS, states)), np.zeros((BUCKETS, states)), np.full(BUCKETS, 0.5)
-        for row in sums.groupBy("grp").agg(rest, *[F.sum(n).alias(n) for n in names], *[F.sum(own * F.col(n)).alias(f"own_{n}") for n in names]).collect():
-            expected[row["grp"]] = [row[n] for n in names]
-            shrunken[row["grp"]] = [row[f"own_{n}"] for n in names]
+        counts = [_part(i) * F.col("c") for i in range(states)]
+        sums = [F.sum(e).alias(f"s{i}") for i, e in enumerate(counts)] + [F.sum(own * e).alias(f"own{i}") for i, e in enumerate(counts)]
+        for row in table.groupBy(bucket_number().alias("grp")).agg(F.sum((1 - own) * F.col("c") + 0.5).alias("rest"), *sums).collect():
+            expected[row["grp"]] = [row[f"s{i}"] for i in range(states)]
+            shrunken[row["grp"]] = [row[f"own{i}"] for i in range(states)]
             others[row["grp"]] += row["rest"]
         parts = (expected + 1 / states) / (expected.sum(axis=1, keepdims=True) + 1)
-        return RareWords(sums.select("word", F.col("n").alias("c"), F.array(*[F.col(n).cast("float") for n in names]).alias("e")), parts, shrunken + parts * others[:, None])
+        return RareWords(table, parts, shrunken + parts * others[:, None])
 
     def shares(self, groups: np.ndarray, c: np.ndarray, expected: np.ndarray) -> np.ndarray:
         """Shares of words within their buckets, by state; c is 0 for words never seen."""
@@ -359,8 +400,8 @@ def train(encoded: DataFrame, alphabet: Alphabet, *, states: int = STATES, round
     known = encoded.where("not held_out")
     for _ in range(rounds - 1):
         model, _, _ = baum_welch_round(known, model, alphabet)
-    model, _, sums = baum_welch_round(known, model, alphabet, keep=True)
-    return model, RareWords.of(sums, states)
+    model, _, table = baum_welch_round(known, model, alphabet, keep=True)
+    return model, RareWords.of(table, states)
 
 
 def scores(encoded: DataFrame, model: Model, rare: RareWords, alphabet: Alphabet) -> DataFrame:
@@ -368,7 +409,7 @@ def scores(encoded: DataFrame, model: Model, rare: RareWords, alphabet: Alphabet
     (size, states), first = model.emit.shape, len(alphabet.words)
     log_count = np.concatenate([np.log10(alphabet.counts + 0.5), np.zeros(BUCKETS), [np.log10(alphabet.end_count + 0.5)]])
     known = np.concatenate([np.ones(first), np.zeros(BUCKETS), [float(alphabet.end_count > 0)]])
-    parts, totals = rare.parts, rare.totals
+    parts, totals, longs = rare.parts, rare.totals, [c for c in rare.table.columns if c not in ("word", "c")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_rare = RareWords(None, parts, totals)
@@ -379,7 +420,8 @@ def scores(encoded: DataFrame, model: Model, rare: RareWords, alphabet: Alphabet
             met, offsets = _list(batch.column(4))
             at = np.repeat(begins[:-1], np.diff(offsets)) + met.field("at").to_numpy()
             c, expected = np.zeros(len(groups)), np.zeros((len(groups), states))
-            c[at], expected[at] = met.field("c").to_numpy(), met.field("e").flatten().to_numpy().reshape(-1, states)
+            c[at] = met.field("c").to_numpy()
+            expected[at] = unpacked([met.field(p).to_numpy() for p in longs], c[at], states)
             emit = model.emit[first + groups] * own_rare.shares(groups, c, expected)
             for k in _chunks(batch.column(2), batch.column(3), size):
                 wide = Model(model.start, model.move, np.concatenate([model.emit, emit[k.rare]]))
@@ -393,8 +435,8 @@ def scores(encoded: DataFrame, model: Model, rare: RareWords, alphabet: Alphabet
                 })
 
     words = encoded.select("row", F.posexplode("rare").alias("at", "word")).join(rare.table, "word")
-    met = words.groupBy("row").agg(F.collect_list(F.struct("at", "c", "e")).alias("met"))
-    none = F.array().cast("array<struct<at: int, c: bigint, e: array<float>>>")
+    met = words.groupBy("row").agg(F.collect_list(F.struct("at", "c", *longs)).alias("met"))
+    none = F.array().cast("array<struct<" + ", ".join(["at: int", "c: bigint", *(f"{p}: bigint" for p in longs)]) + ">>")
     whole = encoded.join(met, "row", "left").select("doc_id", "held_out", "symbols", "groups", F.coalesce("met", none).alias("met"))
     scored = whole.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(alphabet.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -52,7 +52,7 @@ def test_scores_are_probabilities_of_texts_with_rare_words(spark):
     encoded = hmm_lm.encode_texts(docs, alphabet)
     model, rare = hmm_lm.train(encoded, alphabet, states=2, rounds=2)
     known = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    expected = {bytes(r["word"]): (r["c"], r["e"]) for r in rare.table.collect()}
+    expected = {bytes(r["word"]): (r["c"], hmm_lm.unpacked([np.array([r["p0"]])], np.array([r["c"]]), 2)[0]) for r in rare.table.collect()}
     got = {r["doc_id"]: r["score"] for r in hmm_lm.scores(encoded, model, rare, alphabet).collect()}
     assert len(alphabet.words) == 2
     # every training word outside the alphabet has its own expected counts, which add up to its tokens
@@ -88,7 +88,7 @@ def test_expected_counts_of_rare_words_are_those_of_the_recursion(spark):
     alphabet = hmm_lm.make_alphabet(hmm_lm.count_tokens(docs), size=2)
     encoded = hmm_lm.encode_texts(docs, alphabet)
     model = hmm_lm.first_model(alphabet, 3)
-    got = {bytes(r["word"]): [r["s0"], r["s1"], r["s2"]] for r in hmm_lm.baum_welch_round(encoded, model, alphabet, keep=True)[2].collect()}
+    got = {bytes(r["word"]): hmm_lm.unpacked([np.array([r["p0"]])], np.array([r["c"]]), 3)[0] for r in hmm_lm.baum_welch_round(encoded, model, alphabet, keep=True)[2].collect()}
     wanted = {w: np.zeros(3) for w in (b"x", b"y", b"z")}
     for row in docs.collect():
         own = [*words(row["text"]), hmm_lm.END]
@@ -104,7 +104,7 @@ def test_expected_counts_of_rare_words_are_those_of_the_recursion(spark):
             for w, state in zip(own, path, strict=True):
                 if w in wanted:
                     wanted[w][state] += p / sum(weights.values())
-    assert got.keys() == wanted.keys() and all(np.allclose(got[w], wanted[w], rtol=1e-3, atol=1e-4) for w in wanted)
+    assert got.keys() == wanted.keys() and all(np.allclose(got[w], wanted[w], rtol=1e-3, atol=3e-4) for w in wanted)
 
 
 def test_likelihood_rises_and_partitioning_does_not_matter(spark):
