@@ -138,7 +138,8 @@ def make_alphabet(counts: DataFrame, size: int = ALPHABET) -> Alphabet:
 def encode_texts(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     """row, doc_id, held_out, symbols (with the end), rare and groups (distinct words outside the alphabet, their buckets), stored.
 
-    A symbol of ``alphabet.size`` or more is a place in the document's own ``rare``.
+    A symbol of ``alphabet.size`` or more is a place in the document's own ``rare``. Symbols are 32-bit numbers: the lowest bytes
+    of all, then the next, so that they pack well and pass as one value.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +156,11 @@ def encode_texts(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
                         k = index.get(w)
                         own.append(end + 1 + places.setdefault(w, len(places)) if k is None else k)
                     own.append(end)
-                    symbols.append(np.array(own, dtype="int32")), rare.append(list(places)), groups.append([bucket(w) for w in places])
-                yield pa.record_batch({"row": rows.column(0), "doc_id": rows.column(1), "held_out": rows.column(2), "symbols": pa.array(symbols, pa.list_(pa.int32())), "rare": pa.array(rare, pa.list_(pa.binary())), "groups": pa.array(groups, pa.list_(pa.int32()))})
+                    symbols.append(np.array(own, dtype="<u4").view("u1").reshape(-1, 4).T.tobytes()), rare.append(list(places)), groups.append([bucket(w) for w in places])
+                yield pa.record_batch({"row": rows.column(0), "doc_id": rows.column(1), "held_out": rows.column(2), "symbols": pa.array(symbols, pa.binary()), "rare": pa.array(rare, pa.list_(pa.binary())), "groups": pa.array(groups, pa.list_(pa.int32()))})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return stored(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, symbols array<int>, rare array<binary>, groups array<int>"), "lm-symbols")
+    return stored(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, symbols binary, rare array<binary>, groups array<int>"), "lm-symbols")
 
 
 @dataclass(frozen=True)
@@ -271,13 +272,17 @@ def _list(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _chunks(symbols: pa.Array, groups: pa.Array, size: int) -> Iterator[Chunk]:
     """All rows in chunks of bounded tokens."""
-    values, offsets = _list(symbols)
-    flat, lengths = values.to_numpy(), np.diff(offsets)
+    if not len(symbols):
+        return
+    column = symbols.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset :][: len(column) + 1]
+    flat, lengths = np.frombuffer(column.buffers()[2], "u1"), np.diff(offsets) // 4
     begins = _list(groups)[1]
     order = np.argsort(lengths, kind="stable")
     chunk = np.cumsum(lengths[order]) // TOKENS_A_CHUNK
-    for own in np.split(order, np.flatnonzero(np.diff(chunk)) + 1) if len(order) else []:
-        tokens = np.concatenate([flat[offsets[k] : offsets[k + 1]] for k in own]).astype("int64")
+    for own in np.split(order, np.flatnonzero(np.diff(chunk)) + 1):
+        planes = np.concatenate([flat[offsets[k] : offsets[k + 1]].reshape(4, -1) for k in own], axis=1)
+        tokens = np.ascontiguousarray(planes.T).view("<u4").ravel().astype("int64")
         kinds = begins[own + 1] - begins[own]
         start = np.cumsum(kinds) - kinds
         tokens += np.where(tokens >= size, np.repeat(start, lengths[own]), 0)
@@ -444,6 +449,8 @@ def scores(encoded: DataFrame, model: Model, rare: RareWords, alphabet: Alphabet
 
 def score_documents(docs: DataFrame, training: F.Column | None = None, *, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """The scores of every document, by a model of those that ``training`` names."""
-    alphabet = make_alphabet(count_tokens(docs.where(~held_out() if training is None else training)))
+    counts = count_tokens(docs.where(~held_out() if training is None else training))
+    alphabet = make_alphabet(counts)
+    drop_stored(counts)
     encoded = encode_texts(docs, alphabet)
     return scores(encoded, *train(encoded, alphabet, states=states, rounds=rounds), alphabet)
