@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_ids, hmm_lm, line_dedup, mixing, ogg, piece_counts, simhash, toxicity_mil, virtual_slots, winnowing
+from . import arrow_ids, centroids, curve_packing, hmm_lm, line_dedup, mixing, ogg, piece_counts, shared_search, simhash, toxicity_mil, virtual_slots, winnowing
 from .common import read_table
 
 
@@ -55,10 +55,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_va_file_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity_mil, op2_hmm_language_model, op3_simhash, op4_winnowing, op5_arrow_token_ids, op6_temperature_mixing, op7_ogg_media, op8_piece_counts,
-        op9_virtual_slot_sharding, op10_line_dedup,
+        op9_virtual_slot_sharding, op10_line_dedup, op11_curve_packing, op12_shared_search, op13_va_file_centroids,
     ]
     return {f.__name__: f for f in found}
 
@@ -106,6 +118,34 @@ SELECT doc_id, count(*) AS n_lines, count(g.k) AS n_removed, coalesce(string_agg
 FROM l LEFT JOIN g USING (doc_id, k) GROUP BY doc_id"""
 
 
+SEARCH = r"""
+WITH t AS (SELECT rid, doc_id, term, count(*) AS tf FROM (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM documents),
+ LATERAL (SELECT translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term) GROUP BY ALL),
+d AS (SELECT rid, sum(tf)::BIGINT AS n FROM t GROUP BY 1), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM d), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+q AS (SELECT DISTINCT item_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM benchmark WHERE item_id IS NOT NULL)),
+p AS (SELECT rid, doc_id, term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))) AS part FROM t JOIN d USING (rid) JOIN f USING (term), s WHERE term IN (SELECT term FROM q)),
+r AS (SELECT item_id, doc_id, rid, sum(part)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rid) AS INTEGER) AS rank, doc_id, score FROM r QUALIFY rank <= 10"""
+
+
+def clustering_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """Every round as two relations: nearest centroids, then means rounded down."""
+    parts = [
+        """x AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM x QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT * FROM (SELECT rid, vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM x, c{r})
+ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""u{r} AS (SELECT c, list(mean ORDER BY i) AS m FROM (SELECT c, i, CAST(floor(sum(e) / count(*)::DOUBLE) AS BIGINT) AS mean FROM (SELECT c, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS (SELECT c, coalesce(u{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN u{r} USING (c))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries learn models, use XXH64 or read files back: no SQL form; tests compare them with brute force."""
-    return {"op4_winnowing": CONTAMINATION, "op6_temperature_mixing": MIXING, "op10_line_dedup": LINES}
+    return {"op4_winnowing": CONTAMINATION, "op6_temperature_mixing": MIXING, "op10_line_dedup": LINES, "op12_shared_search": SEARCH, "op13_va_file_centroids": clustering_sql()}
