@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -24,7 +27,7 @@ from ..functions.text import SHORT_TERMS, document_hint, overlap_tokens, query_t
 #: BM25 weights of the indexed columns.
 WEIGHTS = {"chunk_id": 0.0, "source_path": 8.0, "title": 10.0, "category": 0.5, "heading_path": 5.0, "text": 1.0, "generated_queries": 0.5}
 K1, B = 1.2, 0.75
-QUERIES_A_BLOCK = 20_000
+QUERIES_A_BLOCK, QUERIES_AT_ONCE, VECTORS_AT_ONCE = 20_000, 64, 2048
 MOST_TOKENS, POOL, HYBRID_DEPTH, PER_DOCUMENT, RRF_CONSTANT, MOST_RESULTS = 8, 4, 2, 3, 60, 25
 
 
@@ -219,19 +222,67 @@ def unit(vector: str) -> F.Column:
     return F.when(sound, F.transform(vector, lambda x: (x.cast("double") / norm).cast("float")))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have this length and finite numbers only, and these as doubles."""
+    own = np.flatnonzero(np.asarray(column.value_lengths().fill_null(0)) == dimensions)
+    numbers = column.take(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+    sound = np.isfinite(numbers).all(axis=1)
+    return own[sound], numbers[sound]
+
+
+def _best_products(asked: np.ndarray, numbers: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, vector row and score of each query's best k. A matrix product finds candidates; their scores are summed
+    in order, so that equal vectors have equal scores, which ``order`` then breaks."""
+    products = asked @ numbers.T
+    least = np.partition(products, -k, axis=1)[:, -k] if k < products.shape[1] else np.full(len(asked), -np.inf)
+    slack = 1e-14 * asked.shape[1] * np.sqrt((asked**2).sum(axis=1)) * np.sqrt((numbers**2).sum(axis=1).max())
+    query, vector = np.nonzero(products >= (least - slack)[:, None])
+    score = np.cumsum(asked[query] * numbers[vector], axis=1)[:, -1]
+    sort = np.lexsort((order[vector], -score, query))
+    place = np.arange(len(sort)) - np.searchsorted(query[sort], query[sort])
+    kept = sort[place < k]
+    return query[kept], vector[kept], score[kept]
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Exact inner-product top k. vectors: chunk_id, embedding; queries: query_id, query (a stated set, met in blocks).
 
-    Each block of queries is broadcast by itself and bounded. Each partition keeps its own best k of every query before
-    the shuffle, so k rows a query and task move.
+    A task multiplies its vectors, a few thousand at a time, with a block of queries and sends the best k of each product;
+    partitions keep their own best k of every query before the shuffle. Vectors and queries of another length than the
+    block's, or with numbers that are missing or not finite, have no score. With ``keep``, which stores a frame, a block's
+    matrix leaves the driver before the next comes.
     """
     blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+    kinds = {c: frame.schema[c].dataType.simpleString() for frame, c in ((queries, "query_id"), (vectors, "chunk_id"))}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
 
     def met(number: int) -> DataFrame:
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        scored = vectors.crossJoin(F.broadcast(block)).select("query_id", "chunk_id", dot("embedding", "query").alias("score"))
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        rows = block.where("query is not null").select("query_id", "query").collect()
+        groups = []
+        for size in sorted({len(r["query"]) for r in rows} - {0}):
+            own = [r for r in rows if len(r["query"]) == size]
+            asked = np.array([r["query"] for r in own], "float64")
+            sound = np.isfinite(asked).all(axis=1)
+            groups.append((pa.array([r["query_id"] for r in own]).filter(pa.array(sound)), asked[sound]))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, VECTORS_AT_ONCE):
+                    batch = whole.slice(at, VECTORS_AT_ONCE)
+                    for names, asked in groups:
+                        own, numbers = _matrix(batch.column(1), asked.shape[1])
+                        ids = batch.column(0).take(pa.array(own))
+                        if not len(own):
+                            continue
+                        order = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
+                        for start in range(0, len(asked), QUERIES_AT_ONCE):
+                            query, vector, found = _best_products(asked[start : start + QUERIES_AT_ONCE], numbers, order, k)
+                            yield pa.record_batch({"query_id": names.take(pa.array(query + start)), "chunk_id": ids.take(pa.array(vector)), "score": pa.array(found)})
+
+        scored = vectors.select("chunk_id", "embedding").mapInArrow(score, schema)
+        return keep(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
 
     return reduce(DataFrame.unionByName, map(met, range(blocks)))
 
@@ -248,10 +299,12 @@ def fuse(*lists: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, strict: bool = True) -> DataFrame:
-    """Hits with their chunks. With ``strict`` a hit without a chunk is an error, else it is left out."""
-    if strict and hits.join(chunks, "chunk_id", "left_anti").limit(1).count():
-        raise ValueError("a hit is missing from the index")
-    return hits.join(chunks, "chunk_id")
+    """Hits with their chunks. With ``strict`` a hit without a chunk fails the query as it runs, else it is left out."""
+    if not strict:
+        return hits.join(chunks, "chunk_id")
+    joined = hits.join(chunks.withColumn("__there", F.lit(True)), "chunk_id", "left")
+    missing = F.raise_error(F.concat(F.lit("a hit is missing from the index: "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null"))))
+    return joined.withColumn("chunk_id", F.when(F.col("__there"), F.col("chunk_id")).otherwise(missing.cast(hits.schema["chunk_id"].dataType))).drop("__there")
 
 
 def resolve_destinations(relationships: DataFrame, docs: DataFrame) -> DataFrame:
@@ -359,7 +412,7 @@ def search(questions: DataFrame, chunks: DataFrame, posted: DataFrame, k: int, *
     lexical = diverse(pool, depth, exempt=F.upper("source_path") == F.col("hint"))
     best = lexical if vectors is None else fuse(lexical, dense_top(vectors, vector_queries, depth), k=k)
     # a stored table has a known size, so that Catalyst needn't shuffle the texts for a few hits
-    found = hydrate(keep(best.select("query_id", "chunk_id", "rank")), chunks, strict=False)
+    found = hydrate(keep(best.select("query_id", "chunk_id", "rank")), chunks)
     if relationships is None:
         return found, None
     seeds = found.groupBy("query_id", "doc_id").agg(F.min("rank").alias("seed_rank"))

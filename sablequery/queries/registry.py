@@ -30,14 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the folder of ``spark.checkpoint.dir`` and read back, for tables that several joins read."""
-    spark = df.sparkSession
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. One is made only on a local master that names none (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared.rstrip('/')}/kept-{uuid.uuid4().hex}"
+        shared = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _own[spark.sparkContext.applicationId] = shared
+    return shared.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, for tables that several joins read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import lexical_index as L
 from ..operators import retrieval as R
-from .registry import kept, query, table
+from .registry import kept, query, shared_dir, table
 
 COLUMNS = ["source_path", "title", "text"]
 
@@ -18,9 +22,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_path"), F.col("lang").alias("title"), "text")
 
 
-def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index, stored: texts are cut into tokens once, whatever reads it."""
-    return kept(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
+def index_of(spark: SparkSession, sf_dir: str) -> L.LexicalIndex:
+    """The stored index of ``documents``: made by the first query that asks, brought up to date by later ones."""
+    name = f"lexical-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return L.refresh(spark, f"{shared_dir(spark)}/{name}", chunks(spark, sf_dir), COLUMNS)
 
 
 def item_terms(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
@@ -44,9 +49,9 @@ s AS (SELECT query_id, chunk_id, round(-sum(greatest(1e-6, ln((n - reach + 0.5)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fields(spark, sf_dir)
-    hits = R.field_postings(own).join(kept(item_terms(spark, sf_dir, R.field_vocabulary(own))), "term").groupBy("query_id", "token", "chunk_id", "col").agg(F.count(F.lit(1)).alias("tf"))
-    return kept(R.bm25(hits, R.field_sizes(own))).withColumn("score", F.round("score", 6))
+    index = index_of(spark, sf_dir)
+    asked = kept(item_terms(spark, sf_dir, index.terms())).select("query_id", "token", F.lit(True).alias("exact"))
+    return kept(L.scores(index, kept(L.weighted_hits(index, asked, keep=kept)))).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {POSTED} SELECT term, count(DISTINCT chunk_id) AS chunks FROM p GROUP BY 1")
@@ -54,6 +59,32 @@ def fts_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.field_vocabulary(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
 
 
+#: The documents after an edit: one source removed, German texts revised, all else untouched.
+REVISED = f"""revised AS (SELECT doc_id, lang, source, CASE WHEN lang = 'de' THEN 'revised ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE source IS NULL OR source <> 'src3'),
+{POSTED.replace("FROM documents", "FROM revised")}"""
+
+
+def edited_index(spark: SparkSession, sf_dir: str) -> L.LexicalIndex:
+    """An index of all documents, brought up to date after that edit."""
+    path, docs = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", chunks(spark, sf_dir)
+    L.refresh(spark, path, docs, COLUMNS)
+    text = F.when(F.col("title") == "de", F.concat(F.lit("revised "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    return L.refresh(spark, path, docs.where("source_path is null or source_path <> 'src3'").withColumn("text", text), COLUMNS)
+
+
+@query(f"WITH {REVISED} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS occurrences FROM p GROUP BY 1")
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of terms in the edited index."""
+    return edited_index(spark, sf_dir).terms()
+
+
+@query(f"WITH {REVISED} SELECT chunk_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM p GROUP BY 1")
+def index_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the postings of the edited index hold of each chunk, once its segments have been merged."""
+    living = L.compact(edited_index(spark, sf_dir)).postings()
+    return living.groupBy("chunk_id").agg(F.sum("tf").alias("tokens"), F.sum("lead").alias("terms"))
+
+
 @query(f"WITH {POSTED}, v AS (SELECT term, count(DISTINCT chunk_id) AS n FROM p GROUP BY 1) SELECT t.token, CAST(coalesce(sum(n), 0) AS BIGINT) AS volume FROM (VALUES ('the'), ('ach'), ('nosuchterm')) t(token) LEFT JOIN v ON starts_with(term, token) GROUP BY 1")
 def fts_prefix_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = R.field_vocabulary(R.indexed_fields(chunks(spark, sf_dir), COLUMNS))
@@ -89,9 +120,8 @@ def fts_hint_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fts_token_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens that each benchmark item keeps as a question."""
-    own = fields(spark, sf_dir)
-    asked = R.asked_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
-    return R.select_tokens(asked, R.token_volumes(asked, R.field_postings(own), R.field_vocabulary(own))).select("query_id", "place", "token", "volume")
+    asked = kept(R.asked_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))))
+    return R.select_tokens(asked, L.token_volumes(index_of(spark, sf_dir), asked)).select("query_id", "place", "token", "volume")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +174,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_search(spark: SparkSession, sf_dir: str, k: int, **dense: DataFrame) -> DataFrame:
     """Every benchmark text as a question, by all steps of the search."""
-    docs, own = chunks(spark, sf_dir), fields(spark, sf_dir)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found, _ = R.search(questions, docs, R.field_postings(own), k, vocab=kept(R.field_vocabulary(own)), keep=kept, **dense)
+    found, _ = L.search_index(index_of(spark, sf_dir), questions, chunks(spark, sf_dir), k, keep=kept, **dense)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "source_path", F.substring("text", 1, T.PREVIEW).alias("preview"))
 
 
@@ -158,9 +187,11 @@ def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both arms at depth 2k, fused and given their texts. Vector n stands for document n; item n asks with vector 20n."""
+    """Both arms at depth 2k, fused and given their texts. Vector n stands for document n; item n asks with vector 20n, modulo their number."""
     own = vectors(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    asked = vector_queries(spark, sf_dir).withColumn("query_id", (F.col("query_id") / 20).cast("long"))
+    number = own.count()
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.pmod(F.col("item_id") * 20, F.lit(number)).cast("string").alias("chunk_id"))
+    asked = asked.join(own, "chunk_id").select("query_id", F.col("embedding").alias("query"))
     return whole_search(spark, sf_dir, 5, vectors=own, vector_queries=asked)
 
 
