@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import SparkRuntimeException
 
 from sablequery.functions import text as T
 from sablequery.operators import retrieval as R
@@ -94,8 +95,8 @@ def test_hint_and_fusion(spark):
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, chunk_id string, rank int")
     fused = R.fuse(a, b, k=2).orderBy("rank").collect()
     assert [r["chunk_id"] for r in fused] == ["y", "x"] and fused[0]["score"] == pytest.approx(1 / 62 + 1 / 61)
-    with pytest.raises(ValueError):
-        R.hydrate(a, frames(spark))
+    with pytest.raises(SparkRuntimeException, match="a hit is missing from the index: x"):  # as the query runs
+        R.hydrate(a.where("chunk_id = 'x'"), frames(spark)).collect()
     assert R.hydrate(a, frames(spark), strict=False).count() == 0
 
 
