@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .arrow_ids import encoder, id_type
+from .arrow_ids import ROWS_AT_ONCE, encoder, id_type
 from .common import drop_stored, stored
 
 SEQUENCE_LENGTH = 1024
@@ -37,7 +37,8 @@ END_ID = 0
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
 #: Vectors are rounded to this many parts, so that projections are exact sums.
 PARTS = 1 << 20
-ROWS_AT_ONCE = 500
+#: Documents whose dense vectors are in memory together.
+VECTORS_AT_ONCE = 500
 AXES = [f"p{i}" for i in range(DIMENSIONS)]
 
 
@@ -118,7 +119,7 @@ def encoded_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 sizes = sizes.astype("int64")
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 packed = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                axes = projections(ids, sizes)
+                axes = np.concatenate([projections(ids[ends[a] : ends[min(a + VECTORS_AT_ONCE, len(sizes))]], sizes[a : a + VECTORS_AT_ONCE]) for a in range(0, len(sizes), VECTORS_AT_ONCE)])
                 yield pa.record_batch({"doc_id": rows.column(0), "th": rows.column(1), "n": pa.array(sizes), "ids": pa.array(packed, pa.binary())} | {a: pa.array(axes[:, i]) for i, a in enumerate(AXES)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
