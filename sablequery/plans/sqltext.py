@@ -132,7 +132,7 @@ def _problems(spark: SparkSession, sql: str, catalogue: Catalogue, declared: lis
     if not names or len(set(names)) < len(names):
         yield "invalid_table_declaration"
         return
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
     if ";" in bare:
         yield "multiple_statement_sql"
         return
@@ -192,6 +192,8 @@ def _problems(spark: SparkSession, sql: str, catalogue: Catalogue, declared: lis
     columns = _Columns(catalogue, used, nodes, {e.name().casefold() for e in expressions if _name(e) == "Alias"})
     for n in nodes:
         in_join = _name(n) == "Join"
+        if in_join and _name(n.joinType()) == "UsingJoin":
+            yield from _using_problems(_seq(n.joinType().usingColumns()), columns)
         for top in _seq(n.expressions()):
             yield from _column_problems(top, columns, in_join, False)
     for output in _outputs(plan):
@@ -226,10 +228,26 @@ class _Columns:
                 # one alias may be written in several places, and a derived table may show columns of any
                 self.scopes.setdefault(n.identifier().name().casefold(), set()).update({named} if named in self.tables else self.tables)
 
-    def safety(self, parts: list[str]) -> str | None:
+    def labels(self, parts: list[str]) -> set[str]:
         *scope, column = [p.casefold() for p in parts]
-        labels = {self.tables[t][column] for t in (self.scopes.get(scope[-1], set()) if scope else self.tables) if column in self.tables[t]}
-        return next((label for label in STRICTEST if label in labels), "safe_aggregate" if column in self.outputs else None)
+        found = {self.tables[t][column] for t in (self.scopes.get(scope[-1], set()) if scope else self.tables) if column in self.tables[t]}
+        return found or ({"safe_aggregate"} if column in self.outputs else set())
+
+    def safety(self, parts: list[str]) -> str | None:
+        labels = self.labels(parts)
+        return next((label for label in STRICTEST if label in labels), None)
+
+
+def _using_problems(names: list[str], columns: _Columns) -> Iterator[str]:
+    """USING compares the column of both sides: identifiers only with identifiers, nothing that may not be read."""
+    for name in names:
+        column, labels = name.casefold(), columns.labels([name])
+        if not labels:
+            yield f"unknown_column:{column}"
+        elif found := labels & {"sensitive", "unknown"}:
+            yield f"{min(found)}_column:{column}"
+        elif "identifier" in labels and len(labels) > 1:
+            yield f"identifier_usage:{column}"
 
 
 def _column_problems(expression: object, columns: _Columns, in_join: bool, in_count: bool) -> Iterator[str]:
@@ -243,6 +261,8 @@ def _column_problems(expression: object, columns: _Columns, in_join: bool, in_co
         elif found == "identifier" and not (in_join or in_count):
             yield f"identifier_usage:{column}"
         return
+    if in_join and _name(expression) == "EqualTo":  # a key may only be compared with a key
+        in_join = all(_name(c) == "UnresolvedAttribute" and columns.safety(_seq(c.nameParts())) == "identifier" for c in _seq(expression.children()))
     counts = in_count or (_name(expression) == "UnresolvedFunction" and _function(expression) == "count")
     for child in _seq(expression.children()):
         yield from _column_problems(child, columns, in_join, counts)

@@ -142,6 +142,9 @@ def two_tables():
     ("SELECT b.v, count(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY b.v", None), ("SELECT a.v, count(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY a.v", "sensitive_column:v"),
     ("SELECT y.v, count(*) AS n FROM b x JOIN a y ON x.k = y.k GROUP BY y.v", "sensitive_column:v"), ("SELECT x.v, count(*) AS n FROM b x JOIN a y ON x.k = y.k GROUP BY x.v", None),
     ("SELECT v, count(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY v", "sensitive_column:v"), ("SELECT w, count(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY w", None),
+    ("SELECT b.v, count(*) AS n FROM a JOIN b USING (v) GROUP BY b.v", "sensitive_column:v"), ("SELECT b.v, count(*) AS n FROM a JOIN b USING (k) GROUP BY b.v", None), ("SELECT b.v, count(*) AS n FROM a LEFT JOIN b USING (k, v) GROUP BY b.v", "sensitive_column:v"),
+    ("SELECT count(*) AS n FROM a JOIN b USING (nosuch)", "unknown_column:nosuch"), ("SELECT count(*) AS n FROM a JOIN b ON a.k = b.w", "identifier_usage:k"), ("SELECT count(*) AS n FROM a JOIN b ON a.k = b.k AND b.w = a.k", "identifier_usage:k"),
+    ('SELECT count(*) AS n FROM a JOIN b ON a.k = b.k WHERE b.v = "x;@@y"', None), ('SELECT count(*) AS n FROM a JOIN b ON a.k = b.k WHERE b.v = "x"; SELECT 1', "multiple_statement_sql"),
     ("WITH t AS (SELECT v, count(*) AS n FROM a GROUP BY v) SELECT max(t.v) AS m, count(b.w) AS c FROM t JOIN b ON t.v = b.v", "sensitive_column:v"),
 ])
 def test_sql_safety_goes_by_table(spark, sql, reason):
