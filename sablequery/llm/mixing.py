@@ -6,7 +6,7 @@ target, or so that no source is seen more than ``max_repetition`` times as often
 quantities are monotone in a on [0, 1].
 
 The weights are realised as whole and part epochs: a source's documents are hashed into blocks, each epoch permutes the
-blocks anew by hash, and the last, partial epoch ends when the source's token budget is used up. A copy's place says
+source's blocks anew by hash, and the last, partial epoch ends when the source's token budget is used up. A copy's place says
 where in the whole mix it stands: epoch and place of its block in the epoch's permutation, as a share of all the source's
 epochs, so all sources run from the mix's begin to its end; :func:`mixed_corpus` puts the copies in that order. Running
 totals are kept over blocks (MOST_BLOCKS a source at most, so their size grows with the source) and, for the one block
@@ -144,8 +144,8 @@ def draw_plan(slim: DataFrame, weights: DataFrame, *, seed: int = 17, block_toke
 
 
 def _block_draw(epoch: F.Column, seed: int) -> F.Column:
-    """The draw by which ``block`` is ordered in an epoch's permutation."""
-    return _draw("block", epoch, seed + 1)
+    """The draw by which ``block`` is ordered in an epoch's permutation, one of its own for every source."""
+    return _draw("__source", "block", epoch, seed + 1)
 
 
 def realise(docs: DataFrame, plan: DataFrame, blocks: DataFrame, *, seed: int = 17) -> DataFrame:

@@ -99,11 +99,11 @@ w AS (SELECT source, t, r / z AS weight, round(r / z * (z * most), 6) AS quota F
 e AS (SELECT *, quota / t AS epochs, CAST(floor(quota / t + 1e-9) AS INTEGER) AS whole, greatest(1, least(65536, CAST(ceil(t / 262144) AS BIGINT))) AS blocks FROM w),
 n AS (SELECT k.doc_id, k.source, k.n_tokens, e.*  EXCLUDE (source), ('0x' || m[1:13])::BIGINT % blocks AS block, m[14:] AS draw FROM k JOIN e USING (source)),
 bl AS (SELECT source, block, any_value(whole) AS wh, sum(n_tokens) AS bt, any_value(quota - whole * t) AS l FROM n GROUP BY ALL),
-bb AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', block, wh, 18)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
+bb AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', coalesce(source, chr(0)), block, wh, 18)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
 q AS (SELECT n.*, before, bt, l, sum(n_tokens) OVER (PARTITION BY n.source, n.block ORDER BY draw, doc_id) AS upto FROM n JOIN bb USING (source, block)),
 c AS (SELECT *, whole + CASE WHEN l <= before THEN 0 WHEN before + bt <= l THEN 1 WHEN before + upto <= l THEN 1 ELSE 0 END AS copies FROM q)
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, round(epochs, 9) AS epochs, block, copies,
- array_to_string(list_transform(range(0, copies), lambda e: CAST(floor((e + ('0x' || md5(concat_ws(':', block, e, 18))[1:13])::BIGINT / pow(2.0, 52)) / greatest(epochs, copies::DOUBLE) * 1000000) AS BIGINT)), ',') AS places FROM c"""
+ array_to_string(list_transform(range(0, copies), lambda e: CAST(floor((e + ('0x' || md5(concat_ws(':', coalesce(source, chr(0)), block, e, 18))[1:13])::BIGINT / pow(2.0, 52)) / greatest(epochs, copies::DOUBLE) * 1000000) AS BIGINT)), ',') AS places FROM c"""
 
 LINES = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),

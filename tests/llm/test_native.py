@@ -1,5 +1,6 @@
 """Mixing, sharding, line deduplication and the pipeline."""
 
+import itertools
 import math
 import re
 import zlib
@@ -64,6 +65,25 @@ def test_small_blocks_give_the_same_budgets(spark):
     assert all(-40 <= mixed[s] - q <= 1e-3 for s, q in quota.items())
 
 
+def test_every_source_has_a_permutation_of_its_own(spark):
+    rows = sources()
+    slim = common.stored(mixing._tokens(documents(spark, rows, clash=False)), "t")
+    weights = mixing.mixing_weights(mixing.source_shares(slim), 0.5, budget_tokens=9000)
+    got = mixing.realise(slim, *mixing.draw_plan(slim, weights, block_tokens=100)).collect()
+    place = {(e, r["source"], r["block"]): p for r in got for e, p in enumerate(r["places"])}
+    orders = defaultdict(dict)
+    for e, source in {k[:2] for k in place}:
+        orders[e][source] = [b for _, b in sorted((p, k[2]) for k, p in place.items() if k[:2] == (e, source))]
+    compared = 0
+    for own in orders.values():
+        for a, b in itertools.combinations(sorted(own, key=str), 2):
+            common_blocks = set(own[a]) & set(own[b])
+            if len(common_blocks) >= 6:
+                compared += 1
+                assert [x for x in own[a] if x in common_blocks] != [x for x in own[b] if x in common_blocks]
+    assert compared
+
+
 def test_places_order_every_epoch(spark):
     rows = sources()
     docs = documents(spark, rows)
