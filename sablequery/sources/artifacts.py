@@ -59,9 +59,11 @@ def export_report(summary: DataFrame, folder: str, kind: str) -> None:
     {"json": writer.json, "csv": writer.option("header", True).csv}[kind](folder)
 
 
-def report_markdown(summary: DataFrame, title: str) -> str:
-    """A small roll-up as a Markdown table."""
-    rows = [[str(round(v, 2)) if isinstance(v, float) else str(v) for v in r] for r in summary.limit(1000).collect()]
+def report_markdown(summary: DataFrame, title: str, most: int = 1000) -> str:
+    """A small roll-up as a Markdown table; more than ``most`` rows are an error, since the driver holds them all."""
+    rows = [[str(round(v, 2)) if isinstance(v, float) else str(v) for v in r] for r in summary.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: export it instead")
     lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
     return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in rows]) + "\n"
 

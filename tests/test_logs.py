@@ -4,6 +4,8 @@ import json
 import random
 from collections import defaultdict
 
+import pytest
+
 from sablequery.operators import logs
 from sablequery.sources import jsonl
 
@@ -129,3 +131,12 @@ def test_appended_traces_are_numbered_and_redacted(spark, tmp_path):
     assert all('"x"' not in r["payload"] for r in back)
     with pytest.raises(ValueError):
         jsonl.append_traces(frame.selectExpr("run_id", "-1d as ts", "event", "payload"), path, T.log_payload("payload", b"k"))
+
+
+def test_markdown_report_is_whole_or_refused(spark):
+    from sablequery.sources.artifacts import report_markdown
+
+    lines = report_markdown(spark.range(3).selectExpr("id", "id / 3 as share"), "Shares", most=3).splitlines()
+    assert lines[:4] == ["# Shares", "", "| id | share |", "|---|---|"] and len(lines) == 7 and lines[-1] == "| 2 | 0.67 |"
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        report_markdown(spark.range(3), "Shares", most=2)
