@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
@@ -256,6 +257,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Callable[[Da
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
     kinds = {c: frame.schema[c].dataType.simpleString() for frame, c in ((queries, "query_id"), (vectors, "chunk_id"))}
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def met(number: int) -> DataFrame:
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
@@ -265,7 +267,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Callable[[Da
             own = [r for r in rows if len(r["query"]) == size]
             asked = np.array([r["query"] for r in own], "float64")
             sound = np.isfinite(asked).all(axis=1)
-            groups.append((pa.array([r["query_id"] for r in own]).filter(pa.array(sound)), asked[sound]))
+            groups.append((pa.array([r["query_id"] for r in own], id_type).filter(pa.array(sound)), asked[sound]))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
