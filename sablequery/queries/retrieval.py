@@ -187,11 +187,13 @@ def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both arms at depth 2k, fused and given their texts. Vector n stands for document n; item n asks with vector 20n, modulo their number."""
-    own = vectors(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    number = own.count()
+    """Both arms at depth 2k, fused and given their texts. Vector n stands for document n, if there is one, as hits are
+    hydrated strictly; item n asks with vector 20n, modulo the number of all vectors."""
+    every = vectors(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    own = every.join(chunks(spark, sf_dir).select("chunk_id"), "chunk_id", "left_semi")
+    number = every.count()
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.pmod(F.col("item_id") * 20, F.lit(number)).cast("string").alias("chunk_id"))
-    asked = asked.join(own, "chunk_id").select("query_id", F.col("embedding").alias("query"))
+    asked = asked.join(every, "chunk_id").select("query_id", F.col("embedding").alias("query"))
     return whole_search(spark, sf_dir, 5, vectors=own, vector_queries=asked)
 
 

@@ -186,16 +186,16 @@ def loop_search(docs, items, vectors, k):
         return loop_diversity([(c, source[c]) for c in pool], depth, 3, None)
 
     def both(query, question):
-        arms = [lexical(question, 2 * k)] if question else []
-        if (asked := vectors.get(20 * query)) is not None:
-            arms.append(sorted(map(str, vectors), key=lambda c: (-sum(x * y for x, y in zip(vectors[int(c)], asked, strict=True)), c))[: 2 * k])
+        arms = [lexical(question, 2 * k)]
+        if (asked := vectors.get(20 * query % len(vectors))) is not None:
+            arms.append(sorted((c for c in map(str, vectors) if c in fields), key=lambda c: (-sum(x * y for x, y in zip(vectors[int(c)], asked, strict=True)), c))[: 2 * k])
         score = Counter()
         for arm in arms:
             for rank, c in enumerate(arm, 1):
                 score[c] += 1 / (60 + rank)
-        return [c for c in sorted(score, key=lambda c: (-round(score[c], 12), c))[:k] if c in fields]
+        return [c for c in sorted(score, key=lambda c: (-round(score[c], 12), c))[:k]]
 
-    return {q: lexical(t, k) for q, t in items}, {q: both(q, dict(items).get(q)) for q in {*dict(items), *(v // 20 for v in vectors if v % 20 == 0)}}
+    return {q: lexical(t, k) for q, t in items}, {q: both(q, t) for q, t in items}
 
 
 def test_whole_questions_are_searched(spark, tmp_path):
