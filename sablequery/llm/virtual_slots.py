@@ -2,19 +2,20 @@
 
 Every record is hashed into one of a fixed number of slots (thousands, whatever the number of shards or records).
 Bytes and rows are aggregated per slot, and a small versioned table, kept as one folder a version, maps slots to shards.
-Rebalancing or adding a shard writes a further version of that table: records never change their slot, so only the
-records of edited slots move.
-
-The slot is a hash of ``doc_id``, so hot sources or groups of equal texts spread over the slots. Only a doc_id that
-holds more than HOT_SHARE of all rows and more than one (nulls, a broken key) is spread by its texts and by the place of
-its rows in the input as well. Places are counted within parts of a slot, whose sizes are known, so no task orders more
-than a part. All of it is DataFrame and SQL functions. What is gathered at one place is one row per slot or part, a
-constant number.
-
-Defined cases: a null ``text`` counts 0 bytes; a null ``doc_id`` hashes as the empty text; repeated rows count and are
-placed each, those of a rare doc_id in one slot one after the other; rows that agree in doc_id and text may change places
-with each other; no rows give no rows; a single record larger than a shard's share stays whole; long texts are only
-measured and hashed; of incoming columns, the stage replaces size, vslot, shard and slot and keeps all others.
+Version 1 deals the slots in turn, before any record is known; rebalancing to measured bytes or adding a shard writes a
+further version: records never change their slot, so only the records of moved slots move.
+
+The slot is a hash of ``doc_id``, ``text`` and the number of the copy among rows alike in both (0, 1, ...), and of nothing
+else: it is the same in a table of any size and partitioning, and neither one doc_id nor one text can fill a slot. Copies are
+numbered within blocks of at most 65,536 rows of the input, moved up by the copies of earlier blocks. Records get a row
+number and are written once before anything is counted, so a task that runs again finds the same rows. Places are counted
+within parts of a slot, whose sizes are known, so no task orders more than a part. All of it is DataFrame and SQL
+functions. What is gathered at one place is one row per slot or part, a constant number.
+
+Defined cases: a null ``text`` counts 0 bytes; a null ``doc_id`` hashes as the empty text; repeated rows count and are placed
+each, and may change places with each other; a document whose text changes is another record; no rows give no rows; a
+single record larger than a shard's share stays whole; long texts are only measured and hashed; of incoming columns,
+the stage replaces size, vslot, shard and slot and keeps all others.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, fresh_path, stored
+from .common import fresh_path, stored
 
 SLOTS = 4096
 PARTS = 64
 ROW_OVERHEAD = 8
-HOT_SHARE = 1e-4
+BLOCK_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -78,14 +79,14 @@ def every_slot(seen: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def _packed(stats: DataFrame) -> DataFrame:
-    """One row holding all slots, largest first. The array's length is the fixed number of slots."""
+    """One row holding all slots, largest first. The array's length is at most the fixed number of slots."""
     entry = F.struct((-F.col("slot_bytes")).alias("neg"), F.col("vslot"), F.col("slot_rows"))
     return stats.agg(F.array_sort(F.collect_list(entry)).alias("slots"))
 
 
-def plan_slots(stats: DataFrame, shards: int) -> DataFrame:
-    """First version of a map: largest slot first, each to the shard with the fewest bytes so far."""
-    loads = F.array(*[F.struct(F.lit(0).cast("long").alias("load"), F.lit(k).alias("shard")) for k in range(shards)])
+def plan_slots(stats: DataFrame, shards: int, loads: dict[int, int] | None = None) -> DataFrame:
+    """Largest slot first, each to the shard with the fewest bytes so far; ``loads`` are bytes that shards hold already."""
+    filled_so_far = F.array_sort(F.array(*[F.struct(F.lit((loads or {}).get(k, 0)).cast("long").alias("load"), F.lit(k).alias("shard")) for k in range(shards)]))
     placed = F.array().cast("array<struct<vslot:int,shard:int,slot_bytes:bigint,slot_rows:bigint>>")
 
     def step(state: F.Column, slot: F.Column) -> F.Column:
@@ -95,16 +96,40 @@ def plan_slots(stats: DataFrame, shards: int) -> DataFrame:
         rest = F.slice(state["loads"], 2, max(shards - 1, 1))
         return F.struct(F.array_sort(F.concat(rest, F.array(filled))).alias("loads"), F.concat(state["placed"], F.array(choice)).alias("placed"))
 
-    done = _packed(stats).select(F.aggregate("slots", F.struct(loads.alias("loads"), placed.alias("placed")), step).alias("state"))
+    done = _packed(stats).select(F.aggregate("slots", F.struct(filled_so_far.alias("loads"), placed.alias("placed")), step).alias("state"))
     return done.select(F.explode("state.placed").alias("p")).select("p.vslot", "p.shard", "p.slot_bytes", "p.slot_rows")
 
 
 def first_map(stats: DataFrame, shards: int, path: str | None = None) -> SlotMap:
-    """Version 1 of a map, in a folder of its own or under ``path``."""
+    """Version 1 of a map, planned from known sizes, in a folder of its own or under ``path``."""
     table = plan_slots(stats, shards)
     return SlotMap.save(table, path or fresh_path(stats.sparkSession, "slot-map"), 1, shards)
 
 
+def even_map(spark: SparkSession, shards: int, slots: int = SLOTS, path: str | None = None) -> SlotMap:
+    """Version 1 of a map before any record is known: slots are dealt to the shards in turn."""
+    dealt = spark.range(slots).select(F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard"), F.lit(0).cast("long").alias("slot_bytes"), F.lit(0).cast("long").alias("slot_rows"))
+    return SlotMap.save(dealt, path or fresh_path(spark, "slot-map"), 1, shards)
+
+
+def rebalanced_map(old: SlotMap, stats: DataFrame) -> SlotMap:
+    """Next version, edited to measured bytes (``stats`` has every slot).
+
+    A shard above the mean gives up slots, smallest first, until it isn't; what is given up goes largest first to the shard
+    with the fewest bytes. All other entries stay. The windows run over the fixed number of slots.
+    """
+    now = old.current().select("vslot", "shard").join(stats.select("vslot", "slot_bytes", "slot_rows"), "vslot")
+    mean = F.lit((now.agg(F.sum("slot_bytes")).first()[0] or 0) / old.shards)
+    by_size = Window.partitionBy("shard").orderBy("slot_bytes", "vslot")
+    before = F.coalesce(F.sum("slot_bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum("slot_bytes").over(Window.partitionBy("shard")) - before
+    marked = now.withColumn("__left", left).withColumn("__moves", (F.col("__left") > mean) & (F.col("slot_rows") > 0)).drop("__left")
+    stays = marked.where("not __moves").drop("__moves")
+    loads = {r["shard"]: r["load"] for r in stays.groupBy("shard").agg(F.sum("slot_bytes").alias("load")).collect()}  # one row a shard
+    edited = stays.select("vslot", "shard", "slot_bytes", "slot_rows").unionByName(plan_slots(marked.where("__moves"), old.shards, loads))
+    return SlotMap.save(edited, old.path, old.version + 1, old.shards)
+
+
 def grown_map(old: SlotMap, more: int = 1) -> SlotMap:
     """Next version with ``more`` shards added. Slots move into new shards only; all other entries stay.
 
@@ -125,17 +150,21 @@ def grown_map(old: SlotMap, more: int = 1) -> SlotMap:
     return SlotMap.save(edited, old.path, old.version + 1, old.shards + more)
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with vslot, part and size; earlier columns of those names are replaced. Needs doc_id and text."""
-    total = docs.count()
-    most = F.lit(max(HOT_SHARE * total, 1.0))
-    key, hot = free_name(docs, "key"), free_name(docs, "hot")
-    few = docs.groupBy(_id().alias(key)).agg(F.count(F.lit(1)).alias(hot)).where(F.col(hot) > most)  # fewer than 1 / HOT_SHARE
-    keyed = docs.withColumn(key, _id()).join(F.broadcast(few), key, "left")
-    spread = F.xxhash64(key, F.xxhash64("text"), F.monotonically_increasing_id())
-    hashed = F.when(F.col(hot).isNull(), F.xxhash64(key)).otherwise(spread)
-    names = {"vslot": virtual_slot(hashed, slots), "part": F.shiftright(hashed, 40).bitwiseAND(PARTS - 1).cast("int"), "size": record_size()}
-    return keyed.withColumns(names).drop(key, hot)
+def numbered(docs: DataFrame, *more: str | F.Column) -> DataFrame:
+    """A stored table of row (its number), doc_id, size, key (a hash of id and text) and further columns of ``docs``."""
+    key = F.xxhash64(_id(), F.xxhash64("text")).alias("key")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", record_size().alias("size"), key, *more), "slot-records")
+
+
+def with_slots(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``records`` (row, key, ...; stored) with vslot and part, a hash of key and copy."""
+    blocked = records.withColumn("block", F.shiftright("row", BLOCK_BITS))
+    earlier = F.sum("n").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocked.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n")).select("key", "block", earlier.alias("before")).where("before > 0")
+    within = F.row_number().over(Window.partitionBy("key", "block").orderBy("row")) - 1
+    copies = blocked.withColumn("copy", within).join(offsets, ["key", "block"], "left")
+    hashed = F.xxhash64("key", F.col("copy") + F.coalesce("before", F.lit(0)))
+    return copies.withColumns({"vslot": virtual_slot(hashed, slots), "part": F.shiftright(hashed, 40).bitwiseAND(PARTS - 1).cast("int")}).drop("block", "copy", "before")
 
 
 def part_statistics(records: DataFrame) -> DataFrame:
@@ -146,37 +175,36 @@ def part_statistics(records: DataFrame) -> DataFrame:
 def place(records: DataFrame, parts: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Adds shard, and slot: the record's place in its shard, gapless from 0.
 
-    ``records`` has vslot, part, size and th (a hash of the text), which are followed by places. Places are counted
-    within a part and moved up by the rows of the shard's earlier parts. Parts have one row each, SLOTS x PARTS at most,
-    and are broadcast.
+    Places are counted within a part (by doc_id, then key and row) and moved up by the rows of the shard's earlier parts.
+    Parts have one row each, SLOTS x PARTS at most, and are broadcast.
     """
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1))
     entry = parts.join(F.broadcast(slot_map.current().select("vslot", "shard")), "vslot").select("vslot", "part", "shard", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "size", "th"))
+    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "key", "row"))
     joined = records.withColumn("within", within).join(F.broadcast(entry), ["vslot", "part"])
     return joined.withColumn("slot", (F.col("before") + F.col("within") - 1).cast("long")).drop("before", "within", "part")
 
 
+def placed(records: DataFrame, shards: int, slots: int) -> DataFrame:
+    """Records with shard, vslot and slot by version 2 of a map, rebalanced to their bytes."""
+    slotted = stored(with_slots(records, slots), "slot-numbers")
+    parts = stored(part_statistics(slotted), "slot-parts")
+    by_slot = parts.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.sum("rows").alias("slot_rows"))
+    return place(slotted, parts, rebalanced_map(even_map(records.sparkSession, shards, slots), every_slot(by_slot, slots)))
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     """Digest of the placement: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
     The map weighs slots by measured bytes, so the law kept is ``bytes``: shard sizes are near equal.
     """
-    sized = with_slots(docs.select("doc_id", "text"), slots)
-    slim = sized.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("th"), "vslot", "part")
-    placed = _placed(slim, shards, slots)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
-
-
-def _placed(records: DataFrame, shards: int, slots: int) -> DataFrame:
-    parts = stored(part_statistics(records.select("vslot", "part", "size")), "slot-parts")
-    by_slot = parts.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.sum("rows").alias("slot_rows"))
-    return place(records, parts, first_map(every_slot(by_slot, slots), shards))
+    found = placed(numbered(docs, F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")), shards, slots)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """Every record with size, vslot, shard and slot added; the records of a part of a slot are brought together."""
+    """Every record with size, vslot, shard and slot added. Places are found without the texts, which are shuffled once."""
     names = [c for c in docs.columns if c.lower() not in ("size", "vslot", "shard", "slot")]
-    row = docs.select("doc_id", "text", F.struct(*names).alias("row"))
-    records = with_slots(row, slots).select("doc_id", F.xxhash64("text").alias("th"), "row", "size", "vslot", "part")
-    return _placed(records, shards, slots).select("row.*", "size", "vslot", "shard", "slot")
+    whole = numbered(docs, F.struct(*names).alias("record"))
+    found = placed(whole.drop("record"), shards, slots).select("row", "size", "vslot", "shard", "slot")
+    return whole.select("row", "record").join(found, "row").select("record.*", "size", "vslot", "shard", "slot")

@@ -167,25 +167,82 @@ def test_law_holds_with_repeated_and_null_ids(spark):
     assert max(loads) - min(loads) < 200
 
 
+def slot_hashes(spark, rows):
+    """Virtual slot and part of every record, copies of a record numbered in input order."""
+    copies, keyed = Counter(), []
+    for i, text in rows:
+        keyed.append((len(keyed), "" if i is None else str(i), text, copies[i, text]))
+        copies[i, text] += 1
+    frame = spark.createDataFrame(keyed, "n int, id string, text string, copy long")
+    hashed = {r["n"]: r["h"] for r in frame.select("n", F.xxhash64(F.xxhash64("id", F.xxhash64("text")), "copy").alias("h")).collect()}
+    return [(hashed[n] % 4096, hashed[n] >> 40 & 63) for n in range(len(rows))]
+
+
 def test_slots_and_shards_match_brute_force(spark):
-    rows = [(i, "y" * (i * 53 % 700), "en", "s") for i in range(3000)]
-    got = virtual_slots.shard_documents(documents(spark, rows)).collect()
-    hashes = dict(spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", F.xxhash64(F.col("doc_id").cast("string"))).collect())
-    sizes, counts = Counter(), Counter()
-    for i, text, *_ in rows:
-        sizes[hashes[i] % 4096] += len(text) + 8
-    loads, shard_of = [0] * 24, {}
-    for k in sorted(range(4096), key=lambda k: (-sizes[k], k)):
+    rows = [(i, "y" * (i * 53 % 700)) for i in range(3000)]
+    got = virtual_slots.shard_documents(documents(spark, [(*r, "en", "s") for r in rows])).collect()
+    hashes = slot_hashes(spark, rows)
+    sizes, filled = Counter(), Counter()
+    for (vslot, _), (_, text) in zip(hashes, rows, strict=True):
+        sizes[vslot] += len(text) + 8
+        filled[vslot] += 1
+    shard_of, mean, moving, loads = {}, sum(sizes.values()) / 24, [], [0] * 24
+    for s in range(24):
+        own = sorted(range(s, 4096, 24), key=lambda k: (sizes[k], k))
+        left = sum(sizes[k] for k in own)
+        for k in own:
+            if left > mean and filled[k]:
+                moving.append(k)
+            else:
+                shard_of[k] = s
+                loads[s] += sizes[k]
+            left -= sizes[k]
+    for k in sorted(moving, key=lambda k: (-sizes[k], k)):
         low = min(range(24), key=lambda s: (loads[s], s))
         shard_of[k] = low
         loads[low] += sizes[k]
-    assert all(r["vslot"] == hashes[r["doc_id"]] % 4096 and r["shard"] == shard_of[r["vslot"]] for r in got)
-    order = sorted(got, key=lambda r: (r["shard"], r["vslot"], hashes[r["doc_id"]] >> 40 & 63, r["doc_id"]))
-    for r in order:
+    assert moving and len(moving) < 4096
+    assert all(r["vslot"] == hashes[r["doc_id"]][0] and r["shard"] == shard_of[r["vslot"]] for r in got)
+    counts = Counter()
+    for r in sorted(got, key=lambda r: (r["shard"], *hashes[r["doc_id"]], r["doc_id"])):
         assert r["slot"] == counts[r["shard"]]
         counts[r["shard"]] += 1
 
 
+def test_a_record_keeps_its_slot_in_any_table_and_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(virtual_slots, "BLOCK_BITS", 3)  # copies over many blocks
+    few = [(5, "again")] * 40 + [(None, None)] * 60 + [(None, f"t{k}") for k in range(50)] + [(k, "same") for k in range(50)]
+    more = few + [(1000 + k, "x" * (k % 50)) for k in range(4000)]
+
+    def slots(rows, cut):
+        frame = documents(spark, [(*r, "en", "s") for r in rows]).repartition(cut)
+        staged = virtual_slots.shard_stage(spark, frame).collect()
+        check_shards(staged, 24)
+        return Counter((r["doc_id"], r["text"], r["vslot"]) for r in staged)
+
+    found = slots(few, 1)
+    wanted = Counter((i, t, v) for (i, t), (v, _) in zip(few, slot_hashes(spark, few), strict=True))
+    assert found == wanted == slots(few, 7)
+    grown = slots(more, 3)
+    assert all(grown[k] == n for k, n in found.items())
+    assert len({v for i, t, v in found if (i, t) == (5, "again")}) > 30
+
+
+def test_rebalancing_edits_the_map(spark):
+    stats = spark.createDataFrame([(k, 1000 if k % 6 == 0 else 10, 1) for k in range(600)], "vslot int, slot_bytes long, slot_rows long")
+    old = virtual_slots.even_map(spark, 6, 600)
+    new = virtual_slots.rebalanced_map(old, stats)
+    assert (new.version, new.shards) == (2, 6)
+    before, loads, moved = dict(old.current().select("vslot", "shard").collect()), Counter(), 0
+    for r in new.current().collect():
+        loads[r["shard"]] += r["slot_bytes"]
+        moved += before[r["vslot"]] != r["shard"]
+        assert before[r["vslot"]] in (0, r["shard"])  # only the full shard gives
+    assert 0 < moved < 100 and max(loads.values()) - min(loads.values()) <= 1000
+    none = virtual_slots.rebalanced_map(virtual_slots.even_map(spark, 6, 600), stats.withColumns({"slot_bytes": F.lit(0).cast("long"), "slot_rows": F.lit(0).cast("long")}))
+    assert {r["vslot"]: r["shard"] for r in none.current().collect()} == before
+
+
 def test_greedy_plan_is_longest_first(spark):
     rng = np.random.default_rng(8)
     sizes = rng.integers(0, 1000, 300).tolist()
