@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import logs, traces as T
+from ..operators import logs, memory, traces as T
 from .registry import query, table
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,3 +179,28 @@ def log_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as evidence: first place, last value, three a run."""
     found = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("place"), F.col("event_type").alias("chunk_id"), "value")
     return T.accumulate_evidence(found, 3).select("run_id", "chunk_id", "value", F.col("rank").cast("long").alias("rank"))
+
+
+def user_turns(events: DataFrame) -> DataFrame:
+    """Every user's events as the turns of a thread."""
+    return events.select(F.col("user_id").alias("thread_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", "event_id").alias("turn"))
+
+
+_SESSIONS = """t AS (SELECT user_id, epoch_us(ts) AS us, event_id, concat_ws(':', event_type, event_id) AS turn FROM events),
+s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) < 1800000000 THEN 0 ELSE 1 END AS f FROM t),
+g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)"""
+
+
+@query(f"WITH {_SESSIONS} SELECT event_id, concat_ws(',', lag(turn, 2) OVER w, lag(turn) OVER w) AS held FROM g WINDOW w AS (PARTITION BY user_id, session ORDER BY us, event_id)")
+def memory_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's thread remembers as an event comes."""
+    return memory.remembered(user_turns(table(spark, sf_dir, "events"))).select(F.col("seq").alias("event_id"), F.array_join("held", ",").alias("held"))
+
+
+@query(f"""WITH {_SESSIONS}, m AS (SELECT max(us) AS now FROM t), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS place, max(session) OVER (PARTITION BY user_id) AS latest,
+ max(us) OVER (PARTITION BY user_id) AS last FROM g) SELECT user_id, string_agg(turn, ',' ORDER BY us, event_id) AS held FROM l, m WHERE place <= 2 AND session = latest AND now - last < 1800000000 GROUP BY 1""")
+def memory_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What threads remember at the time of the last event of all."""
+    turns = user_turns(table(spark, sf_dir, "events"))
+    now = F.lit(turns.agg(F.max("ts")).first()[0]).cast("timestamp")
+    return memory.memory_at(turns, now).select(F.col("thread_id").alias("user_id"), F.array_join("held", ",").alias("held"))
