@@ -5,6 +5,8 @@ Runs are keys everywhere, so windows hold one run's events; totals are partial a
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,8 @@ OPERATION_STAGE = {
     "intent_classification": "Request Classification", "schema_exploration": "Evidence Retrieval", "general_answer": "Answer Creation",
     "documentation_answer": "Answer Creation", "query_planning": "SQL Drafting", "output_safety": "Final Safety Review", "policy_check": "Safety Screening",
 }
+#: Days that a served view may cover, and how many it does unless told.
+LEAST_DAYS, MOST_DAYS, SERVED_DAYS = 1, 365, 7
 #: Dollars: per TiB scanned, and per million tokens read, written, and read from cache.
 SCAN_PRICE, INPUT_PRICE, OUTPUT_PRICE, CACHED_PRICE = 6.25, 3.0, 15.0, 0.3
 
@@ -103,6 +107,40 @@ def by_intent(runs: DataFrame, intent: Column | None = None) -> DataFrame:
     return named.groupBy("intent").agg(n.alias("count"), F.avg("latency_ms").alias("avg_latency_ms"), ratio(F.count_if("sql_success") * 100, n).alias("success_rate"), ratio(F.count_if("rejected") * 100, n).alias("rejection_rate"), F.floor(F.avg("tokens")).cast("long").alias("avg_tokens"))
 
 
+def cutoff(start: str | None = None, days: int | None = None, now: datetime | None = None) -> str | None:
+    """ISO text of the first moment that counts: ``start`` as given, else ``days`` before ``now`` (UTC); None takes all."""
+    if start:
+        datetime.fromisoformat(start)
+        return start
+    if days is None:
+        return None
+    if not LEAST_DAYS <= days <= MOST_DAYS:
+        raise ValueError(f"days must be from {LEAST_DAYS} to {MOST_DAYS}")
+    moment = now or datetime.now(timezone.utc)
+    moment = moment.astimezone(timezone.utc).replace(tzinfo=None) if moment.tzinfo else moment
+    return (moment - timedelta(days=days)).isoformat()
+
+
+def audits_since(audits: DataFrame, first: str | None) -> DataFrame:
+    """Audit events from that moment on, compared as ISO text, as the logs write it; events without a time go."""
+    return audits if first is None else audits.where(F.col("timestamp") >= first)
+
+
+def traces_since(traces: DataFrame, first: str | None) -> DataFrame:
+    """Trace events from that moment on (UTC)."""
+    if first is None:
+        return traces
+    moment = datetime.fromisoformat(first)
+    return traces.where(F.col("ts") >= (moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).timestamp())
+
+
+def served(audits: DataFrame, traces: DataFrame, days: int = SERVED_DAYS, start: str | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    """The roll-ups over the last days: summary (one row, also without runs), by_date and by_intent."""
+    first = cutoff(start, days, now)
+    runs = run_table(audits_since(audits, first), traces_since(traces, first))
+    return {"summary": summary(runs), "by_date": by_date(runs), "by_intent": by_intent(runs)}
+
+
 def stage_dimension(spark: SparkSession) -> DataFrame:
     """event, stage, role (start, success, failure) and the stage's place."""
     rows = [(e, name, role, k) for k, (name, *lists) in enumerate(STAGES) for role, events in zip(("start", "success", "failure"), lists, strict=True) for e in events]

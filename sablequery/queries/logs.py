@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,32 @@ def log_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("intent", "count", F.round(F.col("avg_latency_ms") / 1000, 1).alias("avg_latency_s"), F.round("rejection_rate", 4).alias("rejection_rate"), "avg_tokens")
 
 
+def served_week(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The views of the seven days before the last event of all."""
+    last = table(spark, sf_dir, "events").agg(F.date_trunc("second", F.max("ts").cast("timestamp")).alias("last"))
+    now = last.select(F.unix_seconds("last").alias("now")).first()["now"]
+    return logs.served(audits(spark, sf_dir), traces(spark, sf_dir), now=datetime.fromtimestamp(now or 0, timezone.utc))
+
+
+#: The relations above over those days.
+_WEEK = "recent AS (SELECT * FROM events WHERE ts >= (SELECT date_trunc('second', max(ts)) - INTERVAL 7 DAY FROM events)), " + RUN_SQL.replace("FROM events", "FROM recent")
+
+
+@query(f"WITH {_WEEK} SELECT {_FIGURES} FROM j")
+def served_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(served_week(spark, sf_dir)["summary"])
+
+
+@query(f"WITH {_WEEK} SELECT first_timestamp[1:10] AS date, {_FIGURES} FROM j GROUP BY 1")
+def served_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(served_week(spark, sf_dir)["by_date"], "date")
+
+
+@query(f"WITH {_WEEK} SELECT 'general' AS intent, count(*) AS count, round(count(*) FILTER (rejected) * 100.0 / count(*), 4) AS rejection_rate, CAST(floor(avg(tokens)) AS BIGINT) AS avg_tokens FROM j WHERE classified GROUP BY 1")
+def served_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return served_week(spark, sf_dir)["by_intent"].select("intent", "count", F.round("rejection_rate", 4).alias("rejection_rate"), "avg_tokens")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS run_id, min_by(event_type, event_id) AS first_event, min(event_id) AS line_no FROM events GROUP BY 1")
 def log_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).groupBy("run_id").agg(F.min_by("event", "line_no").alias("first_event"), F.min("line_no").alias("line_no"))
@@ -105,7 +133,7 @@ def log_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {AUDIT_SQL} SELECT count(*) AS n, count(DISTINCT run_id) AS runs FROM a WHERE timestamp >= '2024-01-05'")
 def log_date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = audits(spark, sf_dir).where(F.col("timestamp") >= "2024-01-05")
+    kept = logs.audits_since(audits(spark, sf_dir), logs.cutoff("2024-01-05", 7))
     return kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs"))
 
 

@@ -140,3 +140,28 @@ def test_markdown_report_is_whole_or_refused(spark):
     assert lines[:4] == ["# Shares", "", "| id | share |", "|---|---|"] and len(lines) == 7 and lines[-1] == "| 2 | 0.67 |"
     with pytest.raises(ValueError, match="more than 2 rows"):
         report_markdown(spark.range(3), "Shares", most=2)
+
+
+def test_date_window_and_served_views(spark):
+    from datetime import datetime, timezone
+
+    now = datetime(2024, 3, 10, 12, tzinfo=timezone.utc)
+    assert logs.cutoff("2024-03-01", 3, now) == "2024-03-01" and logs.cutoff() is None
+    assert logs.cutoff(days=1, now=now) == "2024-03-09T12:00:00"
+    for bad in (0, 366, -1):
+        with pytest.raises(ValueError):
+            logs.cutoff(days=bad)
+    with pytest.raises(ValueError):
+        logs.cutoff("yesterday")
+    stamps = ["2024-03-09T11:59:59", "2024-03-09T12:00:00", "2024-03-10T01:00:00", None]
+    rows = [(t, f"r{k}", "u", "intent_classified", "allowed", None, None, None, None, None, None, "f", k) for k, t in enumerate(stamps)]
+    audits = spark.createDataFrame(rows, "timestamp string, run_id string, user_id string, event_type string, decision string, bytes_processed long, input_tokens long, output_tokens long, cache_creation_input_tokens long, cache_read_input_tokens long, total_tokens long, file string, line_no int")
+    epoch = [datetime.fromisoformat(t).replace(tzinfo=timezone.utc).timestamp() for t in stamps[:3]]
+    traces = spark.createDataFrame([(f"r{k}", t + d, k, "e", None, "f", k) for k, t in enumerate(epoch) for d in (0.0, 2.0)], "run_id string, ts double, seq long, event string, payload string, file string, line_no int")
+    views = logs.served(audits, traces, 1, now=now)
+    one = views["summary"].first()
+    assert (one["queries"], one["total_latency_ms"], one["earliest"]) == (2, 4000, "2024-03-09T12:00:00")
+    assert {r["date"]: r["queries"] for r in views["by_date"].collect()} == {"2024-03-09": 1, "2024-03-10": 1}
+    assert views["by_intent"].first()["count"] == 2
+    assert logs.served(audits, traces, start="2024-03-09", now=now)["summary"].first()["queries"] == 3
+    assert logs.served(audits, traces, start="2025-01-01")["summary"].first()["queries"] == 0
