@@ -177,3 +177,21 @@ def test_registered_query_runs(spark, small, name):
 def test_entry_and_oracles(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sensitive_keys_at_any_depth(spark):
+    import json
+
+    from sablequery.operators import policy
+
+    texts = [
+        ('{"a": {"b": [1, {"c": [[{"SSN": 1}]]}]}}', True), ('{" Date-Of-Birth ": null}', True), ('{"\\u0073sn": 1}', True), ('{"ssn": 1, "ssn": 2}', True), ('[[], {"x": 1, "raw-records" : []}]', True),
+        (json.dumps({"note": 'they wrote {"ssn": 1} here'}), False), (json.dumps({"note": 'a \\"ssn\\": "mrn": \\'}), False), (json.dumps(["ssn", ":", "mrn", {"ok": "dob"}]), False),
+        ('{"ssn_count": 3, "ok": "ssn"}', False), ("no json but \"ssn\": 1", False), ('{"ssn": ', False), ("", False), (None, False), (json.dumps({"x\\": "y", "mrn": 0}), True), ("{}", False), ("5", False),
+        (json.dumps({"note": 'a"', "mrn": 0}), True), (json.dumps({"note": 'a\\\\', "x": '"mrn": 1', "y": '\\"'}), False), (json.dumps({"note": '\\', "mrn": 0}), True),
+    ]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "id int, payload string")
+    keys = {r["id"]: r["keys"] for r in frame.select("id", policy.payload_keys("payload").alias("keys")).collect()}
+    assert keys[0] == ["a", "b", "c", "ssn"] and keys[12] is None and keys[14] == []
+    got = {r["id"]: r["reason"] == "row_level_shape" for r in policy.screen(frame, "id", "payload", "tool_result").collect()}
+    assert got == {k: bad for k, (_, bad) in enumerate(texts)}
