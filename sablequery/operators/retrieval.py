@@ -231,27 +231,38 @@ def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     return own[sound], numbers[sound]
 
 
-def _best_products(asked: np.ndarray, numbers: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rounded(numbers: np.ndarray, digits: int) -> np.ndarray:
+    """To that many digits, halves away from zero."""
+    scaled = np.abs(numbers) * 10.0**digits
+    whole = np.floor(scaled)
+    return np.copysign((whole + (scaled - whole >= 0.5)) / 10.0**digits, numbers) + 0.0
+
+
+def _best_products(asked: np.ndarray, numbers: np.ndarray, order: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query row, vector row and score of each query's best k. A matrix product finds candidates; their scores are summed
-    in order, so that equal vectors have equal scores, which ``order`` then breaks."""
+    in order, so that equal vectors have equal scores, and rounded to ``digits``; ``order`` then breaks ties."""
     products = asked @ numbers.T
     least = np.partition(products, -k, axis=1)[:, -k] if k < products.shape[1] else np.full(len(asked), -np.inf)
     slack = 1e-14 * asked.shape[1] * np.sqrt((asked**2).sum(axis=1)) * np.sqrt((numbers**2).sum(axis=1).max())
+    if digits is not None:  # what rounds to the same score is a candidate too
+        slack = slack + 1.01 * 10.0**-digits
     query, vector = np.nonzero(products >= (least - slack)[:, None])
     score = np.cumsum(asked[query] * numbers[vector], axis=1)[:, -1]
+    if digits is not None:
+        score = _rounded(score, digits)
     sort = np.lexsort((order[vector], -score, query))
     place = np.arange(len(sort)) - np.searchsorted(query[sort], query[sort])
     kept = sort[place < k]
     return query[kept], vector[kept], score[kept]
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df, digits: int | None = None) -> DataFrame:
     """Exact inner-product top k. vectors: chunk_id, embedding; queries: query_id, query (a stated set, met in blocks).
 
     A task multiplies its vectors, a few thousand at a time, with a block of queries and sends the best k of each product;
     partitions keep their own best k of every query before the shuffle. Vectors and queries of another length than the
     block's, or with numbers that are missing or not finite, have no score. With ``keep``, which stores a frame, a block's
-    matrix leaves the driver before the next comes.
+    matrix leaves the driver before the next comes. With ``digits`` scores are rounded before they are ranked.
     """
     blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
@@ -280,7 +291,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Callable[[Da
                             continue
                         order = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
                         for start in range(0, len(asked), QUERIES_AT_ONCE):
-                            query, vector, found = _best_products(asked[start : start + QUERIES_AT_ONCE], numbers, order, k)
+                            query, vector, found = _best_products(asked[start : start + QUERIES_AT_ONCE], numbers, order, k, digits)
                             yield pa.record_batch({"query_id": names.take(pa.array(query + start)), "chunk_id": ids.take(pa.array(vector)), "score": pa.array(found)})
 
         scored = vectors.select("chunk_id", "embedding").mapInArrow(score, schema)

@@ -284,3 +284,12 @@ def test_dense_queries_in_blocks_give_the_same(spark, monkeypatch):
     whole = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in R.dense_top(vectors, queries, 5).collect())
     monkeypatch.setattr(R, "QUERIES_A_BLOCK", 6)
     assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in R.dense_top(vectors, queries, 5).collect()) == whole and len(whole) == 100
+
+
+def test_dense_scores_are_ranked_as_they_are_rounded(spark):
+    """Scores that differ after the sixth digit only are ties, which the smaller id wins, also across batches and at the edge of the k."""
+    vectors = spark.createDataFrame([(k, [0.5 + (k % 5) * 6e-8, 0.0]) for k in range(20)] + [(20, [0.6, 0.0]), (21, [-0.7, 0.0])], "chunk_id int, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id int, query array<double>")
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in R.dense_top(vectors, queries, 4, digits=6).collect())
+    assert got == [(1, 1, 20, 0.6), (1, 2, 0, 0.5), (1, 3, 1, 0.5), (1, 4, 2, 0.5), (2, 1, 21, 0.7), (2, 2, 0, -0.5), (2, 3, 1, -0.5), (2, 4, 2, -0.5)]
+    assert [r["chunk_id"] for r in R.dense_top(vectors, queries, 2).where("query_id = 1").orderBy("rank").collect()] == [20, 4]
