@@ -2,9 +2,10 @@
 
 Folder layout, all Parquet:
 
-* ``segments/segment=N/bucket=B``: postings, one row for each term, chunk and column with its number of occurrences and its
-  positions as differences from one to the next. Rows stand in the bucket of their term's hash, sorted by term, so a
-  question's terms name the folders to read, and row groups outside them are skipped. Bucket -1 has one row a chunk.
+* ``blocks/segment=N/bucket=B``: postings. Chunks are cut a block at a time (a few megabytes of text), and a row is a
+  term in a block: how many chunks hold it, how often, and an entry for each chunk and column with its positions as
+  differences from one to the next. Rows stand in the bucket of their term's hash, sorted by term, so a question's terms
+  name the folders to read, and row groups outside them are skipped. Bucket -1 has one row a chunk.
 * ``versions/v=N``: ``chunks`` (chunk_id, size, digest, segment), ``terms`` (term, chunks, occurrences; sorted), ``dead``
   (chunks of older segments that have been replaced or removed) and, written last, ``manifest``. A version without a
   manifest isn't there, so readers see whole versions only, and an update that is lost can be run again.
@@ -14,7 +15,7 @@ postings of theirs are marked dead and left out when read. Statistics of terms a
 :func:`compact` writes the living postings anew as one segment.
 
 Terms that stand in very many chunks are dealt over files as they are written (rebalanced by size), and no step gathers
-a term's postings in one row or group.
+a term's postings in one row or group: a row holds a block's at most.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from ..functions.text import document_hint
 from . import retrieval as R
@@ -38,7 +42,12 @@ BUCKETS = 64
 CHUNK_ROWS = -1
 #: Up to so many distinct terms a search names them in the scan; beyond, the terms are joined.
 NAMED_TERMS = 5000
-TEXTS_AT_ONCE = 200
+#: Up to so many distinct words a search without an index sends to its tasks.
+SCANNED_TERMS = 500_000
+#: Bytes of text that are cut at once.
+BLOCK_BYTES = 4 << 20
+#: Up to so many chunks that left the index are sent to all tasks that read it; beyond, postings are shuffled.
+BROADCAST_CHUNKS = 1_000_000
 MANIFEST = "version long, segments array<int>, columns array<string>, id_type string"
 
 
@@ -67,15 +76,19 @@ class LexicalIndex:
     def dead(self) -> DataFrame:
         return self._part("dead", "chunk_id {id}, segment int")
 
-    def stored_postings(self) -> DataFrame:
-        """term, chunk_id, col, tf, size, lead (1 for a chunk's first column with the term), deltas; dead ones too."""
-        schema = f"term string, chunk_id {self.id_type}, col string, tf int, size long, lead int, deltas array<int>, segment int, bucket int"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/segments")
-        return rows.where(F.col("segment").isin(*self.segments) & (F.col("bucket") > CHUNK_ROWS))
+    def stored_blocks(self) -> DataFrame:
+        """term, chunks, occurrences, entries, segment, bucket of every term in every block; dead entries too."""
+        rows = self.spark.read.schema(_stored_schema(self.id_type)).parquet(f"{self.path}/blocks")
+        return rows.where(F.col("segment").isin(*self.segments) & (F.col("bucket") > CHUNK_ROWS)).drop("chunk_id", "size", "digest")
+
+    def living(self, entries: DataFrame) -> DataFrame:
+        """Those of entries (chunk_id, segment, ...) whose chunk has not been replaced or removed."""
+        return entries.join(_sent(self.dead()), ["chunk_id", "segment"], "left_anti") if len(self.segments) > 1 else entries
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """Living postings; with ``terms`` (term, ...) only theirs, each with that row's columns."""
-        rows = self.stored_postings()
+        """Living postings: term, chunk_id, col, tf, size, lead (1 for a chunk's first column with the term), deltas; with
+        ``terms`` (term, ...) only theirs, each with that row's columns."""
+        rows = self.stored_blocks()
         if terms is not None:
             named = terms.select("term", term_bucket("term").alias("bucket")).distinct().limit(NAMED_TERMS + 1).collect()
             if not named:
@@ -83,9 +96,18 @@ class LexicalIndex:
             elif len(named) <= NAMED_TERMS:
                 rows = rows.where(F.col("bucket").isin(*sorted({r["bucket"] for r in named})) & F.col("term").isin(*sorted({r["term"] for r in named})))
             rows = rows.join(terms.withColumn("bucket", term_bucket("term")), ["bucket", "term"])
-        if len(self.segments) > 1:
-            rows = rows.join(self.dead(), ["chunk_id", "segment"], "left_anti")
-        return rows
+        others = [c for c in rows.columns if c not in ("entries", "chunks", "occurrences")]
+        return self.living(rows.select(*others, F.inline("entries")))
+
+
+def _sent(chunks: DataFrame) -> DataFrame:
+    """Marked for broadcast if they are few."""
+    return F.broadcast(chunks) if chunks.count() <= BROADCAST_CHUNKS else chunks
+
+
+def _stored_schema(id_type: str) -> str:
+    entry = f"struct<chunk_id: {id_type}, col: string, tf: int, size: bigint, lead: int, deltas: array<int>>"
+    return f"chunk_id {id_type}, size long, digest string, term string, chunks long, occurrences long, entries array<{entry}>, segment int, bucket int"
 
 
 def term_bucket(term: str) -> Column:
@@ -113,59 +135,92 @@ def _digested(chunks: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return chunks.select("chunk_id", F.md5(F.concat(*marks)).alias("digest"), *texts)
 
 
-def _cut(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Postings of chunks, and one row a chunk whose term is null, with its size and digest."""
+def _cut(rows: DataFrame, columns: tuple[str, ...], only: list[str] | None = None, entries_too: bool = True) -> DataFrame:
+    """One row for each term of a block of chunks with its entries, and one row a chunk (without a term) with its size and digest.
+
+    With ``only`` other terms are left out, and the row without a term is one a block: its chunks with tokens, their tokens.
+    """
     id_type = rows.schema["chunk_id"].dataType.simpleString()
+    fields = len(columns)
+    wanted = None if only is None else pa.array(only, pa.string())
+
+    def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own, ids, names = batch.num_rows, batch.column(0), pa.array(columns, pa.string())
+        words: list[str] = []
+        counts = np.zeros(own * fields, "int64")
+        for k, texts in enumerate(zip(*[batch.column(2 + i).to_pylist() for i in range(fields)], strict=True)):
+            for i, text in enumerate(texts):
+                if text:
+                    words += (found := R.fold(text).split())
+                    counts[k * fields + i] = len(found)
+        sizes = counts.reshape(own, fields).sum(axis=1)
+        if wanted is None:
+            whole = pa.record_batch({"chunk_id": ids, "size": pa.array(sizes), "digest": batch.column(1)})
+        else:
+            whole = pa.record_batch({"chunks": pa.array([np.count_nonzero(sizes)]), "occurrences": pa.array([sizes.sum()])})
+        yield _filled(whole, rows_schema)
+        if not words:
+            return
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        del words
+        codes = coded.indices.to_numpy()
+        field = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
+        if wanted is not None:
+            own_words = pc.is_in(coded.dictionary, value_set=wanted).to_numpy(zero_copy_only=False)[codes]
+            codes, field, place = codes[own_words], field[own_words], place[own_words]
+            if not len(codes):
+                return
+        order = np.argsort(codes, kind="stable")  # fields and places stay in order
+        codes, field, place = codes[order], field[order], place[order]
+        posted = np.r_[True, (codes[1:] != codes[:-1]) | (field[1:] != field[:-1])]
+        first = np.flatnonzero(posted)
+        deltas = np.where(posted, place, place - np.r_[0, place[:-1]]).astype("int32")
+        tf, chunk, code = np.diff(np.r_[first, len(codes)]), field[first] // fields, codes[first]
+        fresh = np.r_[True, code[1:] != code[:-1]]
+        lead = (fresh | np.r_[True, chunk[1:] != chunk[:-1]]).astype("int32")
+        begun = np.flatnonzero(fresh)
+        by_term = {"term": coded.dictionary.take(pa.array(code[begun])), "chunks": pa.array(np.add.reduceat(lead, begun, dtype="int64")), "occurrences": pa.array(np.add.reduceat(tf, begun))}
+        if not entries_too:
+            yield _filled(pa.record_batch(by_term), rows_schema)
+            return
+        at = pa.array(chunk)
+        entries = pa.StructArray.from_arrays(
+            [ids.take(at), names.take(pa.array(field[first] % fields)), pa.array(tf.astype("int32")), pa.array(sizes[chunk]), pa.array(lead), pa.ListArray.from_arrays(pa.array(np.r_[first, len(codes)].astype("int32")), pa.array(deltas))],
+            ["chunk_id", "col", "tf", "size", "lead", "deltas"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[begun, len(first)].astype("int32")), entries)
+        yield _filled(pa.record_batch(by_term | {"entries": lists}), rows_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
-                of, terms, cols, tfs, sizes, leads, deltas = [], [], [], [], [], [], []
-                for k, texts in enumerate(zip(*[batch.column(2 + i).to_pylist() for i in range(len(columns))], strict=True)):
-                    fields = [R.fold(t).split() if t else [] for t in texts]
-                    size, seen = sum(map(len, fields)), set()
-                    for name, words in zip(columns, fields, strict=True):
-                        places: dict[str, list[int]] = {}
-                        for place, word in enumerate(words):
-                            places.setdefault(word, []).append(place)
-                        for word, own in places.items():
-                            terms.append(word)
-                            deltas.append([own[0], *[b - a for a, b in zip(own[:-1], own[1:], strict=True)]])
-                            tfs.append(len(own))
-                            leads.append(word not in seen)
-                        cols += [name] * len(places)
-                        seen.update(places)
-                    rows_here = len(terms) - len(of) + 1
-                    of += [k] * rows_here
-                    sizes += [size] * rows_here
-                    terms.append(None)
-                    cols.append(None)
-                    tfs.append(0)
-                    leads.append(False)
-                    deltas.append([])
-                index = pa.array(of, pa.int64())
-                yield pa.record_batch({
-                    "chunk_id": batch.column(0).take(index), "term": pa.array(terms, pa.string()), "col": pa.array(cols, pa.string()), "tf": pa.array(tfs, pa.int32()), "size": pa.array(sizes, pa.int64()),
-                    "lead": pa.array(np.array(leads, "int32")), "deltas": pa.array(deltas, pa.list_(pa.int32())), "digest": pa.array([d if t is None else None for d, t in zip(batch.column(1).take(index).to_pylist(), terms, strict=True)], pa.string())})
-
-    return rows.mapInArrow(cut, f"chunk_id {id_type}, term string, col string, tf int, size long, lead int, deltas array<int>, digest string")
-
-
-def _write_segment(postings: DataFrame, path: str, segment: int) -> None:
+        for batch in batches:
+            for part in R.sliced(batch, BLOCK_BYTES, *range(2, 2 + fields)):
+                yield from block(part)
+
+    schema = _stored_schema(id_type).rsplit(", segment", 1)[0]
+    rows_schema = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    return rows.mapInArrow(cut, schema)
+
+
+def _filled(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """With nulls for the columns that it lacks."""
+    have = batch.schema.names
+    return pa.record_batch([batch.column(f.name).cast(f.type) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in schema], names=schema.names)
+
+
+def _write_segment(blocks: DataFrame, path: str, segment: int) -> None:
     """By bucket and sorted by term. Rows are rebalanced by size, so a frequent term's postings make several files."""
     bucket = F.when(F.col("term").isNull(), CHUNK_ROWS).otherwise(term_bucket("term"))
-    dealt = postings.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
-    dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/segments/segment={segment}")
+    dealt = blocks.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks/segment={segment}")
 
 
 def _segment(spark: SparkSession, path: str, segment: int, id_type: str) -> DataFrame:
-    schema = f"chunk_id {id_type}, term string, col string, tf int, size long, lead int, deltas array<int>, digest string, bucket int"
-    return spark.read.schema(schema).parquet(f"{path}/segments/segment={segment}")
+    schema = _stored_schema(id_type).replace(", segment int", "")
+    return spark.read.schema(schema).parquet(f"{path}/blocks/segment={segment}")
 
 
-def _term_sums(postings: DataFrame, sign: int) -> DataFrame:
-    return postings.groupBy("term").agg((sign * F.sum("lead")).alias("chunks"), (sign * F.sum("tf")).cast("long").alias("occurrences"))
+def _term_sums(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("chunks").alias("chunks"), F.sum("occurrences").alias("occurrences"))
 
 
 def _publish(index: LexicalIndex, chunks: DataFrame, terms: DataFrame, dead: DataFrame) -> LexicalIndex:
@@ -205,7 +260,7 @@ def refresh(spark: SparkSession, path: str, chunks: DataFrame, columns: list[str
         if not own.groupBy("chunk_id").count().where("count > 1").isEmpty():
             raise ValueError("a chunk id stands twice")
         index = LexicalIndex(spark, path, 1, (1,), names, id_type)
-        return _publish(index, own, _term_sums(made.where(F.col("bucket") > CHUNK_ROWS), 1), own.where("false"))
+        return _publish(index, own, _term_sums(made.where(F.col("bucket") > CHUNK_ROWS)), own.where("false"))
     known = old.chunks()
     seen = digested.select("chunk_id", "digest").groupBy("chunk_id").agg(F.min("digest").alias("now"), F.count(F.lit(1)).alias("n"))
     compared = known.join(seen, "chunk_id", "full").select("chunk_id", "size", "digest", "segment", "now", "n")
@@ -220,16 +275,17 @@ def refresh(spark: SparkSession, path: str, chunks: DataFrame, columns: list[str
         return old
     segment = old.version + 1
     gone = changes.where("segment is not null").select("chunk_id", "segment")
-    leaving = old.postings().join(gone, ["chunk_id", "segment"], "left_semi")
+    # the living ones among them: a chunk that is gone was alive until now
+    leaving = old.stored_blocks().select("term", "segment", F.inline("entries")).join(_sent(gone), ["chunk_id", "segment"], "left_semi")
     chunks_now = known.join(changes.select("chunk_id"), "chunk_id", "left_anti")
-    terms = old.terms().unionByName(_term_sums(leaving, -1))
+    terms = old.terms().unionByName(leaving.groupBy("term").agg((-F.sum("lead")).alias("chunks"), (-F.sum("tf")).alias("occurrences")))
     segments = old.segments
     if told["fresh"]:
         fresh = digested.join(changes.where("now is not null").select("chunk_id"), "chunk_id", "left_semi")
         _write_segment(_cut(fresh, names), path, segment)
         made = _segment(spark, path, segment, id_type)
         chunks_now = chunks_now.unionByName(made.where(F.col("bucket") == CHUNK_ROWS).select("chunk_id", "size", "digest", F.lit(segment).alias("segment")))
-        terms = terms.unionByName(_term_sums(made.where(F.col("bucket") > CHUNK_ROWS), 1))
+        terms = terms.unionByName(_term_sums(made.where(F.col("bucket") > CHUNK_ROWS)))
         segments = (*segments, segment)
     index = LexicalIndex(spark, path, segment, segments, names, id_type)
     return _publish(index, chunks_now, terms, old.dead().unionByName(gone))
@@ -238,10 +294,13 @@ def refresh(spark: SparkSession, path: str, chunks: DataFrame, columns: list[str
 def compact(index: LexicalIndex) -> LexicalIndex:
     """The same index in one segment without dead postings, as the next version."""
     segment = index.version + 1
-    living = index.postings().select("chunk_id", "term", "col", "tf", "size", "lead", "deltas", F.lit(None).cast("string").alias("digest"))
-    none = {"term": "string", "col": "string", "deltas": "array<int>"}
-    chunk_rows = index.chunks().select("chunk_id", "size", "digest").withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"tf": F.lit(0), "lead": F.lit(0)})
-    _write_segment(living.unionByName(chunk_rows), index.path, segment)
+    blocks = index.stored_blocks()
+    if len(index.segments) > 1:
+        entries = blocks.select(F.monotonically_increasing_id().alias("block"), "term", "segment", F.inline("entries"))
+        entry = F.struct("chunk_id", "col", "tf", "size", "lead", "deltas")
+        blocks = index.living(entries).groupBy("block", "term").agg(F.sum("lead").alias("chunks"), F.sum("tf").alias("occurrences"), F.collect_list(entry).alias("entries"))
+    rows = blocks.select("term", "chunks", "occurrences", "entries").unionByName(index.chunks().select("chunk_id", "size", "digest"), allowMissingColumns=True)
+    _write_segment(rows, index.path, segment)
     made = LexicalIndex(index.spark, index.path, segment, (segment,), index.columns, index.id_type)
     return _publish(made, index.chunks().withColumn("segment", F.lit(segment)), index.terms(), index.dead().where("false"))
 
@@ -283,19 +342,54 @@ def weighted_hits(index: LexicalIndex, tokens: DataFrame, weights: dict[str, flo
     terms = keep(one.where("exact").select(*keys, "term").unionByName(prefixed_terms(index.terms().select("term"), prefixes).select(*keys, "term")))
     plain = index.postings(terms).select(*keys, "chunk_id", "col", "size", "tf")
     several = phrase_hits(index, words.where("size > 1").drop("exact"), *keys).select(*keys, "chunk_id", "col", "size", "tf")
+    return _weighted(plain.unionByName(several), weights)
+
+
+def _weighted(found: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     weight = F.create_map(*[F.lit(x) for pair in (weights or R.WEIGHTS).items() for x in pair])[F.col("col")]
-    return plain.unionByName(several).groupBy(*keys, "chunk_id").agg(F.sum(F.coalesce(weight, F.lit(1.0)) * F.col("tf")).alias("f"), F.max("size").alias("size"))
+    return found.groupBy("query_id", "token", "chunk_id").agg(F.sum(F.coalesce(weight, F.lit(1.0)) * F.col("tf")).alias("f"), F.max("size").alias("size"))
 
 
 def scores(index: LexicalIndex, hits: DataFrame) -> DataFrame:
     """query_id, chunk_id, score as :func:`retrieval.bm25` gives it. hits are read twice: store them."""
     corpus = index.chunks().where("size > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
+    return _scored(hits, corpus["n"], corpus["mean"])
+
+
+def _scored(hits: DataFrame, n: int, mean: float | None) -> DataFrame:
     reach = hits.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("reach"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(corpus["n"])) - F.col("reach") + 0.5) / (F.col("reach") + 0.5)))
-    part = idf * F.col("f") * (R.K1 + 1) / (F.col("f") + R.K1 * (1 - R.B + R.B * F.col("size") / F.lit(corpus["mean"] or 1.0)))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("reach") + 0.5) / (F.col("reach") + 0.5)))
+    part = idf * F.col("f") * (R.K1 + 1) / (F.col("f") + R.K1 * (1 - R.B + R.B * F.col("size") / F.lit(mean or 1.0)))
     return hits.join(reach, ["query_id", "token"]).groupBy("query_id", "chunk_id").agg((-F.sum(part)).alias("score"))
 
 
+def scanned_scores(chunks: DataFrame, columns: list[str], words: DataFrame, most: int, weights: dict[str, float] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame | None:
+    """query_id, chunk_id, score by the ``most`` rarest of each query's words (query_id, term), searched exactly, without an index.
+
+    For questions that are asked once: chunks are read twice, first to count the words that are asked for, then for the
+    postings of those chosen. Nothing else of the text leaves the task that cuts it. The words are sent to all tasks;
+    None if they are more than SCANNED_TERMS.
+    """
+    words = keep(words.distinct())
+
+    def listed(frame: DataFrame) -> list[str]:
+        return [r["term"] for r in frame.select("term").distinct().limit(SCANNED_TERMS + 1).collect()]
+
+    named = listed(words)
+    if len(named) > SCANNED_TERMS:
+        return None
+    names = tuple(columns)
+    rows = chunks.where("chunk_id is not null").select("chunk_id", F.lit("").alias("digest"), *[F.col(c).cast("string").alias(c) for c in names])
+    counted = keep(_term_sums(_cut(rows, names, named, entries_too=False)))
+    corpus = counted.where("term is null").first()
+    n, tokens = (corpus["chunks"], corpus["occurrences"]) if corpus else (0, 0)
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("chunks", "term"))
+    chosen = keep(words.join(counted.select("term", "chunks"), "term").withColumn("n", rarest).where(F.col("n") <= most).select("query_id", "term"))
+    cut = _cut(rows, names, listed(chosen)).where("term is not null").join(F.broadcast(chosen), "term")
+    found = cut.select("query_id", F.col("term").alias("token"), F.inline("entries"))
+    return _scored(keep(_weighted(found, weights)), n, tokens / n if n else None)
+
+
 def named_chunks(chunks: DataFrame, hints: DataFrame) -> DataFrame:
     """query_id, chunk_id of the chunks of documents that questions name, by file name or by the title's beginning."""
     asked = hints.where("hint is not null").select("query_id", F.upper("hint").alias("name"))

@@ -50,6 +50,17 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFD", text).translate(_FOLDING).lower()
 
 
+def sliced(batch: pa.RecordBatch, most: int, *columns: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order, in parts whose texts (those columns) have ``most`` bytes or a little more."""
+    lengths = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), "int64") for c in columns)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 @pandas_udf(ArrayType(StringType()))
 def index_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fold(t).split() if t else [])

@@ -9,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sablequery.functions import text as T
 from sablequery.operators import retrieval as R
@@ -293,3 +295,56 @@ def test_dense_scores_are_ranked_as_they_are_rounded(spark):
     got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in R.dense_top(vectors, queries, 4, digits=6).collect())
     assert got == [(1, 1, 20, 0.6), (1, 2, 0, 0.5), (1, 3, 1, 0.5), (1, 4, 2, 0.5), (2, 1, 21, 0.7), (2, 2, 0, -0.5), (2, 3, 1, -0.5), (2, 4, 2, -0.5)]
     assert [r["chunk_id"] for r in R.dense_top(vectors, queries, 2).where("query_id = 1").orderBy("rank").collect()] == [20, 4]
+
+
+def test_scan_without_an_index_scores_as_the_index_does(spark, tmp_path, monkeypatch):
+    from sablequery.operators import lexical_index as L
+    from sablequery.queries.registry import kept
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)] + ["the"] * 30
+    rows = [(f"c{k}", "t the", " ".join(rng.choices(words, k=rng.randrange(60))) or None) for k in range(120)] + [("none", None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, title string, text string").repartition(3)
+    asked = spark.createDataFrame([(q, rng.choice(words)) for q in range(5) for _ in range(9)] + [(9, "nosuch")], "query_id int, term string")
+    monkeypatch.setattr(L, "BLOCK_BYTES", 500)
+    columns = ["title", "text"]
+    index = L.refresh(spark, f"{tmp_path}/index", chunks, columns)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("chunks", "term"))
+    chosen = asked.distinct().join(index.terms(), "term").withColumn("n", best).where("n <= 3").selectExpr("query_id", "term as token", "true as exact")
+    wanted = {(r["query_id"], r["chunk_id"]): r["score"] for r in L.scores(index, kept(L.weighted_hits(index, kept(chosen), keep=kept))).collect()}
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in L.scanned_scores(chunks, columns, asked, 3, keep=kept).collect()}
+    assert got == pytest.approx(wanted, abs=1e-12) and len(got) > 100
+    monkeypatch.setattr(L, "SCANNED_TERMS", 5)
+    assert L.scanned_scores(chunks, columns, asked, 3, keep=kept) is None
+
+
+def test_blocks_of_the_index_hold_every_posting(spark, tmp_path, monkeypatch):
+    """A row is a term of a block, not of a chunk; dead entries leave it when segments are merged, also without a broadcast."""
+    from sablequery.operators import lexical_index as L
+
+    monkeypatch.setattr(L, "BROADCAST_CHUNKS", 0)
+    rows = [(f"c{k}", "x", f"x y x é{k % 3} only{k}") for k in range(30)] + [("empty", None, ""), ("null", None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, title string, text string").coalesce(1)
+    index = L.refresh(spark, f"{tmp_path}/index", chunks, ["title", "text"])
+    assert index.stored_blocks().where("term = 'x'").count() == 1 and index.stored_blocks().count() == 35
+
+    def postings(found):
+        return sorted((r["term"], r["chunk_id"], r["col"], r["tf"], r["size"], r["lead"], r["deltas"]) for r in found.postings().collect())
+
+    def wanted(own):
+        out = []
+        for c, *texts in own:
+            fields = [R.fold(t or "").split() for t in texts]
+            for k, (col, words) in enumerate(zip(("title", "text"), fields, strict=True)):
+                for w in set(words):
+                    at = [i for i, x in enumerate(words) if x == w]
+                    out.append((w, c, col, len(at), sum(map(len, fields)), int(not any(w in f for f in fields[:k])), [b - a for a, b in zip([0, *at], at, strict=False)]))
+        return sorted(out)
+
+    assert postings(index) == wanted(rows)
+    edited = [(c, t, f"x new {x}") if c < "c2" else (c, t, x) for c, t, x in rows if c != "c7"]
+    again = L.refresh(spark, f"{tmp_path}/index", spark.createDataFrame(edited, "chunk_id string, title string, text string"), ["title", "text"])
+    merged = L.compact(again)
+    assert postings(again) == postings(merged) == wanted(edited) and merged.segments == (3,)
+    counts = Counter(t for t, *_, lead, _ in wanted(edited) if lead)
+    assert {r["term"]: r["chunks"] for r in merged.terms().collect()} == counts == {r["term"]: r["chunks"] for r in again.terms().collect()}
