@@ -10,16 +10,20 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions.text import identifier_slug, token_estimate
+from .retrieval import sliced
 
 TARGET, HARD_LIMIT, NEAR_EMPTY = 3200, 4800, 200
+PAGE_BYTES = 1 << 20
 UNAVAILABLE = "present_but_unavailable"
 def _rows(*names: str) -> ArrayType:
     return ArrayType(StructType([StructField(n, IntegerType() if n == "ordinal" else StringType()) for n in names]))
@@ -171,15 +175,25 @@ def parse_page(html: str, fallback: str) -> dict:
     return {"title": title, "chunks": bounded, "facts": facts, "keys": keys}
 
 
-@pandas_udf(PARSED)
-def parsed_page(html: pd.Series, fallback: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(h, f) for h, f in zip(html, fallback, strict=True)], columns=["title", "chunks", "facts", "keys"])
+def parse_documents(pages: DataFrame) -> DataFrame:
+    """doc_id, source_path, source_hash, title, chunks, facts, keys from pages (source_path, source_hash, html).
 
+    A worker takes PAGE_BYTES of HTML at once and sends their rows before it parses more, however many pages Spark puts in a batch.
+    """
+    names = [f.name for f in PARSED]
+    result = StructType([StructField("source_path", StringType()), pages.schema["source_hash"], *PARSED.fields])
+    types = [to_arrow_type(f.dataType) for f in PARSED]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, PAGE_BYTES, 2):
+                rows = [parse_page(h, f) for h, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                parsed = [pa.array([r[n] for r in rows], kind) for n, kind in zip(names, types, strict=True)]
+                yield pa.record_batch([batch.column(0), batch.column(1), *parsed], names=result.names)
 
-def parse_documents(pages: DataFrame) -> DataFrame:
-    """doc_id, source_path, source_hash, title, chunks, facts, keys from pages (source_path, source_hash, html)."""
     stem = F.regexp_extract("source_path", r"([^/]+?)(\.html)?$", 1)
-    return pages.select(F.sha2("source_path", 256).alias("doc_id"), "source_path", "source_hash", parsed_page("html", stem).alias("p")).select("doc_id", "source_path", "source_hash", "p.*")
+    parsed = pages.select("source_path", "source_hash", "html", stem.alias("stem")).mapInArrow(parse, result)
+    return parsed.select(F.sha2("source_path", 256).alias("doc_id"), *result.names)
 
 
 def chunk_table(parsed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """HTML extraction, chunking, trees, text policy, SQL text, and every registered query."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -195,3 +196,18 @@ def test_sensitive_keys_at_any_depth(spark):
     assert keys[0] == ["a", "b", "c", "ssn"] and keys[12] is None and keys[14] == []
     got = {r["id"]: r["reason"] == "row_level_shape" for r in policy.screen(frame, "id", "payload", "tool_result").collect()}
     assert got == {k: bad for k, (_, bad) in enumerate(texts)}
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    """A worker's memory is bounded by bytes of HTML: a batch of any number of pages leaves it in parts."""
+    from sablequery.operators import retrieval as R
+
+    batch = pa.record_batch({"k": pa.array(range(5)), "t": pa.array(["aaaa", None, "bbbbbbbbbb", "", "cc"])})
+    assert [p.column(0).to_pylist() for p in R.sliced(batch, 4, 1)] == [[0], [1, 2], [3, 4]] and not list(R.sliced(batch.slice(0, 0), 4, 1))
+    monkeypatch.setattr(D, "PAGE_BYTES", 100)
+    html = "<title>T{0}</title><div class=header>DOC{0} - x</div><div id=oContent><table class=SubHeader3><tr><td id=_Facts_>h</td></tr></table><span class=NA>None</span></div>"
+    pages = [(f"p{k}.html", f"h{k}", None if k == 7 else f"<p>plain {k}</p>" if k % 2 else html.format(k)) for k in range(60)]
+    parsed = D.parse_documents(spark.createDataFrame(pages, "source_path string, source_hash string, html string").coalesce(1))
+    assert parsed.columns == ["doc_id", "source_path", "source_hash", "title", "chunks", "facts", "keys"] and "MapInArrow" in parsed._jdf.queryExecution().toString()
+    got = {r["source_path"]: (r["source_hash"], {c: r.asDict(True)[c] for c in ("title", "chunks", "facts", "keys")}) for r in parsed.collect()}
+    assert got == {p: (h, D.parse_page(x, p.removesuffix(".html"))) for p, h, x in pages}
