@@ -7,9 +7,10 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import IntegerType, StringType
 
 #: Query words that never narrow a search.
@@ -46,9 +47,14 @@ def plain_words(text: str) -> str:
     return " ".join(text.translate(_PLAIN).split()) if text.isascii() else _OTHERS.sub(" ", text.lower()).strip()
 
 
-@pandas_udf(StringType())
-def _plain_words(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else plain_words(t))
+#: Texts that are Python strings at once in a worker; all others of a batch stay in Arrow.
+TEXTS_AT_ONCE = 100
+
+
+@arrow_udf(StringType())
+def _plain_words(text: pa.Array) -> pa.Array:
+    parts = [text.slice(at, TEXTS_AT_ONCE) for at in range(0, len(text), TEXTS_AT_ONCE)]
+    return pa.chunked_array([pa.array([None if t is None else plain_words(t) for t in part.to_pylist()], pa.string()) for part in parts], pa.string()).combine_chunks()
 
 
 def normal_prompt(text: Column) -> Column:

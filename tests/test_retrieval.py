@@ -5,6 +5,7 @@ import random
 import sqlite3
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -348,3 +349,9 @@ def test_blocks_of_the_index_hold_every_posting(spark, tmp_path, monkeypatch):
     assert postings(again) == postings(merged) == wanted(edited) and merged.segments == (3,)
     counts = Counter(t for t, *_, lead, _ in wanted(edited) if lead)
     assert {r["term"]: r["chunks"] for r in merged.terms().collect()} == counts == {r["term"]: r["chunks"] for r in again.terms().collect()}
+
+
+def test_plain_words_of_a_batch_in_parts():
+    texts = [None, "", "Ａｂ-c​d"] + [f"É{k}! Word" for k in range(2 * T.TEXTS_AT_ONCE)]
+    assert T._plain_words.func(pa.array(texts)).to_pylist() == [None if t is None else T.plain_words(t) for t in texts]
+    assert T._plain_words.func(pa.array([], pa.string())).to_pylist() == []
