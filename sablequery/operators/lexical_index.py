@@ -296,7 +296,8 @@ def compact(index: LexicalIndex) -> LexicalIndex:
     segment = index.version + 1
     blocks = index.stored_blocks()
     if len(index.segments) > 1:
-        entries = blocks.select(F.monotonically_increasing_id().alias("block"), "term", "segment", F.inline("entries"))
+        # numbered before they are taken apart: in one select each entry would get a number of its own
+        entries = blocks.withColumn("block", F.monotonically_increasing_id()).select("block", "term", "segment", F.inline("entries"))
         entry = F.struct("chunk_id", "col", "tf", "size", "lead", "deltas")
         blocks = index.living(entries).groupBy("block", "term").agg(F.sum("lead").alias("chunks"), F.sum("tf").alias("occurrences"), F.collect_list(entry).alias("entries"))
     rows = blocks.select("term", "chunks", "occurrences", "entries").unionByName(index.chunks().select("chunk_id", "size", "digest"), allowMissingColumns=True)

@@ -347,6 +347,7 @@ def test_blocks_of_the_index_hold_every_posting(spark, tmp_path, monkeypatch):
     again = L.refresh(spark, f"{tmp_path}/index", spark.createDataFrame(edited, "chunk_id string, title string, text string"), ["title", "text"])
     merged = L.compact(again)
     assert postings(again) == postings(merged) == wanted(edited) and merged.segments == (3,)
+    assert merged.stored_blocks().where("term = 'x'").count() == again.stored_blocks().where("term = 'x'").count() <= 10
     counts = Counter(t for t, *_, lead, _ in wanted(edited) if lead)
     assert {r["term"]: r["chunks"] for r in merged.terms().collect()} == counts == {r["term"]: r["chunks"] for r in again.terms().collect()}
 
