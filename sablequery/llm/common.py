@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -34,11 +37,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside give up their shuffle files when they end, not whenever the driver collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive a lost executor."""
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive a lost executor.
+
+    The shuffles of the write are of no use after it and are removed with its end.
+    """
     path = fresh_path(df.sparkSession, name)
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -12,7 +12,8 @@ share one, up to MOST_CELLS (a byte each); beyond that, words of the same cell s
 coarser. Shared words are found by a 31-bit part of their hashes; a collision only adds a candidate.
 
 Signatures hold the parity of the words in 64 cells, in 128 and 256 for longer lines, where fewer would be saturated:
-cells whose parities differ are a lower bound of the words that differ.
+cells whose parities differ are a lower bound of the words that differ. Rows of prefix words carry 64 cells only; the wider
+ones wait with their sets for the pairs that share enough words.
 
 Bounded work for groups of copies: equal sets are grouped first and only their first line goes on. Then each set is
 verified against two sets, instead of all pairs: of the first and the preceding ones that share a prefix word, those
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, join_hot, stored
+from .common import free_name, join_hot, shuffles_removed, stored
 
 THRESHOLD = 0.8
 #: Words are counted in a power of two of cells: one for this many bytes of text or less, up to a bound of memory.
@@ -89,7 +90,8 @@ def rarity(docs: DataFrame) -> tuple[F.Column, int]:
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(size - 1).cast("int").alias("cell")).count()
     level = F.floor(F.log2("count")).cast("bigint")
     byte = F.shiftleft(F.col("cell").bitwiseAND(7), 3)
-    packed = counted.groupBy(F.shiftright("cell", 3).alias("at")).agg(F.bit_xor(_shift(level, byte)).alias("levels")).toArrow()  # eight cells a row
+    with shuffles_removed(docs.sparkSession):
+        packed = counted.groupBy(F.shiftright("cell", 3).alias("at")).agg(F.bit_xor(_shift(level, byte)).alias("levels")).toArrow()  # eight cells a row
     table = np.zeros(size >> 3, "<i8")
     table[packed["at"].to_numpy()] = packed["levels"].to_numpy()
     return F.lit(table.tobytes()), size
@@ -172,9 +174,13 @@ def _possible(other: str, threshold: float) -> F.Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y: ids) that have the similarity. Only the lines of these pairs are read again."""
-    x = sets.select(F.col("id").alias("x"), F.col("first").alias("x_first"), "n", *SIGNATURES)
-    y = sets.select(F.col("id").alias("y"), F.col("first").alias("y_first"), F.struct("n", *SIGNATURES).alias("other"))
-    kept = pairs.distinct().join(x, "x").join(y, "y").where(_alike("other", threshold))
+    pairs = stored(pairs.distinct(), "line-candidates")
+    named = stored(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-named")
+    # few sets are in a pair: the others stay where they are
+    known = stored(sets.select("id", "first", "n", *SIGNATURES).join(_small(named), "id"), "line-known")
+    x = known.select(F.col("id").alias("x"), F.col("first").alias("x_first"), "n", *SIGNATURES)
+    y = known.select(F.col("id").alias("y"), F.col("first").alias("y_first"), F.struct("n", *SIGNATURES).alias("other"))
+    kept = pairs.join(x, "x").join(y, "y").where(_alike("other", threshold))
     kept = stored(kept.select("x", "y", "x_first", "y_first"), "line-pairs")
     ends = kept.select(F.col("x").alias("id"), F.col("x_first").alias("first")).unionByName(kept.select(F.col("y").alias("id"), F.col("y_first").alias("first"))).distinct()
     key = F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("doc_key")
@@ -203,14 +209,15 @@ def _shared_words(sets: DataFrame, threshold: float) -> str:
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = sets.select("id", "n", *SIGNATURES, F.posexplode("prefix").alias("at", "w")).repartition(parts, "w")
+    words = sets.select("id", "n", "sig", F.posexplode("prefix").alias("at", "w")).repartition(parts, "w")
     own = F.struct("id", "n", "at", "sig")
     order = Window.partitionBy("w").orderBy("id")
     met = words.withColumns({"lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(own).over(order), "followed": F.lead("id").over(order).isNotNull()})
     near = F.col("before").isNotNull()
-    kept = met.where(near | F.col("followed")).select("w", "id", "n", "at", *SIGNATURES, *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
+    kept = met.where(near | F.col("followed")).select("w", "id", "n", "sig", *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
     name = f"line_shared_{uuid.uuid4().hex}"
-    kept.write.format("parquet").option("compression", "zstd").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
+    with shuffles_removed(spark):
+        kept.write.format("parquet").option("compression", "zstd").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
     return name
 
 
@@ -224,10 +231,10 @@ def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "y"))), 1, 2)  # a line has few candidates
         tried = stored(near.groupBy("x").agg(best.alias("best")).select("x", F.explode("best.y").alias("y")), "line-tried")
         done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
-        slim = shared.select("w", "id", "n", *SIGNATURES)
-        rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", *SIGNATURES)
-        earlier = slim.select("w", F.struct("id", "n", *SIGNATURES).alias("y"))
-        met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _alike("y", threshold))
+        slim = shared.select("w", "id", "n", "sig")
+        rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", "sig")
+        earlier = slim.select("w", F.struct("id", "n", "sig").alias("y"))
+        met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _alike("y", threshold, wide=False))
         counted = met.groupBy("x", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("y.n").alias("m"))
         # of the set whose prefix ends earlier, words after the prefix are all that may be common besides those counted
         n, m = F.col("n"), F.col("m")
@@ -242,11 +249,13 @@ def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th, line_no of every line that goes."""
     lines, sets = distinct_sets(docs, threshold)
-    gone = matched_sets(sets, docs, threshold).withColumn("gone", F.lit(True))
-    known = sets.select("id", "sid", "first", "copies").join(gone, "id", "left").drop("id")
-    marked = join_hot(lines, known, "sid", "copies", lines.count())
+    matched = matched_sets(sets, docs, threshold)
+    heads = sets.select("id", "first").join(_small(matched), "id").select("first.doc_id", "first.th", "first.line_no")
+    several = sets.where("copies > 1").select("sid", "first", "copies")
+    few = _small(several)
     itself = F.struct("doc_id", "th", "line_no")
-    return marked.where(F.col("gone") | ~itself.eqNullSafe(F.col("first"))).select("doc_id", "th", "line_no")
+    marked = lines.join(few, "sid") if few is not several else join_hot(lines, several, "sid", "copies", lines.count())
+    return marked.where(~itself.eqNullSafe(F.col("first"))).select("doc_id", "th", "line_no").unionByName(heads)
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:

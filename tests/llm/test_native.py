@@ -3,8 +3,11 @@
 import itertools
 import math
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -335,3 +338,32 @@ def test_pipeline_stages(spark, small):
         docs = after
     assert docs.count() == corpus_pipeline.run(spark, small).count()
     assert docs.where(F.col("shard").isNull()).count() == 0
+
+
+def shuffle_files():
+    return {f for f in Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data")}
+
+
+def test_line_dedup_keeps_no_shuffle_files(spark):
+    """What a stored table was made from goes with the write; the driver's garbage collection would come too late for the disk."""
+    before = shuffle_files()
+    rows = [(i, "\n".join(f"{i % 7} word{i * k} beside w{k} and five more here" for k in range(1, 9)), "en", "s") for i in range(400)]
+    kept = spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    held = line_dedup.distinct_sets(documents(spark, rows))
+    gone = line_dedup.matched_sets(held[1], documents(spark, rows))
+    assert gone.count() < held[1].count()
+    end = time.time() + 20
+    while (left := shuffle_files() - before) and time.time() < end:
+        time.sleep(0.2)
+    # counting and sizing actions leave files of a few rows
+    assert sum(f.stat().st_size for f in left if f.exists()) < 20_000
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, None) == kept
+
+
+def test_prefix_rows_are_slim(spark):
+    sets = line_dedup.distinct_sets(documents(spark, [(1, "a b c\na b d", "en", "s"), (2, "a b e\na f g", "en", "s")]))[1]
+    name = line_dedup._shared_words(sets, 0.5)
+    try:
+        assert not {"sig2", "sig3", "sig4"} & set(spark.table(name).columns)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
