@@ -287,3 +287,23 @@ def test_piece_counts_of_documents(spark):
         wanted.append((str(i), len(own), sum(own), max(own, default=0)))
     assert sorted((str(r["doc_id"]), *r[1:]) for r in rows) == sorted(wanted)
     assert piece_counts.count_pieces(empty(spark), path).count() == 0
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs", "Cc", "Zs", "Zl", "Zp"]) | st.just("\n"), max_size=8), max_size=40, unique=True))
+def test_pieces_in_one_text_have_their_own_ids(pieces):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = arrow_ids.encoder(path, arrow_ids.id_type(path), 0)
+    pieces = [*pieces, "", "\n", "a\n", "\nb", "c\nd", "don't", "'s", "9" * 30]
+    assert coder.together(pieces) == coder.whole([f" {p}" for p in pieces])
+
+
+def test_new_pieces_share_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = arrow_ids.Encoder(path, arrow_ids.id_type(path), 0)
+    given_texts, whole = [], coder.whole
+    monkeypatch.setattr(coder, "whole", lambda texts: given_texts.extend(texts) or whole(texts))
+    text = " ".join(f"word{k}" for k in range(5000))
+    ids, sizes = coder.encode(pa.array([text]))
+    assert ids[:-1].tobytes() == whole([text])[0] and sizes.tolist() == [len(ids)]
+    assert len(given_texts) < 100  # one for each piece before
