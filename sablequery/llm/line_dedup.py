@@ -12,14 +12,15 @@ share one, up to MOST_CELLS (a byte each); beyond that, words of the same cell s
 coarser. Shared words are found by a 31-bit part of their hashes; a collision only adds a candidate.
 
 Signatures hold the parity of the words in 64 cells, in 128 and 256 for longer lines, where fewer would be saturated:
-cells whose parities differ are a lower bound of the words that differ. Rows of prefix words carry 64 cells only; the wider
-ones wait with their sets for the pairs that share enough words.
+cells whose parities differ are a lower bound of the words that differ. Rows of prefix words carry 64 cells only, of the
+set without the words before the row's. No word before the first that two sets share is common, so of that row the places
+of both count as words that differ, beside the cells; other rows of a pair mostly fail this bound, and needn't pass it. The
+wider signatures wait with their sets for the pairs.
 
 Bounded work for groups of copies: equal sets are grouped first and only their first line goes on. Then each set is
 verified against two sets, instead of all pairs: of the first and the preceding ones that share a prefix word, those
-that share most; sets that find an earlier match this way are done. Only the others are joined with all earlier sets, and of those pairs only such
-with enough common prefix words are verified; that join reads a table bucketed by word, so prefix words are shuffled
-once. Lines of a set that a large share of all lines belongs to meet it by a broadcast of bounded size. All steps are
+that share most; sets that find an earlier match this way are done. Only the others are joined with all earlier sets,
+within these bounds; that join reads a table bucketed by word, so prefix words are shuffled once. Lines of a set that a large share of all lines belongs to meet it by a broadcast of bounded size. All steps are
 DataFrame and SQL functions.
 
 Defined cases: null text is one empty line; lines without words never match and stay; rows of the same doc_id and text
@@ -52,6 +53,8 @@ LEVEL_BIT = 57
 BROADCAST_BYTES = 64 << 20
 #: Words above which a line's signature has 128 or 256 cells.
 LONG_LINE, LONGER_LINE = 80, 170
+#: Words at most that a row's signature leaves out.
+MOST_BEFORE = 32
 WHITE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
@@ -119,7 +122,7 @@ def signatures(words: F.Column) -> list[F.Column]:
     }
 
     def parity(mark: Callable[[F.Column], F.Column]) -> F.Column:
-        return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(_shift(mark(h), F.shiftright(h, 32).cast("int"))))  # shifts count modulo 64
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(_shift(mark(h), h.bitwiseAND(63).cast("int"))))
 
     return [(parity(mark) if not least else F.when(n > least, parity(mark)).otherwise(0)).alias(name) for name, (least, mark) in marks.items()]
 
@@ -172,6 +175,13 @@ def _possible(other: str, threshold: float) -> F.Column:
     return _alike(other, threshold, wide=False) & (F.least(n - F.col("at"), m - F.col(f"{other}.at")) >= _need(n, m, threshold))
 
 
+def _first_shared(other: str, threshold: float) -> F.Column:
+    """What holds for the first word that similar sets share: words before it, of both, differ beside those that signatures tell."""
+    before = F.least(F.col("at"), F.lit(MOST_BEFORE)) + F.least(F.col(f"{other}.at"), F.lit(MOST_BEFORE))
+    differ = before + F.bit_count(F.col("sig").bitwiseXOR(F.col(f"{other}.sig")))
+    return _possible(other, threshold) & (differ <= (F.col("n") + F.col(f"{other}.n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y: ids) that have the similarity. Only the lines of these pairs are read again."""
     pairs = stored(pairs.distinct(), "line-candidates")
@@ -205,16 +215,19 @@ def _small(frame: DataFrame, lists: str | None = None, width: int = 0) -> DataFr
 def _shared_words(sets: DataFrame, threshold: float) -> str:
     """A table bucketed by prefix word: every set with a word that another set has, and its first candidates.
 
-    lead and before: ids of the first and the preceding set with the word, if the filters leave them possible.
+    sig is without the words before the row's. lead and before: ids of the first and the preceding set with the word, if
+    the filters leave them possible.
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = sets.select("id", "n", "sig", F.posexplode("prefix").alias("at", "w")).repartition(parts, "w")
+    one = F.lit(1).cast("bigint")
+    after = F.aggregate(F.slice("prefix", 1, F.least("at", F.lit(MOST_BEFORE))), F.col("sig"), lambda s, w: s.bitwiseXOR(_shift(one, w)))  # shifts count modulo 64
+    words = sets.select("id", "n", "sig", "prefix", F.posexplode("prefix").alias("at", "w")).select("id", "n", after.alias("sig"), "at", "w").repartition(parts, "w")
     own = F.struct("id", "n", "at", "sig")
     order = Window.partitionBy("w").orderBy("id")
     met = words.withColumns({"lead": F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(own).over(order), "followed": F.lead("id").over(order).isNotNull()})
     near = F.col("before").isNotNull()
-    kept = met.where(near | F.col("followed")).select("w", "id", "n", "sig", *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
+    kept = met.where(near | F.col("followed")).select("w", "id", "n", "at", "sig", *[F.when(near & _possible(c, threshold), F.col(f"{c}.id")).alias(c) for c in ("lead", "before")])
     name = f"line_shared_{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         kept.write.format("parquet").option("compression", "zstd").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
@@ -231,15 +244,11 @@ def matched_sets(sets: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "y"))), 1, 2)  # a line has few candidates
         tried = stored(near.groupBy("x").agg(best.alias("best")).select("x", F.explode("best.y").alias("y")), "line-tried")
         done = stored(verified(tried, sets, docs, threshold).select("x").distinct(), "line-done")
-        slim = shared.select("w", "id", "n", "sig")
-        rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").select("w", F.col("id").alias("x"), "n", "sig")
-        earlier = slim.select("w", F.struct("id", "n", "sig").alias("y"))
-        met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _alike("y", threshold, wide=False))
-        counted = met.groupBy("x", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("y.n").alias("m"))
-        # of the set whose prefix ends earlier, words after the prefix are all that may be common besides those counted
-        n, m = F.col("n"), F.col("m")
-        most = F.col("c") + F.greatest(n - prefix_size(n, threshold), m - prefix_size(m, threshold))
-        later = counted.where(most >= _need(n, m, threshold)).select("x", "y")
+        slim = shared.select("w", "id", "n", "at", "sig")
+        rest = slim.join(_small(done), slim["id"] == done["x"], "left_anti").withColumnRenamed("id", "x")
+        earlier = slim.select("w", F.struct("id", "n", "at", "sig").alias("y"))
+        met = rest.join(earlier, "w").where((F.col("y.id") < F.col("x")) & _first_shared("y", threshold))
+        later = met.select("x", F.col("y.id").alias("y"))
         found = verified(later.join(tried, ["x", "y"], "left_anti"), sets, docs, threshold).select("x")
         return stored(done.unionByName(found).distinct().withColumnRenamed("x", "id"), "line-matched")
     finally:

@@ -367,3 +367,24 @@ def test_prefix_rows_are_slim(spark):
         assert not {"sig2", "sig3", "sig4"} & set(spark.table(name).columns)
     finally:
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_near_copies_that_are_not_alike_make_no_pairs(spark):
+    """Lines of one base with 4 of 30 words of their own differ in 8 to 16 words, which is too many: none of their shared words pairs them."""
+    rng, base = np.random.default_rng(3), [f"common{k}" for k in range(30)]
+
+    def line(i, own):
+        at = set(rng.choice(30, own, replace=False).tolist())
+        return " ".join(f"own{i}x{k}" if k in at else w for k, w in enumerate(base))
+
+    pairs = {}
+    for own in (4, 1):
+        docs = documents(spark, [(i, line(f"{own}y{i}", own), "en", "s") for i in range(40)])
+        name = line_dedup._shared_words(line_dedup.distinct_sets(docs)[1], line_dedup.THRESHOLD)
+        try:
+            shared = spark.table(name).select("w", "id", "n", "at", "sig")
+            met = shared.join(shared.select("w", F.struct("id", "n", "at", "sig").alias("y")), "w").where("y.id < id").where(line_dedup._first_shared("y", line_dedup.THRESHOLD))
+            pairs[own] = met.select("id", "y.id").distinct().count()
+        finally:
+            spark.sql(f"DROP TABLE {name}")
+    assert pairs == {4: 0, 1: 40 * 39 // 2}  # with one word of their own all pairs are alike
