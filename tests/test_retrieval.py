@@ -352,6 +352,52 @@ def test_blocks_of_the_index_hold_every_posting(spark, tmp_path, monkeypatch):
     assert {r["term"]: r["chunks"] for r in merged.terms().collect()} == counts == {r["term"]: r["chunks"] for r in again.terms().collect()}
 
 
+def test_segments_are_merged_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Dead entries are filtered in their rows, so that postings are dealt by no key; chunks that left, came back, changed or lost
+    their whole block are right, also if an update only removes chunks."""
+    from sablequery.operators import lexical_index as L
+
+    monkeypatch.setattr(L, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(L, "CUT_BYTES", 100, raising=False)
+    shuffled, write = [], L._write_segment
+    monkeypatch.setattr(L, "_write_segment", lambda rows, *a: (shuffled.append("ShuffledRowRDD" in rows.rdd.toDebugString().decode()), write(rows, *a)))
+
+    def frame(rows):
+        return spark.createDataFrame([(k, "a title", text) for k, text in rows.items()], "chunk_id int, title string, text string").coalesce(2)
+
+    def held(index):
+        found = index.postings().collect()
+        return sorted((r["term"], r["chunk_id"], r["col"], r["tf"], r["size"], r["lead"], r["deltas"]) for r in found)
+
+    def wanted(rows):
+        out = []
+        for k, text in rows.items():
+            fields = [["a", "title"], (text or "").split()]
+            for i, words in enumerate(fields):
+                for w in set(words):
+                    at = [n for n, x in enumerate(words) if x == w]
+                    out.append((w, k, ("title", "text")[i], len(at), sum(map(len, fields)), int(not i or w not in fields[0]), [b - a for a, b in zip([0, *at], at, strict=False)]))
+        return sorted(out)
+
+    rng = random.Random(4)
+    first = {k: " ".join(rng.choices("abcdefgh", k=12)) for k in range(40)} | {40: None}
+    fewer = {k: t for k, t in first.items() if k % 5}
+    edited = {k: f"new {t}" if k % 7 == 1 else t for k, t in first.items() if k % 10}
+    rest = {k: t for k, t in edited.items() if k > 20}
+    for rows in (first, fewer, edited, None, rest, None):
+        index = L.refresh(spark, f"{tmp_path}/index", frame(rows), ["title", "text"]) if rows else L.compact(index)
+        rows = rows or previous
+        assert held(index) == wanted(rows)
+        words = {k: f"a title {t or ''}".split() for k, t in rows.items()}
+        assert {r["chunk_id"]: (r["tokens"], r["terms"]) for r in index.chunk_sums().collect()} == {k: (len(w), len(set(w))) for k, w in words.items()}
+        counts = Counter(w for found in words.values() for w in set(found))
+        assert {r["term"]: r["chunks"] for r in index.terms().collect()} == counts
+        previous = rows
+    assert index.segments == (6,) and shuffled == [False] * 4  # the first, the edited, the two merged
+    stored = spark.read.parquet(f"{tmp_path}/index/postings/segment=6").agg(F.sum("chunks"), F.sum("occurrences")).first()
+    assert tuple(stored) == (sum(counts.values()), sum(map(len, words.values())))
+
+
 def test_plain_words_of_a_batch_in_parts():
     texts = [None, "", "Ａｂ-c​d"] + [f"É{k}! Word" for k in range(2 * T.TEXTS_AT_ONCE)]
     assert T._plain_words.func(pa.array(texts)).to_pylist() == [None if t is None else T.plain_words(t) for t in texts]
