@@ -43,6 +43,8 @@ from . import retrieval as R
 
 #: Up to so many distinct terms a search names them in the scan; beyond, the terms are joined.
 NAMED_TERMS = 5000
+#: Up to so many rows of them are sent to all tasks that read the index; beyond, its rows are shuffled by term.
+SENT_TERMS = 500_000
 #: Up to so many distinct words a search without an index sends to its tasks.
 SCANNED_TERMS = 500_000
 #: Bytes of text in a block, and of those that are words at once.
@@ -106,7 +108,8 @@ class LexicalIndex:
             named = [r["term"] for r in terms.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
             if len(named) <= NAMED_TERMS:
                 rows = rows.where(F.col("term").isin(*sorted(named)) if named else F.lit(False))
-            rows = rows.join(terms, "term")
+            # the index is never dealt by term for a few questions
+            rows = rows.join(F.broadcast(terms) if terms.count() <= SENT_TERMS else terms, "term")
         names = F.array(*[F.lit(c) for c in self.columns])
         own = ["term", *[c for c in (terms.columns if terms is not None else []) if c != "term"]]
         entries = rows.select(*own, "block", F.inline(F.arrays_zip("places", "cols", "tfs", "leads", "deltas")).alias("place", "col", "tf", "lead", "deltas"))

@@ -398,6 +398,22 @@ def test_segments_are_merged_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert tuple(stored) == (sum(counts.values()), sum(map(len, words.values())))
 
 
+def test_an_index_is_not_shuffled_for_many_terms(spark, tmp_path, monkeypatch):
+    """Also beyond the terms that are named in the scan, as long as they can be sent."""
+    from sablequery.operators import lexical_index as L
+
+    chunks = spark.createDataFrame([(f"c{k}", f"w{k % 7} w{k} x") for k in range(30)], "chunk_id string, text string")
+    index = L.refresh(spark, f"{tmp_path}/index", chunks, ["text"])
+    terms = spark.createDataFrame([(q, f"w{q}") for q in range(12)] + [(99, "nosuch")], "query_id int, term string")
+    wanted = sorted((k % 7, f"c{k}") for k in range(30) if k >= 7) + sorted((k, f"c{k}") for k in range(12))
+    for named, sent in ((5000, 5000), (3, 5000), (3, 3)):
+        monkeypatch.setattr(L, "NAMED_TERMS", named)
+        monkeypatch.setattr(L, "SENT_TERMS", sent, raising=False)
+        found = index.postings(terms)
+        assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == sorted(wanted)
+        assert ("broadcast" in found._jdf.queryExecution().analyzed().toString()) == (sent == 5000)
+
+
 def test_plain_words_of_a_batch_in_parts():
     texts = [None, "", "Ａｂ-c​d"] + [f"É{k}! Word" for k in range(2 * T.TEXTS_AT_ONCE)]
     assert T._plain_words.func(pa.array(texts)).to_pylist() == [None if t is None else T.plain_words(t) for t in texts]
